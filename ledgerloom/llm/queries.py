@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import lz_fingerprint
+from . import flow_reshard, lz_fingerprint, warc_zip
 
-QUERIES = {"op10_lz_fingerprint": lz_fingerprint.op10_lz_fingerprint}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op2_warc_zip": warc_zip.op2_warc_zip,
+    "op9_flow_reshard": flow_reshard.op9_flow_reshard,
+    "op10_lz_fingerprint": lz_fingerprint.op10_lz_fingerprint,
+}
+SQL: dict[str, str] = {"op2_warc_zip": warc_zip.OP2_SQL}
