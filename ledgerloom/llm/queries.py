@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import flow_reshard, fst_sentencepiece, lz_fingerprint, simhash_tiles, skip_chain_pii, tag_path_html, warc_zip
+from . import flow_reshard, fst_sentencepiece, hilbert_pack, kneser_ney, lz_fingerprint, simhash_tiles, skip_chain_pii, tag_path_html, warc_zip
 
 QUERIES = {
     "op2_warc_zip": warc_zip.op2_warc_zip,
+    "op3_hilbert_pack": hilbert_pack.op3_hilbert_pack,
     "op4_simhash_tiles": simhash_tiles.op4_simhash_tiles,
     "op5_tag_path_html": tag_path_html.op5_tag_path_html,
     "op6_fst_sentencepiece": fst_sentencepiece.op6_fst_sentencepiece,
     "op7_skip_chain_pii": skip_chain_pii.op7_skip_chain_pii,
+    "op8_kneser_ney": kneser_ney.op8_kneser_ney,
     "op9_flow_reshard": flow_reshard.op9_flow_reshard,
     "op10_lz_fingerprint": lz_fingerprint.op10_lz_fingerprint,
 }
