@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import flow_reshard, fst_sentencepiece, hilbert_pack, kneser_ney, lz_fingerprint, simhash_tiles, skip_chain_pii, tag_path_html, warc_zip
+from . import flow_reshard, fst_sentencepiece, hilbert_pack, kneser_ney, lz_fingerprint, pruned_graph_ann, simhash_tiles, skip_chain_pii, tag_path_html, warc_zip
 
 QUERIES = {
+    "op1_pruned_graph_ann": pruned_graph_ann.op1_pruned_graph_ann,
     "op2_warc_zip": warc_zip.op2_warc_zip,
     "op3_hilbert_pack": hilbert_pack.op3_hilbert_pack,
     "op4_simhash_tiles": simhash_tiles.op4_simhash_tiles,

@@ -4,10 +4,15 @@ Every text gets a fingerprint of its word shingles (64 or 128 bits). Distinct fi
 bit counts of their 16-bit blocks and cut into tiles. Two fingerprints that differ in at most `radius` bits
 have bit counts that differ by at most `radius`, in all and summed over blocks; pairs of tiles, and pairs of
 strips within them, whose counts lie further apart are skipped, the others are compared in full with numpy.
-Each tile pair returns only the links that join what wasn't joined within it, so that a large group of near
-copies gives a link for each member and tile, not all its pairs. Components are found by repeated contraction
+A tile is a file in the shared folder, so that pairs of tiles are dealt out by name and nothing but names and
+links is shuffled. Each tile pair returns only the links that join what wasn't joined within it, so that a
+large group of near copies gives a link for each member and tile, not all its pairs. Components are found by repeated contraction
 of the links, written to the shared folder each round.
 
+A fingerprint of 64 or 128 bits tells likeness only roughly. Where a likeness is asked for, each fingerprint also
+has a minimum-hash sketch of SLOTS octets of its text's shingle set, and a pair within the radius is linked only
+if the sketches put the sets' Jaccard likeness at that or more (standard deviation 0.025 at 0.8).
+
 Cases: null text counts as empty; texts without words have fingerprint zero and are linked like any other;
 texts with fewer words than a shingle have one shingle; repeated rows and exact copies share a fingerprint and
 so a component; rows without an id take no part; other columns are ignored; an empty table gives an empty
@@ -16,11 +21,14 @@ result.
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +37,9 @@ from . import common
 #: Fingerprints aimed at for a tile, and those of a strip of a tile.
 TILE, STRIP = 8192, 256
 RADIUS = 4
+#: For five-word shingles that are alike to 0.8: all but a few of such pairs differ in at most so many of 128 bits.
+WORDS_NEAR, BITS_NEAR, RADIUS_NEAR, ALIKE = 5, 128, 28, 0.8
+SLOTS = 256
 
 
 def shingle_hashes(text: str | None, words: int, bits: int) -> np.ndarray:
@@ -58,9 +69,28 @@ def simhash(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * ones > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, words: int, bits: int, text_col: str = "text") -> Column:
-    udf = F.pandas_udf(lambda texts: texts.map(lambda t: simhash(shingle_hashes(t, words, bits))), "binary")
-    return udf(F.col(text_col))
+def sketch(hashes: np.ndarray) -> bytes:
+    """One octet for each slot: of the least hash that fell into it, or into the next slot that got any."""
+    if not len(hashes):
+        return b"\xff" * SLOTS
+    h = np.sort(hashes[:, -1])
+    edges = np.searchsorted(h, np.arange(SLOTS, dtype=np.uint64) << np.uint64(56))
+    have = np.flatnonzero(np.append(edges[1:], len(h)) > edges)
+    source = have[np.searchsorted(have, np.arange(SLOTS)) % len(have)]
+    return ((h[edges[source]] >> np.uint64(16)) & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def fingerprints(words: int, bits: int, sketched: bool, text_col: str = "text") -> Column:
+    """A struct of fp and, if sketched, sk."""
+
+    def each(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            hashes = shingle_hashes(text, words, bits)
+            out.append((simhash(hashes), sketch(hashes) if sketched else b""))
+        return pd.DataFrame(out, columns=["fp", "sk"], dtype=object)
+
+    return F.pandas_udf(each, "fp binary, sk binary")(F.col(text_col))
 
 
 # Tiles
@@ -95,45 +125,72 @@ def strips(prints: np.ndarray) -> list[tuple[slice, np.ndarray, np.ndarray]]:
     return [(slice(i, min(i + STRIP, len(prints))), counts[i : i + STRIP].min(axis=0), counts[i : i + STRIP].max(axis=0)) for i in range(0, len(prints), STRIP)]
 
 
-def link(a: np.ndarray, b: np.ndarray, label: np.ndarray, radius: int, same: bool) -> np.ndarray:
-    """Labels over the places of a and then b, after linking those at most radius bits apart."""
-    right = strips(b)
-    for i, (rows, low, high) in enumerate(strips(a)):
+Tile = tuple[np.ndarray, np.ndarray, np.ndarray]  # fingerprints, sketches (of no columns where none are asked for), labels
+
+
+def link(a: Tile, b: Tile, label: np.ndarray, radius: int, alike: float | None, same: bool) -> np.ndarray:
+    """Labels over the places of a and then b, after linking those at most radius bits apart and, if asked, alike."""
+    (a_prints, a_sketch, _), (b_prints, b_sketch, _) = a, b
+    right = strips(b_prints)
+    for i, (rows, low, high) in enumerate(strips(a_prints)):
         for j, (cols, other_low, other_high) in enumerate(right):
             if same and j < i or apart(low, high, other_low, other_high) > radius:
                 continue
-            differ = np.bitwise_count(a[rows, None, 0] ^ b[None, cols, 0])
-            for w in range(1, a.shape[1]):
-                differ = differ + np.bitwise_count(a[rows, None, w] ^ b[None, cols, w])
+            differ = np.bitwise_count(a_prints[rows, None, 0] ^ b_prints[None, cols, 0])
+            for w in range(1, a_prints.shape[1]):
+                differ = differ + np.bitwise_count(a_prints[rows, None, w] ^ b_prints[None, cols, w])
             x, y = np.nonzero(differ <= radius)
+            x, y = x + rows.start, y + cols.start
+            to = y + (0 if same else len(a_prints))
+            apart_yet = label[x] != label[to]
+            x, y, to = x[apart_yet], y[apart_yet], to[apart_yet]
+            if len(x) and alike is not None:
+                equal = (a_sketch[x] == b_sketch[y]).mean(axis=1)
+                near = (equal - 1 / 256) / (1 - 1 / 256) >= alike
+                x, to = x[near], to[near]
             if len(x):
-                label = join_up(label, x + rows.start, y + cols.start + (0 if same else len(a)))
+                label = join_up(label, x, to)
     return label
 
 
-def _unpack(data: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint64).reshape(-1, width)
+def _save(uri: str, tile: Tile) -> None:
+    system, path = pafs.FileSystem.from_uri(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    data = io.BytesIO()
+    np.savez(data, prints=tile[0], sketch=tile[1], label=tile[2])
+    with system.open_output_stream(path) as out:
+        out.write(data.getbuffer())
+
 
+def _load(uri: str) -> Tile:
+    system, path = pafs.FileSystem.from_uri(uri)
+    with system.open_input_stream(path) as file:
+        held = np.load(io.BytesIO(file.read()))
+        return held["prints"], held["sketch"], held["label"].astype(np.int64)
 
-def _tiles(width: int, radius: int):
-    """A row for each partition of sorted fingerprints, its own links made."""
+
+_HEADS = "tile string, least int, most int, low array<int>, high array<int>"
+
+
+def _tiles(folder: str, width: int, radius: int, alike: float | None):
+    """A file, named uniquely so that repeated tasks don't meet, and a row for each partition of sorted fingerprints."""
 
     def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, tile = [], None
-        for batch in batches:
-            if len(batch):
-                held.append(np.frombuffer(b"".join(batch.fp), ">u8").astype(np.uint64).reshape(-1, width))
-                tile = int(batch.tile.iloc[0])
+        held = [batch for batch in batches if len(batch)]
         if held:
-            prints = np.concatenate(held)
-            counts = block_counts(prints)
-            order = np.lexsort(counts.T[::-1])
-            prints, counts = prints[order], counts[order]
-            for part, i in enumerate(range(0, len(prints), 2 * TILE)):  # ranges are cut from a sample, so one may be long
-                p, c = prints[i : i + 2 * TILE], counts[i : i + 2 * TILE]
-                label = link(p, p, np.arange(len(p)), radius, True)
-                total = c.sum(axis=1)
-                yield pd.DataFrame({"tile": [tile * 1_000_000 + part], "least": [int(total.min())], "most": [int(total.max())], "low": [c.min(axis=0).tolist()], "high": [c.max(axis=0).tolist()], "prints": [p.tobytes()], "labels": [label.astype(np.uint32).tobytes()]})
+            rows = pd.concat(held)
+            prints = np.frombuffer(b"".join(rows.fp), ">u8").astype(np.uint64).reshape(-1, width)
+            sketches = np.frombuffer(b"".join(rows.sk), np.uint8).reshape(len(prints), -1)
+            order = np.lexsort(block_counts(prints).T[::-1])
+            prints, sketches = prints[order], sketches[order]
+            for i in range(0, len(prints), 2 * TILE):  # ranges are cut from a sample, so one may be long
+                p, k = prints[i : i + 2 * TILE], sketches[i : i + 2 * TILE]
+                c = block_counts(p)
+                label = np.arange(len(p))
+                label = link((p, k, label), (p, k, label), label, radius, alike, True)
+                total, name = c.sum(axis=1), f"{folder}/tile-{uuid.uuid4().hex}.npz"
+                _save(name, (p, k, label.astype(np.uint32)))
+                yield pd.DataFrame({"tile": [name], "least": [int(total.min())], "most": [int(total.max())], "low": [c.min(axis=0).tolist()], "high": [c.max(axis=0).tolist()]})
 
     return tiles
 
@@ -145,33 +202,32 @@ def _edges(prints: np.ndarray, places: np.ndarray, targets: np.ndarray) -> pd.Da
     return pd.DataFrame({"a": [at(i) for i in places.tolist()], "b": [at(i) for i in targets.tolist()]}, dtype=object)
 
 
-def _within(width: int):
-    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for prints, labels in zip(batch.prints, batch.labels, strict=True):
-                label = np.frombuffer(labels, np.uint32)
-                moved = np.flatnonzero(label != np.arange(len(label)))
-                yield _edges(_unpack(prints, width), moved, label[moved])
-
-    return within
+def _within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for name in batch.tile:
+            prints, _, label = _load(name)
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            yield _edges(prints, moved, label[moved])
 
 
-def _between(width: int, radius: int):
+def _between(radius: int, alike: float | None):
     def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, Tile] = {}
         for batch in batches:
-            for pa, la, pb, lb in zip(batch.prints, batch.labels, batch.prints2, batch.labels2, strict=True):
-                a, b = _unpack(pa, width), _unpack(pb, width)
-                start = np.concatenate([np.frombuffer(la, np.uint32).astype(np.int64), np.frombuffer(lb, np.uint32).astype(np.int64) + len(a)])
-                label = link(a, b, start.copy(), radius, False)
+            for name, other in zip(batch.tile, batch.tile2, strict=True):
+                held = {k: held[k] if k in held else _load(k) for k in (name, other)}
+                a, b = held[name], held[other]
+                start = np.concatenate([a[2], b[2] + len(a[0])])
+                label = link(a, b, start.copy(), radius, alike, False)
                 roots = np.flatnonzero(start == np.arange(len(start)))
                 moved = roots[label[roots] != roots]
-                yield _edges(np.concatenate([a, b]), moved, label[moved])
+                yield _edges(np.concatenate([a[0], b[0]]), moved, label[moved])
 
     return between
 
 
-def links(prints: DataFrame, bits: int, radius: int) -> DataFrame:
-    """From distinct fingerprints (fp) the links (a, b) that span every component."""
+def links(prints: DataFrame, bits: int, radius: int, alike: float | None = None) -> DataFrame:
+    """From distinct fingerprints (fp, sk) the links (a, b) that span every component."""
     spark, width = prints.sparkSession, bits // 64
     n = prints.count()
     tiles = max(-(-n // TILE), min(-(-n // (TILE // 4)), common.partitions(spark)), 1)
@@ -179,19 +235,17 @@ def links(prints: DataFrame, bits: int, radius: int) -> DataFrame:
     count = lambda a, b: F.length(F.regexp_replace(F.conv(F.hex(F.substring("fp", a, b)), 16, 2), "0", ""))
     whole = sum((count(i, 4) for i in range(5, 8 * width, 4)), count(1, 4))
     ranged = prints.withColumns({"_n": whole, "_c1": count(1, 2), "_c2": count(3, 2)}).repartitionByRange(tiles, "_n", "_c1", "_c2", "fp")
-    held = common.staged(ranged.select("fp", F.spark_partition_id().alias("tile")).mapInPandas(_tiles(width, radius), "tile long, least int, most int, low array<int>, high array<int>, prints binary, labels binary"))
+    folder = common.shared_dir(spark)
+    heads = common.staged(ranged.select("fp", "sk").mapInPandas(_tiles(f"{folder}/tiles", width, radius, alike), _HEADS), f"{folder}/heads")
     # Tiles meet at a bit count: those of a tile, and from radius below to radius above
-    heads = held.drop("prints", "labels")
     own = heads.withColumn("at", F.explode(F.sequence("least", "most")))
     near = heads.withColumn("at", F.explode(F.sequence(F.col("least") - radius, F.col("most") + radius)))
     near = near.select("at", *[F.col(c).alias(f"{c}2") for c in ("tile", "low", "high")])
     gap = F.aggregate(F.zip_with(F.zip_with("low", "high2", lambda x, y: x - y), F.zip_with("low2", "high", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0))), F.lit(0), lambda s, x: s + x)
-    met = own.join(near, "at").filter(F.col("tile") != F.col("tile2")).filter(gap <= radius)
-    pairs = met.select(F.least("tile", "tile2").alias("tile"), F.greatest("tile", "tile2").alias("tile2")).distinct()
-    body = held.select("tile", "prints", "labels")
-    joined = pairs.join(body, "tile").join(body.select(F.col("tile").alias("tile2"), F.col("prints").alias("prints2"), F.col("labels").alias("labels2")), "tile2")
-    across = joined.repartition(max(common.partitions(spark), tiles)).mapInPandas(_between(width, radius), "a binary, b binary")
-    return held.mapInPandas(_within(width), "a binary, b binary").unionByName(across)
+    met = own.join(near, "at").filter(F.col("tile") < F.col("tile2")).filter(gap <= radius)
+    pairs = met.select("tile", "tile2").distinct().repartition(max(common.partitions(spark), tiles))
+    across = pairs.sortWithinPartitions("tile").mapInPandas(_between(radius, alike), "a binary, b binary")
+    return heads.select("tile").mapInPandas(_within, "a binary, b binary").unionByName(across)
 
 
 # Components
@@ -218,16 +272,25 @@ def components(edges: DataFrame) -> DataFrame:
     return moved
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 64, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 64, radius: int = RADIUS, alike: float | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id): component_id is the smallest doc_id reachable by links."""
     rows = common.identified(docs, "doc_id")
-    rows = common.staged(rows.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(rows, words, bits).alias("fp")))
-    prints = common.staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(prints.select("fp"), bits, radius))
-    named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(words, bits, alike is not None).alias("_p")).select("doc_id", "_p.*")
+    rows = common.staged(rows)
+    prints = common.staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("sk").alias("sk")))
+    roots = components(links(prints.select("fp", "sk"), bits, radius, alike))
+    named = prints.drop("sk").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     owned = common.staged(named.select("fp", "root").join(least, "root").select("fp", "component_id"))
-    return rows.join(owned, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    return rows.select("doc_id", "fp").join(owned, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs without copies and near copies (five-word shingles alike to 0.8 or more): of each group the row with the
+    smallest id stays, with all columns. Rows equal in id and text are copies; rows without an id go."""
+    kept = near_duplicates(docs, WORDS_NEAR, BITS_NEAR, RADIUS_NEAR, ALIKE).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    own = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return own.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
 
 
 def op4_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,8 @@ LABELS = ("none", *KINDS)
 TRAIN_ROWS = 2000
 #: Rounds of message passing, and marginal from which a word becomes a span.
 ROUNDS, CERTAIN = 8, 0.9
+#: Pairs of repeats with one label that are counted in advance for each label.
+AGREE = 20
 #: Digits at their ends that link two words; each word is linked to the last such word before it.
 SAME_DIGITS = 7
 
@@ -194,8 +196,8 @@ def fit(counts: dict[str, np.ndarray], chain: np.ndarray, skip: np.ndarray, step
         gap = (y - n * _softmax(x @ weights + bias)) / total
         weights += 2.0 * (x.T @ gap - 1e-4 * weights)
         bias += 2.0 * gap.sum(axis=0)
-    odds = lambda c: np.log((c + 1) * (c + 1).sum() / ((c + 1).sum(axis=1, keepdims=True) * (c + 1).sum(axis=0, keepdims=True)))
-    return Field({f: weights[i].astype(float) for f, i in index.items()}, bias.astype(float), odds(chain), odds(skip))
+    odds = lambda c: np.log(c * c.sum() / (c.sum(axis=1, keepdims=True) * c.sum(axis=0, keepdims=True)))
+    return Field({f: weights[i].astype(float) for f, i in index.items()}, bias.astype(float), odds(chain + 1), odds(skip + 1 + AGREE * np.eye(len(LABELS))))
 
 
 def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
