@@ -74,7 +74,7 @@ def search(x: np.ndarray, edges: np.ndarray, entry: int, q: np.ndarray, beam: in
 
 def prune(x: np.ndarray, places: np.ndarray, candidates: np.ndarray, relax: float) -> np.ndarray:
     """DEGREE diverse neighbours of each place, out of its candidates (-1: none)."""
-    candidates = np.where(candidates == places[:, None], -1, np.sort(candidates, axis=1))
+    candidates = np.sort(np.where(candidates == places[:, None], -1, candidates), axis=1)
     again = np.zeros_like(candidates, bool)
     again[:, 1:] = candidates[:, 1:] == candidates[:, :-1]
     far = _squares(x, x[places], np.where(again, -1, candidates))
