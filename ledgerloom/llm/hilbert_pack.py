@@ -19,7 +19,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,15 +31,26 @@ LENGTH, END = 1024, 0
 #: Hashed counts of a document, coordinates, and bits of each.
 DIMS, AXES, BITS = 256, 4, 8
 #: Pieces of text whose ids a worker remembers; the table is emptied when full and changes no result.
-CACHE = 500_000
+CACHE = 1_000_000
 
-_BLANKS = re.compile(r"\s\s|\A\s|\s\Z")
+#: A text whose white space is single blanks and line ends between other characters.
+_ODD_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Letters that stop where a comma or full stop begins, and the words made of them alone.
+_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The characters for which byte-level vocabularies let each byte stand: printable ones for themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class Pieces:
-    """Ids of texts, piece by piece. Byte-level BPE cuts a text into words with the blank before them first, so a
-    text may be cut at a single blank between two other characters without changing its ids."""
+    """Ids of texts, piece by piece. Byte-level BPE first cuts a text into words with the blank before them, so a
+    text may be cut at a single blank or line end between two other characters, and a word before its last comma
+    or full stop, without changing its ids."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -48,25 +58,43 @@ class Pieces:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.kind = np.dtype("<u4" if self.wide else "<u2")
+        self.kind = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
+        self.letters = _byte_letters()
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
-
-    def _learn(self, table: dict[str, bytes], words: set[str], before: str) -> None:
-        missing = sorted(words - table.keys())
-        for w, x in zip(missing, self.tokenizer.encode_batch([before + w for w in missing], add_special_tokens=False), strict=True):
-            table[w] = np.array(x.ids, self.kind).tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.first) + len(self.later) > CACHE:
-            self.first.clear()
-            self.later.clear()
-        cut = [(_CUT.split(t) if _BLANKS.search(t) else t.split(" ")) for t in texts]
-        self._learn(self.first, {c[0] for c in cut}, "")
-        self._learn(self.later, set(chain.from_iterable(c[1:] for c in cut)), " ")
-        get = self.later.__getitem__
-        return [np.frombuffer(self.first[c[0]] + b"".join(map(get, c[1:])), self.kind) for c in cut]
+        self.words: dict[str, bytes] = {}
+        self.line_end = self._ids("\n")
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) >= CACHE:
+                self.words.clear()
+            spelled = word.encode().decode("latin-1").translate(self.letters)
+            found = self.words[word] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.kind).tobytes()
+        return found
+
+    def _piece(self, table: dict[str, bytes], piece: str, before: str) -> bytes:
+        if len(table) >= CACHE:
+            table.clear()
+        m = _WORD.fullmatch(before + piece)
+        found = table[piece] = (self._word(m[1]) + (self._word(m[2]) if m[2] else b"")) if m else self._ids(before + piece)
+        return found
+
+    def encode(self, text: str) -> np.ndarray:
+        first, later, piece = self.first, self.later, self._piece
+        lines = [_CUT.split(text)] if _ODD_SPACE.search(text) else [x.split(" ") for x in text.split("\n")]
+        out = []
+        for i, line in enumerate(lines):
+            if i:
+                out.append(self.line_end)
+            w = line[0]
+            out.append(first.get(w) or piece(first, w, ""))
+            out += [later.get(w) or piece(later, w, " ") for w in line[1:]]
+        return np.frombuffer(b"".join(out), self.kind)
 
 
 _loaded: dict[str, Pieces] = {}
@@ -120,7 +148,7 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
         end = np.array([END], pieces.kind).tobytes()
         for batch in batches:
             if len(batch):
-                ids = pieces.encode(batch.text.tolist())
+                ids = [pieces.encode(t) for t in batch.text]
                 yield pd.DataFrame({"doc_id": batch.doc_id, "key": hilbert_key(coordinates(ids)), "ids": [x.tobytes() + end for x in ids]})
 
     rows = common.identified(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

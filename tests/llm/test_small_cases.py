@@ -272,7 +272,7 @@ def test_pieces_equal_whole_texts():
     rng = np.random.default_rng(4)
     texts = ["".join(rng.choice(list(" \n  abcdeéth☃0129.,'s\t\x1c　"), 60)) for _ in range(1500)]
     p = hilbert_pack.Pieces(BPE)
-    assert [x.tolist() for x in p.encode(texts)] == [e.ids for e in p.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [p.encode(t).tolist() for t in texts] == [e.ids for e in p.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def _kneser_ney(train, text):
