@@ -21,7 +21,9 @@ from ledgerloom.operators import statement as ST
 from ledgerloom.plans import tables as B
 from ledgerloom.rules import categories as RC
 from ledgerloom.rules import messages as RM
+from ledgerloom.session import shared_folder
 from ledgerloom.sources import files, messages
+from ledgerloom.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -215,6 +217,16 @@ messages_query("ext10_narration", f"SELECT message_id, nullif(regexp_extract(tex
 messages_query("ext18_collapse", "SELECT message_id, trim(regexp_replace(replace(body, ' ', '   '), '[ \\t]+', ' ', 'g')) AS text FROM messages")(lambda m: m.select("message_id", T.collapse_whitespace(F.replace("body", F.lit(" "), F.lit("   "))).alias("text")))
 messages_query("ext1_ext3_amounts", f"SELECT message_id, CAST(floor(CAST(regexp_extract(text, {_quoted(RM.AMOUNT_VALUE)}, 1, 'i') AS DOUBLE) * 100 + 0.5) AS BIGINT) AS first_paise FROM texts WHERE {_CLASS} = 'ok'")(lambda m: C.classify(m).filter("is_txn").select("message_id", F.get(X.amounts(F.col("text")), F.lit(0))["paise"].alias("first_paise")))
 messages_query("ext2_direction", f"SELECT message_id, CASE WHEN message_id % 5 IN (3, 4) THEN 'credit' ELSE 'debit' END AS direction FROM texts WHERE {_CLASS} = 'ok'")(lambda m: C.classify(m).filter("is_txn").select("message_id", X.direction(F.col("text"))["direction"].alias("direction")))
+_OK = f"FROM texts WHERE {_CLASS} = 'ok'"
+messages_query(
+    "ext16_occurred_at",
+    f"SELECT message_id, CASE WHEN message_id % 5 IN (3, 4) THEN arrived_at WHEN message_id % 5 = 1 THEN epoch_ms(TIMESTAMP '2024-01-05 09:02:00') ELSE epoch_ms(TIMESTAMP '2024-01-05') + (arrived_at + 19800000) % 86400000 // 1000 * 1000 - 19800000 END AS ms, message_id % 5 NOT IN (3, 4) AS parsed, message_id % 5 = 1 AS precise {_OK}",
+)(lambda m: C.classify(m).filter("is_txn").select("message_id", X.occurred_at(F.col("text"), F.col("arrived_at")).alias("w")).select("message_id", "w.*"))
+_K = "regexp_extract(subject, '[0-9]+')"
+messages_query(
+    "ext13_ext11_ext12_merchant",
+    f"SELECT message_id, CASE message_id % 5 WHEN 0 THEN 'SHOP ' || {_K} WHEN 1 THEN 'SWIGGY' || {_K} WHEN 3 THEN 'AMIT KUMAR' END AS name, CASE message_id % 5 WHEN 0 THEN 'vpa-name' WHEN 1 THEN 'pattern' WHEN 3 THEN 'narration' END AS source {_OK}",
+)(lambda m: C.classify(m).filter("is_txn").withColumn("n", X.narration(F.col("text"))).withColumn("v", F.coalesce(F.col("n.upi_id"), X.upi_id(F.col("text")))).select("message_id", X.merchant(F.col("text"), F.col("n"), F.col("v")).alias("m")).select("message_id", "m.name", "m.source"))
 messages_query("ext17_parse", None)(lambda m: X.parse(C.classify(m)).select("message_id", "user_id", "provider", "amount_paise", "direction", "merchant", "merchant_source", "merchant_confidence", "channel", "reference_number", "upi_id", "card_last4", "occurred_at", "occurred_at_precise", "confidence"))
 messages_query("src8_sms", "SELECT 'sms:' || sha256(sender || '|' || body || '|' || (arrived_at // 60000)) AS message_id, user_id, arrived_at, sender FROM messages")(lambda m: messages.sms(m.select("user_id", "sender", "body", F.lit(None).cast("string").alias("timestamp"), F.col("arrived_at").alias("received_at"))).select("message_id", "user_id", "arrived_at", "sender"))
 query("src9_wallet", "SELECT user_id, 'wallet:' || sha256('Shop ' || k || '|' || p || '|' || (t // 60000)) AS external_id, p AS amount_paise, 'debit' AS direction, 'Card' AS channel, t AS occurred_at FROM (SELECT user_id, (epoch_us(ts) // 1000) AS t, CAST(floor(value * 100 + 0.5) AS BIGINT) AS p, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE p > 0")(
@@ -327,6 +339,56 @@ query(
 )(lambda spark, d: ST.normalize(_statement_rows(spark, d)).select("row_index", "reason", "occurred_at", "direction", "amount_paise", "upi_id"))
 query("src12_statement_import")(lambda spark, d: messages.statement(ST.normalize(_statement_rows(spark, d)).withColumns({"user_id": F.col("row_index") % 9, "received_at": F.col("occurred_at")})).select("user_id", "external_id", "amount_paise", "direction", "merchant", "occurred_at"))
 
+_STATEMENT = "Bank of Somewhere\r\nAddress, line\r\nDate,Narration,Withdrawal,Deposit,Ref No\r\n"
+
+
+def _statement_files(spark: SparkSession, d: str) -> DataFrame:
+    o = B.read(spark, d, "orders")
+    line = F.concat(F.lit("05/07/2026,UPI-SHOP-shop@icici-"), F.lpad(F.col("o_orderkey").cast("string"), 12, "9"), F.lit(",5.00,,R"), F.col("o_orderkey").cast("string"))
+    return o.groupBy((F.col("o_custkey") % 20).cast("string").alias("file")).agg(F.concat(F.lit(_STATEMENT), F.array_join(F.array_sort(F.collect_list(line)), "\r\n")).alias("value"))
+
+
+query("stm1_detect_headers", "SELECT DISTINCT CAST(o_custkey % 20 AS VARCHAR) AS file, 2 AS header_row, 0 AS date, 1 AS narration, 2 AS debit, 3 AS credit, 4 AS ref FROM orders")(lambda spark, d: ST.detect_headers(files.csv_rows(_statement_files(spark, d))).select("file", "header_row", *[F.col(f"mapping.{k}").alias(k) for k in ("date", "narration", "debit", "credit", "ref")]))
+
+
+@query("agg14_summary", "SELECT CAST(o_custkey % 20 AS VARCHAR) AS file, count(*) FILTER (o_orderkey % 4 <> 0) AS new, count(*) FILTER (o_orderkey % 4 = 0) AS duplicates, 0 AS bad FROM orders GROUP BY 1")
+def agg14(spark: SparkSession, d: str) -> DataFrame:
+    rows = files.csv_rows(_statement_files(spark, d))
+    good = ST.normalize(ST.below_header(rows, ST.detect_headers(rows)))
+    key = F.regexp_extract("reference_number", "R([0-9]+)", 1).cast("long")
+    return ST.summary(good.withColumn("existing_id", F.when(key % 4 == 0, key)))
+
+
+# Streams
+
+
+def _streamed(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFrame:
+    folder = shared_folder(spark)
+    state.write_once(stream, f"{folder}/out", f"{folder}/checkpoint", keys).awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+query("str7_stream_duplicates")(lambda spark, d: _streamed(spark, state.flag_duplicates(B.ledger(spark, d, B.event_stream(spark, d))), ["id"]))
+
+
+@query("str8_stream_matches")
+def str8(spark: SparkSession, d: str) -> DataFrame:
+    events = B.event_stream(spark, d)
+    return _streamed(spark, state.match_events(state.as_arrivals(B.ledger(spark, d, events), B.shortcut_events(spark, d, events))), ["event_id"])
+
+
+@query("str1_str5_incremental", "SELECT message_id, sender FROM messages WHERE message_id % 4 <> 3")
+def str1(spark: SparkSession, d: str) -> DataFrame:
+    """Relevant messages of the stream, appended once however often they come: the second run changes nothing."""
+    m = B.messages(spark, d, B.event_stream(spark, d)).filter(C.looks_relevant(F.col("sender"))).select("message_id", "sender")
+    folder = shared_folder(spark)
+    for run in ("a", "b"):
+        state.write_once(m, f"{folder}/out", f"{folder}/checkpoint-{run}", ["message_id"]).awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+SQL["str1_str5_incremental"] = over(B.MESSAGES, SQL["str1_str5_incremental"])
+
 # Scalars
 
 query("scl4_scl6_hashes", over(B.LEDGER, "SELECT id, 'x:' || sha256(coalesce(merchant, '') || '|' || amount_paise) AS hash, regexp_replace(lower(reference_number), '[^a-z0-9]', '', 'g') AS ref FROM ledger"))(lambda spark, d: B.ledger(spark, d).select("id", S.external_id("x", F.col("merchant"), F.col("amount_paise")).alias("hash"), S.normalized_reference(F.col("reference_number")).alias("ref")))

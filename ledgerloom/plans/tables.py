@@ -17,9 +17,9 @@ def categories(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CATEGORIES, "id string, name string, color string")
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transactions from `events`."""
-    e = read(spark, sf_dir, "events")
+def ledger(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Transactions from `events`, the table or a stream of it."""
+    e = read(spark, sf_dir, "events") if events is None else events
     i, k, at = F.col("event_id"), F.get_json_object("props", "$.k").cast("long"), F.unix_millis(F.col("ts").cast("timestamp"))
     return e.select(
         i.alias("id"),
@@ -99,9 +99,14 @@ ledger AS (
 """
 
 
-def shortcut_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`events` as a stream of files, read as they are there."""
+    return spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+
+
+def shortcut_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Logged expenses from every third event: near its transaction by up to some hours."""
-    t = ledger(spark, sf_dir).filter("id % 3 = 0")
+    t = ledger(spark, sf_dir, events).filter("id % 3 = 0")
     return t.select(
         (F.col("id") + 1_000_000_000).alias("id"),
         "user_id",
@@ -126,9 +131,9 @@ logged AS (
 """
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def messages(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Alerts written from `events`: most are payments in one of five wordings, some are codes, offers or announcements."""
-    t = read(spark, sf_dir, "events")
+    t = read(spark, sf_dir, "events") if events is None else events
     i, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("long")
     p = F.floor(F.col("value") * 100 + 0.5).cast("long")
     rs = F.concat(F.floor(p / 100).cast("long").cast("string"), F.lit("."), F.lpad((p % 100).cast("string"), 2, "0"))
