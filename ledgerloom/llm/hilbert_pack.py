@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +32,13 @@ LENGTH, END = 1024, 0
 #: Hashed counts of a document, coordinates, and bits of each.
 DIMS, AXES, BITS = 256, 4, 8
 #: Pieces of text whose ids a worker remembers; the table is emptied when full and changes no result.
-CACHE = 1_000_000
+CACHE = 1_500_000
 
-#: A text whose white space is single blanks and line ends between other characters.
-_ODD_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Letters that stop where a comma or full stop begins, and the words made of them alone.
-_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: A letter before a last comma or full stop, which so begins a new word of the tokenizer; and words of letters alone.
+_STOPPED = re.compile(r".*[A-Za-zÀ-ÖØ-öø-ÿ][.,]", re.S)
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -47,6 +48,13 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def plain(text: str) -> bool:
+    """Whether all white space is single blanks and line ends between other characters."""
+    if not text or text[0].isspace() or text[-1].isspace() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return not _OTHER_SPACE.search(text)
+
+
 class Pieces:
     """Ids of texts, piece by piece. Byte-level BPE first cuts a text into words with the blank before them, so a
     text may be cut at a single blank or line end between two other characters, and a word before its last comma
@@ -59,34 +67,34 @@ class Pieces:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
+        self.code = "I" if self.kind.itemsize == 4 else "H"
         self.letters = _byte_letters()
+        self.slots = slots(self.tokenizer.get_vocab_size())
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
         self.line_end = self._ids("\n")
+        self.stops = {c: self._ids(c) for c in ".,"}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            spelled = word.encode().decode("latin-1").translate(self.letters)
-            found = self.words[word] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.kind).tobytes()
-        return found
-
     def _piece(self, table: dict[str, bytes], piece: str, before: str) -> bytes:
+        if _STOPPED.fullmatch(piece):
+            core = piece[:-1]
+            found = (table.get(core) or self._piece(table, core, before)) + self.stops[piece[-1]]
+        elif _LETTERS.fullmatch(piece):
+            spelled = (before + piece).encode().decode("latin-1").translate(self.letters)
+            found = array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+        else:
+            found = self._ids(before + piece)
         if len(table) >= CACHE:
             table.clear()
-        m = _WORD.fullmatch(before + piece)
-        found = table[piece] = (self._word(m[1]) + (self._word(m[2]) if m[2] else b"")) if m else self._ids(before + piece)
+        table[piece] = found
         return found
 
     def encode(self, text: str) -> np.ndarray:
         first, later, piece = self.first, self.later, self._piece
-        lines = [_CUT.split(text)] if _ODD_SPACE.search(text) else [x.split(" ") for x in text.split("\n")]
+        lines = [x.split(" ") for x in text.split("\n")] if plain(text) else [_CUT.split(text)]
         out = []
         for i, line in enumerate(lines):
             if i:
@@ -104,13 +112,17 @@ def directions() -> np.ndarray:
     return np.random.default_rng(42).standard_normal((DIMS, AXES))
 
 
-def coordinates(ids: list[np.ndarray]) -> np.ndarray:
-    """A row of AXES numbers of BITS bits for each document."""
-    vectors = np.zeros((len(ids), DIMS))
-    for row, x in zip(vectors, ids, strict=True):
-        h = x.astype(np.uint32) * np.uint32(2654435761)
-        counts = np.bincount(h >> np.uint32(32 - DIMS.bit_length() + 1), 1.0 - 2.0 * ((h >> np.uint32(8)) & 1), DIMS)
-        row += np.sign(counts) * np.log1p(np.abs(counts))
+def slots(size: int) -> np.ndarray:
+    """Of each id its place among twice DIMS counts: those that add and those that take away."""
+    h = np.arange(size, dtype=np.uint32) * np.uint32(2654435761)
+    return ((h >> np.uint32(32 - DIMS.bit_length() + 1)) + DIMS * ((h >> np.uint32(8)) & 1)).astype(np.int64)
+
+
+def coordinates(ids: list[np.ndarray], place: np.ndarray) -> np.ndarray:
+    """A row of AXES numbers of BITS bits for each document; place comes from slots()."""
+    both = np.array([np.bincount(place[x], minlength=2 * DIMS) for x in ids]).reshape(len(ids), 2 * DIMS)
+    counts = both[:, :DIMS] - both[:, DIMS:]
+    vectors = np.sign(counts) * np.log1p(np.abs(counts))
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
     projected = vectors @ directions() / np.where(length > 0, length, 1)
     return np.clip((1 / (1 + np.exp(-1.7 * projected))) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)  # about uniform
@@ -149,7 +161,7 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             if len(batch):
                 ids = [pieces.encode(t) for t in batch.text]
-                yield pd.DataFrame({"doc_id": batch.doc_id, "key": hilbert_key(coordinates(ids)), "ids": [x.tobytes() + end for x in ids]})
+                yield pd.DataFrame({"doc_id": batch.doc_id, "key": hilbert_key(coordinates(ids, pieces.slots)), "ids": [x.tobytes() + end for x in ids]})
 
     rows = common.identified(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return common.staged(rows.mapInPandas(each, "doc_id long, key long, ids binary"))
