@@ -39,6 +39,8 @@ BUCKET_BYTES = 12 << 20
 QUANTILE, SLACK, PRIOR = 0.99, 1.3, 60
 #: Characters that a bucket works on at a time.
 CHUNK = 1 << 20
+#: Keys over which a language's rows are spread where they meet its threshold.
+SALTS = 64
 _BITS = np.uint64(CODE_BITS)
 _BEGIN, _END = 1, 2
 
@@ -228,6 +230,14 @@ def scores(docs: DataFrame, trusted: DataFrame, bucket_bytes: int = BUCKET_BYTES
     return dealt.cogroup(answers.groupBy("bucket")).applyInPandas(_score(buckets), _SCORES)
 
 
+def _by_language(rows: DataFrame, small: DataFrame) -> DataFrame:
+    """rows with the columns of small, a row for each language. A third of all rows may be of one language, so
+    rows are spread over SALTS keys a language and small is repeated as often."""
+    salt = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int")
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(repeated, ["lang", "_salt"]).drop("_salt")
+
+
 def decide(scored: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """scored, written once, with perplexity, threshold and keep."""
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("good", F.lit(True))
@@ -236,11 +246,11 @@ def decide(scored: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, sl
     middle = held.filter("good").groupBy("lang").agg(F.percentile_approx(mean, 0.5, 10000).alias("middle"))
     overall = held.filter("good").agg(F.percentile_approx(mean, 0.5, 10000).alias("all_middle"))
     middles = held.select("lang").distinct().join(middle, "lang", "left").join(F.broadcast(overall)).select("lang", F.coalesce("middle", "all_middle").alias("middle"))
-    drawn = common.staged(held.join(middles, "lang").withColumn("mean", F.coalesce((F.col("bits") + PRIOR * F.col("middle")) / (F.col("n") + PRIOR), mean)))
+    drawn = common.staged(_by_language(held, middles).withColumn("mean", F.coalesce((F.col("bits") + PRIOR * F.col("middle")) / (F.col("n") + PRIOR), mean)))
     limit = drawn.filter("good").groupBy("lang").agg(F.percentile_approx("mean", quantile, 10000).alias("limit"))
     overall = drawn.filter("good").agg(F.percentile_approx("mean", quantile, 10000).alias("all_limit"))
     limits = middles.select("lang").join(limit, "lang", "left").join(F.broadcast(overall)).select("lang", (F.pow(F.lit(2.0), F.coalesce("limit", "all_limit")) * slack).alias("threshold"))
-    out = drawn.join(limits, "lang").withColumn("perplexity", F.pow(F.lit(2.0), F.col("mean")))
+    out = _by_language(drawn, limits).withColumn("perplexity", F.pow(F.lit(2.0), F.col("mean")))
     return out.withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).select("doc_id", "text_hash", "lang", F.col("n").alias("n_grams"), "perplexity", "threshold", "keep")
 
 
