@@ -170,23 +170,34 @@ def occurred_at(text: Column, arrived: Column) -> Column:
 def parse(classified: DataFrame) -> DataFrame:
     """From classified messages (with arrived_at) the payments, with every field that could be found."""
     text = F.col("text")
-    df = classified.filter("is_txn").withColumns({"_dir": direction(text), "_hits": amounts(text), "_narr": narration(text)})
-    df = df.withColumns({"direction": F.col("_dir.direction"), "amount_paise": amount(F.col("_hits"), F.col("_dir.place"))})
-    df = df.filter("direction IS NOT NULL AND amount_paise IS NOT NULL")
-    df = df.withColumns({"upi_id": F.coalesce(F.col("_narr.upi_id"), upi_id(text)), "_text_vpa": upi_id(text), "card_last4": card_last4(text), "_when": occurred_at(text, F.col("arrived_at"))})
-    df = df.withColumn("_m", merchant(text, F.col("_narr"), F.col("upi_id")))
-    doubtful = (F.col("_m.source") == "info-freetext") & F.col("upi_id").isNotNull() & ~looks_like_a_name(F.col("_m.name"))
-    df = df.withColumn("_m", F.when(~F.coalesce(doubtful, F.lit(False)), F.col("_m")))
-    df = df.withColumns(
-        {
-            "merchant": F.coalesce("_m.name", "upi_id"),
-            "merchant_source": F.coalesce(F.col("_m.source"), F.when(F.col("upi_id").isNotNull(), "upi-id")),
-            "reference_number": F.coalesce(F.col("_narr.ref"), reference(text)),
-            "channel": channel(text, F.col("_text_vpa"), F.col("card_last4"), F.col("channel_hint")),
-            "occurred_at": F.col("_when.ms"),
-            "occurred_at_precise": F.col("_when.precise"),
-        }
-    )
-    points = reduce(lambda a, b: a + b, [F.when(c, F.lit(w)).otherwise(0) for c, w in ((F.col("provider") != "generic", 25), (F.col("merchant").isNotNull(), 12), (F.col("reference_number").isNotNull(), 10), (F.col("channel").isNotNull(), 5), (F.col("_when.parsed"), 5))])
+    told = F.struct(direction(text).alias("by"), amounts(text).alias("hits"))
+    money = T.let(told, lambda t: F.struct(t["by"]["direction"].alias("direction"), amount(t["hits"], t["by"]["place"]).alias("amount_paise")))
+    money = T.let(money, lambda a: F.when(a["direction"].isNotNull() & a["amount_paise"].isNotNull(), a))
+    df = classified.filter("is_txn").withColumn("_a", money).filter("_a IS NOT NULL")
+
+    found = F.struct(narration(text).alias("told"), upi_id(text).alias("vpa"), card_last4(text).alias("card"), reference(text).alias("ref"), occurred_at(text, F.col("arrived_at")).alias("at"))
+
+    def named(f: Column) -> Column:
+        vpa = F.coalesce(f["told"]["upi_id"], f["vpa"])
+        return F.struct(f.alias("f"), vpa.alias("vpa"), merchant(text, f["told"], vpa).alias("m"))
+
+    def fields(n: Column) -> Column:
+        f, vpa, m = n["f"], n["vpa"], n["m"]
+        doubtful = F.coalesce((m["source"] == "info-freetext") & vpa.isNotNull() & ~looks_like_a_name(m["name"]), F.lit(False))
+        source = F.when(~doubtful, m["source"])
+        return F.struct(
+            vpa.alias("upi_id"),
+            f["card"].alias("card_last4"),
+            F.coalesce(F.when(~doubtful, m["name"]), vpa).alias("merchant"),
+            F.coalesce(source, F.when(vpa.isNotNull(), "upi-id")).alias("merchant_source"),
+            F.coalesce(f["told"]["ref"], f["ref"]).alias("reference_number"),
+            channel(text, f["vpa"], f["card"], F.col("channel_hint")).alias("channel"),
+            f["at"]["ms"].alias("occurred_at"),
+            f["at"]["precise"].alias("occurred_at_precise"),
+            f["at"]["parsed"].alias("dated"),
+        )
+
+    df = df.withColumn("_p", T.let(T.let(found, named), fields)).select(*[c for c in classified.columns if c not in ("is_txn", "channel_hint")], "_a.*", "_p.*")
+    points = reduce(lambda a, b: a + b, [F.when(c, F.lit(w)).otherwise(0) for c, w in ((F.col("provider") != "generic", 25), (F.col("merchant").isNotNull(), 12), (F.col("reference_number").isNotNull(), 10), (F.col("channel").isNotNull(), 5), (F.col("dated"), 5))])
     df = df.withColumns({"merchant_confidence": source_confidence(F.col("merchant_source")), "confidence": F.least(points + 40, F.lit(97)) / 100, "currency": F.lit("INR")})
-    return df.drop("_dir", "_hits", "_narr", "_text_vpa", "_when", "_m", "is_txn", "channel_hint")
+    return df.drop("dated")

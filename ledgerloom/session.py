@@ -16,12 +16,16 @@ def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    import atexit
+    import shutil
     import tempfile
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
+        local = tempfile.mkdtemp(prefix="ledgerloom-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        root = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
 
