@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -25,6 +25,8 @@ from . import common
 
 #: Slots of a signature, a power of two, and bits kept of each slot's smallest hash.
 SLOTS, SLOT_BITS = 64, 16
+#: Most ranges of doc_id; larger tables have longer ranges, which tasks stream through.
+RANGES = 16_384
 _BASE = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
 
@@ -150,6 +152,18 @@ def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=[x.split()[0] for x in _SCHEMA.split(", ")])
 
 
+def _bucket(value: Column, bounds: list[int]) -> Column:
+    """How many bounds lie below value, by their blocks' first bounds and then one block: two short searches."""
+    if not bounds:
+        return F.lit(0)
+    size = max(1, round(len(bounds) ** 0.5))
+    blocks = [bounds[i : i + size] for i in range(0, len(bounds), size)]
+    below = lambda edges: F.size(F.filter(edges, lambda e: e < value))
+    block = F.greatest(below(F.array(*[F.lit(x[0]) for x in blocks])) - 1, F.lit(0))
+    inner = F.get(F.array(*[F.array(*map(F.lit, x)) for x in blocks]), block)
+    return (block * size + below(inner)).cast("int")
+
+
 def edit_chain(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited form, with their likeness and that to the next document's.
 
@@ -160,13 +174,9 @@ def edit_chain(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = common.identified(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = common.partitions(spark)
-    ranges = 4 * n
-    bounds = sorted(set(rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)))
-    bucket = F.lit(0)
-    if bounds:
-        edges = F.array(*[F.lit(int(x)) for x in bounds])
-        bucket = F.size(F.filter(edges, lambda e: e < F.col("doc_id")))
-    rows = rows.withColumn("bucket", bucket.cast("int"))
+    ranges = min(4 * n, RANGES)
+    bounds = sorted({int(x) for x in rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)})
+    rows = rows.withColumn("bucket", _bucket(F.col("doc_id"), bounds))
     firsts = {r.bucket: r.first for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("first")).collect()}
     if not firsts:
         return spark.createDataFrame([], _SCHEMA)
@@ -174,7 +184,7 @@ def edit_chain(docs: DataFrame) -> DataFrame:
     after = [(firsts[order[(i + 1) % len(order)]], b) for i, b in enumerate(order)]
     # one row for each range, so its size is bounded by the number of ranges
     guests = F.broadcast(spark.createDataFrame(after, "doc_id long, into int"))
-    chosen = rows.filter(F.col("doc_id").isin([int(x) for x, _ in after])).groupBy("doc_id").agg(F.min("text").alias("text")).join(guests, "doc_id")
+    chosen = rows.drop("bucket").join(guests, "doc_id").groupBy("doc_id", "into").agg(F.min("text").alias("text"))
     both = rows.withColumn("guest", F.lit(False)).unionByName(chosen.select("doc_id", "text", F.col("into").alias("bucket"), F.lit(True).alias("guest")))
     dealt = both.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", F.desc("doc_id"), "text")
     return dealt.mapInPandas(_chain, _SCHEMA)
