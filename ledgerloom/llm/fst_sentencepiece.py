@@ -12,9 +12,10 @@ is the byte-pair encoding of a text if and only if each neighbouring pair is tha
 and van der Merwe, "Formalizing BPE Tokenization", 2023). For every prefix one state then is left, so that
 composition takes time in proportion to the text.
 
-No piece of the model goes on past a word's end into U+2581, so the transducer is back in its first state
-there; paths of words are remembered in a table of at most CACHE entries, which is emptied when full and
-changes no result.
+Where two characters stand next to each other in no piece of the model, no arc spans them and the transducer
+is back in its first state. Texts are cut there, at blanks and line ends first, and the paths of words and of
+their parts are remembered in tables of at most CACHE entries, which are emptied when full and change no
+result.
 
 Cases: null text counts as empty; an empty text has no ids; a text's own U+2581 decodes to a blank, as in the
 original; rows without an id take no part; repeated rows stay; other columns are ignored; an empty table
@@ -28,6 +29,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -96,14 +98,19 @@ class Transducer:
                 self.out.append(piece.replace(SPACE, " ").encode())
             else:
                 self.out.append(b"")
-        self.longest = max(map(len, self.pieces))
         joins = any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         line = "" if any("\n" in p for p in self.pieces) else "\n"
         self.words = re.compile(".+", re.S) if joins else re.compile(f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + ("|\n" if line else ""))
+        #: Characters that are neighbours in a piece.
+        self.bonds = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        #: The arcs as a prefix tree: every prefix of a piece, with the piece's id if it is one and may be used.
+        self.tree: dict[str, int | None] = {p[:i]: None for p in self.pieces for i in range(1, len(p))}
         self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         #: Pieces that merging never makes can stand in no path.
         self.dead = {p for p in self.pieces if len(p) > 1 and self.merged(p) != [p]} if self.byte_pair else set()
+        self.tree |= {p: i for p, i in self.pieces.items() if p not in self.dead}
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair merging of a short text, literally: the pair of least weight first, the leftmost of equals."""
@@ -120,31 +127,39 @@ class Transducer:
         return parts
 
     def fit(self, a: str, b: str) -> bool:
-        """Whether the arc of b after a weighs 0 in a byte-pair model."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) >= CACHE:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.merged(a + b) == [a, b]
+        """Whether the arc of b after a weighs 0 in a byte-pair model; remembered."""
+        if len(self.pairs) >= CACHE:
+            self.pairs.clear()
+        whole = a + b
+        found = self.pairs[a, b] = (whole not in self.pieces or whole in self.dead) and self.merged(whole) == [a, b]
         return found
 
     def shortest(self, word: str) -> list[str]:
         """The outputs of the least path through the lattice of one word. A state is (place, last piece)."""
-        n, pieces, dead = len(word), self.pieces, self.dead
+        n, tree, pairs = len(word), self.tree, self.pairs
         weight: list[float] = [0.0] + [math.inf] * n
         back: list[str] = [""] * (n + 1)
         for i in range(n):
             if weight[i] == math.inf:
                 continue
             last = back[i]
-            for j in range(i + 1, min(n, i + self.longest) + 1):
+            for j in range(i + 1, n + 1):
                 p = word[i:j]
-                k = pieces.get(p)
-                if k is None and j > i + 1 or p in dead:
-                    continue
+                if p in tree:
+                    k = tree[p]
+                    if k is None and j > i + 1:
+                        continue
+                elif j > i + 1:
+                    break
+                else:
+                    k = None
                 if self.byte_pair:
-                    if weight[j] == math.inf and (not last or self.fit(last, p)):
-                        weight[j], back[j] = 0.0, p
+                    if weight[j] == math.inf:
+                        fits = not last or pairs.get((last, p))
+                        if fits is None:
+                            fits = self.fit(last, p)
+                        if fits:
+                            weight[j], back[j] = 0.0, p
                 else:
                     w = weight[i] + (BYTE_WEIGHT * len(p.encode()) if k is None else self.weights[k])
                     if w < weight[j]:
@@ -155,14 +170,23 @@ class Transducer:
             n -= len(back[n])
         return out[::-1]
 
-    def word_ids(self, word: str) -> bytes:
+    def part_ids(self, part: str) -> bytes:
         ids: list[int] = []
-        for p in self.shortest(word):
+        for p in self.shortest(part):
             k = self.pieces.get(p)
             ids += [self.bytes[b] for b in p.encode()] if k is None else [k]
+        if len(self.parts) >= CACHE:
+            self.parts.clear()
+        found = self.parts[part] = np.array(ids, "<u4").tobytes()
+        return found
+
+    def word_ids(self, word: str) -> bytes:
+        cuts = [0, *(i + 1 for i in range(len(word) - 1) if word[i : i + 2] not in self.bonds), len(word)]
+        get, find = self.parts.get, self.part_ids
+        found = b"".join([get(p) or find(p) for p in (word[i:j] for i, j in pairwise(cuts))])
         if len(self.cache) >= CACHE:
             self.cache.clear()
-        found = self.cache[word] = np.array(ids, "<u4").tobytes()
+        self.cache[word] = found
         return found
 
     def normalised(self, text: str) -> str:
