@@ -80,7 +80,7 @@ _CUT = A.Slice(SLICE.start, SLICE.end, SLICE.year_ago, category="__none__", chan
 simple("flt10_slice", lambda t: A.base(t, _CUT).select("id", "amount_paise", "occurred_at"), f"SELECT {IDS} FROM ledger WHERE {ALIVE} AND duplicate_of_id IS NULL AND occurred_at BETWEEN {SLICE.year_ago} AND {SLICE.end} AND coalesce(category_id, '__none__') = '__none__' AND coalesce(channel, 'Other') = 'Other'")
 simple("flt11_analytics_base", lambda t: A.base(t, SLICE), f"SELECT id, user_id, occurred_at, amount_paise, direction, category_id, channel, merchant_normalized, merchant FROM ledger WHERE {ALIVE} AND duplicate_of_id IS NULL AND occurred_at BETWEEN {SLICE.year_ago} AND {SLICE.end}")
 simple("flt12_baseline", lambda t: L.after_baseline(t.withColumn("occurred_at", F.col("occurred_at") + 725 * DAY)).select("id", "occurred_at"), f"SELECT id, occurred_at + {725 * DAY} AS occurred_at FROM ledger WHERE occurred_at + {725 * DAY} >= {S.BASELINE_MS}")
-simple("flt13_in_list", lambda t: t.filter(F.col("id").isin(list(range(0, 500, 7)))).select("id"), "SELECT id FROM ledger WHERE id IN (SELECT range FROM range(0, 500, 7))")
+simple("flt13_in_list", lambda t: t.filter(F.col("category_id").isin("click", "signup")).select("id"), "SELECT id FROM ledger WHERE category_id IN ('click', 'signup')")
 simple("prj3_derived_flag", lambda t: t.select("id", F.col("gmail_message_id").isNotNull().alias("has_message")), "SELECT id, gmail_message_id IS NOT NULL AS has_message FROM ledger")
 simple("prj4_rate", lambda t: L.rate(t, window_ms=3_600_000).select("id", "recent"), "SELECT id, count(*) OVER (PARTITION BY user_id ORDER BY created_at RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW) AS recent FROM ledger")
 
@@ -159,14 +159,14 @@ query("set_ops_domains", "SELECT DISTINCT o_orderpriority AS d FROM orders UNION
 # Sinks and changes
 
 query("snk4_export", over(B.LEDGER, f"SELECT l.id, strftime(make_timestamp_ms(occurred_at + 19800000), '%Y-%m-%d') AS date, strftime(make_timestamp_ms(occurred_at + 19800000), '%H:%M:%S') AS time, coalesce(channel, '') AS channel, coalesce(merchant, upi_id, '') AS party, amount_paise / 100 AS amount, CASE WHEN direction = 'debit' THEN 'Debit' ELSE 'Credit' END AS direction, coalesce(c.name, '') AS category, coalesce(notes, '') AS notes FROM ledger l LEFT JOIN categories c ON l.category_id = c.id WHERE {COUNTED}"))(lambda spark, d: L.export(B.ledger(spark, d), B.categories(spark)))
-simple("snk1_ded3_str5_insert_new", lambda t: L.insert_new(t.filter("id % 8 = 0"), t.filter("id % 8 <> 0")).select("id", "gmail_message_id"), "SELECT id, gmail_message_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, gmail_message_id ORDER BY created_at, id) AS rn FROM ledger WHERE id % 8 <> 0) n WHERE gmail_message_id IS NULL OR rn = 1 AND NOT EXISTS (SELECT 1 FROM ledger o WHERE o.id % 8 = 0 AND o.user_id = n.user_id AND o.gmail_message_id = n.gmail_message_id)")
-query("snk2_agg7_add_counters", "SELECT event_type AS provider, count(*) AS total_count, count(*) FILTER (event_id % 3 = 0) AS merchant_hits FROM events GROUP BY 1")(
-    lambda spark, d: (lambda t: L.add_counters(t.filter("event_id % 2 = 0").drop("event_id").groupBy("provider").agg(F.sum("total_count").alias("total_count"), F.sum("merchant_hits").alias("merchant_hits")), t.filter("event_id % 2 = 1").drop("event_id"), "provider"))(B.read(spark, d, "events").select("event_id", F.col("event_type").alias("provider"), F.lit(1).cast("long").alias("total_count"), (F.col("event_id") % 3 == 0).cast("long").alias("merchant_hits")))
+simple("snk1_ded3_str5_insert_new", lambda t: L.insert_new(t.filter("direction = 'credit'"), t).select("id", "gmail_message_id"), "SELECT id, gmail_message_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, gmail_message_id ORDER BY created_at, id) AS rn FROM ledger) n WHERE gmail_message_id IS NULL OR rn = 1 AND NOT EXISTS (SELECT 1 FROM ledger o WHERE o.direction = 'credit' AND o.user_id = n.user_id AND o.gmail_message_id = n.gmail_message_id)")
+query("snk2_agg7_add_counters", "SELECT event_type AS provider, 2 * count(*) AS total_count, 2 * count(*) FILTER (event_id % 3 = 0) AS merchant_hits FROM events GROUP BY 1")(
+    lambda spark, d: (lambda t: L.add_counters(t.groupBy("provider").agg(F.sum("total_count").alias("total_count"), F.sum("merchant_hits").alias("merchant_hits")), t, "provider"))(B.read(spark, d, "events").select(F.col("event_type").alias("provider"), F.lit(1).cast("long").alias("total_count"), (F.col("event_id") % 3 == 0).cast("long").alias("merchant_hits")))
 )
-query("snk3_upsert_latest", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")(
-    lambda spark, d: (lambda t: L.upsert_latest(t.filter("event_id < 500"), t.filter("event_id >= 500"), ["user_id"], "event_id"))(B.read(spark, d, "events").select("user_id", "event_id", "event_type"))
+query("snk3_upsert_latest", "SELECT user_id, ts_ms, event_type FROM (SELECT user_id, epoch_us(ts) // 1000 + 5 AS ts_ms, event_type || '!' AS event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events) WHERE rn = 1")(
+    lambda spark, d: (lambda t: L.upsert_latest(t, t.withColumns({"ts_ms": F.col("ts_ms") + 5, "event_type": F.concat("event_type", F.lit("!"))}), ["user_id"], "ts_ms"))(B.read(spark, d, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "event_type"))
 )
-simple("snk5_ded4_patch", lambda t: L.patch(t, t.filter("id % 6 = 0").select("id", F.create_map(F.lit("duplicate_of_id"), F.lit(None).cast("string"), F.lit("notes"), F.concat(F.lit("n"), F.col("id").cast("string"))).alias("set"))).select("id", "notes", "duplicate_of_id", "category_id"), "SELECT id, CASE WHEN id % 6 = 0 THEN 'n' || id ELSE notes END AS notes, CASE WHEN id % 6 <> 0 THEN duplicate_of_id END AS duplicate_of_id, category_id FROM ledger")
+simple("snk5_ded4_patch", lambda t: L.patch(t, t.filter("direction = 'credit'").select("id", F.create_map(F.lit("duplicate_of_id"), F.lit(None).cast("string"), F.lit("notes"), F.concat(F.lit("n"), F.col("id").cast("string"))).alias("set"))).select("id", "notes", "duplicate_of_id", "category_id"), "SELECT id, CASE WHEN direction = 'credit' THEN 'n' || id ELSE notes END AS notes, CASE WHEN direction <> 'credit' THEN duplicate_of_id END AS duplicate_of_id, category_id FROM ledger")
 simple("snk5_delete_category", lambda t: L.delete_category(t, "error").select("id", "category_id"), "SELECT id, nullif(category_id, 'error') AS category_id FROM ledger")
 simple("snk8_without_tenant", lambda t: L.without_tenant(t, 4).select("id", "user_id"), "SELECT id, user_id FROM ledger WHERE user_id <> 4")
 
@@ -289,7 +289,7 @@ query(
     ).select("id", "category_id", "category_source")
 )
 simple("cat7_apply_rule", lambda t: CAT.apply_rule(t, 3, "Shop 4", "food").select("id", "category_id"), f"SELECT id, CASE WHEN user_id = 3 AND category_id IS NULL AND {ALIVE} AND contains(lower(concat_ws(' ', merchant, merchant_normalized, upi_id, email_subject)), 'shop 4') THEN 'food' ELSE category_id END AS category_id FROM ledger")
-query("cat8_default_categories", "SELECT c_custkey AS user_id, name, color FROM customer, (VALUES " + ", ".join(f"('{n}', '{c}')" for n, c in RC.DEFAULT_CATEGORIES) + ") v(name, color) WHERE c_custkey % 3 <> 0")(lambda spark, d: (lambda u: CAT.default_categories(u, u.filter("user_id % 3 = 0")))(B.read(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))))
+query("cat8_default_categories", "SELECT c_custkey AS user_id, name, color FROM customer, (VALUES " + ", ".join(f"('{n}', '{c}')" for n, c in RC.DEFAULT_CATEGORIES) + ") v(name, color) WHERE c_nationkey <> 3")(lambda spark, d: (lambda u: CAT.default_categories(u.select("user_id"), u.filter("c_nationkey = 3")))(B.read(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_nationkey")))
 
 # Matching and duplicates
 
@@ -310,7 +310,7 @@ matching("mat2_win3_auto_match", lambda e, t: M.auto_match(e, t), f"SELECT event
 matching("mat5_src14_outcome", M.outcome, f"SELECT e.id AS event_id, CASE WHEN txn_id IS NOT NULL THEN 'matched' WHEN n IS NOT NULL THEN 'pending' ELSE 'queued' END AS status, coalesce(n, 0) AS candidates, txn_id FROM logged e LEFT JOIN ({_AUTO}) a ON a.event_id = e.id")
 matching("mat3_resolve_pending", lambda e, t: M.resolve_pending(t, e), None)
 matching("mat4_apply", lambda e, t: M.apply_matches(t, e, M.auto_match(e, t).dropDuplicates(["txn_id"]))[1].select("id", "user_id"), None)
-matching("mat6_decide", lambda e, t: M.decide(e, e.filter("id % 2 = 0").select(F.col("id").alias("event_id"), F.when(F.col("id") % 4 == 0, F.col("id") - 1_000_000_000).alias("txn_id"))).select("id", "status", "matched_transaction_id"), "SELECT id, CASE WHEN status <> 'pending' OR id % 2 <> 0 THEN status WHEN id % 4 = 0 THEN 'resolved' ELSE 'dismissed' END AS status, CASE WHEN status = 'pending' AND id % 4 = 0 THEN id - 1000000000 END AS matched_transaction_id FROM logged")
+matching("mat6_decide", lambda e, t: M.decide(e, e.select(F.col("id").alias("event_id"), F.when(F.col("direction") == "debit", F.col("id") - 1_000_000_000).alias("txn_id"))).select("id", "status", "matched_transaction_id"), "SELECT id, CASE WHEN status <> 'pending' THEN status WHEN direction = 'debit' THEN 'resolved' ELSE 'dismissed' END AS status, CASE WHEN status = 'pending' AND direction = 'debit' THEN id - 1000000000 END AS matched_transaction_id FROM logged")
 simple("ded3_first_by_key", lambda t: D.first_by_key(t).select("id"), "SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, gmail_message_id ORDER BY created_at, id) AS rn FROM ledger) WHERE gmail_message_id IS NULL OR rn = 1")
 query("ded1_flag_duplicates")(lambda spark, d: D.flag_duplicates(B.ledger(spark, d)))
 
@@ -318,8 +318,8 @@ query("ded1_flag_duplicates")(lambda spark, d: D.flag_duplicates(B.ledger(spark,
 @query("ded2_statement_duplicates")
 def ded2(spark: SparkSession, d: str) -> DataFrame:
     t = B.ledger(spark, d)
-    rows = t.filter("id % 2 = 0").select("user_id", F.col("id").alias("row_index"), "amount_paise", "direction", "reference_number", "occurred_at")
-    return D.statement_duplicates(rows, ST.numbered(t.filter("id % 2 = 1 OR id % 5 = 0")))
+    rows = t.select("user_id", F.col("id").alias("row_index"), "amount_paise", "direction", "reference_number", (F.col("occurred_at") + 3 * 3_600_000).alias("occurred_at"))
+    return D.statement_duplicates(rows, ST.numbered(t))
 
 
 def _statement_rows(spark: SparkSession, d: str) -> DataFrame:

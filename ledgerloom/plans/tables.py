@@ -105,8 +105,8 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shortcut_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
-    """Logged expenses from every third event: near its transaction by up to some hours."""
-    t = ledger(spark, sf_dir, events).filter("id % 3 = 0")
+    """A logged expense for every event: near its transaction by up to some hours."""
+    t = ledger(spark, sf_dir, events)
     return t.select(
         (F.col("id") + 1_000_000_000).alias("id"),
         "user_id",
@@ -126,7 +126,7 @@ logged AS (
   SELECT id + 1000000000 AS id, user_id, amount_paise, direction, 'rent' AS category_id, 'logged ' || id AS notes,
     CASE WHEN id % 9 = 0 THEN 'resolved' ELSE 'pending' END AS status,
     CASE WHEN id % 2 = 0 THEN occurred_at + (id % 50) * 60000 END AS occurred_at, occurred_at + (id % 7) * 3600000 AS created_at
-  FROM ledger WHERE id % 3 = 0
+  FROM ledger
 )
 """
 
