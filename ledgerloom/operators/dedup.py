@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -43,15 +45,19 @@ class Canonicals:
             self.by_reference.setdefault(reference, nth)
 
 
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["created_at", "id"], kind="stable")
-    seen, out = Canonicals(), []
-    for id_, created, amount, direction, ref, at, precise, deleted in zip(rows.id, rows.created_at, rows.amount_paise, rows.direction, rows.reference_number, rows.occurred_at, rows.occurred_at_precise, rows.deleted, strict=True):
-        twin = seen.twin(amount, direction, ref, at, precise)
-        out.append(twin)
-        if twin is None and not deleted:
-            seen.add(amount, direction, ref, at, precise, (created, id_))
-    return pd.DataFrame({"id": rows.id, "duplicate_of_id": pd.array(out, "Int64")})
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come part by part, each in ingest order; what is held is one part's canonical rows."""
+    part, seen = None, Canonicals()
+    for rows in batches:
+        out = []
+        for p, id_, created, amount, direction, ref, at, precise, deleted in zip(rows.part, rows.id, rows.created_at, rows.amount_paise, rows.direction, rows.reference_number, rows.occurred_at, rows.occurred_at_precise, rows.deleted, strict=True):
+            if p != part:
+                part, seen = p, Canonicals()
+            twin = seen.twin(amount, direction, ref, at, precise)
+            out.append(twin)
+            if twin is None and not deleted:
+                seen.add(amount, direction, ref, at, precise, (created, id_))
+        yield pd.DataFrame({"id": rows.id, "duplicate_of_id": pd.array(out, "Int64")})
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -100,7 +106,7 @@ def flag_duplicates(txns: DataFrame) -> DataFrame:
     """
     rows = txns.select("id", "user_id", "created_at", "amount_paise", "direction", "reference_number", "occurred_at", "occurred_at_precise", F.col("deleted_at").isNotNull().alias("deleted"))
     kind = dict(txns.dtypes)["id"]
-    return _groups(rows).groupBy("part").applyInPandas(_fold, f"id {kind}, duplicate_of_id {kind}")
+    return _groups(rows).repartition("part").sortWithinPartitions("part", "created_at", "id").mapInPandas(_fold, f"id {kind}, duplicate_of_id {kind}")
 
 
 def first_by_key(txns: DataFrame, keys: tuple[str, ...] = ("user_id", "gmail_message_id")) -> DataFrame:
@@ -113,22 +119,35 @@ def first_by_key(txns: DataFrame, keys: tuple[str, ...] = ("user_id", "gmail_mes
 # Statements
 
 
-def _pair(rows: pd.DataFrame, existing: pd.DataFrame) -> pd.DataFrame:
+def _nearest(free: list[tuple], rows: list[tuple]) -> Iterator[tuple]:
     """Greedy and one-to-one: rows by their first best distance, each takes the nearest that is left."""
-    free = sorted(zip(existing.t_at, existing.nth, existing.id, strict=True))
+    free = sorted(free)
     times = [t for t, _, _ in free]
 
     def near(at):
         return free[bisect_left(times, at - STATEMENT_MS) : bisect_left(times, at + STATEMENT_MS + 1)]
 
-    waiting = [(min(abs(t - at) for t, _, _ in c), i, at) for i, at in zip(rows.row_index, rows.occurred_at, strict=True) if (c := near(at))]
-    used, out = set(), []
-    for _, i, at in sorted(waiting):
+    used = set()
+    for _, i, at in sorted((min(abs(t - at) for t, _, _ in c), i, at) for i, at in rows if (c := near(at))):
         left = [(abs(t - at), nth, id_) for t, nth, id_ in near(at) if id_ not in used]
         if left:
             used.add(min(left)[2])
-            out.append((rows.user_id.iloc[0], i, min(left)[2]))
-    return pd.DataFrame(out, columns=["user_id", "row_index", "existing_id"])
+            yield i, min(left)[2]
+
+
+def _pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Transactions and statement rows come amount by amount."""
+    key, free, rows = None, [], []
+    for batch in chain(batches, [None]):
+        out = []
+        for new in [None] if batch is None else zip(batch.user_id, batch.amount_paise, batch.direction, batch.is_row, batch.id, batch.occurred_at, batch.nth, strict=True):
+            if new is None or new[:3] != key:
+                out += [(key[0], i, id_) for i, id_ in _nearest(free, rows)] if free and rows else []
+                key, free, rows = new and new[:3], [], []
+            if new:
+                _, _, _, is_row, id_, at, nth = new
+                rows.append((id_, at)) if is_row else free.append((at, nth, id_))
+        yield pd.DataFrame(out, columns=["user_id", "row_index", "existing_id"])
 
 
 def statement_duplicates(rows: DataFrame, existing: DataFrame) -> DataFrame:
@@ -144,9 +163,9 @@ def statement_duplicates(rows: DataFrame, existing: DataFrame) -> DataFrame:
     right = ref(existing).filter("_ref IS NOT NULL").withColumn("_n", nth("nth")).select("user_id", "_ref", "_n", F.col("id").alias("existing_id"))
     first = written(left.join(right, ["user_id", "_ref", "_n"]).select("user_id", "row_index", "existing_id"))
     key = ["user_id", "amount_paise", "direction"]
-    rest = rows.join(first, ["user_id", "row_index"], "left_anti").select(*key, "row_index", "occurred_at")
-    free = existing.join(first.select("user_id", F.col("existing_id").alias("id")), ["user_id", "id"], "left_anti").select(*key, "id", "occurred_at", "nth")
+    rest = rows.join(first, ["user_id", "row_index"], "left_anti").select(*key, F.lit(True).alias("is_row"), F.col("row_index").alias("id"), "occurred_at", F.lit(0).alias("nth"))
+    free = existing.join(first.select("user_id", F.col("existing_id").alias("id")), ["user_id", "id"], "left_anti").select(*key, F.lit(False).alias("is_row"), "id", "occurred_at", "nth")
     types = dict(first.dtypes)
     schema = f"user_id {types['user_id']}, row_index {types['row_index']}, existing_id {types['existing_id']}"
-    free = free.select(*[F.col(c).alias(f"t_{c}") for c in key], "id", F.col("occurred_at").alias("t_at"), "nth")
-    return first.unionByName(rest.groupBy(*key).cogroup(free.groupBy(*[f"t_{c}" for c in key])).applyInPandas(_pair, schema))
+    both = rest.unionByName(free).repartition(*key).sortWithinPartitions(*key)
+    return first.unionByName(both.mapInPandas(_pair, schema))

@@ -6,6 +6,8 @@ spread over many keys; the exact distance is then tested.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,18 +77,26 @@ def decide(events: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.withColumns({"matched_transaction_id": F.when(hit & F.col("_t").isNotNull(), F.col("_t")).otherwise(F.col("matched_transaction_id")), "status": F.when(hit, F.when(F.col("_t").isNotNull(), "resolved").otherwise("dismissed")).otherwise(F.col("status"))}).select(events.columns)
 
 
-def _resolve(txns: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
-    """Transactions in ingest order; each may close one pending event, which is then gone."""
-    pool = [(at, i) for at, i in zip(events["at"], events["id"], strict=True)]
-    out = []
-    for id_, at in txns.sort_values(["created_at", "id"])[["id", "occurred_at"]].itertuples(index=False):
-        near = [(abs(t - at), i, t) for t, i in pool if abs(t - at) <= WINDOW_MS]
-        close = [x for x in near if x[0] <= AUTO_MS]
-        chosen = near[0] if len(near) == 1 else close[0] if len(close) == 1 else None
-        if chosen:
-            out.append((id_, chosen[1]))
-            pool.remove((chosen[2], chosen[1]))
-    return pd.DataFrame(out, columns=["txn_id", "event_id"])
+def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Stretches come one by one, their pending events first, then their transactions in ingest order; each of these
+    may close one event, which is then gone."""
+    key, pool = None, []
+    for rows in batches:
+        out = []
+        for new in zip(rows.user_id, rows.amount_paise, rows.direction, rows.run, rows.is_txn, rows.id, rows["at"], strict=True):
+            if new[:4] != key:
+                key, pool = new[:4], []
+            is_txn, id_, at = new[4:]
+            if not is_txn:
+                pool.append((at, id_))
+                continue
+            near = [x for x in pool if abs(x[0] - at) <= WINDOW_MS]
+            close = [x for x in near if abs(x[0] - at) <= AUTO_MS]
+            chosen = near[0] if len(near) == 1 else close[0] if len(close) == 1 else None
+            if chosen:
+                out.append((id_, chosen[1]))
+                pool.remove(chosen)
+        yield pd.DataFrame(out, columns=["txn_id", "event_id"])
 
 
 def resolve_pending(txns: DataFrame, events: DataFrame) -> DataFrame:
@@ -96,15 +106,13 @@ def resolve_pending(txns: DataFrame, events: DataFrame) -> DataFrame:
     as it comes without a pause.
     """
     key = ["user_id", "amount_paise", "direction"]
-    left = txns.select(*key, "id", "created_at", "occurred_at")
-    right = events.filter("status = 'pending'").select(*key, "id", logged_at().alias("at"))
-    bucket = lambda c: F.floor(c / WINDOW_MS).alias("bucket")
-    spans = left.select(*key, bucket(F.col("occurred_at")), F.col("occurred_at").alias("t")).unionByName(right.select(*key, bucket(F.col("at")), F.col("at").alias("t"))).groupBy(*key, "bucket").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    left = txns.select(*key, F.lit(True).alias("is_txn"), "id", F.col("occurred_at").alias("at"), "created_at")
+    right = events.filter("status = 'pending'").select(*key, F.lit(False).alias("is_txn"), "id", logged_at().alias("at"), "created_at")
+    both = left.unionByName(right).withColumn("bucket", F.floor(F.col("at") / WINDOW_MS))
     line = Window.partitionBy(*key).orderBy("bucket")
     gap = F.coalesce(F.col("lo") - F.lag("hi").over(line) > WINDOW_MS, F.lit(True)).cast("int")
-    spans = spans.select(*key, "bucket", gap.alias("gap")).withColumn("run", F.sum("gap").over(line)).drop("gap")
-    left = left.withColumn("bucket", F.floor(F.col("occurred_at") / WINDOW_MS)).join(spans, [*key, "bucket"])
-    right = right.withColumn("bucket", F.floor(F.col("at") / WINDOW_MS)).join(spans, [*key, "bucket"])
+    spans = both.groupBy(*key, "bucket").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).select(*key, "bucket", gap.alias("gap"))
+    spans = spans.withColumn("run", F.sum("gap").over(line)).drop("gap")
     types = f"txn_id {dict(txns.dtypes)['id']}, event_id {dict(events.dtypes)['id']}"
-    right = right.select(*[F.col(c).alias(f"e_{c}") for c in [*key, "run"]], "id", "at")
-    return left.groupBy(*key, "run").cogroup(right.groupBy(*[f"e_{c}" for c in [*key, "run"]])).applyInPandas(_resolve, types)
+    order = [*key, "run"]
+    return both.join(spans, [*key, "bucket"]).repartition(*order).sortWithinPartitions(*order, "is_txn", "created_at", "id").mapInPandas(_resolve, types)
