@@ -183,7 +183,8 @@ def snk7_seal(spark: SparkSession, d: str) -> DataFrame:
 
 def messages_query(name: str, sql: str | None, *columns: str) -> Callable:
     def add(f):
-        query(name, over(B.MESSAGES, sql) if sql else None)(lambda spark, d: f(B.messages(spark, d)))
+        # A message is far cheaper to move than to parse, so messages of one file are spread over all cores first
+        query(name, over(B.MESSAGES, sql) if sql else None)(lambda spark, d: f(B.messages(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))))
         return f
 
     return add
