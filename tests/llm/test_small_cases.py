@@ -173,6 +173,29 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(30)) and kept.columns == ["doc_id", "text"]
 
 
+def test_keep_one_is_exact(spark):
+    """Pairs just above and below a likeness of 0.8, short texts, and a passage that one copy repeats."""
+    rng = np.random.default_rng(5)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    rows = []
+    for i in range(240):
+        base = fresh(9 if i % 4 == 0 else int(rng.integers(10, 300)))
+        if i % 4 == 0:
+            other = base[:-1] if i % 8 else base[:-2]  # 4 of 5 shingles, or 3
+        elif i % 4 == 1:
+            other = base + base[:8] * 20  # few shingles more, counted often
+        else:
+            shingles, other = len(base) - 4, list(base)
+            cut = max(1, round(shingles * rng.uniform(0.1, 0.13)))
+            other[-cut:] = fresh(cut)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    likeness = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 480, 2)]
+    assert sum(0.75 < x < 0.8 for x in likeness) > 20 and sum(0.8 <= x < 0.85 for x in likeness) > 40
+    kept = simhash_tiles.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == set(range(0, 480, 2)) | {2 * i + 1 for i, x in enumerate(likeness) if x < 0.8}
+
+
 def test_html_blocks():
     main = tag_path_html.main_text
     assert main(None) == main("") == main("  \n") == main("<p></p><script>x</script>") == ""
