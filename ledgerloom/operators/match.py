@@ -61,8 +61,11 @@ def pending_with_candidates(events: DataFrame, txns: DataFrame) -> DataFrame:
 
 
 def apply_matches(txns: DataFrame, events: DataFrame, matches: DataFrame, status: str = "matched") -> tuple[DataFrame, DataFrame]:
-    """New versions of both tables: the transaction gets category and notes, the event is closed."""
-    told = matches.join(events.select(F.col("id").alias("event_id"), F.col("category_id").alias("_c"), F.col("notes").alias("_n")), "event_id").select(F.col("txn_id").alias("id"), "_c", "_n", F.lit(True).alias("_hit"))
+    """New versions of both tables: the transaction gets category and notes, the event is closed. Events of one
+    transaction are applied by creation, then id: the last one's category stays, and the last notes that there are."""
+    own = events.select(F.col("id").alias("event_id"), F.col("category_id").alias("_c"), F.col("notes").alias("_n"), F.struct("created_at", "id").alias("_at"))
+    last = [F.max_by("_c", "_at").alias("_c"), F.max_by("_n", F.when(F.col("_n").isNotNull(), F.col("_at"))).alias("_n")]
+    told = matches.join(own, "event_id").groupBy(F.col("txn_id").alias("id")).agg(*last).withColumn("_hit", F.lit(True))
     new = txns.join(told, "id", "left").withColumns({"category_id": F.when(F.col("_hit"), F.col("_c")).otherwise(F.col("category_id")), "notes": F.coalesce("_n", "notes")}).select(txns.columns)
     closed = matches.select(F.col("event_id").alias("id"), F.col("txn_id").alias("_t"))
     done = events.join(closed, "id", "left").withColumns({"status": F.when(F.col("_t").isNotNull(), status).otherwise(F.col("status")), "matched_transaction_id": F.coalesce("_t", "matched_transaction_id")})

@@ -310,7 +310,17 @@ _AUTO = f"SELECT event_id, CASE WHEN count(*) = 1 THEN min(txn_id) WHEN count(*)
 matching("mat2_win3_auto_match", lambda e, t: M.auto_match(e, t), f"SELECT event_id, txn_id FROM ({_AUTO}) WHERE txn_id IS NOT NULL")
 matching("mat5_src14_outcome", M.outcome, f"SELECT e.id AS event_id, CASE WHEN txn_id IS NOT NULL THEN 'matched' WHEN n IS NOT NULL THEN 'pending' ELSE 'queued' END AS status, coalesce(n, 0) AS candidates, txn_id FROM logged e LEFT JOIN ({_AUTO}) a ON a.event_id = e.id")
 matching("mat3_resolve_pending", lambda e, t: M.resolve_pending(t, e), None)
-matching("mat4_apply", lambda e, t: M.apply_matches(t, e, M.auto_match(e, t).dropDuplicates(["txn_id"]))[1].select("id", "user_id"), None)
+_APPLIED = ["id", "user_id", "category_id", "notes"]
+
+
+def _applied(e: DataFrame, t: DataFrame) -> DataFrame:
+    """All events and all transactions after the pending events that have a match are applied."""
+    txns, events = M.apply_matches(t, e, M.auto_match(e.filter("status = 'pending'"), t))
+    closed = events.select(F.lit("event").alias("kind"), *_APPLIED, "status", "matched_transaction_id")
+    return closed.unionByName(txns.select(F.lit("transaction").alias("kind"), *_APPLIED), allowMissingColumns=True)
+
+
+matching("mat4_apply", _applied, None)
 matching("mat6_decide", lambda e, t: M.decide(e, e.select(F.col("id").alias("event_id"), F.when(F.col("direction") == "debit", F.col("id") - 1_000_000_000).alias("txn_id"))).select("id", "status", "matched_transaction_id"), "SELECT id, CASE WHEN status <> 'pending' THEN status WHEN direction = 'debit' THEN 'resolved' ELSE 'dismissed' END AS status, CASE WHEN status = 'pending' AND direction = 'debit' THEN id - 1000000000 END AS matched_transaction_id FROM logged")
 simple("ded3_first_by_key", lambda t: D.first_by_key(t).select("id"), "SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, gmail_message_id ORDER BY created_at, id) AS rn FROM ledger) WHERE gmail_message_id IS NULL OR rn = 1")
 query("ded1_flag_duplicates")(lambda spark, d: D.flag_duplicates(B.ledger(spark, d)))

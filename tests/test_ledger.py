@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars
 from ledgerloom.operators import analytics, dedup, ledger, match, statement
+from ledgerloom.plans.queries import QUERIES
 from ledgerloom.sources import files
 from ledgerloom.streaming import state
 
@@ -96,6 +97,27 @@ def test_auto_match(spark, times, want):
         assert new.filter(f"id = {want}").first().category_id == "c" and done.first().status == "matched"
 
 
+def test_apply_closes_every_event_of_a_transaction(spark):
+    txns = spark.createDataFrame([(1, 1, 1, 100, "debit", None, T0, True, None, None, "old")], TXN + ", category_id string, notes string")
+    events = [(7, 1, 100, "debit", "late", None, "pending", None, None, T0 + 5), (8, 1, 100, "debit", "early", "n", "pending", None, None, T0 + 1), (9, 1, 100, "debit", "late too", None, "pending", None, None, T0 + 5)]
+    table = spark.createDataFrame(events, EVENTS)
+    new, done = match.apply_matches(txns, table, match.auto_match(table, txns))
+    assert [(r.category_id, r.notes) for r in new.collect()] == [("late too", "n")]
+    assert {(r.id, r.status, r.matched_transaction_id) for r in done.collect()} == {(i, "matched", 1) for i in (7, 8, 9)}
+
+
+def test_mat4_gives_what_is_applied(spark, sf):
+    got = QUERIES["mat4_apply"](spark, sf).toPandas()
+    events, txns = got[got.kind == "event"], got[got.kind == "transaction"]
+    assert len(events) == len(txns) and events.id.is_unique and txns.id.is_unique
+    assert set(events.status) == {"pending", "resolved", "matched"}
+    assert set(events[events.id % 9 == 1_000_000_000 % 9].status) == {"resolved"}
+    matched = events[events.status == "matched"]
+    assert events.matched_transaction_id.notna().sum() == len(matched)
+    touched = txns[txns.id.isin(matched.matched_transaction_id)]
+    assert len(touched) and set(touched.category_id) == {"rent"} and touched.notes.str.startswith("logged ").all()
+
+
 def test_candidates_order(spark):
     rows = [(1, T0 + H, "x", None), (2, T0 - H, None, None), (3, T0, "x", 5), (4, T0 + 2 * H, None, None)]
     txns = spark.createDataFrame([(i, 1, 1, 100, "debit", None, at, True, gone, cat) for i, at, cat, gone in rows], TXN + ", category_id string")
