@@ -34,7 +34,9 @@ LABELS = ("none", *KINDS)
 #: Documents aimed at for fitting, by a hash of their id; the bound is twice that.
 TRAIN_ROWS = 2000
 #: Rounds of message passing, and marginal from which a word becomes a span.
-ROUNDS, CERTAIN = 8, 0.9
+CERTAIN = 0.9
+#: Message passing ends when no message changes by this; damping halves what is left, and FREE rounds are allowed beyond the number of words.
+SETTLED, FREE = 1e-3, 50
 #: Pairs of repeats with one label that are counted in advance for each label.
 AGREE = 20
 #: Digits at their ends that link two words; each word is linked to the last such word before it.
@@ -133,15 +135,27 @@ def chain_edges(spots: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(i, i + 1) for i, (a, b) in enumerate(pairwise(spots)) if b[0] - a[1] <= 1]
 
 
-def skip_edges(text: str, spots: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Each word and the last one before it that is equal but for case and outer punctuation, ends in the same digits, or has the same local part."""
+def skip_edges(text: str, spots: list[tuple[int, int]], known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Each word and the last one before it that is equal but for case and outer punctuation, ends in the same digits, or has the same local part.
+
+    With known labels also each word and, for every label, the first word of the same key that has it, so that all
+    mentions are one step from the evidence, however many there are.
+    """
     out, last = [], {}
+    mentions: dict[str, list[int]] = {}
+    evidence: dict[str, dict[int, int]] = {}
     for i, (a, b) in enumerate(spots):
         word = text[a:b].strip(".,;:!?()[]{}<>\"'|*#%&$").lower()
         digits = _NOT_DIGIT.sub("", word)
         keys = [word, *([digits[-SAME_DIGITS:]] if len(digits) >= SAME_DIGITS else []), *([word.partition("@")[0] + "@"] if "@" in word[1:] else [])]
         out += {(last[k], i) for k in keys if k in last}
         last |= dict.fromkeys(keys, i)
+        for k in keys if known else ():
+            mentions.setdefault(k, []).append(i)
+            if known[i]:
+                evidence.setdefault(k, {}).setdefault(known[i], i)
+    for k, firsts in evidence.items():
+        out += [(min(i, j), max(i, j)) for j in firsts.values() for i in mentions[k] if not known[i]]
     return sorted(set(out) - set(chain_edges(spots)))
 
 
@@ -166,11 +180,14 @@ class Field:
         pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
         back = np.roll(np.arange(len(source)), len(edges))
         message = np.zeros((len(source), len(LABELS)))
-        for _ in range(ROUNDS):
+        for _ in range(FREE + len(score)):
             belief = score.copy()
             np.add.at(belief, to, message)
             new = np.logaddexp.reduce((belief[source] - message[back])[:, :, None] + pair, axis=1)
-            message = 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
+            step = 0.5 * (new - new.max(axis=1, keepdims=True) - message)
+            message = message + step
+            if np.abs(step).max() < SETTLED:
+                break
         np.add.at(score, to, message)
         return _softmax(score)
 
@@ -243,7 +260,7 @@ def find(text: str, field: Field | None) -> tuple[list[Span], list[Span]]:
     if not spots:
         return base, base
     known = rule_labels(spots, base)
-    skips = skip_edges(text, spots)
+    skips = skip_edges(text, spots, known)
     if not any(known):  # without evidence the words stand alone, and the rules have decided on those
         return base, base
     marginal = field.marginals(described(text, spots), chain_edges(spots), skips, known)

@@ -248,6 +248,15 @@ def test_pii_field_adds_repeats(docs, none, spark):
     assert skip_chain_pii.redact(docs, None).filter("doc_id = 3").first().text is None
 
 
+def test_pii_field_reaches_far_mentions():
+    size = len(skip_chain_pii.LABELS)
+    field = skip_chain_pii.Field({}, np.eye(size)[0] * 0.5, np.zeros((size, size)), 5 * np.eye(size))
+    variants = " ".join(f"then the.65@mail{k} came" for k in range(7, 57))
+    for text in (f"mail the.65@mail7.example.com first {variants}", f"first {variants} mail the.65@mail7.example.com"):
+        base, spans = skip_chain_pii.find(text, field)
+        assert len(base) == 1 and len(spans) == 51
+
+
 def test_sentencepiece_equals_the_library(docs, none):
     import sentencepiece
 
