@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,8 @@ from . import common
 THRESHOLD, ENCLOSED = 0.1, 0.6
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[,.;:!?¡¿、。，]")
@@ -39,7 +40,7 @@ RAW = frozenset("script style noscript template textarea iframe svg math canvas
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose text is never of the article.
 BOILERPLATE = frozenset("head nav footer aside form button select menu dialog fieldset label option search".split())
-#: Words of class, id or role that mark such an element.
+#: Words of class or role that mark such an element, and whole ids outside an article; headings are never marked.
 MARKS = frozenset(
     "ad ads adsense advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary consent cookie cookies copyright dialog disqus "
     "footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pagination pager paywall popup promo promoted promotion related "
@@ -47,10 +48,24 @@ MARKS = frozenset(
 )
 ARTICLE = frozenset("article main".split())
 PAGE = ARTICLE | {"html", "body"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: End tags that an opening tag implies.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+@lru_cache(4096)  # pages share their templates
+def named(attributes: str) -> dict[str, str]:
+    """Attributes by name in lower case, the first of each."""
+    out: dict[str, str] = {}
+    for a in _ATTRIBUTE.finditer(attributes):
+        out.setdefault(a[1].lower(), (a[2] or a[3] or a[4] or "").strip().lower())
+    return out
+
+
+def unseen(own: dict[str, str]) -> bool:
+    return own.get("hidden", "false") != "false" or own.get("aria-hidden") == "true" or "hidden" in own.get("class", "").split() or bool(_UNSEEN.search(own.get("style", "")))
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
     """(path, text, whether boilerplate holds it) of every block of text, in page order."""
     out: list[tuple[tuple[str, ...], str, bool]] = []
@@ -105,9 +120,11 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
             if stack[i][0] in ("ul", "ol", "dl", "table", "select"):
                 break
         held, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        words = {w for a in _ATTRIBUTE.finditer(attributes) for w in _WORD.findall((a[1] or a[2] or a[3] or "").lower())}
-        marked = name in BOILERPLATE or name == "header" and not inside or bool(_HIDDEN.search(attributes)) or name not in PAGE and bool(words & MARKS)
-        stack.append((name, held or marked, inside or name in ARTICLE or "main" in words))
+        own = named(attributes) if attributes else {}
+        words = set(_WORD.findall(f"{own.get('class', '')} {own.get('role', '')}"))
+        marks = name not in PAGE and name not in HEADINGS and (bool(words & MARKS) or not inside and own.get("id") in MARKS)
+        marked = name in BOILERPLATE or name == "header" and not inside or unseen(own) or marks
+        stack.append((name, held or marked, inside or name in ARTICLE or "main" in words or own.get("id") == "main"))
     if not skip:
         text.append(page[at:])
     close_block()

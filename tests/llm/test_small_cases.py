@@ -208,6 +208,16 @@ def test_html_blocks():
     assert main("<nav>" + "menu, " * 500 + "</nav><article><p>Hi.</p></article>") == "Hi."
 
 
+def test_html_drops_nothing_else():
+    story = "<p>A first paragraph, long enough to be the story, with commas.</p>"
+    for tag, attributes in (("article", 'style="overflow:hidden"'), ("div", 'class="overflow-hidden"'), ("body", "style='overflow-x:hidden'"), ("div", 'data-title="not hidden"'), ("section", 'id="related-work"'), ("div", 'id="share-prices"')):
+        assert "A first paragraph" in tag_path_html.main_text(f"<html><{tag} {attributes}>{story}</{tag}></html>"), attributes
+    page = f'<article>{story}<h2 id="share-prices">Share prices</h2>{story}<section id="search"><h2 id="search">Search</h2>{story}</section></article>'
+    assert {"Share prices", "Search"} < set(tag_path_html.main_text(page).split("\n"))
+    for attributes in ("hidden", 'hidden=""', "HIDDEN id=x", 'class="big hidden"', 'aria-hidden="true"', 'style="display: none"', 'style="visibility:hidden"', 'class="ad"', 'class="cookie-banner"', 'role="navigation"', 'id="comments"'):
+        assert "Other" not in tag_path_html.main_text(f"<body>{story}<div {attributes}><p>Other text, that is not of it.</p></div>{story}</body>"), attributes
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, None, "<article>a</article>", "x"), (2, None, "<article>a</article>", "x")], "page_id long, url string, html string, text string")
     assert [r.text for r in tag_path_html.extract(pages).orderBy("page_id").collect()] == ["", "a", "a"]
