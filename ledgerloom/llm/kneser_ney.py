@@ -13,11 +13,13 @@ perplexity. A bucket holds about BUCKET_BYTES of text and there are as many shar
 keep their size as the corpus grows, and all trusted text is counted.
 
 A document is kept if its perplexity is at most its language's threshold: SLACK times the QUANTILE of the
-perplexities of that language's trusted documents. Short texts say little, so a text's mean log probability is
+perplexities of that language's trusted documents, each scored by the model without its own fold. Folds are dealt by a
+hash of the text, so that copies are held out together. A language's limit is drawn to that of even odds as if FEW
+trusted characters more had it, so few trusted documents reject little. Short texts say little, so a text's mean log probability is
 drawn to its language's median as if it had PRIOR more characters of that.
 
-Cases: null text counts as empty, null language is a language of its own; languages without trusted documents
-take the threshold of all; with no trusted document at all every document is kept; rows without an id take no
+Cases: null text counts as empty, null language is a language of its own; documents of languages
+without trusted documents have no threshold and are kept; rows without an id take no
 part; equal rows share one decision; ids that repeat are trusted together; label rows that are null count
 as not trusted; other columns are ignored; an empty table gives an empty result.
 """
@@ -25,6 +27,7 @@ as not trusted; other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -36,7 +39,8 @@ from . import common
 
 ORDER, CODE_BITS = 4, 12
 BUCKET_BYTES = 12 << 20
-QUANTILE, SLACK, PRIOR = 0.99, 1.3, 60
+QUANTILE, SLACK, PRIOR, FEW = 0.99, 1.3, 60, 1000
+FOLDS = 2
 #: Characters that a bucket works on at a time.
 CHUNK = 1 << 20
 #: Keys over which a language's rows are spread where they meet its threshold.
@@ -120,25 +124,36 @@ def _texts(rows: pd.DataFrame) -> list[str]:
     return [_unzip.decompress(x).decode() for x in rows.z]
 
 
-_SENT = "shard int, bucket int, ord int, grams binary, counts binary"
+#: held is 0 for the model of all trusted text, k for that without fold k (evidence: the fold it is of), and TRUSTED for ids.
+_SENT = "shard int, bucket int, held int, ord int, grams binary, counts binary"
+TRUSTED = -1
+
+
+def _fold(docs: pd.DataFrame) -> np.ndarray:
+    return (docs.text_hash.to_numpy() % FOLDS + 1).astype(int)
 
 
 def _ask(shards: int):
     def ask(docs: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
-            return pd.DataFrame(columns=["shard", "bucket", "ord", "grams", "counts"])
+            return pd.DataFrame(columns=[x.split()[0] for x in _SENT.split(", ")])
         bucket, texts = int(docs.bucket.iloc[0]), _texts(docs)
         trusted = docs.doc_id.isin(set(labels.doc_id)).to_numpy()
-        good, n_good = _distinct([t for t, ok in zip(texts, trusted, strict=True) if ok])
+        fold = np.where(trusted, _fold(docs), 0)
         other, _ = _distinct([t for t, ok in zip(texts, trusted, strict=True) if not ok])
-        out = [(s, bucket, order, x.tobytes(), None) for order, s, x in lists(np.union1d(good, other), shards)]
-        # Evidence of an order below the highest is the distinct n-grams one longer
-        for order in range(1, ORDER):
-            longer = np.unique(good & _low(order + 1))
-            out += [(s, -1, order, x.tobytes(), None) for s, x in _dealt(longer, (longer & _low(order)) >> _BITS, order, shards)]
-        places = np.arange(len(good))
-        out += [(s, -1, ORDER, good[x].tobytes(), n_good[x].astype(np.int64).tobytes()) for s, x in _dealt(places, good >> _BITS, ORDER, shards)]
-        return pd.DataFrame(out, columns=["shard", "bucket", "ord", "grams", "counts"])
+        out = [(bucket, bucket, TRUSTED, 0, docs.doc_id[trusted].to_numpy(np.int64).tobytes(), None)]
+        for k in range(1, FOLDS + 1):
+            good, n_good = _distinct([t for t, f in zip(texts, fold, strict=True) if f == k])
+            other = np.union1d(good, other)
+            out += [(s, bucket, k, order, x.tobytes(), None) for order, s, x in lists(good, shards)]
+            # Evidence of an order below the highest is the distinct n-grams one longer
+            for order in range(1, ORDER):
+                longer = np.unique(good & _low(order + 1))
+                out += [(s, -1, k, order, x.tobytes(), None) for s, x in _dealt(longer, (longer & _low(order)) >> _BITS, order, shards)]
+            places = np.arange(len(good))
+            out += [(s, -1, k, ORDER, good[x].tobytes(), n_good[x].astype(np.int64).tobytes()) for s, x in _dealt(places, good >> _BITS, ORDER, shards)]
+        out += [(s, bucket, 0, order, x.tobytes(), None) for order, s, x in lists(other, shards)]
+        return pd.DataFrame(out, columns=[x.split()[0] for x in _SENT.split(", ")])
 
     return ask
 
@@ -164,27 +179,49 @@ def shares(grams_: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> tuple[n
     return np.where(grams_[i] == asked, share[i], 0).astype(np.float32), np.where(contexts[j] == asked >> _BITS, weight[j], 1).astype(np.float32)
 
 
-_ANSWERS = "shard int, bucket int, ord int, answer_shares binary, weights binary"
+_ANSWERS = "shard int, bucket int, held int, ord int, answer_shares binary, weights binary"
 
 
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
-    out, shard = [], int(rows.shard.iloc[0])
-    for order in range(1, ORDER + 1):
+    shard = int(rows.shard.iloc[0])
+    out = [(shard, int(bucket), TRUSTED, 0, ids, None) for bucket, ids in rows[rows.held == TRUSTED][["bucket", "grams"]].itertuples(index=False)]
+    for order, held in product(range(1, ORDER + 1), range(FOLDS + 1)):
         own = rows[rows.ord == order]
-        sent = own[own.bucket < 0]
+        sent = own[(own.bucket < 0) & (own.held != held)]
         values = np.frombuffer(b"".join(sent.grams), np.uint64)
         if order == ORDER:
             found, where = np.unique(values, return_inverse=True)
             counts = np.bincount(where, np.frombuffer(b"".join(sent.counts), np.int64), len(found)).astype(np.int64)
         else:
             found, counts = np.unique(np.unique(values) & _low(order), return_counts=True)
-        for bucket, asked in own[own.bucket >= 0][["bucket", "grams"]].itertuples(index=False):
+        for bucket, asked in own[(own.bucket >= 0) & (own.held == held)][["bucket", "grams"]].itertuples(index=False):
             share, weight = shares(found, counts, np.frombuffer(asked, np.uint64))
-            out.append((shard, int(bucket), order, share.tobytes(), weight.tobytes()))
-    return pd.DataFrame(out, columns=["shard", "bucket", "ord", "answer_shares", "weights"])
-
-
-_SCORES = "doc_id long, text_hash long, lang string, n long, bits double"
+            out.append((shard, int(bucket), held, order, share.tobytes(), weight.tobytes()))
+    return pd.DataFrame(out, columns=[x.split()[0] for x in _ANSWERS.split(", ")])
+
+
+_SCORES = "doc_id long, text_hash long, lang string, n long, bits double, held_bits double"
+
+
+def _bits(texts: list[str], answers: pd.DataFrame, shards: int) -> np.ndarray:
+    """Each text's bits by a model's answers to what the texts ask."""
+    distinct, _ = _distinct(texts)
+    told = {(o, s): (np.frombuffer(a, np.float32), np.frombuffer(w, np.float32)) for o, s, a, w in zip(answers.ord, answers.shard, answers.answer_shares, answers.weights, strict=True)}
+    lower, lower_p = np.zeros(1, np.uint64), np.full(1, 1.0 / (1 << CODE_BITS))
+    asked: dict[int, list] = {}
+    for order, s, x in lists(distinct, shards):
+        asked.setdefault(order, []).append((x, *told[order, s]))
+    for order, parts in asked.items():
+        x, share, weight = (np.concatenate(y) for y in zip(*parts, strict=True))
+        p = share + weight * lower_p[np.searchsorted(lower, x & _low(order - 1))]
+        at = np.argsort(x)
+        lower, lower_p = x[at], p[at].astype(float)
+    bits = -np.log2(lower_p)
+    sums = []
+    for part in _chunks(texts):
+        g, sizes = grams(texts[part])
+        sums.append(np.add.reduceat(bits[np.searchsorted(lower, g)], np.concatenate([[0], np.cumsum(sizes)[:-1]])))
+    return np.concatenate(sums)
 
 
 def _score(shards: int):
@@ -192,29 +229,19 @@ def _score(shards: int):
         if not len(docs):
             return pd.DataFrame(columns=[x.split()[0] for x in _SCORES.split(", ")])
         texts = _texts(docs)
-        distinct, _ = _distinct(texts)
-        told = {(o, s): (np.frombuffer(a, np.float32), np.frombuffer(w, np.float32)) for o, s, a, w in zip(answers.ord, answers.shard, answers.answer_shares, answers.weights, strict=True)}
-        lower, lower_p = np.zeros(1, np.uint64), np.full(1, 1.0 / (1 << CODE_BITS))
-        asked: dict[int, list] = {}
-        for order, s, x in lists(distinct, shards):
-            asked.setdefault(order, []).append((x, *told[order, s]))
-        for order, parts in asked.items():
-            x, share, weight = (np.concatenate(y) for y in zip(*parts, strict=True))
-            p = share + weight * lower_p[np.searchsorted(lower, x & _low(order - 1))]
-            at = np.argsort(x)
-            lower, lower_p = x[at], p[at].astype(float)
-        bits = -np.log2(lower_p)
-        sums = []
-        for part in _chunks(texts):
-            g, sizes = grams(texts[part])
-            sums.append(np.add.reduceat(bits[np.searchsorted(lower, g)], np.concatenate([[0], np.cumsum(sizes)[:-1]])))
-        return pd.DataFrame({"doc_id": docs.doc_id, "text_hash": docs.text_hash, "lang": docs.lang, "n": [len(t) + 1 for t in texts], "bits": np.concatenate(sums)})
+        known = answers.held == TRUSTED
+        trusted = docs.doc_id.isin(np.frombuffer(b"".join(answers.answer_shares[known]), np.int64)).to_numpy()
+        fold, held_bits = np.where(trusted, _fold(docs), 0), np.full(len(docs), np.nan)
+        for k in np.unique(fold[trusted]).tolist():
+            held_bits[fold == k] = _bits([t for t, f in zip(texts, fold, strict=True) if f == k], answers[answers.held == k], shards)
+        return pd.DataFrame({"doc_id": docs.doc_id, "text_hash": docs.text_hash, "lang": docs.lang, "n": [len(t) + 1 for t in texts], "bits": _bits(texts, answers[answers.held == 0], shards), "held_bits": held_bits})
 
     return score
 
 
 def scores(docs: DataFrame, trusted: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, text_hash, lang, n, bits): each document's n-grams and their bits; trusted holds the doc_ids of trusted documents.
+    """(doc_id, text_hash, lang, n, bits, held_bits): each document's n-grams and their bits, and of trusted documents those by the
+    model without their fold; trusted holds the doc_ids of trusted documents.
 
     The documents' exchange is planned once and read twice; the rest moves distinct n-grams of buckets.
     """
@@ -243,13 +270,13 @@ def decide(scored: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, sl
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("good", F.lit(True))
     held = common.staged(scored.join(ids, "doc_id", "left").withColumns({"lang": F.coalesce("lang", F.lit("")), "good": F.coalesce("good", F.lit(False))}))
     mean = F.col("bits") / F.col("n")
-    middle = held.filter("good").groupBy("lang").agg(F.percentile_approx(mean, 0.5, 10000).alias("middle"))
-    overall = held.filter("good").agg(F.percentile_approx(mean, 0.5, 10000).alias("all_middle"))
-    middles = held.select("lang").distinct().join(middle, "lang", "left").join(F.broadcast(overall)).select("lang", F.coalesce("middle", "all_middle").alias("middle"))
-    drawn = common.staged(_by_language(held, middles).withColumn("mean", F.coalesce((F.col("bits") + PRIOR * F.col("middle")) / (F.col("n") + PRIOR), mean)))
-    limit = drawn.filter("good").groupBy("lang").agg(F.percentile_approx("mean", quantile, 10000).alias("limit"))
-    overall = drawn.filter("good").agg(F.percentile_approx("mean", quantile, 10000).alias("all_limit"))
-    limits = middles.select("lang").join(limit, "lang", "left").join(F.broadcast(overall)).select("lang", (F.pow(F.lit(2.0), F.coalesce("limit", "all_limit")) * slack).alias("threshold"))
+    middle = held.filter("good").groupBy("lang").agg(F.percentile_approx(F.col("held_bits") / F.col("n"), 0.5, 10000).alias("middle"))
+    middles = held.select("lang").distinct().join(middle, "lang", "left")
+    near = lambda bits: (F.col(bits) + PRIOR * F.col("middle")) / (F.col("n") + PRIOR)
+    drawn = common.staged(_by_language(held, middles).withColumns({"mean": F.coalesce(near("bits"), mean), "held_mean": near("held_bits")}))
+    limit = drawn.filter("good").groupBy("lang").agg(F.percentile_approx("held_mean", quantile, 10000).alias("limit"), F.sum("n").alias("seen"))
+    limit = limit.select("lang", (F.col("limit") + FEW * F.greatest(CODE_BITS - F.col("limit"), F.lit(0)) / (F.col("seen") + FEW)).alias("limit"))
+    limits = middles.select("lang").join(limit, "lang", "left").select("lang", (F.pow(F.lit(2.0), F.col("limit")) * slack).alias("threshold"))
     out = _by_language(drawn, limits).withColumn("perplexity", F.pow(F.lit(2.0), F.col("mean")))
     return out.withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).select("doc_id", "text_hash", "lang", F.col("n").alias("n_grams"), "perplexity", "threshold", "keep")
 

@@ -366,6 +366,20 @@ def test_kneser_ney_decisions(docs, none, spark):
     assert kneser_ney.keep_good(none, labels).count() == 0
 
 
+def test_kneser_ney_rare_languages(spark):
+    """Clean text stays in a language with three trusted documents and in one with none; noise in a common one goes."""
+    rng = np.random.default_rng(9)
+    texts = {}
+    for lang, letters, n in (("en", "abcdefghijklmnop", 200), ("el", "αβγδεζηθικλμνξοπρστυφχψω", 40), ("zh", "的一是不了人我在有他这中大来上国", 20)):
+        words = ["".join(rng.choice(list(letters), 5)) for _ in range(400)]
+        texts[lang] = [" ".join(rng.choice(words, 40)) for _ in range(n)]
+    rows = [(1000 * k + i, lang, t) for k, lang in enumerate(texts) for i, t in enumerate(texts[lang])]
+    noise = [(5000 + i, "en", "".join(rng.choice(list("!$%&XYZ0123#"), 300))) for i in range(10)]
+    labels = spark.createDataFrame([(i, 1) for i in [*range(100), 1000, 1001, 1002]], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows + noise, "doc_id long, lang string, text string")
+    assert {r.doc_id for r in kneser_ney.keep_good(docs, labels).collect()} == {r[0] for r in rows}
+
+
 def test_ann_recall_and_exact_scores(spark):
     rng = np.random.default_rng(7)
     x = rng.standard_normal((3000, 16)).astype(np.float32)
