@@ -1,21 +1,25 @@
 """Main text of web pages by tag-path ratios (after Wu, Li, Hu and Wang, "Web news extraction via path ratios", 2013).
 
-Every text node has a path of tags from the root. Per page and path the text's length, its punctuation and
-its nodes are summed; the ratios of length and punctuation to nodes are smoothed over paths that stand next
-to each other, fused, and held against a threshold. The paths that pass select content nodes; what encloses
-most of their text is the article, and all its blocks that no boilerplate element holds are returned, so that
-short paragraphs and headings stay. One pass over the rows without a shuffle.
+Every block of text has a path of tags from the root. Per page and path the text's length, its punctuation and its
+blocks are summed. The ratios of length and of punctuation to blocks are smoothed over paths that follow each other in
+one container, then fused with each other, with the path's own text, and with what the path's names say: a path through a menu, header,
+footer, form, aside, notice, advert, comment or hidden element counts nothing, as a short article has less text than
+many a footer. A path is content from THRESHOLD of the page's largest fused ratio. The content blocks' common
+container is the article; within it a path's ratio is drawn half way to the article's own, so that headings,
+list items and short blocks stay with the paragraphs around them. Blocks of paths that pass are the text, in or out of an
+article element; those of paths that don't are left out. One pass over the rows without a shuffle, linear in a page.
 
 Cases: null or blank html gives an empty text; broken markup is read as browsers do where it matters (a new
-block ends an open paragraph, unmatched end tags are ignored, script and style run to their own end tag); a
-page without any markup is one block; rows without a page_id take no part, repeated rows stay; other columns
-are ignored; an empty table gives an empty result.
+block ends an open paragraph, unmatched end tags are ignored, script and style run to their own end tag); once a quote
+in a tag never closes, quotes no longer count in that page's tags; a page without any markup is one block; rows without a
+page_id take no part, repeated rows stay; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -25,11 +29,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Share of the largest fused ratio that a path needs, and share of the passing text that the article must enclose.
-THRESHOLD, ENCLOSED = 0.1, 0.6
+#: Share of the largest fused ratio from which a path is content, and share of the content's text that the article encloses.
+THRESHOLD, ENCLOSED = 0.3, 0.6
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_OTHER = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)"
+_TAG = re.compile(rf"{_OTHER}((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>?)", re.S)
+#: The same where a quote never closes: quotes don't count.
+_PLAIN = re.compile(rf"{_OTHER}([^>]*+)(>?)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 _UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -49,8 +56,12 @@ MARKS = frozenset(
 ARTICLE = frozenset("article main".split())
 PAGE = ARTICLE | {"html", "body"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: End tags that an opening tag implies.
+#: Elements that hold one block of their container.
+FLOW = HEADINGS | frozenset("p li dt dd ul ol dl td th tr tbody thead tfoot table caption blockquote pre figcaption figure hgroup".split())
+#: End tags that an opening tag implies, and the elements that stop the search for them.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+LISTS = frozenset("ul ol dl table select".split())
+_P, _NOT_P = frozenset({"p"}), BLOCK - {"p"}
 
 
 @lru_cache(4096)  # pages share their templates
@@ -66,109 +77,188 @@ def unseen(own: dict[str, str]) -> bool:
     return own.get("hidden", "false") != "false" or own.get("aria-hidden") == "true" or "hidden" in own.get("class", "").split() or bool(_UNSEEN.search(own.get("style", "")))
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
-    """(path, text, whether boilerplate holds it) of every block of text, in page order."""
-    out: list[tuple[tuple[str, ...], str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, whether it or what holds it is boilerplate, whether an article holds it
-    text: list[str] = []
-    at, skip = 0, ""
-
-    def close_block() -> None:
-        joined = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
-        text.clear()
-        if joined:
-            out.append((tuple(t for t, _, _ in stack if t in BLOCK), joined, bool(stack and stack[-1][1])))
-
-    for m in _TAG.finditer(page):
-        if not skip:
-            text.append(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if skip:
-            if closing and name == skip:
-                skip = ""
-            continue
-        if name == "br":
-            text.append(" ")
-            continue
-        if name in BLOCK:
-            close_block()
-        if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            if depth >= 0:
-                if any(t in BLOCK for t, _, _ in stack[depth:]):
-                    close_block()
-                del stack[depth:]
-            continue
-        if name in RAW:
-            if not attributes.endswith("/"):
-                skip = name
-            continue
-        if name in VOID:
-            continue
-        if name in BLOCK:
-            p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), -1)
-            if p >= 0 and not any(t in BLOCK for t, _, _ in stack[p + 1 :]):
-                del stack[p:]
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in ENDS.get(name, ()):
-                del stack[i:]
-                break
-            if stack[i][0] in ("ul", "ol", "dl", "table", "select"):
-                break
-        held, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+@lru_cache(256)
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?![^\s/>])[^>]*+>?", re.I)
+
+
+class Page:
+    """Elements (parent, path) and blocks (element, text) of a page, both in page order; element and path 0 are the page's."""
+
+    def __init__(self, page: str):
+        self.parent, self.path, self.name, self.inside = [0], [0], [""], [False]
+        self.cue, self.holder = [1.0], [0]  # of a path: 0 if its names rule it out, else 1; and the path of its container
+        self.paths: dict[tuple[int, str], int] = {}
+        self.blocks: list[tuple[int, str]] = []
+        self._stack: list[tuple[str, int, bool]] = []  # name, element (inline ones: that around them), whether its text is unseen
+        self._open: Counter[str] = Counter()
+        self._text: list[str] = []
+        self._read(page)
+
+    def _top(self) -> int:
+        return self._stack[-1][1] if self._stack else 0
+
+    def _close_block(self) -> None:
+        if self._text:
+            joined = _SPACE.sub(" ", entities.unescape("".join(self._text))).strip()
+            self._text.clear()
+            if joined:
+                self.blocks.append((self._top(), joined))
+
+    def _cut(self, depth: int) -> None:
+        """Close all elements from a depth on."""
+        if any(t in BLOCK for t, _, _ in self._stack[depth:]):
+            self._close_block()
+        for t, _, _ in self._stack[depth:]:
+            self._open[t] -= 1
+        del self._stack[depth:]
+
+    def _last(self, names: set[str] | frozenset[str], stop: frozenset[str] = frozenset()) -> int:
+        if any(self._open[n] for n in names):
+            for i in range(len(self._stack) - 1, -1, -1):
+                if self._stack[i][0] in names:
+                    return i
+                if self._stack[i][0] in stop:
+                    break
+        return -1
+
+    def _read(self, page: str) -> None:
+        at, tag = 0, _TAG
+        while m := tag.search(page, at):
+            if m[2] and not m[4] and tag is _TAG:
+                tag = _PLAIN
+                m = tag.match(page, m.start())
+            if not (self._stack and self._stack[-1][2]):
+                self._text.append(page[at : m.start()])
+            at = m.end()
+            if not m[2]:
+                continue
+            name, attributes = m[2].lower(), m[3]
+            if m[1]:
+                if (depth := self._last({name})) >= 0:
+                    self._cut(depth)
+                elif name in BLOCK:
+                    self._close_block()
+            elif name == "br":
+                self._text.append(" ")
+            elif name in RAW:
+                if not attributes.endswith("/"):
+                    end = _end_of(name).search(page, at)
+                    at = end.end() if end else len(page)
+            elif name in VOID:
+                if name in BLOCK:
+                    self._close_block()
+            else:
+                self._begin(name, attributes)
+        if not (self._stack and self._stack[-1][2]):
+            self._text.append(page[at:])
+        self._close_block()
+
+    def _begin(self, name: str, attributes: str) -> None:
         own = named(attributes) if attributes else {}
-        words = set(_WORD.findall(f"{own.get('class', '')} {own.get('role', '')}"))
-        marks = name not in PAGE and name not in HEADINGS and (bool(words & MARKS) or not inside and own.get("id") in MARKS)
-        marked = name in BOILERPLATE or name == "header" and not inside or unseen(own) or marks
-        stack.append((name, held or marked, inside or name in ARTICLE or "main" in words or own.get("id") == "main"))
-    if not skip:
-        text.append(page[at:])
-    close_block()
-    return out
+        if name not in BLOCK:
+            hides = bool(self._stack and self._stack[-1][2]) or bool(own) and unseen(own)
+            if hides or self._open[name]:  # others change nothing
+                self._stack.append((name, self._top(), hides))
+                self._open[name] += 1
+            return
+        self._close_block()
+        if (p := self._last(_P, _NOT_P)) >= 0:
+            self._cut(p)
+        if name in ENDS and (i := self._last(ENDS[name], LISTS)) >= 0:
+            self._cut(i)
+        around = self._top()
+        inside = self.inside[around]
+        words = set(_WORD.findall(f"{own.get('class', '')} {own.get('role', '')}")) if own else set()
+        if own and not inside:
+            words.add(own.get("id", ""))
+        free = name in PAGE or name in HEADINGS
+        marked = name in BOILERPLATE or name == "header" and not inside or own and unseen(own) or not free and words & MARKS
+        label = f"{name}!" if marked else name
+        before = self.path[around]
+        path = self.paths.get((before, label))
+        if path is None:
+            path = self.paths[before, label] = len(self.cue)
+            self.cue.append(0.0 if marked else self.cue[before])
+            self.holder.append(self.holder[before] if label in FLOW else path)
+        self._stack.append((name, len(self.parent), bool(self._stack and self._stack[-1][2])))
+        self._open[name] += 1
+        self.parent.append(around)
+        self.path.append(path)
+        self.name.append(name)
+        self.inside.append(inside or name in ARTICLE or "main" in words)
 
 
-def fused(paths: list[tuple[str, ...]], texts: list[str]) -> dict[tuple[str, ...], float]:
-    """The smoothed, fused ratio of every path, in the order in which paths first come."""
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for path, text in zip(paths, texts, strict=True):
-        x = sums.setdefault(path, [0.0, 0.0, 0.0])
+def ratios(page: Page) -> tuple[list[int], np.ndarray]:
+    """Paths in the order in which their text first comes, and the length, punctuation and number of the blocks of each."""
+    order: dict[int, int] = {}
+    sums: list[list[int]] = []
+    for element, text in page.blocks:
+        path = page.path[element]
+        if path not in order:
+            order[path] = len(sums)
+            sums.append([0, 0, 0])
+        x = sums[order[path]]
         x[0] += len(text)
         x[1] += len(_PUNCTUATION.findall(text))
         x[2] += 1
-    a = np.array(list(sums.values()))
-    length, marks = a[:, 0] / a[:, 2], (a[:, 1] + 1) / a[:, 2]
-    kernel = np.array([0.25, 0.5, 0.25]) if len(a) > 2 else np.array([1.0])
-    smooth = lambda x: np.convolve(np.pad(x, len(kernel) // 2, mode="edge"), kernel, "valid")
-    # a path's own weight in the page counts as well, so that a long advert doesn't outdo many paragraphs
-    return dict(zip(sums, smooth(length) * np.sqrt(smooth(marks)) * np.log1p(a[:, 0]), strict=True))
+    return list(order), np.array(sums, float).reshape(-1, 3)
+
+
+def smoothed(ratio: np.ndarray, holders: np.ndarray) -> np.ndarray:
+    """Each ratio with half of those before and after it, as far as they are of the same container."""
+    same = (holders[1:] == holders[:-1]) / 2
+    total, weight = ratio.copy(), np.ones(len(ratio))
+    total[1:] += same * ratio[:-1]
+    total[:-1] += same * ratio[1:]
+    weight[1:] += same
+    weight[:-1] += same
+    return total / weight
+
+
+def fused(page: Page, paths: list[int], sums: np.ndarray) -> np.ndarray:
+    """The fused ratio of every path: length, punctuation, the path's own text in all, and its names."""
+    holders = np.array([page.holder[p] for p in paths])
+    length = smoothed(sums[:, 0] / sums[:, 2], holders)
+    marks = smoothed((sums[:, 1] + 1) / sums[:, 2], holders)
+    # a path's own text counts as well, so that a long advert doesn't outdo many paragraphs
+    return length * np.sqrt(marks) * np.log1p(sums[:, 0]) * np.array([page.cue[p] for p in paths])
+
+
+def selected(page: Page) -> list[str]:
+    """The texts of content blocks."""
+    if not page.blocks:
+        return []
+    paths, sums = ratios(page)
+    score = fused(page, paths, sums)
+    least = THRESHOLD * score.max()
+    if not least > 0:
+        return []
+    of = dict(zip(paths, score.tolist(), strict=True))
+    held = np.zeros(len(page.parent))
+    for element, text in page.blocks:
+        if of[page.path[element]] >= least:
+            held[element] += len(text)
+    for i in range(len(held) - 1, 0, -1):
+        held[page.parent[i]] += held[i]
+    article = int(np.flatnonzero(held >= ENCLOSED * held[0])[-1])  # the deepest: more than half lies on one line of descent
+    while page.name[article] in FLOW:
+        article = page.parent[article]
+    if page.inside[article]:
+        while page.inside[page.parent[article]]:
+            article = page.parent[article]
+    within = np.zeros(len(held), bool)
+    within[article] = True
+    for i in range(article + 1, len(held)):
+        within[i] = within[page.parent[i]]
+    inner = [of[page.path[e]] for e, _ in page.blocks if within[e]]
+    whole = float(np.average(inner, weights=[len(t) for e, t in page.blocks if within[e]])) if inner else 0.0
+    drawn = {p: max(s, (s + whole * page.cue[p]) / 2) for p, s in of.items()}
+    return [t for e, t in page.blocks if (drawn if within[e] else of)[page.path[e]] >= least]
 
 
 def main_text(page: str | None) -> str:
-    found = [(p, t) for p, t, held in blocks(page or "") if not held]
-    if not found:
-        return ""
-    paths, texts = [p for p, _ in found], [t for _, t in found]
-    article = [any(t in ARTICLE for t in p) for p in paths]
-    if any(article):
-        paths, texts = [p for p, a in zip(paths, article, strict=True) if a], [t for t, a in zip(texts, article, strict=True) if a]
-    score = fused(paths, texts)
-    least = THRESHOLD * max(score.values())
-    weight: dict[tuple[str, ...], int] = {}
-    for path, text in zip(paths, texts, strict=True):
-        if score[path] >= least:
-            for i in range(len(path) + 1):
-                weight[path[:i]] = weight.get(path[:i], 0) + len(text)
-    need = ENCLOSED * weight[()]
-    holder = max((p for p, w in weight.items() if w >= need), key=len)
-    if any(t in ARTICLE for t in holder):  # all of the marked article, its headings too
-        holder = holder[: max(i for i, t in enumerate(holder) if t in ARTICLE) + 1]
-    if holder and holder[-1] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "dd", "dt", "blockquote"):
-        holder = holder[:-1]  # siblings of the selected paragraphs belong to the same article
-    return "\n".join(t for p, t in zip(paths, texts, strict=True) if p[: len(holder)] == holder)
+    return "\n".join(selected(Page(page or "")))
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
