@@ -4,13 +4,17 @@ The model is over characters, in n-grams of ORDER, so that invented or rare word
 character is a code of 12 bits (code points below 2045 have their own, the others share 2,048 by remainder),
 and an n-gram a number of 12 bits each.
 
-Documents are dealt into buckets by a hash of their id, one shuffle of their compressed texts. A bucket
-counts the n-grams of its trusted documents and lists those of all its documents; both go to the shard that
-owns the n-gram's context. A shard joins them: it adds up counts, takes discounts from its counts of counts, and
-answers every bucket's list with each n-gram's discounted share and its context's weight for the next lower
-order. Back in the buckets the answers are interpolated from the lowest order up and give each document's
-perplexity. A bucket holds about BUCKET_BYTES of text and there are as many shards as buckets, so that tasks
-keep their size as the corpus grows, and all trusted text is counted.
+Trusted documents' n-grams are counted in each task's own rows, then merged over the cluster by a hash of the n-gram.
+From the distinct n-grams of the highest order come the lower orders' counts (of what stands before each), dealt by the
+last two characters, and a table of n-grams and counts dealt into shards by context: a context has at most
+4,096 n-grams, so no shard is hot. Discounts come from the counts of counts of all shards, four numbers an order and
+model, so that they don't depend on how the work is dealt.
+
+All documents are dealt into buckets of about BUCKET_BYTES by a hash of their id, one shuffle of their compressed
+texts. A bucket asks the shards for its distinct n-grams; a shard answers with each n-gram's discounted share and its
+context's weight for the next lower order. Back in the buckets the answers are interpolated from the lowest order up
+and give each document's perplexity. Every GROUP buckets have a copy of the shards of their own: a context that all documents
+hold is asked for by at most GROUP buckets, and rows between buckets and shards grow with the corpus, not with its square.
 
 A document is kept if its perplexity is at most its language's threshold: SLACK times the QUANTILE of the
 perplexities of that language's trusted documents, each scored by the model without its own fold. Folds are dealt by a
@@ -39,6 +43,8 @@ from . import common
 
 ORDER, CODE_BITS = 4, 12
 BUCKET_BYTES = 12 << 20
+#: Buckets that share a copy of the model's shards.
+GROUP = 1024
 QUANTILE, SLACK, PRIOR, FEW = 0.99, 1.3, 60, 1000
 FOLDS = 2
 #: Characters that a bucket works on at a time.
@@ -79,20 +85,13 @@ def shard_of(contexts: np.ndarray, order: int, shards: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(32))) % np.uint64(shards)).astype(np.int64)
 
 
-def lists(distinct: np.ndarray, shards: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(order, shard, n-grams) of what a bucket needs; the same each time it is made from the same n-grams."""
-    for order in range(1, ORDER + 1):
-        own = np.unique(distinct & _low(order))
-        yield from ((order, s, x) for s, x in _dealt(own, own >> _BITS, order, shards))
-
-
-def _dealt(values: np.ndarray, contexts: np.ndarray, order: int, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    owner = shard_of(contexts, order, shards)
+def _parted(owner: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
+    """Owners and what is dealt to each."""
     at = np.argsort(owner, kind="stable")
     cuts = np.flatnonzero(np.diff(owner[at])) + 1
     for part in np.split(at, cuts):
         if len(part):
-            yield int(owner[part[0]]), values[part]
+            yield int(owner[part[0]]), *(v[part] for v in values)
 
 
 def _chunks(texts: list[str]) -> Iterator[slice]:
@@ -106,15 +105,39 @@ def _chunks(texts: list[str]) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def _distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams and their counts."""
-    found, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-    for part in _chunks(texts):
-        more, n = np.unique(grams(texts[part])[0], return_counts=True)
-        both = np.concatenate([found, more])
-        found, where = np.unique(both, return_inverse=True)
-        counts = np.bincount(where, np.concatenate([counts, n])).astype(np.int64)
-    return found, counts
+def _summed(found: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams, sorted, and the sums of their counts."""
+    if not found:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    distinct, where = np.unique(np.concatenate(found), return_inverse=True)
+    return distinct, np.bincount(where, np.concatenate(counts), len(distinct)).astype(np.int64)
+
+
+class Tally:
+    """Counts of n-grams, merged whenever as many have come as are held."""
+
+    def __init__(self):
+        self.found, self.counts, self.new = [], [], 0
+
+    def add(self, texts: list[str]) -> None:
+        for part in _chunks(texts):
+            more, n = np.unique(grams(texts[part])[0], return_counts=True)
+            self.found.append(more)
+            self.counts.append(n)
+            self.new += len(more)
+            if self.new > max(CHUNK, len(self.found[0])):
+                self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        found, counts = _summed(self.found, self.counts)
+        self.found, self.counts, self.new = [found], [counts], 0
+        return found, counts
+
+
+def _distinct(texts: list[str]) -> np.ndarray:
+    tally = Tally()
+    tally.add(texts)
+    return tally.total()[0]
 
 
 _unzip = zstandard.ZstdDecompressor()
@@ -124,98 +147,194 @@ def _texts(rows: pd.DataFrame) -> list[str]:
     return [_unzip.decompress(x).decode() for x in rows.z]
 
 
-#: held is 0 for the model of all trusted text, k for that without fold k (evidence: the fold it is of), and TRUSTED for ids.
-_SENT = "shard int, bucket int, held int, ord int, grams binary, counts binary"
-TRUSTED = -1
-
-
 def _fold(docs: pd.DataFrame) -> np.ndarray:
     return (docs.text_hash.to_numpy() % FOLDS + 1).astype(int)
 
 
-def _ask(shards: int):
-    def ask(docs: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs):
-            return pd.DataFrame(columns=[x.split()[0] for x in _SENT.split(", ")])
-        bucket, texts = int(docs.bucket.iloc[0]), _texts(docs)
-        trusted = docs.doc_id.isin(set(labels.doc_id)).to_numpy()
-        fold = np.where(trusted, _fold(docs), 0)
-        other, _ = _distinct([t for t, ok in zip(texts, trusted, strict=True) if not ok])
-        out = [(bucket, bucket, TRUSTED, 0, docs.doc_id[trusted].to_numpy(np.int64).tobytes(), None)]
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
+
+
+def _longs(blocks: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int64) for x in blocks]
+
+
+def _grams(blocks: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in blocks]
+
+
+# The model: held is 0 for that of all trusted text, k for that without fold k
+
+_EVIDENCE = "part int, fold int, grams binary, counts binary"
+_TABLE = "shard int, held int, ord int, grams binary, counts binary"
+
+
+def _counted(parts: int):
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tallies = [Tally() for _ in range(FOLDS)]
+        for batch in batches:
+            fold = _fold(batch)
+            for k, tally in enumerate(tallies, 1):
+                tally.add(batch.text[fold == k].tolist())
+        for k, tally in enumerate(tallies, 1):
+            found, counts = tally.total()
+            yield _frame([(p, k, g.tobytes(), c.tobytes()) for p, g, c in _parted(shard_of(found, 0, parts), found, counts)], _EVIDENCE)
+
+    return counted
+
+
+def _merged(parts: int):
+    """Sums over all tasks, dealt anew by the last two characters."""
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
         for k in range(1, FOLDS + 1):
-            good, n_good = _distinct([t for t, f in zip(texts, fold, strict=True) if f == k])
-            other = np.union1d(good, other)
-            out += [(s, bucket, k, order, x.tobytes(), None) for order, s, x in lists(good, shards)]
-            # Evidence of an order below the highest is the distinct n-grams one longer
-            for order in range(1, ORDER):
-                longer = np.unique(good & _low(order + 1))
-                out += [(s, -1, k, order, x.tobytes(), None) for s, x in _dealt(longer, (longer & _low(order)) >> _BITS, order, shards)]
-            places = np.arange(len(good))
-            out += [(s, -1, k, ORDER, good[x].tobytes(), n_good[x].astype(np.int64).tobytes()) for s, x in _dealt(places, good >> _BITS, ORDER, shards)]
-        out += [(s, bucket, 0, order, x.tobytes(), None) for order, s, x in lists(other, shards)]
-        return pd.DataFrame(out, columns=[x.split()[0] for x in _SENT.split(", ")])
+            own = rows[rows.fold == k]
+            found, counts = _summed(_grams(own.grams), _longs(own.counts))
+            out += [(p, k, g.tobytes(), c.tobytes()) for p, g, c in _parted(shard_of(found & _low(2), 0, parts), found, counts)]
+        return _frame(out, _EVIDENCE)
+
+    return merged
 
-    return ask
+
+def _lowered(shards: int):
+    """Counts of every order and model; those of single characters are this part's, still to be added up."""
+
+    def lowered(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for held in range(FOLDS + 1):
+            own = rows[rows.fold != held]
+            found, counts = _summed(_grams(own.grams), _longs(own.counts))
+            for order in range(ORDER, 0, -1):
+                out += [(s, held, order, g.tobytes(), c.tobytes()) for s, g, c in _parted(shard_of(found >> _BITS, order, shards), found, counts)]
+                found, counts = np.unique(found & _low(order - 1), return_counts=True)
+        return _frame(out, _TABLE)
+
+    return lowered
+
+
+def _settled(rows: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for held, order in product(range(FOLDS + 1), range(1, ORDER + 1)):
+        own = rows[(rows.held == held) & (rows.ord == order)]
+        found, counts = _summed(_grams(own.grams), _longs(own.counts))
+        if len(found):
+            out.append((int(rows.shard.iloc[0]), held, order, found.tobytes(), counts.tobytes()))
+    return _frame(out, _TABLE)
+
+
+def counts_of_counts(counts: np.ndarray) -> np.ndarray:
+    """How many n-grams have counts 1, 2, 3 and 4."""
+    return np.bincount(counts[counts < 5], minlength=5)[1:]
+
+
+def _tallied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame([(h, o, *counts_of_counts(np.frombuffer(c, np.int64)).tolist()) for h, o, c in zip(batch.held, batch.ord, batch.counts, strict=True)], columns=["held", "ord", "n1", "n2", "n3", "n4"])
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
-    """Of counts 0, 1, 2, and 3 or more; each stays between 0.1 and its count."""
-    n = [float((counts == i).sum()) for i in (1, 2, 3, 4)]
-    y = n[0] / max(1.0, n[0] + 2 * n[1])
+    """Of counts 0, 1, 2, and 3 or more, by the counts of all n-grams of an order."""
+    return discounts_by(counts_of_counts(counts))
+
+
+def discounts_by(n: np.ndarray) -> np.ndarray:
+    """The same by counts of counts; each stays between 0.1 and its count."""
+    y = n[0] / max(1.0, n[0] + 2.0 * n[1])
     return np.array([0.0] + [min(max(i - (i + 1) * y * n[i] / max(1.0, n[i - 1]), 0.1), i) for i in (1, 2, 3)])
 
 
-def shares(grams_: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def model(good: DataFrame, shards: int, parts: int) -> tuple[DataFrame, dict[tuple[int, int], np.ndarray]]:
+    """The table of n-grams, written once, and the discounts of each model and order; good has text_hash and text."""
+    merged = good.mapInPandas(_counted(min(parts, 1 << 14)), _EVIDENCE).groupBy("part").applyInPandas(_merged(min(parts, GROUP)), _EVIDENCE)
+    table = common.staged(merged.groupBy("part").applyInPandas(_lowered(shards), _TABLE).groupBy("shard").applyInPandas(_settled, _TABLE))
+    total = table.select("held", "ord", "counts").mapInPandas(_tallied, "held int, ord int, n1 long, n2 long, n3 long, n4 long").groupBy("held", "ord").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(1, 5)])
+    return table, {(r.held, r.ord): discounts_by(np.array(r[2:])) for r in total.collect()}  # a row a model and order
+
+
+# Documents
+
+#: The lists that a bucket asks for, in this order: n-grams of all its documents, and of each fold's trusted ones, by order.
+LISTS = list(product(range(FOLDS + 1), range(1, ORDER + 1)))
+#: sizes has the length of each list; ids are those of the bucket's trusted documents, sent along.
+_SENT = "copy int, shard int, bucket int, ids binary, sizes binary, grams binary"
+
+
+def asked_for(texts: list[str], fold: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """N-grams by shard, then list; the list of each; and their numbers by shard and list. The same each time it is made from the same texts."""
+    tops = [_distinct([t for t, f in zip(texts, fold, strict=True) if f == k]) for k in range(FOLDS + 1)]
+    tops[0] = np.unique(np.concatenate(tops))
+    values = [np.unique(tops[k] & _low(order)) for k, order in LISTS]
+    key = np.concatenate([shard_of(v >> _BITS, order, shards) * len(LISTS) + i for i, ((_, order), v) in enumerate(zip(LISTS, values, strict=True))])
+    at = np.argsort(key, kind="stable")
+    return np.concatenate(values)[at], key[at] % len(LISTS), np.bincount(key, minlength=shards * len(LISTS)).reshape(shards, -1)
+
+
+def _ask(shards: int, group: int):
+    def ask(docs: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(docs):
+            bucket, trusted = int(docs.bucket.iloc[0]), docs.doc_id.isin(set(labels.doc_id)).to_numpy()
+            values, _, sizes = asked_for(_texts(docs), np.where(trusted, _fold(docs), 0), shards)
+            ends = np.cumsum(sizes.sum(axis=1))
+            for shard in range(shards):
+                ids = docs.doc_id[trusted].to_numpy(np.int64).tobytes() if shard == bucket % shards else None
+                own = values[ends[shard] - sizes[shard].sum() : ends[shard]]
+                if len(own) or ids is not None:
+                    out.append((bucket // group, shard, bucket, ids, sizes[shard].astype(np.int64).tobytes(), own.tobytes()))
+        return _frame(out, _SENT)
+
+    return ask
+
+
+def shares(grams_: np.ndarray, counts: np.ndarray, discount: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each n-gram asked for its discounted share, and its context's weight for the lower order (1 where it never came)."""
     if not len(grams_):
         return np.zeros(len(asked), np.float32), np.ones(len(asked), np.float32)
-    discount = discounts(counts)[np.minimum(counts, 3)]
+    own = discount[np.minimum(counts, 3)]
     contexts, where = np.unique(grams_ >> _BITS, return_inverse=True)
     total = np.bincount(where, counts)
-    weight = np.bincount(where, discount) / total
-    share = (counts - discount) / total[where]
+    weight = np.bincount(where, own) / total
+    share = (counts - own) / total[where]
     i = np.minimum(np.searchsorted(grams_, asked), len(grams_) - 1)
     j = np.minimum(np.searchsorted(contexts, asked >> _BITS), len(contexts) - 1)
     return np.where(grams_[i] == asked, share[i], 0).astype(np.float32), np.where(contexts[j] == asked >> _BITS, weight[j], 1).astype(np.float32)
 
 
-_ANSWERS = "shard int, bucket int, held int, ord int, answer_shares binary, weights binary"
+_ANSWERS = "shard int, bucket int, ids binary, shares binary, weights binary"
+
 
+def _answer(discount: dict[tuple[int, int], np.ndarray]):
+    def answer(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked):
+            return _frame([], _ANSWERS)
+        known = {(h, o): (np.frombuffer(g, np.uint64), np.frombuffer(c, np.int64)) for h, o, g, c in zip(table.held, table.ord, table.grams, table.counts, strict=True)}
+        none = np.empty(0, np.uint64), np.empty(0, np.int64)
+        values, sizes = np.concatenate(_grams(asked.grams)), np.concatenate(_longs(asked.sizes))
+        of = np.repeat(np.tile(np.arange(len(LISTS)), len(asked)), sizes)
+        share, weight = np.zeros(len(values), np.float32), np.ones(len(values), np.float32)
+        for i, key in enumerate(LISTS):
+            at = np.flatnonzero(of == i)
+            if len(at):
+                share[at], weight[at] = shares(*known.get(key, none), discount.get(key, np.zeros(4)), values[at])
+        ends = np.cumsum(sizes.reshape(len(asked), -1).sum(axis=1))[:-1]
+        return pd.DataFrame({"shard": asked.shard, "bucket": asked.bucket, "ids": asked.ids, "shares": [x.tobytes() for x in np.split(share, ends)], "weights": [x.tobytes() for x in np.split(weight, ends)]})
 
-def _answer(rows: pd.DataFrame) -> pd.DataFrame:
-    shard = int(rows.shard.iloc[0])
-    out = [(shard, int(bucket), TRUSTED, 0, ids, None) for bucket, ids in rows[rows.held == TRUSTED][["bucket", "grams"]].itertuples(index=False)]
-    for order, held in product(range(1, ORDER + 1), range(FOLDS + 1)):
-        own = rows[rows.ord == order]
-        sent = own[(own.bucket < 0) & (own.held != held)]
-        values = np.frombuffer(b"".join(sent.grams), np.uint64)
-        if order == ORDER:
-            found, where = np.unique(values, return_inverse=True)
-            counts = np.bincount(where, np.frombuffer(b"".join(sent.counts), np.int64), len(found)).astype(np.int64)
-        else:
-            found, counts = np.unique(np.unique(values) & _low(order), return_counts=True)
-        for bucket, asked in own[(own.bucket >= 0) & (own.held == held)][["bucket", "grams"]].itertuples(index=False):
-            share, weight = shares(found, counts, np.frombuffer(asked, np.uint64))
-            out.append((shard, int(bucket), held, order, share.tobytes(), weight.tobytes()))
-    return pd.DataFrame(out, columns=[x.split()[0] for x in _ANSWERS.split(", ")])
+    return answer
 
 
 _SCORES = "doc_id long, text_hash long, lang string, n long, bits double, held_bits double"
 
 
-def _bits(texts: list[str], answers: pd.DataFrame, shards: int) -> np.ndarray:
-    """Each text's bits by a model's answers to what the texts ask."""
-    distinct, _ = _distinct(texts)
-    told = {(o, s): (np.frombuffer(a, np.float32), np.frombuffer(w, np.float32)) for o, s, a, w in zip(answers.ord, answers.shard, answers.answer_shares, answers.weights, strict=True)}
+def _sums(texts: list[str], values: np.ndarray, share: np.ndarray, weight: np.ndarray, of: np.ndarray, held: int) -> np.ndarray:
+    """Each text's bits by a model."""
     lower, lower_p = np.zeros(1, np.uint64), np.full(1, 1.0 / (1 << CODE_BITS))
-    asked: dict[int, list] = {}
-    for order, s, x in lists(distinct, shards):
-        asked.setdefault(order, []).append((x, *told[order, s]))
-    for order, parts in asked.items():
-        x, share, weight = (np.concatenate(y) for y in zip(*parts, strict=True))
-        p = share + weight * lower_p[np.searchsorted(lower, x & _low(order - 1))]
-        at = np.argsort(x)
-        lower, lower_p = x[at], p[at].astype(float)
+    for order in range(1, ORDER + 1):
+        at = np.flatnonzero(of == LISTS.index((held, order)))
+        at = at[np.argsort(values[at])]
+        x = values[at]
+        p = share[at] + weight[at] * lower_p[np.searchsorted(lower, x & _low(order - 1))]
+        lower, lower_p = x, p.astype(float)
     bits = -np.log2(lower_p)
     sums = []
     for part in _chunks(texts):
@@ -227,34 +346,46 @@ def _bits(texts: list[str], answers: pd.DataFrame, shards: int) -> np.ndarray:
 def _score(shards: int):
     def score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
-            return pd.DataFrame(columns=[x.split()[0] for x in _SCORES.split(", ")])
-        texts = _texts(docs)
-        known = answers.held == TRUSTED
-        trusted = docs.doc_id.isin(np.frombuffer(b"".join(answers.answer_shares[known]), np.int64)).to_numpy()
-        fold, held_bits = np.where(trusted, _fold(docs), 0), np.full(len(docs), np.nan)
-        for k in np.unique(fold[trusted]).tolist():
-            held_bits[fold == k] = _bits([t for t, f in zip(texts, fold, strict=True) if f == k], answers[answers.held == k], shards)
-        return pd.DataFrame({"doc_id": docs.doc_id, "text_hash": docs.text_hash, "lang": docs.lang, "n": [len(t) + 1 for t in texts], "bits": _bits(texts, answers[answers.held == 0], shards), "held_bits": held_bits})
+            return _frame([], _SCORES)
+        answers, texts = answers.sort_values("shard"), _texts(docs)
+        ids = b"".join(x for x in answers.ids if x is not None)
+        fold = np.where(docs.doc_id.isin(np.frombuffer(ids, np.int64)), _fold(docs), 0)
+        values, of, _ = asked_for(texts, fold, shards)
+        share, weight = (np.frombuffer(b"".join(x), np.float32) for x in (answers.shares, answers.weights))
+        held_bits = np.full(len(docs), np.nan)
+        for k in np.unique(fold[fold > 0]).tolist():
+            held_bits[fold == k] = _sums([t for t, f in zip(texts, fold, strict=True) if f == k], values, share, weight, of, k)
+        return pd.DataFrame({"doc_id": docs.doc_id, "text_hash": docs.text_hash, "lang": docs.lang, "n": [len(t) + 1 for t in texts], "bits": _sums(texts, values, share, weight, of, 0), "held_bits": held_bits})
 
     return score
 
 
-def scores(docs: DataFrame, trusted: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def bucket_count(spark: SparkSession, volume: int, bucket_bytes: int) -> int:
+    """Buckets of bucket_bytes at most; smaller ones, to a quarter, where there would be fewer than shuffle partitions."""
+    return max(1, -(-volume // bucket_bytes), min(common.partitions(spark), -(-4 * volume // bucket_bytes)))
+
+
+def scores(docs: DataFrame, trusted: DataFrame, bucket_bytes: int = BUCKET_BYTES, group: int = GROUP) -> DataFrame:
     """(doc_id, text_hash, lang, n, bits, held_bits): each document's n-grams and their bits, and of trusted documents those by the
     model without their fold; trusted holds the doc_ids of trusted documents.
 
-    The documents' exchange is planned once and read twice; the rest moves distinct n-grams of buckets.
+    The documents' exchange is planned once and read twice; the rest moves distinct n-grams of tasks and buckets.
+    Neither bits nor held_bits depend on bucket_bytes or group.
     """
+    spark = docs.sparkSession
     rows = common.identified(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.coalesce("text", F.lit("")).alias("text"))
-    volume = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    buckets = max(1, -(-volume // bucket_bytes))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    buckets = bucket_count(spark, rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0, bucket_bytes)
+    shards = min(buckets, group)
+    ids = trusted.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
+    table, discount = model(rows.join(ids, "doc_id", "left_semi").select("text_hash", "text"), shards, buckets)
     pressed = F.pandas_udf(lambda texts: texts.map(lambda t: zstandard.ZstdCompressor(level=3).compress(t.encode())), "binary")
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
-    dealt = rows.select(bucket.alias("bucket"), "doc_id", F.xxhash64("text").alias("text_hash"), "lang", pressed("text").alias("z")).groupBy("bucket")
-    ids = trusted.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
-    asked = dealt.cogroup(ids.select(bucket.alias("bucket"), "doc_id").groupBy("bucket")).applyInPandas(_ask(buckets), _SENT)
-    answers = asked.groupBy("shard").applyInPandas(_answer, _ANSWERS)
-    return dealt.cogroup(answers.groupBy("bucket")).applyInPandas(_score(buckets), _SCORES)
+    dealt = rows.select(bucket.alias("bucket"), "doc_id", "text_hash", "lang", pressed("text").alias("z")).groupBy("bucket")
+    asked = dealt.cogroup(ids.select(bucket.alias("bucket"), "doc_id").groupBy("bucket")).applyInPandas(_ask(shards, group), _SENT)
+    copies = table.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit((buckets - 1) // group))))
+    answers = asked.groupBy("copy", "shard").cogroup(copies.groupBy("copy", "shard")).applyInPandas(_answer(discount), _ANSWERS)
+    return dealt.cogroup(answers.groupBy("bucket")).applyInPandas(_score(shards), _SCORES)
 
 
 def _by_language(rows: DataFrame, small: DataFrame) -> DataFrame:
@@ -292,8 +423,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier keeps, all columns."""
-    kept = classify(docs, labels).filter("keep").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
+    own_id, own_hash = common.unused(docs, "kept_id", "kept_hash")
+    kept = classify(docs, labels).filter("keep").select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
+    same = (F.col("doc_id").cast("long") == F.col(own_id)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(own_hash))
     return docs.join(kept, same, "left_semi")
 
 

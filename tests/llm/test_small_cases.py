@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import flow_reshard, fst_sentencepiece, hilbert_pack, kneser_ney, lz_fingerprint, pruned_graph_ann, simhash_tiles, skip_chain_pii, tag_path_html, warc_zip
 
@@ -347,10 +348,25 @@ def test_kneser_ney_against_definition(spark):
     rows = [(i, "en", t) for i, t in enumerate(train)] + [(10, None, "abc sat"), (11, "de", None), (12, "en", "zzz q"), (None, "en", "abc")]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     labels = spark.createDataFrame([(i, 1) for i in range(5)] + [(10, 0), (12, None), (None, 1)], "doc_id long, quality int")
-    got = {r.doc_id: (r.n, r.bits) for r in kneser_ney.scores(docs, kneser_ney.trusted_ids(labels)).collect()}
-    assert set(got) == {0, 1, 2, 3, 4, 10, 11, 12}
-    for i, _, t in rows[:-1]:
-        assert got[i][0] == len(t or "") + 1 and got[i][1] == pytest.approx(_kneser_ney(train, t or ""), rel=1e-4)
+    for bucket_bytes, group in ((kneser_ney.BUCKET_BYTES, kneser_ney.GROUP), (6, 1024), (6, 3)):
+        got = {r.doc_id: (r.n, r.bits) for r in kneser_ney.scores(docs, kneser_ney.trusted_ids(labels), bucket_bytes, group).collect()}
+        assert set(got) == {0, 1, 2, 3, 4, 10, 11, 12}
+        for i, _, t in rows[:-1]:
+            assert got[i][0] == len(t or "") + 1 and got[i][1] == pytest.approx(_kneser_ney(train, t or ""), rel=1e-5)
+    folds = {r.text: r.fold for r in docs.select("text", F.pmod(F.xxhash64("text"), F.lit(kneser_ney.FOLDS)).alias("fold")).collect()}
+    held = {r.doc_id: r.held_bits for r in kneser_ney.scores(docs, kneser_ney.trusted_ids(labels), 6, 3).collect()}
+    for i, t in enumerate(train):
+        assert held[i] == pytest.approx(_kneser_ney([x for x in train if folds[x] != folds[t]], t), rel=1e-5)
+    assert all(held[i] is None for i in (10, 11, 12))
+
+
+def test_kneser_ney_does_not_depend_on_the_dealing(spark, sf):
+    docs, trusted = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    trusted = kneser_ney.trusted_ids(trusted)
+    one, many = ({(r.doc_id, r.text_hash): (r.bits, r.held_bits) for r in kneser_ney.scores(docs, trusted, *how).collect()} for how in ((1 << 30, 1024), (1 << 15, 5)))
+    assert one.keys() == many.keys()
+    for k, (bits, held) in one.items():
+        assert many[k] == (pytest.approx(bits, rel=1e-6), held if held is None else pytest.approx(held, rel=1e-6))
 
 
 def test_kneser_ney_decisions(docs, none, spark):
