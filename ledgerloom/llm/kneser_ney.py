@@ -4,14 +4,14 @@ The model is over characters, in n-grams of ORDER, so that invented or rare word
 character is a code of 12 bits (code points below 2045 have their own, the others share 2,048 by remainder),
 and an n-gram a number of 12 bits each.
 
-Trusted documents' n-grams are counted in each task's own rows, then merged over the cluster by a hash of the n-gram.
+Documents are dealt into buckets of about BUCKET_BYTES by a hash of their id, as compressed texts.
+The n-grams of trusted documents are counted in each bucket, then merged over the cluster by a hash of the n-gram.
 From the distinct n-grams of the highest order come the lower orders' counts (of what stands before each), dealt by the
 last two characters, and a table of n-grams and counts dealt into shards by context: a context has at most
 4,096 n-grams, so no shard is hot. Discounts come from the counts of counts of all shards, four numbers an order and
 model, so that they don't depend on how the work is dealt.
 
-All documents are dealt into buckets of about BUCKET_BYTES by a hash of their id, one shuffle of their compressed
-texts. A bucket asks the shards for its distinct n-grams; a shard answers with each n-gram's discounted share and its
+A bucket then asks the shards for its distinct n-grams; a shard answers with each n-gram's discounted share and its
 context's weight for the next lower order. Back in the buckets the answers are interpolated from the lowest order up
 and give each document's perplexity. Every GROUP buckets have a copy of the shards of their own: a context that all documents
 hold is asked for by at most GROUP buckets, and rows between buckets and shards grow with the corpus, not with its square.
@@ -45,6 +45,8 @@ ORDER, CODE_BITS = 4, 12
 BUCKET_BYTES = 12 << 20
 #: Buckets that share a copy of the model's shards.
 GROUP = 1024
+#: Parts, at most, over which buckets' counts are merged.
+PARTS = 1 << 14
 QUANTILE, SLACK, PRIOR, FEW = 0.99, 1.3, 60, 1000
 FOLDS = 2
 #: Characters that a bucket works on at a time.
@@ -170,21 +172,21 @@ _TABLE = "shard int, held int, ord int, grams binary, counts binary"
 
 
 def _counted(parts: int):
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tallies = [Tally() for _ in range(FOLDS)]
-        for batch in batches:
-            fold = _fold(batch)
-            for k, tally in enumerate(tallies, 1):
-                tally.add(batch.text[fold == k].tolist())
-        for k, tally in enumerate(tallies, 1):
+    def counted(docs: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
+        docs = docs[docs.doc_id.isin(set(labels.doc_id))]
+        out, fold, texts = [], _fold(docs), _texts(docs)
+        for k in range(1, FOLDS + 1):
+            tally = Tally()
+            tally.add([t for t, f in zip(texts, fold, strict=True) if f == k])
             found, counts = tally.total()
-            yield _frame([(p, k, g.tobytes(), c.tobytes()) for p, g, c in _parted(shard_of(found, 0, parts), found, counts)], _EVIDENCE)
+            out += [(p, k, g.tobytes(), c.tobytes()) for p, g, c in _parted(shard_of(found, 0, parts), found, counts)]
+        return _frame(out, _EVIDENCE)
 
     return counted
 
 
 def _merged(parts: int):
-    """Sums over all tasks, dealt anew by the last two characters."""
+    """Sums over all buckets, dealt anew by the last two characters."""
 
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -244,9 +246,9 @@ def discounts_by(n: np.ndarray) -> np.ndarray:
     return np.array([0.0] + [min(max(i - (i + 1) * y * n[i] / max(1.0, n[i - 1]), 0.1), i) for i in (1, 2, 3)])
 
 
-def model(good: DataFrame, shards: int, parts: int) -> tuple[DataFrame, dict[tuple[int, int], np.ndarray]]:
-    """The table of n-grams, written once, and the discounts of each model and order; good has text_hash and text."""
-    merged = good.mapInPandas(_counted(min(parts, 1 << 14)), _EVIDENCE).groupBy("part").applyInPandas(_merged(min(parts, GROUP)), _EVIDENCE)
+def model(counted: DataFrame, shards: int, parts: int) -> tuple[DataFrame, dict[tuple[int, int], np.ndarray]]:
+    """The table of n-grams, written once, and the discounts of each model and order, from buckets' counts."""
+    merged = counted.groupBy("part").applyInPandas(_merged(parts), _EVIDENCE)
     table = common.staged(merged.groupBy("part").applyInPandas(_lowered(shards), _TABLE).groupBy("shard").applyInPandas(_settled, _TABLE))
     total = table.select("held", "ord", "counts").mapInPandas(_tallied, "held int, ord int, n1 long, n2 long, n3 long, n4 long").groupBy("held", "ord").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(1, 5)])
     return table, {(r.held, r.ord): discounts_by(np.array(r[2:])) for r in total.collect()}  # a row a model and order
@@ -369,7 +371,7 @@ def scores(docs: DataFrame, trusted: DataFrame, bucket_bytes: int = BUCKET_BYTES
     """(doc_id, text_hash, lang, n, bits, held_bits): each document's n-grams and their bits, and of trusted documents those by the
     model without their fold; trusted holds the doc_ids of trusted documents.
 
-    The documents' exchange is planned once and read twice; the rest moves distinct n-grams of tasks and buckets.
+    The documents are dealt twice, for the model and for the scores; the second exchange is read twice. The rest moves distinct n-grams of buckets.
     Neither bits nor held_bits depend on bucket_bytes or group.
     """
     spark = docs.sparkSession
@@ -378,11 +380,12 @@ def scores(docs: DataFrame, trusted: DataFrame, bucket_bytes: int = BUCKET_BYTES
     buckets = bucket_count(spark, rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0, bucket_bytes)
     shards = min(buckets, group)
     ids = trusted.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
-    table, discount = model(rows.join(ids, "doc_id", "left_semi").select("text_hash", "text"), shards, buckets)
     pressed = F.pandas_udf(lambda texts: texts.map(lambda t: zstandard.ZstdCompressor(level=3).compress(t.encode())), "binary")
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
     dealt = rows.select(bucket.alias("bucket"), "doc_id", "text_hash", "lang", pressed("text").alias("z")).groupBy("bucket")
-    asked = dealt.cogroup(ids.select(bucket.alias("bucket"), "doc_id").groupBy("bucket")).applyInPandas(_ask(shards, group), _SENT)
+    both = dealt.cogroup(ids.select(bucket.alias("bucket"), "doc_id").groupBy("bucket"))
+    table, discount = model(both.applyInPandas(_counted(min(buckets, PARTS)), _EVIDENCE), shards, min(buckets, group))
+    asked = both.applyInPandas(_ask(shards, group), _SENT)
     copies = table.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit((buckets - 1) // group))))
     answers = asked.groupBy("copy", "shard").cogroup(copies.groupBy("copy", "shard")).applyInPandas(_answer(discount), _ANSWERS)
     return dealt.cogroup(answers.groupBy("bucket")).applyInPandas(_score(shards), _SCORES)
