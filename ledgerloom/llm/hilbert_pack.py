@@ -3,12 +3,14 @@
 A document's tokens are hashed into a vector of DIMS counts, projected to AXES coordinates by fixed random
 directions, and placed on a Hilbert curve. Documents are sorted over the cluster in ranges of that key, and each
 range is one stream of tokens cut every `length`. What is left at a range's end is cut into powers of two,
-so that no sequence needs padding.
+so that no sequence needs padding. There are as many ranges as their tokens need at RANGE_BYTES each, and at least as
+many as shuffle partitions.
 
 Tokenizing comes first and is written once (16-bit ids where the vocabulary allows), since sorting by range
 reads its input twice.
 
-Cases: null text counts as empty; an empty text has the end token alone; rows without an id take no part;
+Cases: added tokens that a text spells out (such as <|endoftext|>) get their own ids, as from the tokenizer on the
+whole text; null text counts as empty; an empty text has the end token alone; rows without an id take no part;
 repeated rows are packed each, and equal ids stand in the order of their tokens; other columns are ignored; an
 empty table gives an empty result.
 """
@@ -31,8 +33,11 @@ from . import common
 LENGTH, END = 1024, 0
 #: Hashed counts of a document, coordinates, and bits of each.
 DIMS, AXES, BITS = 256, 4, 8
-#: Pieces of text whose ids a worker remembers; the table is emptied when full and changes no result.
-CACHE = 1_500_000
+#: Octets of ids in a range, aimed at.
+RANGE_BYTES = 64 << 20
+#: Octets of pieces of text and their ids that a worker remembers, those of each entry's own objects (ENTRY), and characters
+#: of the longest piece that is remembered. The tables are emptied when full; no result depends on them.
+CACHE_BYTES, ENTRY, LONGEST = 192 << 20, 160, 64
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -65,13 +70,18 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in added.items()}
+        #: whether a text may be cut at its added tokens, and the pattern of these
+        self.free = not any(t.lstrip or t.rstrip or t.single_word or t.normalized and self.tokenizer.normalizer for t in added.values())
+        self.marks = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         self.kind = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
         self.code = "I" if self.kind.itemsize == 4 else "H"
         self.letters = _byte_letters()
         self.slots = slots(self.tokenizer.get_vocab_size())
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.held = 0
         self.line_end = self._ids("\n")
         self.stops = {c: self._ids(c) for c in ".,"}
 
@@ -87,12 +97,30 @@ class Pieces:
             found = array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
         else:
             found = self._ids(before + piece)
-        if len(table) >= CACHE:
-            table.clear()
-        table[piece] = found
+        if len(piece) <= LONGEST:
+            self.held += ENTRY + 2 * len(piece) + len(found)
+            if self.held > CACHE_BYTES:
+                self.first.clear()
+                self.later.clear()
+                self.held = 0
+            table[piece] = found
         return found
 
     def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(self._whole(text), self.kind)
+
+    def _whole(self, text: str) -> bytes:
+        if not self.marks.search(text):
+            return self._unmarked(text)
+        if not self.free:
+            return self._ids(text)
+        out, at = [], 0
+        for m in self.marks.finditer(text):
+            out += [self._unmarked(text[at : m.start()]), np.array([self.added[m[0]]], self.kind).tobytes()]
+            at = m.end()
+        return b"".join([*out, self._unmarked(text[at:])])
+
+    def _unmarked(self, text: str) -> bytes:
         first, later, piece = self.first, self.later, self._piece
         lines = [x.split(" ") for x in text.split("\n")] if plain(text) else [_CUT.split(text)]
         out = []
@@ -102,7 +130,7 @@ class Pieces:
             w = line[0]
             out.append(first.get(w) or piece(first, w, ""))
             out += [later.get(w) or piece(later, w, " ") for w in line[1:]]
-        return np.frombuffer(b"".join(out), self.kind)
+        return b"".join(out)
 
 
 _loaded: dict[str, Pieces] = {}
@@ -153,7 +181,7 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, key, ids): ids are little-endian, END included; written once."""
+    """(doc_id, key, n, ids): n ids, little-endian, END included; written once."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = _loaded.get(tokenizer) or _loaded.setdefault(tokenizer, Pieces(tokenizer))
@@ -161,10 +189,10 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             if len(batch):
                 ids = [pieces.encode(t) for t in batch.text]
-                yield pd.DataFrame({"doc_id": batch.doc_id, "key": hilbert_key(coordinates(ids, pieces.slots)), "ids": [x.tobytes() + end for x in ids]})
+                yield pd.DataFrame({"doc_id": batch.doc_id, "key": hilbert_key(coordinates(ids, pieces.slots)), "n": [len(x) + 1 for x in ids], "ids": [x.tobytes() + end for x in ids]})
 
     rows = common.identified(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return common.staged(rows.mapInPandas(each, "doc_id long, key long, ids binary"))
+    return common.staged(rows.mapInPandas(each, "doc_id long, key long, n long, ids binary"))
 
 
 def powers(n: int) -> list[int]:
@@ -213,7 +241,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, keep_ids: bool =
     import tokenizers
 
     kind = "<u4" if tokenizers.Tokenizer.from_file(tokenizer).get_vocab_size() > 1 << 16 else "<u2"
-    ranged = held.repartitionByRange(common.partitions(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids").withColumn("part", F.spark_partition_id())
+    octets = (held.agg(F.sum("n")).first()[0] or 0) * np.dtype(kind).itemsize
+    ranged = held.drop("n").repartitionByRange(max(common.partitions(spark), -(-octets // RANGE_BYTES)), "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids").withColumn("part", F.spark_partition_id())
 
     def sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = 0

@@ -26,6 +26,7 @@ ROWS = [
     (None, "no id"),
     (7, "   \t\n "),
     (8, "été " * 30_000),
+    (2, "a <|endoftext|> b<|endoftext|><|endoftext|>\n<|endof text|> é<|endoftext|>x"),
     (6, "naïve 𝕏 ☃ words\n\n  and  +1 (555) 010-9999, 10.0.0.255 or 4111 1111 1111 1111"),
 ]
 
@@ -311,11 +312,17 @@ def test_hilbert_curve_and_packing(docs, none):
     assert hilbert_pack.pack(none, BPE).count() == 0
 
 
-def test_pieces_equal_whole_texts():
+def test_pieces_equal_whole_texts(monkeypatch):
     rng = np.random.default_rng(4)
     texts = ["".join(rng.choice(list(" \n  abcdeéth☃0129.,'s\t\x1c　"), 60)) for _ in range(1500)]
+    texts += ["".join(rng.choice(["<|endoftext|>", "<|end", "oftext|>", " ", "\n", "a", "é.", "1"], 12)) for _ in range(800)]
+    texts += ["x" * 100_000, "é1" * 30_000 + " <|endoftext|>"]
+    from tokenizers import Tokenizer
+
     p = hilbert_pack.Pieces(BPE)
-    assert [p.encode(t).tolist() for t in texts] == [e.ids for e in p.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(hilbert_pack, "CACHE_BYTES", 20_000)
+    assert [p.encode(t).tolist() for t in texts] == [e.ids for e in Tokenizer.from_file(BPE).encode_batch(texts, add_special_tokens=False)]
+    assert p.held <= 20_000 + 300 and max(map(len, [*p.first, *p.later])) <= hilbert_pack.LONGEST
 
 
 def _kneser_ney(train, text):
