@@ -4,8 +4,9 @@ Rules find the base spans: emails, IP addresses, card numbers and phone numbers.
 then labels the words of each text with one of these kinds or none. Neighbouring words share a potential (the
 chain) and so do distant words that repeat one another or hold the same digits (the skips), so that an entity
 found at one place raises its repeats elsewhere, as where a later mention leaves out the country code or
-misspells the top-level domain. Loopy message passing gives each word's marginals; words of a kind at
-CERTAIN or more become spans of the method where no base span is. Base spans stay.
+misspells the top-level domain. Loopy message passing gives each word's marginals; a word of a kind at CERTAIN or
+more that an edge ties to others becomes a span of the method where no base span is, with the words next to it that are of
+that kind at LIKELY or more. Base spans stay.
 
 Words that hold no digit and no "@" are of no kind (a hard zero), so only the words that may be of a kind are
 nodes; chain edges join those that stand next to each other in the text. Weights are fitted piecewise (Sutton
@@ -13,12 +14,14 @@ and McCallum, 2005) on the words of a sample of at most 2 x TRAIN_ROWS documents
 
 Cases: null text counts as empty; empty texts have no spans; rows without an id take no part; repeated rows
 stay; other columns are ignored; on an empty table, or one without personal data, there is no model and the
-base spans are the result.
+base spans are the result. Reading and labelling take time in proportion to a text, also where it has no blanks; a round
+of message passing to its words, and there are FREE rounds and one for each word, at most FREE + FAR.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -33,10 +36,11 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Documents aimed at for fitting, by a hash of their id; the bound is twice that.
 TRAIN_ROWS = 2000
-#: Rounds of message passing, and marginal from which a word becomes a span.
-CERTAIN = 0.9
-#: Message passing ends when no message changes by this; damping halves what is left, and FREE rounds are allowed beyond the number of words.
-SETTLED, FREE = 1e-3, 50
+#: Marginals from which a word becomes a span, and joins that of the word next to it.
+CERTAIN, LIKELY = 0.9, 0.7
+#: Message passing ends when no message changes by this, or after FREE rounds and one for each word up to FAR: what comes
+#: from further away along a chain has passed through so many potentials that it says nothing, and mentions are tied to the evidence directly.
+SETTLED, FREE, FAR = 1e-3, 50, 500
 #: Pairs of repeats with one label that are counted in advance for each label.
 AGREE = 20
 #: Digits at their ends that link two words; each word is linked to the last such word before it.
@@ -45,10 +49,10 @@ SAME_DIGITS = 7
 _DIGIT = re.compile("[0-9@]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")  # a match inside a run of digits would match from its start
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NODE = re.compile(r"(?=\S*[0-9@])\S+")
+_REST = re.compile(r"\S*")
 _NOT_DIGIT = re.compile("[^0-9]+")
 
 Span = tuple[str, int, int]
@@ -108,7 +112,15 @@ def features(word: str, before: str, after: str) -> list[str]:
 
 
 def nodes(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _NODE.finditer(text)]
+    """The words that hold a digit or an @."""
+    out, end = [], 0
+    while m := _DIGIT.search(text, end):
+        start = m.start()
+        while start > end and not text[start - 1].isspace():
+            start -= 1
+        end = _REST.match(text, m.start()).end()
+        out.append((start, end))
+    return out
 
 
 def described(text: str, spots: list[tuple[int, int]]) -> list[list[str]]:
@@ -122,11 +134,12 @@ def described(text: str, spots: list[tuple[int, int]]) -> list[list[str]]:
 
 def rule_labels(spots: list[tuple[int, int]], spans: list[Span]) -> list[int]:
     """The label of each word by the base spans that it overlaps, the first kind where several do."""
-    labels = [0] * len(spots)
+    labels, ends = [0] * len(spots), [b for _, b in spots]
     for kind, start, end in reversed(spans):
-        for i, (a, b) in enumerate(spots):
-            if a < end and start < b:
-                labels[i] = LABELS.index(kind)
+        i = bisect_right(ends, start)
+        while i < len(spots) and spots[i][0] < end:
+            labels[i] = LABELS.index(kind)
+            i += 1
     return labels
 
 
@@ -180,7 +193,7 @@ class Field:
         pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
         back = np.roll(np.arange(len(source)), len(edges))
         message = np.zeros((len(source), len(LABELS)))
-        for _ in range(FREE + len(score)):
+        for _ in range(FREE + min(len(score), FAR)):
             belief = score.copy()
             np.add.at(belief, to, message)
             new = np.logaddexp.reduce((belief[source] - message[back])[:, :, None] + pair, axis=1)
@@ -260,22 +273,34 @@ def find(text: str, field: Field | None) -> tuple[list[Span], list[Span]]:
     if not spots:
         return base, base
     known = rule_labels(spots, base)
-    skips = skip_edges(text, spots, known)
-    if not any(known):  # without evidence the words stand alone, and the rules have decided on those
+    skips, chain = skip_edges(text, spots, known), chain_edges(spots)
+    if not skips and not chain:  # then no word is tied to another, and none is added
         return base, base
-    marginal = field.marginals(described(text, spots), chain_edges(spots), skips, known)
-    taken = sorted((a, b) for _, a, b in base)
-    extra: list[Span] = []
-    linked = {i for e in skips for i in e}
+    marginal = field.marginals(described(text, spots), chain, skips, known)
+    taken: list[tuple[int, int]] = []  # disjoint
+    for _, a, b in sorted(base, key=lambda s: s[1]):
+        taken[-1:] = [(taken[-1][0], max(b, taken[-1][1]))] if taken and a <= taken[-1][1] else [*taken[-1:], (a, b)]
+    ends = [b for _, b in taken]
+    linked = {i for e in (*skips, *chain) for i in e}
+    label, sure = marginal.argmax(axis=1).tolist(), marginal.max(axis=1).tolist()
+    runs: list[list[int]] = []
     for i, (a, b) in enumerate(spots):
-        label = int(marginal[i].argmax())
-        if label and not known[i] and i in linked and marginal[i, label] >= CERTAIN:
+        k = bisect_right(ends, a)
+        if label[i] and not known[i] and sure[i] >= LIKELY and not (k < len(taken) and taken[k][0] < b):
+            if runs and runs[-1][-1] == i - 1 and label[i - 1] == label[i] and a - spots[i - 1][1] <= 1:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+    extra: list[Span] = []
+    for run in runs:
+        if any(sure[i] >= CERTAIN and i in linked for i in run):
+            a, b = spots[run[0]][0], spots[run[-1]][1]
             while a < b and not (text[a].isalnum() or text[a] in "+("):
                 a += 1
             while b > a and not text[b - 1].isalnum():
                 b -= 1
-            if a < b and not any(x < b and a < y for x, y in taken):
-                extra.append((LABELS[label], a, b))
+            if a < b:
+                extra.append((LABELS[label[run[0]]], a, b))
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(base + extra, key=lambda s: (order[s[0]], s[1]))
 

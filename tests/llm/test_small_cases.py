@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import itertools
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -269,6 +271,70 @@ def test_pii_field_reaches_far_mentions():
         assert len(base) == 1 and len(spans) == 51
 
 
+def test_pii_joins_words_that_no_rule_takes_together(docs, spark):
+    """A phone number that runs into an address fails its rule; the field finds its words and joins them."""
+    rows = [(i, f"call +1 (555) 010-{1000 + i} or ring +1 ({200 + i}) 555-{4000 + i} now, from 10.0.0.{i} in {2000 + i}") for i in range(200)]
+    field = skip_chain_pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    text = "Des +1 (843) 555-7672 170.106.47.218 Et in 2026, 17 of 19."
+    base, spans = skip_chain_pii.find(text, field)
+    assert [text[a:b] for _, a, b in base] == ["170.106.47.218"]
+    assert [(k, text[a:b]) for k, a, b in spans if (k, a, b) not in base] == [("phone", "+1 (843) 555-7672")]
+
+
+def _exact(score, pairs):
+    """Marginals by enumeration; pairs are (i, j, potential)."""
+    n, size = score.shape
+    total = np.zeros((n, size))
+    for labels in itertools.product(range(size), repeat=n):
+        w = np.exp(sum(score[i, x] for i, x in enumerate(labels)) + sum(p[labels[i], labels[j]] for i, j, p in pairs))
+        for i, x in enumerate(labels):
+            total[i, x] += w
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_pii_marginals_against_enumeration():
+    """Equal on chains and trees of skips; close where edges close loops."""
+    rng = np.random.default_rng(14)
+    size = len(skip_chain_pii.LABELS)
+    none = np.zeros(size)
+    for trial in range(40):
+        n = 6
+        unary = {f"f{i}": rng.normal(0, 1.5, size) for i in range(n)}
+        chain = [(0, 1), (1, 2), (3, 4)] if trial % 2 else [(i, i + 1) for i in range(n - 1)]
+        skips = [(2, 3), (1, 5)] if trial % 2 else [(0, 3), (2, 5)]
+        field = skip_chain_pii.Field(unary, rng.normal(0, 0.5, size), rng.normal(0, 0.5, (size, size)), rng.normal(0, 0.3, (size, size)) + np.eye(size))
+        known = [0, 0, 0, 0, 2, 0] if trial % 3 == 0 else [0] * n
+        if trial % 4 == 0:
+            skips = []
+        got = field.marginals([[f"f{i}"] for i in range(n)], chain, skips, known)
+        score = np.array([field.prior + unary.get(f"f{i}", none) for i in range(n)])
+        for i, k in enumerate(known):
+            if k:
+                score[i] = np.where(np.arange(size) == k, 0, -50)
+        want = _exact(score, [(i, j, field.chain) for i, j in chain] + [(i, j, field.skip) for i, j in skips])
+        tree = trial % 2 or not skips
+        assert np.abs(got - want).max() < (5e-3 if tree else 0.1), trial
+
+
+def test_pii_time_grows_with_the_text():
+    size = len(skip_chain_pii.LABELS)
+    field = skip_chain_pii.Field({}, np.eye(size)[0], np.zeros((size, size)), np.eye(size))
+    for text in ("a" * 500_000 + "1" + "b" * 500_000, "1" * 1_000_000, "1.1.1." * 150_000, "+1 2(3" * 80_000, "a@" * 300_000, " ".join(f"a{i}@b{i}.com" for i in range(8000)), "x" * 900_000 + "@@@@ 1", "é" * 1_000_000 + "1"):
+        began = time.process_time()
+        skip_chain_pii.find(text, field)
+        assert time.process_time() - began < 5, text[:20]
+
+
+def test_pii_field_works_without_evidence():
+    """Two mentions of one malformed address, and no base span in the text."""
+    size = len(skip_chain_pii.LABELS)
+    field = skip_chain_pii.Field({"at=1.0": np.eye(size)[1] * 3.0}, np.eye(size)[0] * 0.5, np.zeros((size, size)), 3 * np.eye(size))
+    text = "write to jo@mail or else to jo@mail2 soon; room 12"
+    base, spans = skip_chain_pii.find(text, field)
+    assert base == [] and [text[a:b] for _, a, b in spans] == ["jo@mail", "jo@mail2"]
+    assert skip_chain_pii.find("write to jo@mail", field)[1] == []
+
+
 def test_sentencepiece_equals_the_library(docs, none):
     import sentencepiece
 
@@ -285,8 +351,6 @@ def test_sentencepiece_equals_the_library(docs, none):
 
 
 def test_hilbert_curve_and_packing(docs, none):
-    import itertools
-
     points = np.array(list(itertools.product(range(8), repeat=3)))
     walk = points[np.argsort(hilbert_pack.hilbert_key(points, 3))]
     assert set(np.abs(np.diff(walk, axis=0)).sum(axis=1)) == {1}
