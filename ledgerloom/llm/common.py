@@ -26,14 +26,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the shared folder that the cluster names; a local one only where none is named."""
+    """A new folder in the shared folder that the cluster names; a local one only where none is named and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", f"file://{root}")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         root = f"file://{root}"
-    return f"{root.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
+    _made.append(folder)
+    return folder
+
+
+_made: list[str] = []
+
+
+def made() -> int:
+    """How many shared folders this process has made, for clear()."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: str = "") -> None:
+    """Remove the shared folders made since then but for one; for when all that was read from them is read or written."""
+    for folder in [x for x in _made[since:] if x != keep]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _made.remove(folder)
 
 
 def staged(df: DataFrame, path: str | None = None) -> DataFrame:

@@ -108,13 +108,16 @@ def assign(docs: DataFrame, old: Column, shards: int = SHARDS, block_bytes: int
 
     old gives each row's old shard, from 0. Texts are shuffled once; the passes before read only sizes.
     """
-    rows = common.identified(docs, "doc_id").drop("shard", "slot")
-    rows = rows.withColumns({"_old": old.cast("int"), "_size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8})
+    # a row's own columns are packed, so that none can clash with those used here
+    size, crc = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8, F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    rows = common.identified(docs, "doc_id")
+    own = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "doc_id", old.cast("int").alias("_old"), size.alias("_size"), crc.alias("_crc"))
     found = {r._old: r.b for r in rows.groupBy("_old").agg(F.sum("_size").alias("b")).collect()}
     sizes = [found.get(i, 0) for i in range(max([shards - 1, *found]) + 1)]
     lines, affected = plan(sizes, even(sum(sizes), shards))
     blocks = F.array(*[F.lit(max(1, -(-s // block_bytes))) for s in sizes])
-    rows = rows.withColumns({"_block": F.pmod(F.xxhash64("doc_id"), F.get(blocks, F.col("_old"))).cast("int"), "_crc": F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))})
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.get(blocks, F.col("_old"))).cast("int"))
 
     ends, news = _nested([[e for e, _ in x] for x in lines], "long"), _nested([[j for _, j in x] for x in lines], "int")
     in_block = Window.partitionBy("_old", "_block").orderBy("doc_id", "_crc", "_size")
@@ -136,8 +139,7 @@ def assign(docs: DataFrame, old: Column, shards: int = SHARDS, block_bytes: int
     # at most `shards` entries for each block
     table = common.staged(cut.groupBy("_old", "_block").agg(F.min("_at").alias("_at"), F.map_from_entries(F.collect_list(F.struct("_shard", "_base"))).alias("_bases")))
     out = placed(rows.join(table, ["_old", "_block"]))
-    out = out.withColumns({"shard": F.col("_shard"), "slot": F.element_at("_bases", F.col("_shard")) + F.col("_rn")})
-    return out.drop("_old", "_size", "_block", "_crc", "_at", "_bases", "_mid", "_rn", "_shard"), affected
+    return out.select("_row.*", F.col("_shard").alias("shard"), (F.element_at("_bases", F.col("_shard")) + F.col("_rn")).alias("slot")), affected
 
 
 def rewrite(docs: DataFrame, old: Column, path: str, shards: int = SHARDS, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, set[int]]:

@@ -14,8 +14,8 @@ composition takes time in proportion to the text.
 
 Where two characters stand next to each other in no piece of the model, no arc spans them and the transducer
 is back in its first state. Texts are cut there, at blanks and line ends first, and the paths of words and of
-their parts are remembered in tables of at most CACHE entries, which are emptied when full and change no
-result.
+their parts are remembered in tables of at most CACHE entries, of LONGEST characters at most; they are emptied when full
+and change no result.
 
 Cases: null text counts as empty; an empty text has no ids; a text's own U+2581 decodes to a blank, as in the
 original; rows without an id take no part; repeated rows stay; other columns are ignored; an empty table
@@ -40,7 +40,7 @@ from . import common
 
 SPACE = "▁"
 #: Words whose paths an executor's worker remembers.
-CACHE = 1_000_000
+CACHE, LONGEST = 600_000, 48
 #: Weight of a byte arc in a unigram model, above that of any piece.
 BYTE_WEIGHT = 100.0
 
@@ -175,18 +175,21 @@ class Transducer:
         for p in self.shortest(part):
             k = self.pieces.get(p)
             ids += [self.bytes[b] for b in p.encode()] if k is None else [k]
-        if len(self.parts) >= CACHE:
-            self.parts.clear()
-        found = self.parts[part] = np.array(ids, "<u4").tobytes()
+        found = np.array(ids, "<u4").tobytes()
+        if len(part) <= LONGEST:
+            if len(self.parts) >= CACHE:
+                self.parts.clear()
+            self.parts[part] = found
         return found
 
     def word_ids(self, word: str) -> bytes:
         cuts = [0, *(i + 1 for i in range(len(word) - 1) if word[i : i + 2] not in self.bonds), len(word)]
         get, find = self.parts.get, self.part_ids
         found = b"".join([get(p) or find(p) for p in (word[i:j] for i, j in pairwise(cuts))])
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        self.cache[word] = found
+        if len(word) <= LONGEST:
+            if len(self.cache) >= CACHE:
+                self.cache.clear()
+            self.cache[word] = found
         return found
 
     def normalised(self, text: str) -> str:

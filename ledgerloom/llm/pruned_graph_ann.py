@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by robust-pruned directed graphs (Subramanya et al., "DiskANN", 2019).
 
-Rows are dealt into shards of about SHARD_ROWS by a hash of their id. In each shard a directed graph is grown:
+Rows are dealt into shards of about SHARD_ROWS by a hash of their id; where that would make more than two shards a shuffle
+partition, shards grow with the rows up to SHARD_MOST, since every query goes to every shard. In each shard a directed graph is grown:
 from a random graph, greedy searches for each vector propose neighbours, and relaxed distance pruning keeps
 one only if no kept neighbour is RELAX times nearer to it than the vector itself, so that edges point in
 diverse directions; reverse edges are added and pruned alike. The index is a table of vectors and edges. A
-query is searched by beam in every shard's graph, and the shards' finds are merged.
+query is searched by beam in every shard's graph, and the shards' finds are merged. Queries meet a shard in chunks of about
+CHUNK, each with the shard's index, so that no group grows with the number of queries.
 
 Distances in the graph are of single precision; what the beams find is ranked by double-precision distances
 of the original vectors. Equal vectors are one node that carries its K + 1 smallest ids: no larger id can
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from . import common
 
 K = 10
-SHARD_ROWS = 5000
+SHARD_ROWS, SHARD_MOST = 5000, 100_000
+#: Queries in a group, aimed at.
+CHUNK = 20_000
 #: Edges of a node, beam of the searches that build and that answer, and the two rounds' relaxations.
 DEGREE, BUILD_BEAM, BEAM, RELAX = 32, 64, 128, (1.0, 1.2)
 #: Vectors searched at a time, and beam entries expanded at a time.
@@ -159,10 +163,12 @@ def build_index(vectors: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS) ->
     nth = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     nodes = rows.withColumn("_nth", nth).filter(F.col("_nth") <= k + 1).groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("vec_ids"))
     nodes = common.staged(nodes.withColumns({"low": F.element_at("vec_ids", 1), "dim": F.size("embedding")}))
-    shards = {r["dim"]: max(1, -(-r["n"] // shard_rows)) for r in nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length of vector
+    most = 2 * common.partitions(vectors.sparkSession)
+    shards = {r["dim"]: max(1, -(-r["n"] // max(shard_rows, SHARD_MOST)), min(-(-r["n"] // shard_rows), most)) for r in nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length of vector
     count = F.create_map(*[F.lit(v) for x in (shards or {0: 1}).items() for v in x])
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("low"), F.element_at(count, F.col("dim"))).cast("int"))
-    return common.staged(dealt.groupBy("dim", "shard").applyInPandas(_grow, _INDEX))
+    # a range a shard: hashes of a few shards would leave tasks idle
+    return common.staged(dealt.repartitionByRange(max(1, sum(shards.values())), "dim", "shard").groupBy("dim", "shard").applyInPandas(_grow, _INDEX))
 
 
 _FOUND = "query_id long, vec_id long, score double"
@@ -194,13 +200,16 @@ def _ask(k: int, beam: int):
 def nearest(index: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each query (vec_id, embedding) but for rows of its own id.
 
-    Every query is sent to each shard of its vector's length, in one group a shard; a shard returns k finds a query.
+    Every query is sent to each shard of its vector's length; a shard returns k finds a query.
     """
     asked = valid(queries).distinct().select(F.col("vec_id").alias("query_id"), "embedding", F.size("embedding").alias("to_dim"))
     last = {r["dim"]: r["last"] for r in index.groupBy("dim").agg(F.max("shard").alias("last")).collect()}  # a row for each length of vector
     last = F.create_map(*[F.lit(v) for x in (last or {0: 0}).items() for v in x])
+    chunks = max(1, -(-asked.count() // CHUNK))
+    asked = asked.withColumn("to_chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
     sent = asked.withColumn("_last", F.element_at(last, F.col("to_dim"))).withColumn("to", F.explode(F.sequence(F.lit(0), "_last"))).drop("_last")
-    found = index.groupBy("dim", "shard").cogroup(sent.groupBy("to_dim", "to")).applyInPandas(_ask(k, beam), _FOUND)
+    index = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    found = index.groupBy("dim", "shard", "chunk").cogroup(sent.groupBy("to_dim", "to", "to_chunk")).applyInPandas(_ask(k, beam), _FOUND)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

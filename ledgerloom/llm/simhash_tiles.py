@@ -110,7 +110,7 @@ def _with_sets(folder: str, words: int, bits: int):
                     out.write(octets)
                     rows.append((simhash(hashes[first]) + xxhash.xxh3_64_digest(octets), sketch(found), len(found), name, at))
                     at += len(octets)
-                yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["fp", "sk", "n", "file", "at"])], axis=1)
+                yield pd.concat([batch[["doc_id", "text_hash"]].reset_index(drop=True), pd.DataFrame(rows, columns=["fp", "sk", "n", "file", "at"])], axis=1)
 
     return each
 
@@ -367,30 +367,41 @@ def components(edges: DataFrame) -> DataFrame:
     return moved
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 64, radius: int = RADIUS, alike: float | None = None) -> DataFrame:
-    """(doc_id, fingerprint, component_id): component_id is the smallest doc_id reachable by links."""
-    rows = common.identified(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def members(docs: DataFrame, words: int, bits: int, radius: int, alike: float | None) -> DataFrame:
+    """(doc_id, text_hash, fp, root, component_id): root names the component, component_id is its smallest doc_id."""
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = common.identified(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), "text")
     folder = f"{common.shared_dir(docs.sparkSession)}/sets"
     if alike is None:
-        rows = common.staged(rows.select("doc_id", fingerprints(words, bits).alias("fp")))
+        rows = common.staged(rows.select("doc_id", "text_hash", fingerprints(words, bits).alias("fp")))
         prints = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     else:
-        rows = common.staged(rows.mapInPandas(_with_sets(folder, words, bits), f"doc_id long, fp binary, sk binary, {_SET}"))
+        rows = common.staged(rows.mapInPandas(_with_sets(folder, words, bits), f"doc_id long, text_hash long, fp binary, sk binary, {_SET}"))
         prints = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("sk").alias("sk"), F.min(F.struct("n", "file", "at")).alias("_s")).select("fp", "first", "sk", "_s.*")
     prints = common.staged(prints)
     roots = components(links(prints.drop("first"), bits, radius, alike, folder))
     named = prints.select("fp", "first").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    owned = common.staged(named.select("fp", "root").join(least, "root").select("fp", "component_id"))
-    return rows.select("doc_id", "fp").join(owned, "fp").select("doc_id", F.lower(F.hex(F.substring("fp", 1, bits // 8))).alias("fingerprint"), "component_id")
+    owned = common.staged(named.select("fp", "root").join(least, "root").select("fp", "root", "component_id"))
+    return rows.select("doc_id", "text_hash", "fp").join(owned, "fp")
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 64, radius: int = RADIUS, alike: float | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id): component_id is the smallest doc_id reachable by links."""
+    found = members(docs, words, bits, radius, alike)
+    return found.select("doc_id", F.lower(F.hex(F.substring("fp", 1, bits // 8))).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without copies and near copies (five-word shingles alike to 0.8 or more): of each group the row with the
-    smallest id stays, with all columns. Rows equal in id and text are copies; rows without an id go."""
-    kept = near_duplicates(docs, WORDS_NEAR, BITS_NEAR, RADIUS_NEAR, ALIKE).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    own = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return own.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    """docs without copies and near copies (five-word shingles alike to 0.8 or more): of each group one row stays, with all
+    columns: that with the smallest id and, where texts of one group share that id, the text of the smallest hash.
+    Rows equal in id and text are copies; rows of one id whose texts aren't near each other stay each; rows without an id go."""
+    own_hash, kept_id, kept_hash = common.unused(docs, "text_hash", "kept_id", "kept_hash")
+    first = members(docs, WORDS_NEAR, BITS_NEAR, RADIUS_NEAR, ALIKE).filter("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"))
+    kept = first.select(F.col("x.doc_id").alias(kept_id), F.col("x.text_hash").alias(kept_hash))
+    own = docs.withColumn(own_hash, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = (F.col("doc_id").cast("long") == F.col(kept_id)) & (F.col(own_hash) == F.col(kept_hash))
+    return own.join(kept, same, "left_semi").dropDuplicates(["doc_id", own_hash]).drop(own_hash)
 
 
 def op4_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:

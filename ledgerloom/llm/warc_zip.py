@@ -156,13 +156,16 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write pages as archives under folder, a URI that all executors share: a row (archive, records) for each.
 
     Every task writes an archive of its own name; the names that the finished tasks return are kept in a
-    table, so that what a lost or repeated task left behind is never read. Page ids and digests are grouped
-    first; the html is shuffled once.
+    table, so that what a lost or repeated task left behind is never read. What a record refers to is found from page
+    ids and digests alone; the html is then shuffled once, by page, so that many copies of a page are no hot key.
     """
     rows = pages.filter(F.col("page_id").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1("html"))
-    same = rows.filter(F.octet_length("html") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("top"), F.min("page_id").alias("low")).filter("top > low").drop("low")
-    rows = rows.join(same, "digest", "left").select("page_id", "url", "html", F.when(F.col("top") > F.col("page_id"), F.col("top")).alias("refers_to"))
+    narrow = rows.filter(F.octet_length("html") >= MIN_REVISIT).select("page_id", "digest")
+    # written, so that both sides of the join are plain exchanges, which Spark may split where a digest is hot
+    same = common.staged(narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("low")).filter("refers_to > low").drop("low"))
+    again = narrow.join(same, "digest").filter("page_id < refers_to").distinct()
+    rows = rows.join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         batches = (x for x in batches if len(x))

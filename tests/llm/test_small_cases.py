@@ -18,7 +18,10 @@ from ledgerloom.llm import flow_reshard, fst_sentencepiece, hilbert_pack, kneser
 
 BPE, SP = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: Columns whose names operators use inside.
-CLASH = "bucket int, key long, shard string, slot string, fp string, lang string, source string, n_chars long"
+CLASH = "bucket int, key long, shard string, slot string, fp string, lang string, source string, n_chars long, " + ", ".join(
+    f"{c} string" for c in "_id _hash _size _old _block _crc _at _bases _mid _rn _shard _row _text_hash text_hash kept_id kept_hash root component_id z ids n part _pii _base _spans bits threshold keep good place query_id rank score _d at file sk".split()
+)
+N_CLASH = CLASH.count(",") + 1
 ROWS = [
     (5, "The quick brown fox, jumps over the lazy dog. Mail a.b@example.com now"),
     (3, None),
@@ -35,7 +38,7 @@ ROWS = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    extra = (1, 2, "x", "y", "z", "en", "s", 0)
+    extra = (1, 2, "x", "y", "z", "en", "s", 0, *["w"] * (N_CLASH - 8))
     return spark.createDataFrame([(i, t, *extra) for i, t in ROWS], f"doc_id long, text string, {CLASH}")
 
 
@@ -85,7 +88,9 @@ def test_flow_is_least_and_layout_even(docs, none, tmp_path, spark):
         stay = sum(min(s, r) for s, r in zip(sizes, room, strict=False))
         assert sum(v for (i, j), v in flow.items() if i != j) == sum(sizes) - stay
     layout, _ = flow_reshard.rewrite(docs, flow_reshard.by_source(4), str(tmp_path / "a"), 4, 64)
+    assert sorted(layout.columns) == sorted(docs.columns)
     rows = layout.collect()
+    assert all(r["_size"] == r["_rn"] == r["_row"] == "w" for r in rows)
     assert sorted((r.doc_id, r.text or "") for r in rows) == sorted(KNOWN)
     for s in {r["shard"] for r in rows}:
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
@@ -177,6 +182,17 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(30)) and kept.columns == ["doc_id", "text"]
 
 
+def test_keep_one_repeated_ids(docs, none, spark):
+    """Near texts of one id are a group; other texts of that id are another."""
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(1, near), (1, near + " more"), (1, "quite another text with words of its own that nobody shares at all"), (2, near), (1, near)]
+    kept = sorted(map(tuple, simhash_tiles.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert len(kept) == 2 and [r[0] for r in kept] == [1, 1] and len({r[1] for r in kept} & {near, near + " more"}) == 1
+    kept = simhash_tiles.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 6, 8]
+    assert simhash_tiles.keep_one(none).count() == 0
+
+
 def test_keep_one_is_exact(spark):
     """Pairs just above and below a likeness of 0.8, short texts, and a passage that one copy repeats."""
     rng = np.random.default_rng(5)
