@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,8 +51,13 @@ def extract(text: Column, pattern: str | Column, group: int = 1) -> Column:
     return nullif_empty(F.call_function("regexp_extract", text, pattern, F.lit(group)))
 
 
+def either(patterns: list[str]) -> str:
+    """One pattern for all, without case: it matches first where the earliest of them does."""
+    return "(?i)(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
+
+
 def any_match(text: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [text.rlike(f"(?i){p}") for p in patterns])
+    return text.rlike(either(patterns))
 
 
 def normalize_merchant(raw: Column) -> Column:
@@ -72,8 +76,7 @@ def clean_merchant(raw: Column) -> Column:
     s = F.regexp_replace(s, r"\A[\s:\-–—]+|[\s:\-–—.]+\z", "")
     s = F.regexp_replace(s, r"(?i)\A(?:m/s|mr|mrs|ms)\.?\s+", "")
     s = F.trim(F.regexp_replace(s, r"\A[A-Z0-9]{2,10}\s*\*\s*", ""))
-    s = let(s, lambda s: F.when(s.rlike("[a-zA-Z]") & ~s.rlike(r"\A\d[\d\s-]{6,}"), F.trim(F.substring(s, 1, 60))))
-    return let(s, lambda s: F.when(F.length(s) >= 2, s))
+    return F.get(F.filter(F.transform(F.array(s), lambda s: F.when(s.rlike("[a-zA-Z]") & ~s.rlike(r"\A\d[\d\s-]{6,}"), F.trim(F.substring(s, 1, 60)))), lambda s: F.length(s) >= 2), F.lit(0))
 
 
 def until_stop_word(s: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.functions.scalars import IST_MS, half_up
+from ledgerloom.operators.classify import payments
 from ledgerloom.rules import messages as R
 
 DAY_MS = 86_400_000
@@ -16,49 +17,52 @@ DAY_MS = 86_400_000
 FURTHEST_MS = 400 * DAY_MS
 
 
-def amounts(text: Column) -> Column:
-    """Array of (paise, place) of the amounts that aren't balances, limits or points; place counts from 0.
+# Each field's values that cost a regular expression are found first, those that rest on them after. `parse` keeps the
+# first as columns; the functions on a text bind them with `let`.
 
-    The pieces between matches and the matches give the places.
-    """
+
+def _hits(text: Column) -> Column:
+    """struct(between, whole): the lengths of the pieces between amounts, and the amounts."""
     pattern = f"(?i){R.AMOUNT_VALUE}"
-    lengths = F.struct(F.transform(F.split(text, pattern, -1), F.length).alias("between"), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length).alias("whole"))
-    total = lambda of, n: F.aggregate(F.slice(of, F.lit(1), n), F.lit(0), lambda s, x: s + x)
+    return F.struct(F.transform(F.split(text, pattern, -1), F.length).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"))
 
-    def placed(x: Column) -> Column:
-        hit = lambda v, i: F.struct(
-            half_up(F.replace(v, F.lit(","), F.lit("")).try_cast("double") * 100).alias("paise"),
-            (total(x["between"], i + 1) + total(x["whole"], i)).alias("place"),
-        )
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), hit)
 
-    hits = T.let(lengths, placed)
+def _amounts(text: Column, hits: Column) -> Column:
+    total = lambda of, n: F.aggregate(F.slice(of, F.lit(1), n), F.lit(0), lambda s, x: s + x)
+    lengths = F.transform(hits["whole"], F.length)
+    digits = lambda v: F.regexp_replace(v, r"\A[^0-9,]*[.\s]*|,", "")
+    hit = lambda v, i: F.struct(half_up(digits(v).try_cast("double") * 100).alias("paise"), (total(hits["between"], i + 1) + total(lengths, i)).alias("place"))
     before = lambda h: F.substring(text, F.greatest(h["place"] - 40, F.lit(0)) + 1, F.least(h["place"], F.lit(40)))
-    return F.filter(hits, lambda h: (h["paise"] > 0) & ~before(h).rlike(f"(?i){R.BALANCE}"))
+    return F.filter(F.transform(hits["whole"], hit), lambda h: (h["paise"] > 0) & ~before(h).rlike(f"(?i){R.BALANCE}"))
+
+
+def amounts(text: Column) -> Column:
+    """Array of (paise, place) of the amounts that aren't balances, limits or points; place counts from 0.
+
+    The pieces between matches and the matches give the places.
+    """
+    return T.let(_hits(text), lambda h: _amounts(text, h))
 
 
 def first_place(text: Column, patterns: list[str]) -> Column:
     """Where the earliest match begins, from 0; -1 if there is none."""
-    found = [F.nullif(F.regexp_instr(text, F.lit(f"(?i){p}")), F.lit(0)) for p in patterns]
-    return F.coalesce(F.least(*found) - 1, F.lit(-1))
+    return F.regexp_instr(text, F.lit(T.either(patterns))) - 1
 
 
-def direction(text: Column) -> Column:
-    """struct(direction, place): refunds are credits, else the earlier phrase decides, debit at a tie."""
-    pick = lambda name, place: F.struct(F.lit(name).cast("string").alias("direction"), place.alias("place"))
-    places = F.struct(first_place(text, R.DEBIT).alias("debit"), first_place(text, R.CREDIT).alias("credit"), text.rlike(f"(?i){R.REFUND}").alias("refund"))
+def _phrases(text: Column) -> Column:
+    return F.struct(first_place(text, R.DEBIT).alias("debit"), first_place(text, R.CREDIT).alias("credit"), text.rlike(f"(?i){R.REFUND}").alias("refund"))
 
-    def decided(p: Column) -> Column:
-        debit, credit = p["debit"], p["credit"]
-        return (
-            F.when(p["refund"], pick("credit", credit))
-            .when((debit < 0) & (credit < 0), pick(None, F.lit(-1)))
-            .when(debit < 0, pick("credit", credit))
-            .when((credit < 0) | (debit <= credit), pick("debit", debit))
-            .otherwise(pick("credit", credit))
-        )
 
-    return T.let(places, decided)
+def _direction(p: Column) -> Column:
+    debit, credit = p["debit"], p["credit"]
+    is_debit = ~p["refund"] & (debit >= 0) & ((credit < 0) | (debit <= credit))
+    name = F.when(is_debit, "debit").when(p["refund"] | (credit >= 0), "credit")
+    return F.struct(name.alias("direction"), F.when(is_debit, debit).otherwise(credit).alias("place"))
+
+
+def direction(text: Column) -> Column:
+    """struct(direction, place): refunds are credits, else the earlier phrase decides, debit at a tie."""
+    return T.let(_phrases(text), _direction)
 
 
 def amount(hits: Column, place: Column) -> Column:
@@ -72,18 +76,22 @@ def upi_id(text: Column) -> Column:
     return F.get(F.filter(found, lambda v: ~F.substring_index(v, "@", -1).isin(R.EMAIL_PROVIDERS)), F.lit(0))
 
 
+def _first_kept(values: list[Column], keep) -> Column:
+    """The first of the texts that isn't empty and is kept."""
+    return F.get(F.filter(F.array(*values), lambda x: (x != "") & keep(x)), F.lit(0))
+
+
 def reference(text: Column) -> Column:
-    found = [T.extract(text, f"(?i){p}") for p in R.REFERENCE]
-    return F.coalesce(*[T.let(f, lambda x: F.when(~x.rlike(r"\A\d{1,2}[-/]\d{1,2}"), x)) for f in found])
+    return _first_kept([F.regexp_extract(text, f"(?i){p}", 1) for p in R.REFERENCE], lambda x: ~x.rlike(r"\A\d{1,2}[-/]\d{1,2}"))
 
 
 def card_last4(text: Column) -> Column:
-    return F.coalesce(*[T.extract(text, p) for p in R.CARD])
+    return _first_kept([F.regexp_extract(text, p, 1) for p in R.CARD], lambda x: F.lit(True))
 
 
 def channel(text: Column, vpa: Column, card: Column, hint: Column) -> Column:
     """A VPA in the text is better evidence of UPI than the bare word, which boilerplate has too."""
-    out = F.when(vpa.isNotNull() | text.rlike(r"(?i)\bvpa\b"), "UPI").when(text.rlike(r"(?i)\bcard\b") & card.isNotNull(), "Card")
+    out = F.when(vpa.isNotNull() | text.rlike(r"(?i)\bvpa\b"), "UPI").when(card.isNotNull() & text.rlike(r"(?i)\bcard\b"), "Card")
     for pattern, name in R.CHANNEL_WORDS:
         out = out.when(text.rlike(f"(?i){pattern}"), name)
     return out.otherwise(hint)
@@ -91,24 +99,34 @@ def channel(text: Column, vpa: Column, card: Column, hint: Column) -> Column:
 
 def narration(text: Column) -> Column:
     """struct(ref, merchant, upi_id) of a bank's slash- or dash-separated narration."""
-    part = lambda i: T.extract(text, R.NARRATION, i)
-    return F.struct(part(1).alias("ref"), T.clean_merchant(part(2)).alias("merchant"), F.lower(part(4)).alias("upi_id"))
+    return T.let(F.regexp_extract(text, R.NARRATION, 0), _narration)
 
 
-def vpa_beneficiary(text: Column, vpa: Column) -> Column:
-    """The name next to this very VPA: in brackets after it, capitalised after it, or before its brackets."""
+def _narration(whole: Column) -> Column:
+    part = lambda i: F.regexp_extract(whole, R.NARRATION, i)
+    return F.struct(T.nullif_empty(part(1)).alias("ref"), T.clean_merchant(part(2)).alias("merchant"), T.nullif_empty(F.lower(part(4))).alias("upi_id"))
+
+
+def _vpa_names(text: Column, vpa: Column) -> list[Column]:
     quoted = F.concat(F.lit(r"\Q"), vpa, F.lit(r"\E"))
-    after_in = F.concat(F.lit(r"(?i)(?:VPA[:\s]*)?"), quoted, F.lit(r"\s*\(([^)]{2,50})\)"))
-    after = F.concat(F.lit(r"(?:VPA[:\s]*)?"), quoted, F.lit(r"\s+([A-Z][\w\s.&-]{2,40}?)(?=\s+on\b|[.,;\n]|\z)"))
+    after_in = F.concat(F.lit("(?i)"), quoted, F.lit(r"\s*\(([^)]{2,50})\)"))
+    after = F.concat(quoted, F.lit(r"\s+([A-Z][\w\s.&-]{2,40}?)(?=\s+on\b|[.,;\n]|\z)"))
     before = F.concat(F.lit(r"(?i)([A-Z][\w .&'-]{2,40}?)\s*\(\s*VPA[:\s]*"), quoted, F.lit(r"\s*\)"))
-    return F.coalesce(*[T.clean_merchant(T.extract(text, p)) for p in (after_in, after, before)])
+    return [F.call_function("regexp_extract", text, p, F.lit(1)) for p in (after_in, after, before)]
+
+
+def vpa_beneficiary(text: Column, vpa: Column) -> Column:
+    """The name next to this very VPA: in brackets after it, capitalised after it, or before its brackets."""
+    return F.get(F.array_compact(F.transform(F.array(*_vpa_names(text, vpa)), T.clean_merchant)), F.lit(0))
 
 
 def merchant(text: Column, told: Column, vpa: Column) -> Column:
     """struct(name, source): narration, then the VPA's beneficiary, then the patterns in order."""
-    pick = lambda name, source: T.let(name, lambda n: F.when(n.isNotNull(), F.struct(n.alias("name"), F.lit(source).alias("source"))))
-    named = [pick(T.clean_merchant(T.until_stop_word(T.clean_merchant(T.extract(text, p)))), s) for p, s in R.MERCHANT]
-    return F.coalesce(pick(told["merchant"], "narration"), pick(vpa_beneficiary(text, vpa), "vpa-name"), *named)
+    found = lambda name, source: F.struct(name.alias("raw"), F.lit(source).alias("source"))
+    raw = [found(told, "narration"), *[found(x, "vpa-name") for x in _vpa_names(text, vpa)], *[found(F.regexp_extract(text, p, 1), s) for p, s in R.MERCHANT]]
+    short = lambda x: F.when(x["source"].isin("narration", "vpa-name"), x["raw"]).otherwise(T.until_stop_word(T.clean_merchant(x["raw"])))
+    named = F.transform(F.filter(F.array(*raw), lambda x: x["raw"] != ""), lambda x: F.struct(T.clean_merchant(short(x)).alias("name"), x["source"].alias("source")))
+    return F.get(F.filter(named, lambda x: x["name"].isNotNull()), F.lit(0))
 
 
 def looks_like_a_name(s: Column) -> Column:
@@ -135,69 +153,77 @@ def month_number(name: Column) -> Column:
     return F.coalesce(name.try_cast("int"), F.element_at(known, F.lower(F.substring(name, 1, 3))), F.lit(0))
 
 
-def occurred_at(text: Column, arrived: Column) -> Column:
-    """struct(ms, parsed, precise): the message's own time where it has one that is believed, else its arrival."""
-    groups = lambda pattern, n: F.array(*[T.extract(text, pattern, i) for i in range(1, n + 1)])
-    number = lambda g, i: F.coalesce(g[i].cast("int"), F.lit(0))
-    valid = lambda month, day: month.between(1, 12) & day.between(1, 31)
+def _told_times(text: Column) -> Column:
+    """struct(iso, date, time): the stretches of text that hold them, empty where there is none."""
+    return F.struct(*[F.regexp_extract(text, p, 0).alias(n) for n, p in (("iso", R.ISO_DATE), ("date", R.DATE), ("time", R.TIME))])
 
-    def from_iso(g: Column) -> Column:
-        y, m, d = (number(g, i) for i in range(3))
-        return F.when(g[0].isNotNull() & valid(m, d), utc_ms(y, m, d, number(g, 3), number(g, 4), number(g, 5)) - IST_MS)
+
+def _time_parts(told: Column) -> Column:
+    """The same as arrays of the patterns' groups."""
+    groups = lambda n, p, k: F.array(*[F.regexp_extract(told[n], p, i) for i in range(1, k + 1)]).alias(n)
+    return F.struct(groups("iso", R.ISO_DATE, 6), groups("date", R.DATE, 7), groups("time", R.TIME, 4))
+
+
+def _times(g: Column, arrived: Column) -> Column:
+    """struct(iso, ms, precise) in milliseconds, each null where it isn't told or is no time."""
+    number = lambda x: F.coalesce(x.try_cast("int"), F.lit(0))
+    valid = lambda month, day: month.between(1, 12) & day.between(1, 31)
 
     def clock(g: Column, at: int) -> Column:
         """Seconds of the day of hour, minute, second and half at those places; null if there is no hour."""
-        half, hour = F.lower(F.coalesce(g[at + 3], F.lit(""))), number(g, at)
+        half, hour = F.lower(g[at + 3]), number(g[at])
         hour = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
-        return F.when(g[at].isNotNull(), hour * 3600 + number(g, at + 1) * 60 + number(g, at + 2))
+        return F.when(g[at] != "", hour * 3600 + number(g[at + 1]) * 60 + number(g[at + 2]))
 
-    def from_date(g: Column) -> Column:
-        """struct(ms, precise)"""
-        parts = F.struct(month_number(g[1]).alias("m"), F.when(number(g, 2) < 100, number(g, 2) + 2000).otherwise(number(g, 2)).alias("y"), F.coalesce(clock(g, 3), T.let(groups(R.TIME, 4), lambda t: clock(t, 0))).alias("told"))
-        arrival = F.floor(F.pmod(arrived + IST_MS, F.lit(DAY_MS)) / 1000)
-        ms = lambda p: utc_ms(p["y"], p["m"], number(g, 0)) + F.coalesce(p["told"], arrival) * 1000 - IST_MS
-        return T.let(parts, lambda p: F.when(g[0].isNotNull() & valid(p["m"], number(g, 0)), F.struct(ms(p).cast("long").alias("ms"), p["told"].isNotNull().alias("precise"))))
+    iso, date = g["iso"], g["date"]
+    from_iso = F.when((iso[0] != "") & valid(number(iso[1]), number(iso[2])), utc_ms(number(iso[0]), number(iso[1]), number(iso[2]), number(iso[3]), number(iso[4]), number(iso[5])) - IST_MS)
+    told = F.coalesce(clock(date, 3), clock(g["time"], 0))
+    month, day, year = month_number(date[1]), number(date[0]), number(date[2])
+    arrival = F.floor(F.pmod(arrived + IST_MS, F.lit(DAY_MS)) / 1000)
+    from_date = F.when((date[0] != "") & valid(month, day), utc_ms(F.when(year < 100, year + 2000).otherwise(year), month, day) + F.coalesce(told, arrival) * 1000 - IST_MS)
+    return F.struct(from_iso.cast("long").alias("iso"), from_date.cast("long").alias("ms"), told.isNotNull().alias("precise"))
 
-    def believed(ms: Column) -> Column:
-        return F.abs(ms - arrived) <= FURTHEST_MS
 
+def _believed(t: Column, arrived: Column) -> Column:
+    near = lambda ms: F.coalesce(F.abs(ms - arrived) <= FURTHEST_MS, F.lit(False))
     told = lambda ms, parsed, precise: F.struct(ms.cast("long").alias("ms"), F.lit(parsed).alias("parsed"), precise.alias("precise"))
-    iso = T.let(T.let(groups(R.ISO_DATE, 6), from_iso), lambda ms: F.when(ms.isNotNull() & believed(ms), told(ms, True, F.lit(True))))
-    dated = T.let(T.let(groups(R.DATE, 7), from_date), lambda x: F.when(x.isNotNull() & believed(x["ms"]), told(x["ms"], True, x["precise"])))
-    return F.coalesce(iso, dated, told(arrived, False, F.lit(False)))
+    return F.when(near(t["iso"]), told(t["iso"], True, F.lit(True))).when(near(t["ms"]), told(t["ms"], True, t["precise"])).otherwise(told(arrived, False, F.lit(False)))
+
+
+def occurred_at(text: Column, arrived: Column) -> Column:
+    """struct(ms, parsed, precise): the message's own time where it has one that is believed, else its arrival."""
+    return T.let(T.let(T.let(_told_times(text), _time_parts), lambda g: _times(g, arrived)), lambda t: _believed(t, arrived))
 
 
 def parse(classified: DataFrame) -> DataFrame:
-    """From classified messages (with arrived_at) the payments, with every field that could be found."""
-    text = F.col("text")
-    told = F.struct(direction(text).alias("by"), amounts(text).alias("hits"))
-    money = T.let(told, lambda t: F.struct(t["by"]["direction"].alias("direction"), amount(t["hits"], t["by"]["place"]).alias("amount_paise")))
-    money = T.let(money, lambda a: F.when(a["direction"].isNotNull() & a["amount_paise"].isNotNull(), a))
-    df = classified.filter("is_txn").withColumn("_a", money).filter("_a IS NOT NULL")
-
-    found = F.struct(narration(text).alias("told"), upi_id(text).alias("vpa"), card_last4(text).alias("card"), reference(text).alias("ref"), occurred_at(text, F.col("arrived_at")).alias("at"))
-
-    def named(f: Column) -> Column:
-        vpa = F.coalesce(f["told"]["upi_id"], f["vpa"])
-        return F.struct(f.alias("f"), vpa.alias("vpa"), merchant(text, f["told"], vpa).alias("m"))
-
-    def fields(n: Column) -> Column:
-        f, vpa, m = n["f"], n["vpa"], n["m"]
-        doubtful = F.coalesce((m["source"] == "info-freetext") & vpa.isNotNull() & ~looks_like_a_name(m["name"]), F.lit(False))
-        source = F.when(~doubtful, m["source"])
-        return F.struct(
-            vpa.alias("upi_id"),
-            f["card"].alias("card_last4"),
-            F.coalesce(F.when(~doubtful, m["name"]), vpa).alias("merchant"),
-            F.coalesce(source, F.when(vpa.isNotNull(), "upi-id")).alias("merchant_source"),
-            F.coalesce(f["told"]["ref"], f["ref"]).alias("reference_number"),
-            channel(text, f["vpa"], f["card"], F.col("channel_hint")).alias("channel"),
-            f["at"]["ms"].alias("occurred_at"),
-            f["at"]["precise"].alias("occurred_at_precise"),
-            f["at"]["parsed"].alias("dated"),
-        )
-
-    df = df.withColumn("_p", T.let(T.let(found, named), fields)).select(*[c for c in classified.columns if c not in ("is_txn", "channel_hint")], "_a.*", "_p.*")
-    points = reduce(lambda a, b: a + b, [F.when(c, F.lit(w)).otherwise(0) for c, w in ((F.col("provider") != "generic", 25), (F.col("merchant").isNotNull(), 12), (F.col("reference_number").isNotNull(), 10), (F.col("channel").isNotNull(), 5), (F.col("dated"), 5))])
-    df = df.withColumns({"merchant_confidence": source_confidence(F.col("merchant_source")), "confidence": F.least(points + 40, F.lit(97)) / 100, "currency": F.lit("INR")})
-    return df.drop("dated")
+    """From classified messages (with arrived_at) the payments, with every field that could be found.
+
+    What rests on a value that takes a regular expression is a step of its own, so that Spark keeps the value as a column.
+    """
+    text, c = F.col("text"), F.col
+    df = payments(classified).withColumns({"_phrases": _phrases(text), "_hits": _hits(text)})
+    df = df.withColumns({"_by": _direction(c("_phrases")), "_amounts": _amounts(text, c("_hits"))}).withColumn("_paise", amount(c("_amounts"), c("_by.place")))
+    # a generator, as a filter would be pushed below the columns that it reads and compute them again
+    money = F.when(c("_by.direction").isNotNull() & c("_paise").isNotNull(), F.array(F.struct(c("_by.direction").alias("direction"), c("_paise").alias("amount_paise"))))
+    df = df.select(*classified.columns, F.inline(money))
+    df = df.withColumns({"_told": F.regexp_extract(text, R.NARRATION, 0), "_upi": upi_id(text), "card_last4": card_last4(text), "_ref": reference(text), "_when": _told_times(text)})
+    df = df.withColumns({"_told": _narration(c("_told")), "_when": _time_parts(c("_when")), "channel": channel(text, c("_upi"), c("card_last4"), c("channel_hint"))})
+    df = df.withColumns({"_when": _times(c("_when"), c("arrived_at")), "_vpa": F.coalesce("_told.upi_id", "_upi"), "reference_number": F.coalesce("_told.ref", "_ref")})
+    df = df.withColumns({"_when": _believed(c("_when"), c("arrived_at")), "_m": merchant(text, c("_told.merchant"), c("_vpa"))})
+    doubtful = F.coalesce((c("_m.source") == "info-freetext") & c("_vpa").isNotNull() & ~looks_like_a_name(c("_m.name")), F.lit(False))
+    df = df.withColumn("_doubtful", doubtful)
+    sure = lambda field: F.when(~c("_doubtful"), c(field))
+    fields = {
+        "upi_id": c("_vpa"),
+        "card_last4": c("card_last4"),
+        "merchant": F.coalesce(sure("_m.name"), c("_vpa")),
+        "merchant_source": F.coalesce(sure("_m.source"), F.when(c("_vpa").isNotNull(), "upi-id")),
+        "reference_number": c("reference_number"),
+        "channel": c("channel"),
+        "occurred_at": c("_when.ms"),
+        "occurred_at_precise": c("_when.precise"),
+        "_dated": c("_when.parsed"),
+    }
+    df = df.select(*[x for x in classified.columns if x not in ("is_txn", "channel_hint")], "direction", "amount_paise", *[v.alias(k) for k, v in fields.items()])
+    points = reduce(lambda a, b: a + b, [F.when(x, F.lit(w)).otherwise(0) for x, w in ((c("provider") != "generic", 25), (c("merchant").isNotNull(), 12), (c("reference_number").isNotNull(), 10), (c("channel").isNotNull(), 5), (c("_dated"), 5))])
+    return df.withColumns({"merchant_confidence": source_confidence(c("merchant_source")), "confidence": F.least(points + 40, F.lit(97)) / 100, "currency": F.lit("INR")}).drop("_dated")

@@ -216,24 +216,27 @@ messages_query("ext7_channel", f"SELECT message_id, {_CHAN} AS channel FROM text
 _NARR = RM.NARRATION
 messages_query("ext10_narration", f"SELECT message_id, nullif(regexp_extract(text, {_quoted(_NARR)}, 1), '') AS ref, lower(nullif(regexp_extract(text, {_quoted(_NARR)}, 4), '')) AS upi_id FROM texts")(lambda m: _TEXT(m).select("message_id", X.narration(F.col("text")).alias("n")).select("message_id", "n.ref", "n.upi_id"))
 messages_query("ext18_collapse", "SELECT message_id, trim(regexp_replace(replace(body, ' ', '   '), '[ \\t]+', ' ', 'g')) AS text FROM messages")(lambda m: m.select("message_id", T.collapse_whitespace(F.replace("body", F.lit(" "), F.lit("   "))).alias("text")))
-messages_query("ext1_ext3_amounts", f"SELECT message_id, CAST(floor(CAST(regexp_extract(text, {_quoted(RM.AMOUNT_VALUE)}, 1, 'i') AS DOUBLE) * 100 + 0.5) AS BIGINT) AS first_paise FROM texts WHERE {_CLASS} = 'ok'")(lambda m: C.classify(m).filter("is_txn").select("message_id", F.get(X.amounts(F.col("text")), F.lit(0))["paise"].alias("first_paise")))
-messages_query("ext2_direction", f"SELECT message_id, CASE WHEN message_id % 5 IN (3, 4) THEN 'credit' ELSE 'debit' END AS direction FROM texts WHERE {_CLASS} = 'ok'")(lambda m: C.classify(m).filter("is_txn").select("message_id", X.direction(F.col("text"))["direction"].alias("direction")))
+messages_query("ext1_ext3_amounts", f"SELECT message_id, CAST(floor(CAST(regexp_extract(text, {_quoted(RM.AMOUNT_VALUE)}, 1, 'i') AS DOUBLE) * 100 + 0.5) AS BIGINT) AS first_paise FROM texts WHERE {_CLASS} = 'ok'")(lambda m: C.payments(C.classify(m)).select("message_id", F.get(X.amounts(F.col("text")), F.lit(0))["paise"].alias("first_paise")))
+messages_query("ext2_direction", f"SELECT message_id, CASE WHEN message_id % 5 IN (3, 4) THEN 'credit' ELSE 'debit' END AS direction FROM texts WHERE {_CLASS} = 'ok'")(lambda m: C.payments(C.classify(m)).select("message_id", X.direction(F.col("text"))["direction"].alias("direction")))
 _OK = f"FROM texts WHERE {_CLASS} = 'ok'"
 messages_query(
     "ext16_occurred_at",
     f"SELECT message_id, CASE WHEN message_id % 5 IN (3, 4) THEN arrived_at WHEN message_id % 5 = 1 THEN epoch_ms(TIMESTAMP '2024-01-05 09:02:00') ELSE epoch_ms(TIMESTAMP '2024-01-05') + (arrived_at + 19800000) % 86400000 // 1000 * 1000 - 19800000 END AS ms, message_id % 5 NOT IN (3, 4) AS parsed, message_id % 5 = 1 AS precise {_OK}",
-)(lambda m: C.classify(m).filter("is_txn").select("message_id", X.occurred_at(F.col("text"), F.col("arrived_at")).alias("w")).select("message_id", "w.*"))
+)(lambda m: C.payments(C.classify(m)).select("message_id", X.occurred_at(F.col("text"), F.col("arrived_at")).alias("w")).select("message_id", "w.*"))
 _K = "regexp_extract(subject, '[0-9]+')"
 messages_query(
     "ext13_ext11_ext12_merchant",
     f"SELECT message_id, CASE message_id % 5 WHEN 0 THEN 'SHOP ' || {_K} WHEN 1 THEN 'SWIGGY' || {_K} WHEN 3 THEN 'AMIT KUMAR' END AS name, CASE message_id % 5 WHEN 0 THEN 'vpa-name' WHEN 1 THEN 'pattern' WHEN 3 THEN 'narration' END AS source {_OK}",
-)(lambda m: C.classify(m).filter("is_txn").withColumn("n", X.narration(F.col("text"))).withColumn("v", F.coalesce(F.col("n.upi_id"), X.upi_id(F.col("text")))).select("message_id", X.merchant(F.col("text"), F.col("n"), F.col("v")).alias("m")).select("message_id", "m.name", "m.source"))
+)(lambda m: C.payments(C.classify(m)).withColumn("n", X.narration(F.col("text"))).withColumn("v", F.coalesce(F.col("n.upi_id"), X.upi_id(F.col("text")))).select("message_id", X.merchant(F.col("text"), F.col("n.merchant"), F.col("v")).alias("m")).select("message_id", "m.name", "m.source"))
 messages_query("ext17_parse", None)(lambda m: X.parse(C.classify(m)).select("message_id", "user_id", "provider", "amount_paise", "direction", "merchant", "merchant_source", "merchant_confidence", "channel", "reference_number", "upi_id", "card_last4", "occurred_at", "occurred_at_precise", "confidence"))
 messages_query("src8_sms", "SELECT 'sms:' || sha256(sender || '|' || body || '|' || (arrived_at // 60000)) AS message_id, user_id, arrived_at, sender FROM messages")(lambda m: messages.sms(m.select("user_id", "sender", "body", F.lit(None).cast("string").alias("timestamp"), F.col("arrived_at").alias("received_at"))).select("message_id", "user_id", "arrived_at", "sender"))
 query("src9_wallet", "SELECT user_id, 'wallet:' || sha256('Shop ' || k || '|' || p || '|' || (t // 60000)) AS external_id, p AS amount_paise, 'debit' AS direction, 'Card' AS channel, t AS occurred_at FROM (SELECT user_id, (epoch_us(ts) // 1000) AS t, CAST(floor(value * 100 + 0.5) AS BIGINT) AS p, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE p > 0")(
     lambda spark, d: messages.wallet(B.read(spark, d, "events").select("user_id", F.concat(F.lit("Shop "), F.get_json_object("props", "$.k")).alias("merchant"), F.col("value").alias("amount"), F.lit(None).cast("string").alias("card"), F.lit(None).cast("string").alias("timestamp"), F.unix_millis(F.col("ts").cast("timestamp")).alias("received_at"))).select("user_id", "external_id", "amount_paise", "direction", "channel", "occurred_at")
 )
-query("src7_html_to_text")(lambda spark, d: B.read(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text")))
+_TAGLESS = "html"
+for _p, _to in ((r"(?is)<style.*?</style>", " "), (r"(?is)<script.*?</script>", " "), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</(p|div|tr|li|h[1-6])>", "\n"), ("<[^>]+>", " "), *((f"(?i){e}", to) for e, to in RM.ENTITIES.items() if e != "&amp;"), ("(?i)&(?:[b-z#0-9][a-z#0-9]*|a[a-ln-z0-9#][a-z#0-9]*|am[a-oq-z0-9#][a-z#0-9]*|amp[a-z#0-9]+|a|am);", " "), ("(?i)&amp;", "&"), (r"[ \t]+", " "), (r"\n\s*\n+", "\n"), (r"\A\s+|\s+\z", "")):
+    _TAGLESS = f"regexp_replace({_TAGLESS}, {_quoted(_p)}, {_quoted(_to)}, 'g')"
+query("src7_html_to_text", f"SELECT page_id, {_TAGLESS} AS text FROM pages")(lambda spark, d: B.read(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text")))
 query("src10_statement_csv")(lambda spark, d: files.csv_rows(B.read(spark, d, "orders").groupBy((F.col("o_orderkey") % 10).cast("string").alias("file")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), F.lit(',"a ""b"", c",'), F.col("o_orderstatus")))), "\r\n").alias("value"))).select("file", "row_index", F.array_join("cells", "|").alias("cells")))
 query("src13_vcards")(lambda spark, d: files.cards(B.read(spark, d, "customer").groupBy((F.col("c_custkey") % 5).cast("string").alias("file")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("BEGIN:VCARD\nFN:"), F.col("c_name"), F.lit("\nTEL;TYPE=CELL:+91 99900 0"), F.lpad(F.col("c_custkey").cast("string"), 4, "0"), F.lit("\nEND:VCARD")))), "\n").alias("value"))).select("file", "nth", "name", F.array_join("phones", ",").alias("phones")))
 
