@@ -51,8 +51,13 @@ def made() -> int:
 def clear(spark: SparkSession, since: int = 0, keep: str = "") -> None:
     """Remove the shared folders made since then but for one; for when all that was read from them is read or written."""
     for folder in [x for x in _made[since:] if x != keep]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if folder in _made:
         _made.remove(folder)
 
 

@@ -321,16 +321,16 @@ def _between(radius: int, alike: float | None, sets_folder: str):
     return between
 
 
-def links(prints: DataFrame, bits: int, radius: int, alike: float | None = None, sets_folder: str = "") -> DataFrame:
-    """From distinct fingerprints (fp and, where a likeness is asked for, sk, n, file, at) the links (a, b) that span every component."""
-    spark, width = prints.sparkSession, bits // 64
+def links(prints: DataFrame, bits: int, radius: int, folder: str, alike: float | None = None) -> DataFrame:
+    """From distinct fingerprints (fp and, where a likeness is asked for, sk, n, file, at, of sets in folder) the links (a, b)
+    that span every component. They are read from tiles in folder."""
+    spark, width, sets_folder = prints.sparkSession, bits // 64, f"{folder}/sets"
     n = prints.count()
     tiles = max(-(-n // TILE), min(-(-n // (TILE // 4)), common.partitions(spark)), 1)
     # Sorted by bit counts of the whole, then of the first blocks
     count = lambda a, b: F.length(F.regexp_replace(F.conv(F.hex(F.substring("fp", a, b)), 16, 2), "0", ""))
     whole = sum((count(i, 4) for i in range(5, 8 * width, 4)), count(1, 4))
     ranged = prints.withColumns({"_n": whole, "_c1": count(1, 2), "_c2": count(3, 2)}).repartitionByRange(tiles, "_n", "_c1", "_c2", "fp")
-    folder = common.shared_dir(spark)
     heads = common.staged(ranged.select(*prints.columns).mapInPandas(_tiles(f"{folder}/tiles", width, radius, alike, sets_folder), _HEADS), f"{folder}/heads")
     # Tiles meet at a bit count: those of a tile, and from radius below to radius above
     own = heads.withColumn("at", F.explode(F.sequence("least", "most")))
@@ -371,15 +371,16 @@ def members(docs: DataFrame, words: int, bits: int, radius: int, alike: float |
     """(doc_id, text_hash, fp, root, component_id): root names the component, component_id is its smallest doc_id."""
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = common.identified(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), "text")
-    folder = f"{common.shared_dir(docs.sparkSession)}/sets"
+    folder = common.shared_dir(docs.sparkSession)
     if alike is None:
         rows = common.staged(rows.select("doc_id", "text_hash", fingerprints(words, bits).alias("fp")))
         prints = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     else:
-        rows = common.staged(rows.mapInPandas(_with_sets(folder, words, bits), f"doc_id long, text_hash long, fp binary, sk binary, {_SET}"))
+        rows = common.staged(rows.mapInPandas(_with_sets(f"{folder}/sets", words, bits), f"doc_id long, text_hash long, fp binary, sk binary, {_SET}"))
         prints = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("sk").alias("sk"), F.min(F.struct("n", "file", "at")).alias("_s")).select("fp", "first", "sk", "_s.*")
     prints = common.staged(prints)
-    roots = components(links(prints.drop("first"), bits, radius, alike, folder))
+    roots = components(links(prints.drop("first"), bits, radius, folder, alike))
+    common.remove(docs.sparkSession, folder)  # the links are written; sets and tiles are as large as the texts
     named = prints.select("fp", "first").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     owned = common.staged(named.select("fp", "root").join(least, "root").select("fp", "root", "component_id"))
