@@ -148,3 +148,8 @@ def import_summary(rows: DataFrame) -> DataFrame:
     """Counts by outcome (inserted, duplicate, skipped)."""
     count = lambda o: F.count(F.when(F.col("outcome") == o, 1)).alias(o)
     return rows.groupBy("user_id").agg(count("inserted"), count("duplicate"), count("skipped"))
+
+
+def samples_with_users(samples: DataFrame, users: DataFrame) -> DataFrame:
+    """Messages kept as samples, with the address of the user that each is of, if that user is still there."""
+    return samples.join(users.select(F.col("id").alias("user_id"), F.col("email").alias("user_email")), "user_id", "left")

@@ -84,7 +84,7 @@ def normalize(rows: DataFrame) -> DataFrame:
     )
     n = F.col("narration")
     df = df.withColumns({"reason": reason, "_told": X.narration(n)}).withColumn("ok", F.col("reason").isNull())
-    df = df.withColumn("upi_id", F.coalesce(vpa_segment(n), F.col("_told.upi_id"), X.upi_id(n))).withColumn("_m", X.merchant(n, F.col("_told"), F.col("upi_id")))
+    df = df.withColumn("upi_id", F.coalesce(vpa_segment(n), F.col("_told.upi_id"), X.upi_id(n))).withColumn("_m", X.merchant(n, F.col("_told.merchant"), F.col("upi_id")))
     return df.withColumns(
         {
             "merchant": F.coalesce(F.col("_m.name"), F.col("upi_id")),

@@ -409,3 +409,35 @@ query("scl4_scl6_hashes", over(B.LEDGER, "SELECT id, 'x:' || sha256(coalesce(mer
 query("scl10_paise", "SELECT event_id, CAST(floor(value * 100 + 0.5) AS BIGINT) AS paise FROM events")(lambda spark, d: B.read(spark, d, "events").select("event_id", S.paise(F.col("value")).alias("paise")))
 query("scl2_format_inr")(lambda spark, d: B.orders(spark, d).select("id", S.format_inr(F.col("amount_paise")).alias("text")))
 query("win4_sliding_rate", over(B.LEDGER, "SELECT id, count(*) OVER (PARTITION BY user_id ORDER BY occurred_at RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW) AS recent FROM ledger"))(lambda spark, d: B.ledger(spark, d).withColumn("recent", F.count(F.lit(1)).over(Window.partitionBy("user_id").orderBy("occurred_at").rangeBetween(-60_000, 0))).select("id", "recent"))
+
+
+@query("stm7_confidence", "SELECT o_orderkey AS row_index, CASE o_orderkey % 3 WHEN 0 THEN 0.7::DOUBLE WHEN 1 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS merchant_confidence, CASE o_orderkey % 3 WHEN 0 THEN 'narration' WHEN 1 THEN 'upi-id' END AS merchant_source, CASE o_orderkey % 3 WHEN 0 THEN 'SHOP' || o_orderkey % 50 WHEN 1 THEN 'shop' || o_orderkey % 50 || '@icici' END AS merchant FROM orders")
+def stm7(spark: SparkSession, d: str) -> DataFrame:
+    i, shop = F.col("row_index"), (F.col("row_index") % 50).cast("string")
+    told = F.when(i % 3 == 0, F.concat(F.lit("UPI/DR/123456789012/SHOP"), shop, F.lit("/YESB/shop@ybl"))).when(i % 3 == 1, F.concat(F.lit("shop"), shop, F.lit("@icici"))).otherwise("CASH")
+    rows = _statement_rows(spark, d).withColumn("cells", F.transform("cells", lambda c, k: F.when(k == 1, told).otherwise(c)))
+    return ST.normalize(rows).select("row_index", "merchant_confidence", "merchant_source", "merchant")
+
+
+query("cat9_find_category", "SELECT c_nationkey AS user_id, min(c_custkey) AS id FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1")(
+    lambda spark, d: CAT.find_category(B.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("user_id"), F.when(F.col("c_custkey") % 3 == 1, " Food").when(F.col("c_custkey") % 3 == 2, "FOOD ").otherwise("Foods").alias("name")), " fooD ").select("user_id", "id")
+)
+
+
+@query("src6_mime", over(B.MESSAGES, "SELECT message_id, user_id, arrived_at, sender, subject, CASE message_id % 3 WHEN 0 THEN body WHEN 1 THEN 'Dear' || chr(10) || ' ' || sender ELSE '' END AS body FROM messages"))
+def src6(spark: SparkSession, d: str) -> DataFrame:
+    part = lambda mime, text: F.struct(F.lit(mime).alias("mime"), text.alias("text"))
+    html = F.concat(F.lit("<style>p{}</style><p>Dear</p><div>"), F.col("sender"), F.lit("</div>"))
+    both, one = F.array(part("text/html", html), part("text/plain", F.col("body"))), F.array(part("text/plain", F.lit("")), part("text/html", html))
+    mails = B.messages(spark, d).withColumns({"headers": F.create_map(F.lit("From"), F.col("sender"), F.lit("Subject"), F.col("subject")), "parts": F.when(F.col("message_id") % 3 == 0, both).when(F.col("message_id") % 3 == 1, one).otherwise(F.slice(one, 1, 1))})
+    return messages.from_mime(mails)
+
+
+query("jn5_samples_with_users", over(B.MESSAGES, "SELECT message_id, user_id, c_name || '@mail.example' AS user_email FROM messages LEFT JOIN customer ON c_custkey = user_id"))(
+    lambda spark, d: A.samples_with_users(B.messages(spark, d), B.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat("c_name", F.lit("@mail.example")).alias("email"))).select("message_id", "user_id", "user_email")
+)
+
+
+@query("scl3_range_presets", "SELECT * FROM (VALUES ('7d', 1705104000000, 1705708800000), ('30d', 1703116800000, 1705708800000), ('90d', 1697932800000, 1705708800000), ('month', 1704047400000, 1705708800000), ('year', 1704047400000, 1705708800000), ('all', 0, 1705708800000)) AS v(name, begins, ends)")
+def scl3(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(n, *S.range_preset(n, 1_705_708_800_000)) for n in ("7d", "30d", "90d", "month", "year", "all")], "name string, begins long, ends long")
