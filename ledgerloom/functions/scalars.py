@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,10 +58,10 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def _hmac(key: bytes, text: Column) -> Column:
-    def each(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else hmac.new(key, t.encode(), hashlib.sha256).hexdigest())
-
-    return F.pandas_udf(each, "string")(text)
+    """HMAC of SHA-256 by its definition, in lowercase hexadecimal digits."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(text, "UTF-8")), 256))), 256)
 
 
 def amount_index(key: bytes, user: Column, direction: Column, amount: Column) -> Column:

@@ -41,6 +41,11 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def trimmed(texts: Column) -> Column:
+    """Each text of an array without blanks at its ends. (F.trim itself takes a second argument, so transform would hand it the place.)"""
+    return F.transform(texts, lambda t: F.trim(t))
+
+
 def nullif_empty(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 

@@ -19,7 +19,7 @@ def detect_headers(rows: DataFrame) -> DataFrame:
 
     rows: file, row_index, cells. The mapping holds places from 0, null for columns that aren't there.
     """
-    cells = F.transform("cells", F.trim)
+    cells = T.trimmed(F.col("cells"))
     place = lambda p: F.nullif(F.array_position(F.transform(cells, lambda c: c.rlike(p)), F.lit(True)) - 1, F.lit(-1)).cast("int")
     found = rows.filter(F.col("row_index") < HEADER_ROWS).select("file", "row_index", F.struct(*[place(p).alias(k) for k, p in R.HEADERS.items()]).alias("mapping"))
     m = lambda k: F.col(f"mapping.{k}").isNotNull()
@@ -60,7 +60,7 @@ def _amount(s: Column) -> Column:
 
 def vpa_segment(narration: Column) -> Column:
     """The first whole segment between dashes or slashes that is a VPA."""
-    return F.lower(F.get(F.filter(F.transform(F.split(narration, "[-/]"), F.trim), lambda s: s.rlike(R.VPA_SEGMENT)), F.lit(0)))
+    return F.lower(F.get(F.filter(T.trimmed(F.split(narration, "[-/]")), lambda s: s.rlike(R.VPA_SEGMENT)), F.lit(0)))
 
 
 def normalize(rows: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from ledgerloom.operators import ledger as L
 from ledgerloom.operators import match as M
 from ledgerloom.operators import resolve as R
 from ledgerloom.operators import statement as ST
+from ledgerloom.plans import folds
 from ledgerloom.plans import tables as B
 from ledgerloom.rules import categories as RC
 from ledgerloom.rules import messages as RM
@@ -171,11 +172,13 @@ simple("snk5_delete_category", lambda t: L.delete_category(t, "error").select("i
 simple("snk8_without_tenant", lambda t: L.without_tenant(t, 4).select("id", "user_id"), "SELECT id, user_id FROM ledger WHERE user_id <> 4")
 
 
-@query("snk7_scl5_seal")
+@query("snk7_scl5_seal", over(B.LEDGER, folds.SEALED))
 def snk7_seal(spark: SparkSession, d: str) -> DataFrame:
+    """Sealed rows, with the payload opened again."""
     t = B.ledger(spark, d).withColumns({c: F.lit(None).cast("string") for c in ("enc_payload", "amount_bidx", "ref_bidx", "bank", "card_last4", "raw")})
     codec = lambda text: F.concat(F.lit("v1."), F.base64(F.aes_encrypt(text, F.lit("0123456789abcdef"), F.lit("ECB"), F.lit("PKCS"))))  # noqa: E731  a stand-in for a tenant's own codec
-    return L.seal(t, b"0123456789abcdef0123456789abcdef", codec).select("id", "amount_paise", "enc_payload", "amount_bidx", "ref_bidx")
+    opened = F.aes_decrypt(F.unbase64(F.substring("enc_payload", 4, 1 << 30)), F.lit("0123456789abcdef"), F.lit("ECB"), F.lit("PKCS")).cast("string")
+    return L.seal(t, folds.SEAL_KEY, codec).select("id", "amount_paise", opened.alias("payload"), "amount_bidx", "ref_bidx")
 
 
 # Messages
@@ -228,7 +231,18 @@ messages_query(
     "ext13_ext11_ext12_merchant",
     f"SELECT message_id, CASE message_id % 5 WHEN 0 THEN 'SHOP ' || {_K} WHEN 1 THEN 'SWIGGY' || {_K} WHEN 3 THEN 'AMIT KUMAR' END AS name, CASE message_id % 5 WHEN 0 THEN 'vpa-name' WHEN 1 THEN 'pattern' WHEN 3 THEN 'narration' END AS source {_OK}",
 )(lambda m: C.payments(C.classify(m)).withColumn("n", X.narration(F.col("text"))).withColumn("v", F.coalesce(F.col("n.upi_id"), X.upi_id(F.col("text")))).select("message_id", X.merchant(F.col("text"), F.col("n.merchant"), F.col("v")).alias("m")).select("message_id", "m.name", "m.source"))
-messages_query("ext17_parse", None)(lambda m: X.parse(C.classify(m)).select("message_id", "user_id", "provider", "amount_paise", "direction", "merchant", "merchant_source", "merchant_confidence", "channel", "reference_number", "upi_id", "card_last4", "occurred_at", "occurred_at_precise", "confidence"))
+_NAMED = f"CASE message_id % 5 WHEN 0 THEN 'SHOP ' || {_K} WHEN 1 THEN 'SWIGGY' || {_K} WHEN 3 THEN 'AMIT KUMAR' END"
+_TOLD = lambda group: f"nullif(regexp_extract(text, {_quoted(_NARR)}, {group}), '')"
+_PARSED = f"""SELECT *, CASE merchant_source WHEN 'narration' THEN 0.9::DOUBLE WHEN 'vpa-name' THEN 0.85::DOUBLE WHEN 'pattern' THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS merchant_confidence,
+  least(40 + 25 * (provider <> 'generic')::INT + 12 * (merchant IS NOT NULL)::INT + 10 * (reference_number IS NOT NULL)::INT + 5 * (channel IS NOT NULL)::INT + 5 * (message_id % 5 NOT IN (3, 4))::INT, 97)::DOUBLE / 100 AS confidence
+FROM (SELECT message_id, user_id, {_PROVIDER(0, _quoted('generic'))} AS provider,
+  CAST(floor(CAST(regexp_extract(text, {_quoted(RM.AMOUNT_VALUE)}, 1, 'i') AS DOUBLE) * 100 + 0.5) AS BIGINT) AS amount_paise,
+  CASE WHEN message_id % 5 IN (3, 4) THEN 'credit' ELSE 'debit' END AS direction, {_NAMED} AS merchant,
+  CASE message_id % 5 WHEN 0 THEN 'vpa-name' WHEN 1 THEN 'pattern' WHEN 3 THEN 'narration' END AS merchant_source,
+  {_CHAN} AS channel, coalesce({_TOLD(1)}, {_REF}) AS reference_number, coalesce(lower({_TOLD(4)}), {_VPA}) AS upi_id, {_CARD} AS card_last4,
+  CASE WHEN message_id % 5 IN (3, 4) THEN arrived_at WHEN message_id % 5 = 1 THEN epoch_ms(TIMESTAMP '2024-01-05 09:02:00') ELSE epoch_ms(TIMESTAMP '2024-01-05') + (arrived_at + 19800000) % 86400000 // 1000 * 1000 - 19800000 END AS occurred_at,
+  message_id % 5 = 1 AS occurred_at_precise {_OK})"""
+messages_query("ext17_parse", _PARSED)(lambda m: X.parse(C.classify(m)).select("message_id", "user_id", "provider", "amount_paise", "direction", "merchant", "merchant_source", "merchant_confidence", "channel", "reference_number", "upi_id", "card_last4", "occurred_at", "occurred_at_precise", "confidence"))
 messages_query("src8_sms", "SELECT 'sms:' || sha256(sender || '|' || body || '|' || (arrived_at // 60000)) AS message_id, user_id, arrived_at, sender FROM messages")(lambda m: messages.sms(m.select("user_id", "sender", "body", F.lit(None).cast("string").alias("timestamp"), F.col("arrived_at").alias("received_at"))).select("message_id", "user_id", "arrived_at", "sender"))
 query("src9_wallet", "SELECT user_id, 'wallet:' || sha256('Shop ' || k || '|' || p || '|' || (t // 60000)) AS external_id, p AS amount_paise, 'debit' AS direction, 'Card' AS channel, t AS occurred_at FROM (SELECT user_id, (epoch_us(ts) // 1000) AS t, CAST(floor(value * 100 + 0.5) AS BIGINT) AS p, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE p > 0")(
     lambda spark, d: messages.wallet(B.read(spark, d, "events").select("user_id", F.concat(F.lit("Shop "), F.get_json_object("props", "$.k")).alias("merchant"), F.col("value").alias("amount"), F.lit(None).cast("string").alias("card"), F.lit(None).cast("string").alias("timestamp"), F.unix_millis(F.col("ts").cast("timestamp")).alias("received_at"))).select("user_id", "external_id", "amount_paise", "direction", "channel", "occurred_at")
@@ -237,16 +251,22 @@ _TAGLESS = "html"
 for _p, _to in ((r"(?is)<style.*?</style>", " "), (r"(?is)<script.*?</script>", " "), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</(p|div|tr|li|h[1-6])>", "\n"), ("<[^>]+>", " "), *((f"(?i){e}", to) for e, to in RM.ENTITIES.items() if e != "&amp;"), ("(?i)&(?:[b-z#0-9][a-z#0-9]*|a[a-ln-z0-9#][a-z#0-9]*|am[a-oq-z0-9#][a-z#0-9]*|amp[a-z#0-9]+|a|am);", " "), ("(?i)&amp;", "&"), (r"[ \t]+", " "), (r"\n\s*\n+", "\n"), (r"\A\s+|\s+\z", "")):
     _TAGLESS = f"regexp_replace({_TAGLESS}, {_quoted(_p)}, {_quoted(_to)}, 'g')"
 query("src7_html_to_text", f"SELECT page_id, {_TAGLESS} AS text FROM pages")(lambda spark, d: B.read(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text")))
-query("src10_statement_csv")(lambda spark, d: files.csv_rows(B.read(spark, d, "orders").groupBy((F.col("o_orderkey") % 10).cast("string").alias("file")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), F.lit(',"a ""b"", c",'), F.col("o_orderstatus")))), "\r\n").alias("value"))).select("file", "row_index", F.array_join("cells", "|").alias("cells")))
-query("src13_vcards")(lambda spark, d: files.cards(B.read(spark, d, "customer").groupBy((F.col("c_custkey") % 5).cast("string").alias("file")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("BEGIN:VCARD\nFN:"), F.col("c_name"), F.lit("\nTEL;TYPE=CELL:+91 99900 0"), F.lpad(F.col("c_custkey").cast("string"), 4, "0"), F.lit("\nEND:VCARD")))), "\n").alias("value"))).select("file", "nth", "name", F.array_join("phones", ",").alias("phones")))
+#: Keys of one file: their number, and not their size, grows with the table.
+FILE_KEYS = 400
+query("src10_statement_csv", f"SELECT CAST(o_orderkey // {FILE_KEYS} AS VARCHAR) AS file, CAST(row_number() OVER (PARTITION BY o_orderkey // {FILE_KEYS} ORDER BY o_orderkey) - 1 AS INT) AS row_index, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') || '|a \"b\", c|' || o_orderstatus AS cells FROM orders")(lambda spark, d: files.csv_rows(B.read(spark, d, "orders").groupBy(F.floor(F.col("o_orderkey") / FILE_KEYS).cast("string").alias("file")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), F.lit(',"a ""b"", c",'), F.col("o_orderstatus")))), "\r\n").alias("value"))).select("file", "row_index", F.array_join("cells", "|").alias("cells")))
+query("src13_vcards", f"SELECT CAST(c_custkey // {FILE_KEYS} AS VARCHAR) AS file, CAST(row_number() OVER (PARTITION BY c_custkey // {FILE_KEYS} ORDER BY c_name) - 1 AS INT) AS nth, c_name AS name, '+91 99900 0' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') AS phones FROM customer")(lambda spark, d: files.cards(B.read(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / FILE_KEYS).cast("string").alias("file")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("BEGIN:VCARD\nFN:"), F.col("c_name"), F.lit("\nTEL;TYPE=CELL:+91 99900 0"), F.lpad(F.col("c_custkey").cast("string"), 4, "0"), F.lit("\nEND:VCARD")))), "\n").alias("value"))).select("file", "nth", "name", F.array_join("phones", ",").alias("phones")))
 
 # Merchants, contacts, categories
 
-_NORM = "CASE WHEN regexp_matches(l, '^[a-z0-9._-]+@[a-z0-9]+$') THEN split_part(l, '@', 1) ELSE l END"
-for _pattern, _with in ((r"[*_]", " "), (r"[^a-z0-9@ .&-]", " "), (RM.NOISE_WORDS, " "), (r"\s+", " ")):
-    _NORM = f"regexp_replace({_NORM}, {_quoted(_pattern)}, '{_with}', 'g')"
-_NORM = f"nullif(trim(regexp_replace(trim({_NORM}), '\\s+\\d{{2,}}$', '')), '')"
-query("ent1_normalize_merchant", f"SELECT id, {_NORM} AS norm FROM (SELECT p_partkey AS id, lower(trim(p_name || ' Online*Services ' || p_brand || ' Pvt Ltd ' || p_size)) AS l FROM part UNION ALL SELECT s_suppkey + 1000000, lower(s_name || '@YBL') FROM supplier)")(
+
+def _normalized(l: str) -> str:
+    out = f"CASE WHEN regexp_matches({l}, '^[a-z0-9._-]+@[a-z0-9]+$') THEN split_part({l}, '@', 1) ELSE {l} END"
+    for pattern, put in ((r"[*_]", " "), (r"[^a-z0-9@ .&-]", " "), (RM.NOISE_WORDS, " "), (r"\s+", " ")):
+        out = f"regexp_replace({out}, {_quoted(pattern)}, '{put}', 'g')"
+    return f"nullif(trim(regexp_replace(trim({out}), '\\s+\\d{{2,}}$', '')), '')"
+
+
+query("ent1_normalize_merchant", f"SELECT id, {_normalized('l')} AS norm FROM (SELECT p_partkey AS id, lower(trim(p_name || ' Online*Services ' || p_brand || ' Pvt Ltd ' || p_size)) AS l FROM part UNION ALL SELECT s_suppkey + 1000000, lower(s_name || '@YBL') FROM supplier)")(
     lambda spark, d: B.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" Online*Services "), "p_brand", F.lit(" Pvt Ltd "), F.col("p_size").cast("string")).alias("raw")).union(B.read(spark, d, "supplier").select(F.col("s_suppkey") + 1_000_000, F.concat("s_name", F.lit("@YBL")))).select("id", T.normalize_merchant(F.col("raw")).alias("norm"))
 )
 query("ent3_phones", "SELECT c_custkey AS id, CASE WHEN length(d) >= 10 THEN right(d, 10) END AS phone FROM (SELECT c_custkey, regexp_replace('+91 9' || (c_custkey * 7919) || '-' || c_custkey, '\\D', '', 'g') AS d FROM customer)")(lambda spark, d: B.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), R.normalize_phone(F.concat(F.lit("+91 9"), (F.col("c_custkey") * 7919).cast("string"), F.lit("-"), F.col("c_custkey").cast("string"))).alias("phone")))
@@ -255,7 +275,7 @@ query("ent8_similarity", "SELECT a.p_partkey AS a, b.p_partkey AS b, 1 - levensh
 )
 
 
-@query("ent5_match_contact")
+@query("ent5_match_contact", over(B.LEDGER, folds.CONTACTS.replace("NORM", _normalized("lower(trim(merchant))"))))
 def ent5(spark: SparkSession, d: str) -> DataFrame:
     t = B.ledger(spark, d).select("user_id", "upi_id", "merchant")
     people = t.filter("upi_id IS NOT NULL").groupBy("user_id").agg(F.min("upi_id").alias("low"), F.max("merchant").alias("m"))
@@ -263,7 +283,16 @@ def ent5(spark: SparkSession, d: str) -> DataFrame:
     return R.match_contacts(t, contacts).select("user_id", "upi_id", "merchant", "contact_id", "tier")
 
 
-@query("ent2_resolve_merchant")
+_CONTACT = "message_id % 23 = 0"
+@query(
+    "ent2_resolve_merchant",
+    over(
+        B.MESSAGES,
+        f"""SELECT message_id, CASE WHEN {_CONTACT} THEN 'Asha Rao' ELSE merchant END AS merchant, {_normalized('l')} AS merchant_normalized,
+        CASE WHEN {_CONTACT} THEN 'contact' ELSE merchant_source END AS merchant_source, CASE WHEN {_CONTACT} THEN 1.0::DOUBLE ELSE merchant_confidence END AS merchant_confidence
+        FROM (SELECT *, lower(trim(CASE WHEN {_CONTACT} THEN 'Asha Rao' ELSE coalesce(merchant, upi_id) END)) AS l FROM ({_PARSED}))""",
+    ),
+)
 def ent2(spark: SparkSession, d: str) -> DataFrame:
     p = X.parse(C.classify(B.messages(spark, d))).withColumn("contact_name", F.when(F.col("message_id") % 23 == 0, "Asha Rao"))
     return R.resolve_merchant(p).select("message_id", "merchant", "merchant_normalized", "merchant_source", "merchant_confidence")
@@ -301,8 +330,8 @@ _PAIRS = "SELECT e.id AS event_id, l.id AS txn_id, abs(l.occurred_at - {at}) AS
 _AT = "coalesce(e.occurred_at, e.created_at)"
 
 
-def matching(name: str, f: Callable[[DataFrame, DataFrame], DataFrame], body: str | None) -> None:
-    query(name, over(B.LEDGER + "," + B.SHORTCUTS, body) if body else None)(lambda spark, d: f(B.shortcut_events(spark, d), B.ledger(spark, d)))
+def matching(name: str, f: Callable[[DataFrame, DataFrame], DataFrame], body: str) -> None:
+    query(name, body if body.startswith("WITH") else over(B.LEDGER + "," + B.SHORTCUTS, body))(lambda spark, d: f(B.shortcut_events(spark, d), B.ledger(spark, d)))
 
 
 matching("jn8_mat1_candidates", lambda e, t: M.candidates(e, t).select("event_id", "txn_id", "distance", "categorised"), _PAIRS.format(at=_AT))
@@ -312,7 +341,7 @@ matching("mat7_pending_list", lambda e, t: M.pending_with_candidates(e, t).selec
 _AUTO = f"SELECT event_id, CASE WHEN count(*) = 1 THEN min(txn_id) WHEN count(*) FILTER (distance <= 1800000) = 1 THEN min(txn_id) FILTER (distance <= 1800000) END AS txn_id, least(count(*), 5) AS n FROM ({_PAIRS.format(at=_AT)}) GROUP BY 1"
 matching("mat2_win3_auto_match", lambda e, t: M.auto_match(e, t), f"SELECT event_id, txn_id FROM ({_AUTO}) WHERE txn_id IS NOT NULL")
 matching("mat5_src14_outcome", M.outcome, f"SELECT e.id AS event_id, CASE WHEN txn_id IS NOT NULL THEN 'matched' WHEN n IS NOT NULL THEN 'pending' ELSE 'queued' END AS status, coalesce(n, 0) AS candidates, txn_id FROM logged e LEFT JOIN ({_AUTO}) a ON a.event_id = e.id")
-matching("mat3_resolve_pending", lambda e, t: M.resolve_pending(t, e), None)
+matching("mat3_resolve_pending", lambda e, t: M.resolve_pending(t, e), folds.RESOLVED)
 _APPLIED = ["id", "user_id", "category_id", "notes"]
 
 
@@ -323,13 +352,20 @@ def _applied(e: DataFrame, t: DataFrame) -> DataFrame:
     return closed.unionByName(txns.select(F.lit("transaction").alias("kind"), *_APPLIED), allowMissingColumns=True)
 
 
-matching("mat4_apply", _applied, None)
+matching(
+    "mat4_apply",
+    _applied,
+    f"""SELECT 'event' AS kind, e.id, user_id, category_id, notes, CASE WHEN m.txn_id IS NOT NULL THEN 'matched' ELSE status END AS status, m.txn_id AS matched_transaction_id
+    FROM logged e LEFT JOIN (SELECT * FROM ({_AUTO})) m ON m.event_id = e.id AND e.status = 'pending'
+    UNION ALL SELECT 'transaction', l.id, l.user_id, CASE WHEN m.txn_id IS NOT NULL THEN 'rent' ELSE l.category_id END, coalesce(m.notes, l.notes), NULL, NULL
+    FROM ledger l LEFT JOIN (SELECT a.txn_id, last(e.notes ORDER BY e.created_at, e.id) AS notes FROM ({_AUTO}) a JOIN logged e ON e.id = a.event_id AND e.status = 'pending' WHERE a.txn_id IS NOT NULL GROUP BY 1) m ON m.txn_id = l.id""",
+)
 matching("mat6_decide", lambda e, t: M.decide(e, e.select(F.col("id").alias("event_id"), F.when(F.col("direction") == "debit", F.col("id") - 1_000_000_000).alias("txn_id"))).select("id", "status", "matched_transaction_id"), "SELECT id, CASE WHEN status <> 'pending' THEN status WHEN direction = 'debit' THEN 'resolved' ELSE 'dismissed' END AS status, CASE WHEN status = 'pending' AND direction = 'debit' THEN id - 1000000000 END AS matched_transaction_id FROM logged")
 simple("ded3_first_by_key", lambda t: D.first_by_key(t).select("id"), "SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, gmail_message_id ORDER BY created_at, id) AS rn FROM ledger) WHERE gmail_message_id IS NULL OR rn = 1")
-query("ded1_flag_duplicates")(lambda spark, d: D.flag_duplicates(B.ledger(spark, d)))
+query("ded1_flag_duplicates", folds.recursive(B.LEDGER, folds.FLAGGED, "SELECT id, dup AS duplicate_of_id FROM fold WHERE id IS NOT NULL"))(lambda spark, d: D.flag_duplicates(B.ledger(spark, d)))
 
 
-@query("ded2_statement_duplicates")
+@query("ded2_statement_duplicates", folds.recursive(B.LEDGER, folds.STATEMENT, folds.STATEMENT_PAIRS))
 def ded2(spark: SparkSession, d: str) -> DataFrame:
     t = B.ledger(spark, d)
     rows = t.select("user_id", F.col("id").alias("row_index"), "amount_paise", "direction", "reference_number", (F.col("occurred_at") + 3 * 3_600_000).alias("occurred_at"))
@@ -347,11 +383,16 @@ def _statement_rows(spark: SparkSession, d: str) -> DataFrame:
     return o.select(i.alias("row_index"), cells.alias("cells"), mapping.alias("mapping"))
 
 
+_NORMALIZED = "SELECT row_index, reason, t AS occurred_at, direction, amount_paise, 'shop' || row_index % 50 || '@icici' AS upi_id FROM (SELECT *, CASE WHEN t IS NULL THEN 'bad-date' WHEN t < 1767205800000 THEN 'before-baseline' WHEN coalesce(amount_paise, 0) = 0 THEN 'bad-amount' END AS reason FROM (SELECT o_orderkey AS row_index, CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN epoch_ms(make_timestamp(2019, 6, o_orderkey % 28 + 1, 6, 30, 0)) ELSE epoch_ms(make_timestamp(2026, 7, o_orderkey % 28 + 1, 6, 30, 0)) END AS t, CASE WHEN o_orderkey % 2 = 0 THEN 'debit' WHEN o_orderkey % 11 <> 0 THEN 'credit' END AS direction, CASE WHEN o_orderkey % 2 = 0 OR o_orderkey % 11 <> 0 THEN CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) END AS amount_paise FROM orders))"
 query(
     "stm5_normalize",
-    "SELECT row_index, reason, t AS occurred_at, direction, amount_paise, 'shop' || row_index % 50 || '@icici' AS upi_id FROM (SELECT *, CASE WHEN t IS NULL THEN 'bad-date' WHEN t < 1767205800000 THEN 'before-baseline' WHEN coalesce(amount_paise, 0) = 0 THEN 'bad-amount' END AS reason FROM (SELECT o_orderkey AS row_index, CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN epoch_ms(make_timestamp(2019, 6, o_orderkey % 28 + 1, 6, 30, 0)) ELSE epoch_ms(make_timestamp(2026, 7, o_orderkey % 28 + 1, 6, 30, 0)) END AS t, CASE WHEN o_orderkey % 2 = 0 THEN 'debit' WHEN o_orderkey % 11 <> 0 THEN 'credit' END AS direction, CASE WHEN o_orderkey % 2 = 0 OR o_orderkey % 11 <> 0 THEN CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) END AS amount_paise FROM orders))",
+    _NORMALIZED,
 )(lambda spark, d: ST.normalize(_statement_rows(spark, d)).select("row_index", "reason", "occurred_at", "direction", "amount_paise", "upi_id"))
-query("src12_statement_import")(lambda spark, d: messages.statement(ST.normalize(_statement_rows(spark, d)).withColumns({"user_id": F.col("row_index") % 9, "received_at": F.col("occurred_at")})).select("user_id", "external_id", "amount_paise", "direction", "merchant", "occurred_at"))
+query(
+    "src12_statement_import",
+    f"""SELECT row_index % 9 AS user_id, 'stmt:' || sha256(occurred_at || '|' || amount_paise || '|' || direction || '|' || 'upi-shop' || row_index % 50 || '-' || upi_id || '-' || lpad(CAST(row_index AS VARCHAR), 12, '9')) AS external_id,
+    amount_paise, direction, upi_id AS merchant, occurred_at FROM ({_NORMALIZED}) WHERE reason IS NULL AND direction IS NOT NULL""",
+)(lambda spark, d: messages.statement(ST.normalize(_statement_rows(spark, d)).withColumns({"user_id": F.col("row_index") % 9, "received_at": F.col("occurred_at")})).select("user_id", "external_id", "amount_paise", "direction", "merchant", "occurred_at"))
 
 _STATEMENT = "Bank of Somewhere\r\nAddress, line\r\nDate,Narration,Withdrawal,Deposit,Ref No\r\n"
 
@@ -359,13 +400,13 @@ _STATEMENT = "Bank of Somewhere\r\nAddress, line\r\nDate,Narration,Withdrawal,De
 def _statement_files(spark: SparkSession, d: str) -> DataFrame:
     o = B.read(spark, d, "orders")
     line = F.concat(F.lit("05/07/2026,UPI-SHOP-shop@icici-"), F.lpad(F.col("o_orderkey").cast("string"), 12, "9"), F.lit(",5.00,,R"), F.col("o_orderkey").cast("string"))
-    return o.groupBy((F.col("o_custkey") % 20).cast("string").alias("file")).agg(F.concat(F.lit(_STATEMENT), F.array_join(F.array_sort(F.collect_list(line)), "\r\n")).alias("value"))
+    return o.groupBy(F.floor(F.col("o_orderkey") / FILE_KEYS).cast("string").alias("file")).agg(F.concat(F.lit(_STATEMENT), F.array_join(F.array_sort(F.collect_list(line)), "\r\n")).alias("value"))
 
 
-query("stm1_detect_headers", "SELECT DISTINCT CAST(o_custkey % 20 AS VARCHAR) AS file, 2 AS header_row, 0 AS date, 1 AS narration, 2 AS debit, 3 AS credit, 4 AS ref FROM orders")(lambda spark, d: ST.detect_headers(files.csv_rows(_statement_files(spark, d))).select("file", "header_row", *[F.col(f"mapping.{k}").alias(k) for k in ("date", "narration", "debit", "credit", "ref")]))
+query("stm1_detect_headers", f"SELECT DISTINCT CAST(o_orderkey // {FILE_KEYS} AS VARCHAR) AS file, 2 AS header_row, 0 AS date, 1 AS narration, 2 AS debit, 3 AS credit, 4 AS ref FROM orders")(lambda spark, d: ST.detect_headers(files.csv_rows(_statement_files(spark, d))).select("file", "header_row", *[F.col(f"mapping.{k}").alias(k) for k in ("date", "narration", "debit", "credit", "ref")]))
 
 
-@query("agg14_summary", "SELECT CAST(o_custkey % 20 AS VARCHAR) AS file, count(*) FILTER (o_orderkey % 4 <> 0) AS new, count(*) FILTER (o_orderkey % 4 = 0) AS duplicates, 0 AS bad FROM orders GROUP BY 1")
+@query("agg14_summary", f"SELECT CAST(o_orderkey // {FILE_KEYS} AS VARCHAR) AS file, count(*) FILTER (o_orderkey % 4 <> 0) AS new, count(*) FILTER (o_orderkey % 4 = 0) AS duplicates, 0 AS bad FROM orders GROUP BY 1")
 def agg14(spark: SparkSession, d: str) -> DataFrame:
     rows = files.csv_rows(_statement_files(spark, d))
     good = ST.normalize(ST.below_header(rows, ST.detect_headers(rows)))
@@ -382,10 +423,10 @@ def _streamed(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFr
     return spark.read.parquet(f"{folder}/out")
 
 
-query("str7_stream_duplicates")(lambda spark, d: _streamed(spark, state.flag_duplicates(B.ledger(spark, d, B.event_stream(spark, d))), ["id"]))
+query("str7_stream_duplicates", folds.recursive(B.LEDGER, folds.FLAGGED, "SELECT id, user_id, dup AS duplicate_of_id FROM fold WHERE id IS NOT NULL"))(lambda spark, d: _streamed(spark, state.flag_duplicates(B.ledger(spark, d, B.event_stream(spark, d))), ["id"]))
 
 
-@query("str8_stream_matches")
+@query("str8_stream_matches", folds.recursive(B.LEDGER + "," + B.SHORTCUTS, folds.STREAM_MATCHES, "SELECT user_id, CASE WHEN is_txn THEN id ELSE chosen.id END AS txn_id, CASE WHEN is_txn THEN chosen.id ELSE id END AS event_id FROM fold WHERE chosen IS NOT NULL"))
 def str8(spark: SparkSession, d: str) -> DataFrame:
     events = B.event_stream(spark, d)
     return _streamed(spark, state.match_events(state.as_arrivals(B.ledger(spark, d, events), B.shortcut_events(spark, d, events))), ["event_id"])
@@ -407,7 +448,7 @@ SQL["str1_str5_incremental"] = over(B.MESSAGES, SQL["str1_str5_incremental"])
 
 query("scl4_scl6_hashes", over(B.LEDGER, "SELECT id, 'x:' || sha256(coalesce(merchant, '') || '|' || amount_paise) AS hash, regexp_replace(lower(reference_number), '[^a-z0-9]', '', 'g') AS ref FROM ledger"))(lambda spark, d: B.ledger(spark, d).select("id", S.external_id("x", F.col("merchant"), F.col("amount_paise")).alias("hash"), S.normalized_reference(F.col("reference_number")).alias("ref")))
 query("scl10_paise", "SELECT event_id, CAST(floor(value * 100 + 0.5) AS BIGINT) AS paise FROM events")(lambda spark, d: B.read(spark, d, "events").select("event_id", S.paise(F.col("value")).alias("paise")))
-query("scl2_format_inr")(lambda spark, d: B.orders(spark, d).select("id", S.format_inr(F.col("amount_paise")).alias("text")))
+query("scl2_format_inr", over(B.ORDERS, folds.RUPEES))(lambda spark, d: B.orders(spark, d).select("id", S.format_inr(F.col("amount_paise")).alias("text")))
 query("win4_sliding_rate", over(B.LEDGER, "SELECT id, count(*) OVER (PARTITION BY user_id ORDER BY occurred_at RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW) AS recent FROM ledger"))(lambda spark, d: B.ledger(spark, d).withColumn("recent", F.count(F.lit(1)).over(Window.partitionBy("user_id").orderBy("occurred_at").rangeBetween(-60_000, 0))).select("id", "recent"))
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import nullif_empty
+from ledgerloom.functions.text import nullif_empty, trimmed
 
 
 def parse_csv(text: str) -> list[list[str]]:
@@ -109,13 +109,13 @@ def cards(texts: DataFrame) -> DataFrame:
     unfolded = F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), "\n[ \t]", "")
     bodies = F.regexp_extract_all(unfolded, F.lit(r"(?ims)^[ \t]*BEGIN:VCARD[ \t]*$((?:(?!^[ \t]*BEGIN:VCARD[ \t]*$).)*?)^[ \t]*END:VCARD[ \t]*$"), F.lit(1))
     df = texts.select("file", F.posexplode(bodies).alias("nth", "body"))
-    lines = F.filter(F.transform(F.split("body", "\n"), F.trim), lambda x: x.contains(":"))
+    lines = F.filter(trimmed(F.split("body", "\n")), lambda x: x.contains(":"))
     split = r"\A((?:\\.|[^:\\])*):(.*)\z"
     fields = F.transform(lines, lambda x: F.struct(F.upper(F.substring_index(F.call_function("regexp_extract", x, F.lit(split), F.lit(1)), ";", 1)).alias("k"), _unescaped(F.call_function("regexp_extract", x, F.lit(split), F.lit(2))).alias("v")))
     df = df.withColumn("fields", F.filter(fields, lambda f: f["v"] != ""))
     values = lambda key: F.transform(F.filter("fields", lambda f: f["k"] == key), lambda f: f["v"])
     last = lambda key: F.try_element_at(values(key), F.lit(-1))
-    parts = F.transform(F.split(last("N"), ";"), F.trim)
+    parts = trimmed(F.split(last("N"), ";"))
     from_n = F.array_join(F.filter(F.array(*[F.get(parts, F.lit(i)) for i in (1, 2, 0)]), lambda p: p.isNotNull() & (p != "")), " ")
     out = df.select("file", "nth", F.coalesce(last("FN"), nullif_empty(F.trim(from_n))).alias("name"), values("TEL").alias("phones"), values("EMAIL").alias("emails"))
     return out.filter("name IS NOT NULL")

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.operators import categorize, classify, extract, resolve
+from ledgerloom.operators import statement as ST
 from ledgerloom.plans import ingest
 from ledgerloom.rules.categories import DEFAULT_CATEGORIES
+from ledgerloom.sources import files
 
 ARRIVED = 1_783_240_200_000  # 2026-07-05 14:00 in India
 
@@ -180,3 +182,12 @@ def test_reprocess(spark):
     got = {r.id: (r.merchant, r.category_id, r.reference_number, r.amount_paise) for r in once.collect()}
     assert got == {1: ("Swiggy", "food", "KEEP", 1), 2: ("Swiggy", "mine", "KEEP", 1), 3: ("old", None, "KEEP", 1), 4: ("old", None, "KEEP", 1)}
     assert sorted(map(tuple, ingest.reprocess(once, contacts, cats, none).collect())) == sorted(map(tuple, once.collect()))
+
+
+def test_places_in_a_list_are_not_cut_off(spark):
+    """Trimming takes blanks alone, not digits that happen to equal a text's place."""
+    card = "BEGIN:VCARD\nFN:Asha 11\nTEL:+91 99900 02222\nEND:VCARD"
+    got = files.cards(spark.createDataFrame([("f", card)], "file string, value string")).first()
+    assert (got.name, got.phones) == ("Asha 11", ["+91 99900 02222"])
+    told = spark.createDataFrame([("UPI-1SHOP-2shop2@okicici2-x",)], "n string").select(ST.vpa_segment(F.col("n"))).first()[0]
+    assert told == "2shop2@okicici2"
