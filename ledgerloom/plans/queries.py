@@ -150,11 +150,11 @@ def ordered(name: str, sort: str, descending: bool, clause: str, number: int = 1
 ordered("srt1_srt3_by_time", "occurred_at", True, "occurred_at DESC NULLS FIRST", 3)
 ordered("srt1_by_amount", "amount_paise", False, "amount_paise ASC NULLS LAST", 2, 200)
 ordered("srt1_by_merchant", "merchant", True, "merchant DESC NULLS FIRST")
-simple("srt2_nulls_last", lambda t: t.orderBy(*L.order("merchant", True, nulls_last=True)).limit(100).select("id", "merchant"), "SELECT id, merchant FROM ledger ORDER BY merchant DESC NULLS LAST, created_at DESC, id LIMIT 100")
+simple("srt2_nulls_last", lambda t: t.orderBy(*L.order("merchant", True, nulls_last=True)).select("id", "merchant"), "SELECT id, merchant FROM ledger ORDER BY merchant DESC NULLS LAST, created_at DESC, id")
 simple("srt4_row_cap", lambda t: L.filtered(t, L.Filters(user_id=8)).orderBy(*L.order()).limit(L.ROW_CAP).select("id"), f"SELECT id FROM ledger WHERE user_id = 8 AND {ALIVE} ORDER BY occurred_at DESC, created_at DESC, id LIMIT {L.ROW_CAP}")
-simple("srt6_oldest_first", lambda t: t.orderBy(F.col("deleted_at").asc_nulls_first(), "id").limit(40).select("id", "deleted_at"), "SELECT id, deleted_at FROM ledger ORDER BY deleted_at ASC NULLS FIRST, id LIMIT 40")
-simple("srt7_nearest", lambda t: t.orderBy(S.distance(F.col("occurred_at"), F.lit(SLICE.start)), "id").limit(25).select("id", "occurred_at"), f"SELECT id, occurred_at FROM ledger ORDER BY abs(occurred_at - {SLICE.start}), id LIMIT 25")
-simple("srt8_work_queue", lambda t: t.filter("category_id IS NULL").orderBy("created_at", "id").limit(30).select("id", "created_at"), "SELECT id, created_at FROM ledger WHERE category_id IS NULL ORDER BY created_at, id LIMIT 30")
+simple("srt6_oldest_first", lambda t: t.orderBy(F.col("deleted_at").asc_nulls_first(), "id").select("id", "deleted_at"), "SELECT id, deleted_at FROM ledger ORDER BY deleted_at ASC NULLS FIRST, id")
+simple("srt7_nearest", lambda t: t.orderBy(S.distance(F.col("occurred_at"), F.lit(SLICE.start)), "id").select("id", "occurred_at"), f"SELECT id, occurred_at FROM ledger ORDER BY abs(occurred_at - {SLICE.start}), id")
+simple("srt8_work_queue", lambda t: t.filter("category_id IS NULL").orderBy("created_at", "id").select("id", "created_at"), "SELECT id, created_at FROM ledger WHERE category_id IS NULL ORDER BY created_at, id")
 query("set_ops_domains", "SELECT DISTINCT o_orderpriority AS d FROM orders UNION SELECT DISTINCT event_type FROM events")(lambda spark, d: B.read(spark, d, "orders").select(F.col("o_orderpriority").alias("d")).distinct().union(B.read(spark, d, "events").select("event_type").distinct()).distinct())
 
 # Sinks and changes

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -89,9 +90,30 @@ def csv_rows(texts: DataFrame) -> DataFrame:
     return _exploded(texts, rows("value"))
 
 
+def workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """(file, cells) of the workbooks at path; cells are null where a file can't be read, so that it doesn't stop the others.
+
+    Spark's reader leaves out files of no octets.
+    """
+
+    def cells(data: bytes) -> list[list[str]] | None:
+        try:
+            return parse_xlsx(bytes(data))
+        except (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, LookupError, ValueError, OverflowError, EOFError):
+            return None
+
+    rows = F.pandas_udf(lambda column: column.map(cells), "array<array<string>>")
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), rows("content").alias("cells"))
+
+
 def statement_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    rows = F.pandas_udf(lambda data: data.map(lambda d: parse_xlsx(bytes(d))), "array<array<string>>")
-    return _exploded(spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content"), rows("content"))
+    """(file, row_index, cells) of the workbooks that can be read; `unreadable` names the others."""
+    return _exploded(workbooks(spark, path), F.col("cells"))
+
+
+def unreadable(books: DataFrame) -> DataFrame:
+    """(file) of those of `workbooks` to be looked at by hand or tried again."""
+    return books.filter("cells IS NULL").select("file")
 
 
 def _unescaped(v: Column) -> Column:

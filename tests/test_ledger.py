@@ -164,7 +164,7 @@ def test_statement_file(spark):
     assert (got[1].reference_number, got[1].direction, got[1].amount_paise) == ("AB1234", "credit", 100000)
 
 
-def test_xlsx():
+def test_xlsx(spark, tmp_path):
     import io
     import zipfile
 
@@ -176,6 +176,13 @@ def test_xlsx():
         for name, body in (("xl/worksheets/sheet1.xml", sheet), ("xl/sharedStrings.xml", shared), ("xl/styles.xml", styles)):
             z.writestr(name, body)
     assert files.parse_xlsx(data.getvalue()) == [["Date", "", "in"], ["2026-07-05", "2"]]
+    (tmp_path / "good.xlsx").write_bytes(data.getvalue())
+    (tmp_path / "cut.xlsx").write_bytes(data.getvalue()[:200])
+    (tmp_path / "text.xlsx").write_bytes(b"Date,Amount")
+    read = files.statement_xlsx(spark, str(tmp_path)).collect()
+    assert [(r.file.rsplit("/", 1)[1], r.row_index, r.cells) for r in read] == [("good.xlsx", 0, ["Date", "", "in"]), ("good.xlsx", 1, ["2026-07-05", "2"])]
+    bad = files.unreadable(files.workbooks(spark, str(tmp_path))).collect()
+    assert sorted(r.file.rsplit("/", 1)[1] for r in bad) == ["cut.xlsx", "text.xlsx"]
 
 
 def test_vcards(spark):
