@@ -5,7 +5,7 @@ loses nothing. A tenant's references are kept without end, as a payment may be t
 by amount and pending events are forgotten when the clock of creation has gone HORIZON past theirs in their key, so
 that no row with a time of payment far ahead drops others. Results are those of the batch operators for rows in the
 same order. (Maps of `transformWithStateInPandas` would read only what a batch touches, but each access is a round
-trip to the JVM, measured here at about 40 ms over TCP: 1,000 rows took longer than 50 s.)
+trip to the JVM: 1,000 rows were not done in 55 s here, start-up included. Where the time went wasn't profiled.)
 """
 
 from __future__ import annotations
