@@ -1,9 +1,11 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The model file is compiled into three arcs tables: the normaliser (white space becomes U+2581, with one put in
-front), the pieces, and the byte fallback for characters that no piece covers. A text's lattice is composed
-with them on the fly and the path of least weight in the tropical semiring (weights add along a path, the
-least path wins) gives the ids.
+The model file is compiled into three machines: the normaliser (a prefix tree of the file's character rules with the
+identity for all else, blanks squeezed if the model asks, white space becomes U+2581 and one is put in front), the
+pieces (a prefix tree with ids at its ends), and the byte fallback (one arc for each character that is no piece, with
+its octets' ids). A text is composed with the normaliser first; that is deterministic, the longest rule wins, so
+that one path is left. Its output is composed with the other two on the fly to a lattice, whose path of least weight
+in the tropical semiring (weights add along a path, the least path wins) gives the ids.
 
 For a unigram model an arc weighs its piece's negated score. In a byte-pair model scores only say which
 merge comes first, and sums of them rank paths wrongly. There the transducer remembers the last piece, and an
@@ -17,6 +19,8 @@ is back in its first state. Texts are cut there, at blanks and line ends first,
 their parts are remembered in tables of at most CACHE entries, of LONGEST characters at most; they are emptied when full
 and change no result.
 
+Models with user-defined pieces, with white space at the ends of words, or without byte pieces raise ValueError.
+
 Cases: null text counts as empty; an empty text has no ids; a text's own U+2581 decodes to a blank, as in the
 original; rows without an id take no part; repeated rows stay; other columns are ignored; an empty table
 gives an empty result.
@@ -41,8 +45,8 @@ from . import common
 SPACE = "▁"
 #: Words whose paths an executor's worker remembers.
 CACHE, LONGEST = 600_000, 48
-#: Weight of a byte arc in a unigram model, above that of any piece.
-BYTE_WEIGHT = 100.0
+#: By how much the fallback of a character outweighs the heaviest piece of a unigram model.
+PENALTY = 10.0
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -70,6 +74,68 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             i += n
 
 
+def rules(table: bytes) -> dict[str, str]:
+    """The character rules of a model file: a double-array trie of their octets, then what they give, ended by zeros."""
+    if not table:
+        return {}
+    size = int.from_bytes(table[:4], "little")
+    units, gives = np.frombuffer(table, "<u4", size // 4, 4).astype(np.int64), table[4 + size :]
+    offset = (units >> 10) << ((units & 512) >> 6)
+    label, leaf = units & (1 << 31 | 255), (units >> 8 & 1).astype(bool)
+    found, octets, todo = {}, np.arange(1, 256), [(int(offset[0]), b"")]
+    while todo:
+        at, key = todo.pop()
+        near = at ^ octets
+        near = near[near < len(units)]
+        for child in near[label[near] == (at ^ near)].tolist():
+            longer, below = key + bytes([at ^ child]), child ^ int(offset[child])
+            if leaf[child]:
+                start = int(units[below]) & (1 << 31) - 1
+                found[longer.decode()] = gives[start : gives.index(0, start)].decode()
+            todo.append((below, longer))
+    return found
+
+
+class Normaliser:
+    """The first machine. Its arcs are the prefixes of the rules' characters, with the output where a rule ends."""
+
+    def __init__(self, spec: dict):
+        if not spec.get(5, 1):
+            raise ValueError("a model that keeps blanks as they are isn't supported")
+        found = rules(spec.get(2, b""))
+        self.prefix, self.squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
+        self.arcs: dict[str, str | None] = {k[:i]: None for k in found for i in range(1, len(k))} | found
+        self.first = re.compile("[" + "".join(map(re.escape, sorted({k[0] for k in found}))) + "]") if found else None
+
+    def ruled(self, text: str) -> str:
+        arcs, out, done, n = self.arcs, [], 0, len(text)
+        for m in self.first.finditer(text):
+            i = m.start()
+            if i < done:
+                continue
+            end, gives = 0, ""
+            for j in range(i + 1, n + 1):
+                p = text[i:j]
+                if p not in arcs:
+                    break
+                if arcs[p] is not None:
+                    end, gives = j, arcs[p]
+            if end:
+                out += [text[done:i], gives]
+                done = end
+        return "".join(out) + text[done:]
+
+    def __call__(self, text: str) -> str:
+        if not text:
+            return ""
+        if self.first:
+            text = self.ruled(text)
+        if self.squeeze:
+            text = re.sub(" {2,}", " ", text).lstrip(" ")
+        text = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
+        return text.rstrip(SPACE) if self.squeeze else text
+
+
 class Transducer:
     """Compiled from a model file. ids of bytes, control and unknown pieces are never made from text by a piece arc."""
 
@@ -78,26 +144,31 @@ class Transducer:
             parts = list(_fields(file.read()))
         self.pieces: dict[str, int] = {}
         self.weights: list[float] = []
-        self.bytes: list[int] = [0] * 256
+        self.bytes: dict[int, int] = {}
         self.out: list[bytes] = []
         spec = dict(_fields(next((v for k, v in parts if k == 2), b"")))
         self.byte_pair = spec.get(3, 1) == 2
-        norm = dict(_fields(next((v for k, v in parts if k == 3), b"")))
-        if norm.get(2):
-            raise ValueError("a model with a table of character rules isn't supported")
-        self.prefix, self.squeeze = bool(norm.get(3, 1)), bool(norm.get(4, 1))
+        if spec.get(3, 1) not in (1, 2) or spec.get(24, 0):
+            raise ValueError("only unigram and byte-pair models with white space before words are supported")
+        self.normalised = Normaliser(dict(_fields(next((v for k, v in parts if k == 3), b""))))
         for i, value in enumerate(v for k, v in parts if k == 1):
             x = dict(_fields(value))
             piece, kind = x.get(1, b"").decode(), x.get(3, 1)
             self.weights.append(-float(np.frombuffer(x.get(2, b"\0\0\0\0"), "<f4")[0]))
+            if kind == 4:
+                raise ValueError("a model with user-defined pieces isn't supported")
             if kind == 6:
                 self.bytes[int(piece[1:-1], 16)] = i
                 self.out.append(bytes([int(piece[1:-1], 16)]))
-            elif kind in (1, 4):
+            elif kind == 1:
                 self.pieces[piece] = i
                 self.out.append(piece.replace(SPACE, " ").encode())
             else:
                 self.out.append(b"")
+        if len(self.bytes) < 256:
+            raise ValueError("a model without byte pieces isn't supported")
+        #: Weight of a fallback arc in a unigram model.
+        self.fallback = max((self.weights[i] for i in self.pieces.values()), default=0.0) + PENALTY
         joins = any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         line = "" if any("\n" in p for p in self.pieces) else "\n"
         self.words = re.compile(".+", re.S) if joins else re.compile(f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + ("|\n" if line else ""))
@@ -161,7 +232,7 @@ class Transducer:
                         if fits:
                             weight[j], back[j] = 0.0, p
                 else:
-                    w = weight[i] + (BYTE_WEIGHT * len(p.encode()) if k is None else self.weights[k])
+                    w = weight[i] + (self.fallback if k is None else self.weights[k])
                     if w < weight[j]:
                         weight[j], back[j] = w, p
         out = []
@@ -192,18 +263,13 @@ class Transducer:
             self.cache[word] = found
         return found
 
-    def normalised(self, text: str) -> str:
-        if self.squeeze:
-            text = " ".join(x for x in text.split(" ") if x)
-        return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
-
     def encode(self, text: str) -> np.ndarray:
         get, find = self.cache.get, self.word_ids
         return np.frombuffer(b"".join([get(w) or find(w) for w in self.words.findall(self.normalised(text))]), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.out.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        return text[1:] if (self.normalised.prefix or self.normalised.squeeze) and text.startswith(" ") else text
 
 
 _compiled: dict[str, Transducer] = {}

@@ -366,6 +366,61 @@ def test_sentencepiece_equals_the_library(docs, none):
     assert fst_sentencepiece.digests(none, SP).count() == 0
 
 
+def _proto(field: int, value: bytes | int) -> bytes:
+    """One field of a protocol-buffer message."""
+
+    def number(v: int) -> bytes:
+        out = b""
+        while v > 127:
+            out, v = out + bytes([v & 127 | 128]), v >> 7
+        return out + bytes([v])
+
+    return number(field << 3) + number(value) if isinstance(value, int) else number(field << 3 | 2) + number(len(value)) + value
+
+
+def _model(path, kind: int, rule: str) -> str:
+    """The model at hand with the library's character rules; as a unigram model with weights by id."""
+    import sentencepiece
+
+    out = b""
+    with open(SP, "rb") as file:
+        parts = list(fst_sentencepiece._fields(file.read()))
+    for i, value in enumerate(v for k, v in parts if k == 1):
+        x = dict(fst_sentencepiece._fields(value))
+        score = x[2] if kind == 2 else np.float32(-3 - (i * 7919 % 1009) / 128).tobytes()
+        out += _proto(1, _proto(1, x[1]) + b"\x15" + score + _proto(3, x.get(3, 1)))
+    out += _proto(2, _proto(3, kind) + _proto(35, 1))
+    out += _proto(3, sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_normalizer_spec() + _proto(3, 1) + _proto(4, 1) + _proto(5, 1))
+    path.write_bytes(out)
+    return str(path)
+
+
+@pytest.mark.parametrize(("kind", "rule"), [(2, "nmt_nfkc"), (2, "nmt_nfkc_cf"), (1, "nmt_nfkc"), (1, "identity")])
+def test_sentencepiece_character_rules_and_unigram(tmp_path, kind, rule):
+    import sentencepiece
+
+    path = _model(tmp_path / "m.model", kind, rule)
+    sp, t = sentencepiece.SentencePieceProcessor(model_file=path), fst_sentencepiece.Transducer(path)
+    rng = np.random.default_rng(3)
+    chars = [*" \n  abcdeÉth☃𝕏0129.,;\t ​½ﬁ㍿Ｈｶﾞßİ한각", "e\u0301", "\u0308", "the ", "ing", "\x01"]
+    for x in ["".join(rng.choice(chars, rng.integers(0, 40))) for _ in range(1500)] + ["", " ", "\x01", "▁", "a▁ "]:
+        ids = t.encode(x).tolist()
+        assert ids == sp.encode(x), x
+        assert t.decode(np.array(ids, np.int64)) == sp.decode(ids), x
+
+
+def test_sentencepiece_refuses_other_models(tmp_path):
+    with open(SP, "rb") as file:
+        whole = file.read()
+    for extra in (_proto(1, _proto(1, b"mine") + _proto(3, 4)), _proto(2, _proto(3, 4)), _proto(3, _proto(5, 0))):
+        (tmp_path / "m.model").write_bytes(extra + whole if extra[0] >> 3 > 1 else whole + extra)
+        with pytest.raises(ValueError):
+            fst_sentencepiece.Transducer(str(tmp_path / "m.model"))
+    (tmp_path / "m.model").write_bytes(_proto(1, _proto(1, b"a")))
+    with pytest.raises(ValueError):
+        fst_sentencepiece.Transducer(str(tmp_path / "m.model"))
+
+
 def test_hilbert_curve_and_packing(docs, none):
     points = np.array(list(itertools.product(range(8), repeat=3)))
     walk = points[np.argsort(hilbert_pack.hilbert_key(points, 3))]
