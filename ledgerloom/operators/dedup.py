@@ -50,14 +50,14 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     part, seen = None, Canonicals()
     for rows in batches:
         out = []
-        for p, id_, created, amount, direction, ref, at, precise, deleted in zip(rows.part, rows.id, rows.created_at, rows.amount_paise, rows.direction, rows.reference_number, rows.occurred_at, rows.occurred_at_precise, rows.deleted, strict=True):
+        for p, held, id_, created, amount, direction, ref, at, precise, deleted in zip(rows.part, rows.held, rows.id, rows.created_at, rows.amount_paise, rows.direction, rows.reference_number, rows.occurred_at, rows.occurred_at_precise, rows.deleted, strict=True):
             if p != part:
                 part, seen = p, Canonicals()
-            twin = seen.twin(amount, direction, ref, at, precise)
+            twin = None if held else seen.twin(amount, direction, ref, at, precise)
             out.append(twin)
             if twin is None and not deleted:
                 seen.add(amount, direction, ref, at, precise, (created, id_))
-        yield pd.DataFrame({"id": rows.id, "duplicate_of_id": pd.array(out, "Int64")})
+        yield pd.DataFrame({"id": rows.id, "duplicate_of_id": pd.array(out, "Int64"), "held": rows.held})
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -98,15 +98,35 @@ def contracted(links: DataFrame) -> DataFrame:
     return moved if moved is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def flag_duplicates(txns: DataFrame) -> DataFrame:
+def possible_twins(existing: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The rows of the ledger that a fresh row can be a duplicate of: neither duplicates nor deleted, and of the tenant's
+    same reference, or of the same amount and direction in a bucket of time next to it.
+
+    Semi joins with the batch's distinct keys, which are few beside the ledger.
+    """
+    bucket, key = F.floor(F.col("occurred_at") / WIDE_MS), ["user_id", "amount_paise", "direction"]
+    kept = existing.filter("duplicate_of_id IS NULL AND deleted_at IS NULL")
+    times = fresh.select(*key, F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket")).distinct()
+    near = kept.withColumn("_bucket", bucket).join(times, [*key, "_bucket"], "left_semi").select(existing.columns)
+    told = kept.join(fresh.select("user_id", "reference_number").distinct(), ["user_id", "reference_number"], "left_semi").select(existing.columns)
+    return near.unionByName(told).dropDuplicates(["id"])
+
+
+def flag_duplicates(txns: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """(id, duplicate_of_id) of all txns, in ingest order (created_at, id).
 
     A row is a duplicate of a row before it that isn't one itself nor deleted: of the same reference at any
     distance, else of the same amount and direction within 3 minutes, or 20 hours if either time is a guess.
+    With existing, txns are a batch that comes after those rows of the ledger; of these only possible twins are
+    read again, and they keep the flags that they have.
     """
-    rows = txns.select("id", "user_id", "created_at", "amount_paise", "direction", "reference_number", "occurred_at", "occurred_at_precise", F.col("deleted_at").isNotNull().alias("deleted"))
+    shape = ["id", "user_id", "created_at", "amount_paise", "direction", "reference_number", "occurred_at", "occurred_at_precise", F.col("deleted_at").isNotNull().alias("deleted")]
+    rows = txns.select(*shape, F.lit(False).alias("held"))
+    if existing is not None:
+        rows = rows.unionByName(possible_twins(existing, txns).select(*shape, F.lit(True).alias("held")))
     kind = dict(txns.dtypes)["id"]
-    return _groups(rows).repartition("part").sortWithinPartitions("part", "created_at", "id").mapInPandas(_fold, f"id {kind}, duplicate_of_id {kind}")
+    order = ["part", F.col("held").desc(), "created_at", "id"]
+    return _groups(rows).repartition("part").sortWithinPartitions(*order).mapInPandas(_fold, f"id {kind}, duplicate_of_id {kind}, held boolean").filter("NOT held").drop("held")
 
 
 def first_by_key(txns: DataFrame, keys: tuple[str, ...] = ("user_id", "gmail_message_id")) -> DataFrame:

@@ -6,6 +6,7 @@ spread over many keys; the exact distance is then tested.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -82,7 +83,7 @@ def decide(events: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Stretches come one by one, their pending events first, then their transactions in ingest order; each of these
-    may close one event, which is then gone."""
+    may close one event, which is then gone. The pool is in order of time, so a look takes a few bisections."""
     key, pool = None, []
     for rows in batches:
         out = []
@@ -91,14 +92,13 @@ def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 key, pool = new[:4], []
             is_txn, id_, at = new[4:]
             if not is_txn:
-                pool.append((at, id_))
+                insort(pool, (at, id_))
                 continue
-            near = [x for x in pool if abs(x[0] - at) <= WINDOW_MS]
-            close = [x for x in near if abs(x[0] - at) <= AUTO_MS]
-            chosen = near[0] if len(near) == 1 else close[0] if len(close) == 1 else None
-            if chosen:
-                out.append((id_, chosen[1]))
-                pool.remove(chosen)
+            for reach in (WINDOW_MS, AUTO_MS):
+                first, last = bisect_left(pool, (at - reach,)), bisect_left(pool, (at + reach + 1,))
+                if last - first == 1:
+                    out.append((id_, pool.pop(first)[1]))
+                    break
         yield pd.DataFrame(out, columns=["txn_id", "event_id"])
 
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from ledgerloom.functions import text as T
 from ledgerloom.rules.categories import KNOWN_MERCHANTS
@@ -38,25 +36,21 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def _subset(a: str, b: str) -> bool:
-    """Every word of the shorter name has its own in the longer: equal or an initial, one at least equal."""
-    small, big = sorted((a.split(), b.split()), key=len)
-    free, exact = list(big), False
-    for word in small:
-        if word in free:
-            exact = True
-            free.remove(word)
-            continue
-        near = next((w for w in free if (len(word) == 1 and w.startswith(word)) or (len(w) == 1 and word.startswith(w))), None)
-        if near is None:
-            return False
-        free.remove(near)
-    return bool(small) and exact
+def token_subset(a: Column, b: Column) -> Column:
+    """Whether every word of the shorter name can be paired with one of the longer, none of them twice: with its equal if
+    that is free, else with the first that is its initial or has it as one; at least one pair must be equal."""
+    words = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != "")
+    few, many = F.when(F.size(words(a)) <= F.size(words(b)), words(a)).otherwise(words(b)), F.when(F.size(words(a)) <= F.size(words(b)), words(b)).otherwise(words(a))
+    start = F.struct(many.alias("free"), F.lit(True).alias("all"), F.lit(False).alias("one"))
 
+    def pair(state: Column, word: Column) -> Column:
+        initial = lambda x: ((F.length(word) == 1) | (F.length(x) == 1)) & (F.startswith(x, word) | F.startswith(word, x))
+        equal = F.array_contains(state["free"], word)
+        at = F.array_position(state["free"], F.when(equal, word).otherwise(F.get(F.filter(state["free"], initial), F.lit(0)))).cast("int")
+        rest = F.when(at > 0, F.concat(F.slice(state["free"], F.lit(1), at - 1), F.slice(state["free"], at + 1, F.size(state["free"])))).otherwise(state["free"])
+        return F.struct(rest.alias("free"), (state["all"] & F.coalesce(at > 0, F.lit(False))).alias("all"), (state["one"] | equal).alias("one"))
 
-@F.pandas_udf(BooleanType())
-def token_subset(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_subset(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=bool)
+    return F.aggregate(few, start, pair, lambda s: s["all"] & s["one"])
 
 
 def resolve_merchant(df: DataFrame) -> DataFrame:
@@ -95,6 +89,24 @@ def _grams(text: Column, n: int) -> Column:
     return F.when(size > 0, F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array(text))
 
 
+def _rare_grams(parties: DataFrame, contacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(user_id, name, grams) for either side's names: of its pairs of neighbouring letters the ones that the fewest of the
+    tenant's contacts have, as many as one change more than a name alike to FUZZY may have could touch.
+
+    Names at d changes lack at most 2 d of each other's pairs, so the first 2 d + 1 by one order on both sides share one.
+    """
+    spread = lambda df: df.distinct().select("user_id", "name", F.explode(F.array_distinct(_grams(F.col("name"), 2))).alias("gram"))
+    left, right = spread(parties), spread(contacts)
+    held = right.groupBy("user_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    changes = F.floor(F.length("name") * ((1 - FUZZY) / FUZZY) + 1e-6)
+
+    def rarest(df: DataFrame) -> DataFrame:
+        ranked = df.join(held, ["user_id", "gram"], "left").groupBy("user_id", "name").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("all"))
+        return ranked.select("user_id", "name", F.transform(F.slice("all", F.lit(1), (2 * changes + 1).cast("int")), lambda x: x["gram"]).alias("grams"))
+
+    return rarest(left), rarest(right)
+
+
 def _list(value: Column) -> Column:
     return F.when(value.isNotNull(), F.array(value)).otherwise(F.array().cast("array<string>"))
 
@@ -110,24 +122,28 @@ def match_contacts(parties: DataFrame, contacts: DataFrame) -> DataFrame:
     """(user_id, upi_id, merchant, contact_id, contact_name, tier) of the distinct parties that match a contact of their tenant.
 
     Candidates come from an equi-join on keys that any match must share: the phone, the local part or its first
-    six letters, five letters of an embedded name, a whole name, a word of it, or two neighbouring letters (names
-    alike to FUZZY share some by the pigeonhole principle). Parties are made distinct first. Where a key is
+    six letters, five letters of an embedded name, a whole name, a word of it, or a rare pair of neighbouring
+    letters (`_rare_grams`). Parties are made distinct first. Where a key is
     held by several contacts the last wins; longer shared parts and better scores win, then the first contact.
     """
     norm = T.normalize_merchant(F.col("merchant"))
     left = parties.select("user_id", "upi_id", "merchant").distinct()
     left = left.withColumns({"lp": T.nullif_empty(local_part(F.col("upi_id"))), "phone": phone_from_upi(F.col("upi_id")), "norm": norm, "party": F.xxhash64("user_id", "upi_id", "merchant")})
     left = left.withColumn("letters", F.regexp_replace("lp", "[^a-z]", ""))
+    right = parsed_contacts(contacts).withColumn("words", F.filter(F.split("c_name", r"\s+"), lambda w: w != ""))
+    l_grams, r_grams = _rare_grams(left.filter("norm IS NOT NULL").select("user_id", F.col("norm").alias("name")), right.filter("c_name IS NOT NULL").select("user_id", F.col("c_name").alias("name")))
+    left = left.join(l_grams.withColumnRenamed("name", "norm"), ["user_id", "norm"], "left")
+    right = right.join(r_grams.withColumnRenamed("name", "c_name"), ["user_id", "c_name"], "left")
+    no_grams = F.array().cast("array<string>")
     left = left.withColumn(
         "key",
-        F.explode(_keys(("p", _list(F.col("phone"))), ("e", _list(F.col("lp"))), ("x", _list(F.when(F.length("lp") >= RELATED_LETTERS, F.substring("lp", 1, RELATED_LETTERS)))), ("m", F.coalesce(_grams(F.col("letters"), EMBEDDED_LETTERS), F.array().cast("array<string>"))), ("n", _list(F.col("norm"))), ("w", F.coalesce(F.split("norm", " "), F.array().cast("array<string>"))), ("g", F.coalesce(_grams(F.col("norm"), 2), F.array().cast("array<string>"))))),
-    )
-    right = parsed_contacts(contacts).withColumn("words", F.filter(F.split("c_name", r"\s+"), lambda w: w != ""))
+        F.explode(_keys(("p", _list(F.col("phone"))), ("e", _list(F.col("lp"))), ("x", _list(F.when(F.length("lp") >= RELATED_LETTERS, F.substring("lp", 1, RELATED_LETTERS)))), ("m", F.coalesce(_grams(F.col("letters"), EMBEDDED_LETTERS), F.array().cast("array<string>"))), ("n", _list(F.col("norm"))), ("w", F.coalesce(F.split("norm", " "), F.array().cast("array<string>"))), ("g", F.coalesce("grams", no_grams)))),
+    ).drop("grams")
     long_words = F.forall("words", lambda w: F.length(w) >= EMBEDDED_LETTERS)
     right = right.withColumn(
         "key",
-        F.explode(_keys(("p", F.col("phones")), ("e", F.col("locals")), ("x", F.transform(F.filter("locals", lambda e: F.length(e) >= RELATED_LETTERS), lambda e: F.substring(e, 1, RELATED_LETTERS))), ("m", F.when(long_words & (F.size("words") > 0), F.array(F.substring(F.get("words", F.lit(0)), 1, EMBEDDED_LETTERS))).otherwise(F.array().cast("array<string>"))), ("n", F.array("c_name")), ("w", F.col("words")), ("g", _grams(F.col("c_name"), 2)))),
-    )
+        F.explode(_keys(("p", F.col("phones")), ("e", F.col("locals")), ("x", F.transform(F.filter("locals", lambda e: F.length(e) >= RELATED_LETTERS), lambda e: F.substring(e, 1, RELATED_LETTERS))), ("m", F.when(long_words & (F.size("words") > 0), F.array(F.substring(F.get("words", F.lit(0)), 1, EMBEDDED_LETTERS))).otherwise(F.array().cast("array<string>"))), ("n", F.array("c_name")), ("w", F.col("words")), ("g", F.coalesce("grams", no_grams)))),
+    ).drop("grams")
     pairs = left.join(right, ["user_id", "key"]).drop("key").dropDuplicates(["party", "contact_id"])
 
     lp, letters, name = F.col("lp"), F.col("letters"), F.col("c_name")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import categorize, dedup, ledger, resolve
 from ledgerloom.operators import classify as C
 from ledgerloom.operators import extract as X
+from ledgerloom.session import written
 
 PARSER_VERSION = 1
 
@@ -18,15 +19,16 @@ def enriched(payments: DataFrame, contacts: DataFrame, categories: DataFrame, ru
 
 
 def ingest(existing: DataFrame, payments: DataFrame, contacts: DataFrame, categories: DataFrame, rules: DataFrame) -> DataFrame:
-    """The ledger after ingesting payments: existing rows as they are, new ones with their duplicates flagged."""
+    """The ledger after ingesting payments: existing rows as they are, new ones with their duplicates flagged.
+
+    Flagging reads the batch and its possible twins, not the whole ledger.
+    """
     rows = enriched(payments, contacts, categories, rules).withColumnRenamed("external_id", "gmail_message_id")
     empty = {"deleted_at": F.lit(None).cast("long"), "duplicate_of_id": F.lit(None).cast(dict(rows.dtypes)["id"]), "notes": F.lit(None).cast("string")}
     fresh = ledger.insert_new(existing, rows.withColumns(empty))
-    both = existing.unionByName(fresh.select(existing.columns))
-    flags = dedup.flag_duplicates(both).withColumnRenamed("duplicate_of_id", "_dup")
-    is_new = fresh.select("id", F.lit(True).alias("_new"))
-    out = both.join(flags, "id", "left").join(is_new, "id", "left")
-    return out.withColumn("duplicate_of_id", F.when(F.col("_new"), F.col("_dup")).otherwise(F.col("duplicate_of_id"))).select(existing.columns)
+    fresh = written(fresh.select(existing.columns))
+    flagged = fresh.drop("duplicate_of_id").join(dedup.flag_duplicates(fresh, existing), "id", "left")
+    return existing.unionByName(flagged.select(existing.columns))
 
 
 def reprocess(txns: DataFrame, contacts: DataFrame, categories: DataFrame, rules: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from ledgerloom.plans import folds
 from ledgerloom.plans import tables as B
 from ledgerloom.rules import categories as RC
 from ledgerloom.rules import messages as RM
-from ledgerloom.session import shared_folder
+from ledgerloom.session import shared_folder, written
 from ledgerloom.sources import files, messages
 from ledgerloom.streaming import state
 
@@ -362,7 +362,18 @@ matching(
 )
 matching("mat6_decide", lambda e, t: M.decide(e, e.select(F.col("id").alias("event_id"), F.when(F.col("direction") == "debit", F.col("id") - 1_000_000_000).alias("txn_id"))).select("id", "status", "matched_transaction_id"), "SELECT id, CASE WHEN status <> 'pending' THEN status WHEN direction = 'debit' THEN 'resolved' ELSE 'dismissed' END AS status, CASE WHEN status = 'pending' AND direction = 'debit' THEN id - 1000000000 END AS matched_transaction_id FROM logged")
 simple("ded3_first_by_key", lambda t: D.first_by_key(t).select("id"), "SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, gmail_message_id ORDER BY created_at, id) AS rn FROM ledger) WHERE gmail_message_id IS NULL OR rn = 1")
-query("ded1_flag_duplicates", folds.recursive(B.LEDGER, folds.FLAGGED, "SELECT id, dup AS duplicate_of_id FROM fold WHERE id IS NOT NULL"))(lambda spark, d: D.flag_duplicates(B.ledger(spark, d)))
+_FLAGS = folds.recursive(B.LEDGER, folds.FLAGGED, "SELECT id, dup AS duplicate_of_id FROM fold WHERE id IS NOT NULL")
+query("ded1_flag_duplicates", _FLAGS)(lambda spark, d: D.flag_duplicates(B.ledger(spark, d)))
+
+
+@query("ded1_flag_batch", _FLAGS)
+def ded1_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The later half of the ledger as a batch that comes after the earlier one."""
+    ledger = B.ledger(spark, d)
+    half = ledger.agg(F.percentile_approx("created_at", 0.5)).first()[0]
+    old, new = ledger.filter(F.col("created_at") <= half), ledger.filter(F.col("created_at") > half)
+    flags = written(D.flag_duplicates(old))
+    return flags.unionByName(D.flag_duplicates(new, old.drop("duplicate_of_id").join(flags, "id")))
 
 
 @query("ded2_statement_duplicates", folds.recursive(B.LEDGER, folds.STATEMENT, folds.STATEMENT_PAIRS))

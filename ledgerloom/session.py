@@ -15,7 +15,7 @@ def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """A new folder under spark.checkpoint.dir; a local one only where that is unset and all runs on one machine, as in tests."""
     import atexit
     import shutil
     import tempfile
@@ -23,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
 
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that all machines share")
         local = tempfile.mkdtemp(prefix="ledgerloom-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         root = f"file://{local}"

@@ -42,6 +42,33 @@ def test_duplicates_are_the_ordered_fold(spark, seed):
     assert dedup.flag_duplicates(spark.createDataFrame([], TXN)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_a_batch_is_flagged_as_with_the_whole_ledger(spark, seed):
+    rows = sorted(some_txns(seed), key=lambda x: (x[2], x[0]))
+    old, new, want = rows[:300], rows[300:], fold(rows)
+    ledger = spark.createDataFrame([(*r, want[r[0]]) for r in old], TXN + ", duplicate_of_id long")
+    batch = spark.createDataFrame(new, TXN)
+    assert {r.id: r.duplicate_of_id for r in dedup.flag_duplicates(batch, ledger).collect()} == {r[0]: want[r[0]] for r in new}
+    assert dedup.possible_twins(ledger, batch.limit(1)).count() < sum(want[r[0]] is None and r[8] is None for r in old)
+    assert dedup.flag_duplicates(batch.filter("id < 0"), ledger).count() == 0
+
+
+def test_ingest_adds_flagged_rows(spark, sf):
+    from ledgerloom.plans import ingest, tables
+
+    ledger = tables.ledger(spark, sf)
+    rows = ledger.limit(40).collect()
+    first, again = spark.createDataFrame(rows, ledger.schema), spark.createDataFrame(rows[:10], ledger.schema)
+    known = first.withColumns({"deleted_at": F.lit(None).cast("long"), "duplicate_of_id": F.lit(None).cast("long")})
+    told = again.withColumns({"id": F.col("id") + 10**9, "gmail_message_id": F.concat(F.lit("new"), F.col("id")), "created_at": F.col("created_at") + 10**12, "merchant_source": F.lit("vpa"), "email_subject": F.lit(None).cast("string")}).drop("deleted_at", "duplicate_of_id", "notes", "category_id", "category_source")
+    contacts = spark.createDataFrame([], "id long, user_id long, name string, name_normalized string, phones string, emails string, created_at long")
+    categories = spark.createDataFrame([], "id string, user_id long, name string")
+    rules = spark.createDataFrame([], "id long, user_id long, pattern string, category_id string, created_at long")
+    got = ingest.ingest(known, told.withColumnRenamed("gmail_message_id", "external_id"), contacts, categories, rules).collect()
+    assert len(got) == 50 and all(r.duplicate_of_id is not None for r in got if r.id >= 10**9)
+    assert all(r.duplicate_of_id is None for r in got if r.id < 10**9)
+
+
 def test_duplicate_windows(spark):
     rows = [(1, 1, 1, 100, "debit", None, 50 * H, True, None), (2, 1, 2, 100, "debit", None, 50 * H + 180_000, True, None), (3, 1, 3, 100, "debit", None, 50 * H + 180_001, True, None), (4, 1, 4, 100, "debit", None, 62 * H, False, None), (5, 2, 5, 100, "debit", None, 50 * H, True, None)]
     got = {r.id: r.duplicate_of_id for r in dedup.flag_duplicates(spark.createDataFrame(rows, TXN)).collect()}

@@ -1,5 +1,8 @@
 """Classification, extraction and resolution of messages, case by case."""
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +141,54 @@ def test_contacts(spark):
     assert got == {(7, u, m): (c, t) for u, m, c, t in PARTIES if c}
 
 
+def paired(a, b):
+    small, big = sorted((a.split(), b.split()), key=len)
+    best = False
+    for order in itertools.permutations(big, len(small)):
+        both = list(zip(small, order, strict=True))
+        best = best or all(x == y or (min(len(x), len(y)) == 1 and x[0] == y[0]) for x, y in both) and any(x == y for x, y in both)
+    return bool(small) and best
+
+
+def changes(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_alike_names_are_all_found(spark):
+    """Names one to four changes apart, against every pair; the first contact of the best score wins."""
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abnst") for _ in range(n))
+    names = sorted({" ".join(word(r.randrange(3, 8)) for _ in range(r.randrange(1, 4))) for _ in range(120)} | {"aaaaaaaaaa", "abababababab", "nn"})
+    parties = set(names[:10])
+    for _ in range(250):
+        x = list(r.choice(names))
+        for _ in range(r.randrange(1, 5)):
+            x[r.randrange(len(x))] = r.choice(["", "a", "z", "st"])
+        parties.add(" ".join("".join(x).split()))
+    contacts = spark.createDataFrame([(i, n, n, "[]", "[]", 7, i) for i, n in enumerate(names)], "id long, name string, name_normalized string, phones string, emails string, user_id long, created_at long")
+    table = spark.createDataFrame([(7, None, p) for p in sorted(parties)], "user_id long, upi_id string, merchant string")
+    norm = {x.merchant: x.n for x in table.select("merchant", T.normalize_merchant(F.col("merchant")).alias("n")).collect()}
+    want = {}
+    for p in parties:
+        if not norm[p]:
+            continue
+        score = [1.0 if norm[p] == n else 0.95 if paired(norm[p], n) else 1 - changes(norm[p], n) / max(len(norm[p]), len(n)) for n in names]
+        if max(score) >= resolve.FUZZY:
+            want[p] = score.index(max(score))
+    got = {x.merchant: x.contact_id for x in resolve.match_contacts(table, contacts).collect()}
+    assert got == want and 60 < len(want) < len(parties)
+
+
+@pytest.mark.parametrize("a,b", [("v wadhwa", "vansh wadhwa"), ("wadhwa vansh", "vansh wadhwa"), ("v w", "vansh wadhwa"), ("a a b", "a b b"), ("", "x"), ("x", ""), ("a", "a b c"), ("ann ann", "ann a bo"), ("j j smith", "john smith j")])
+def test_pairs_of_words(spark, a, b):
+    assert one(spark, resolve.token_subset(F.lit(a), F.lit(b))) == paired(a, b)
+
+
 def test_import(spark):
     old = spark.createDataFrame([(7, "Vansh", "vansh", '["9990265771"]', "[]")], "user_id long, name string, name_normalized string, phones string, emails string")
     cards = spark.createDataFrame([(7, 0, "VANSH", ["+91 99902-65771", "99999 11111"], []), (7, 1, "New One", [], ["A@B.c"]), (7, 2, "Ltd", [], [])], "user_id long, nth int, name string, phones array<string>, emails array<string>")
