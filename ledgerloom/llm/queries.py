@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_prefix, flow_reshard, fst_sentencepiece, hilbert_pack, kneser_ney, lz_fingerprint, merkle_manifest, pruned_graph_ann, simhash_tiles, skip_chain_pii, tag_path_html, warc_zip
+from . import bpe_prefix, fill_in_middle, flow_reshard, fst_sentencepiece, hilbert_pack, kneser_ney, lz_fingerprint, merkle_manifest, pruned_graph_ann, simhash_tiles, skip_chain_pii, tag_path_html, warc_zip
 
 QUERIES = {
     "op1_pruned_graph_ann": pruned_graph_ann.op1_pruned_graph_ann,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_kneser_ney": kneser_ney.op8_kneser_ney,
     "op9_flow_reshard": flow_reshard.op9_flow_reshard,
     "op10_lz_fingerprint": lz_fingerprint.op10_lz_fingerprint,
-    "op13_bpe_prefix": bpe_prefix.op13_bpe_prefix,
     "op11_merkle_manifest": merkle_manifest.op11_merkle_manifest,
+    "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_bpe_prefix": bpe_prefix.op13_bpe_prefix,
 }
-SQL: dict[str, str] = {"op2_warc_zip": warc_zip.OP2_SQL, "op11_merkle_manifest": merkle_manifest.OP11_SQL}
+SQL: dict[str, str] = {"op2_warc_zip": warc_zip.OP2_SQL, "op11_merkle_manifest": merkle_manifest.OP11_SQL, "op12_fill_in_middle": fill_in_middle.OP12_SQL}
