@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import pandas as pd
@@ -15,6 +16,8 @@ from ledgerloom.session import written
 
 MINUTE_MS = 60_000
 TIGHT_MS, WIDE_MS, STATEMENT_MS = 3 * MINUTE_MS, 20 * 60 * MINUTE_MS, 86_400_000
+#: Rows that are few enough to be one part.
+TOGETHER = 100_000
 
 
 class Canonicals:
@@ -45,57 +48,107 @@ class Canonicals:
             self.by_reference.setdefault(reference, nth)
 
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come part by part, each in ingest order; what is held is one part's canonical rows."""
-    part, seen = None, Canonicals()
+#: What is known of a row: it is canonical, a duplicate of a known row or of one that isn't known yet, or open.
+CANONICAL, DUPLICATE, TWIN_OPEN, OPEN = range(4)
+_DECIDED = ["status", "duplicate_of_id"]
+
+
+def _decide(batches: Iterator[pd.DataFrame], alone: bool) -> Iterator[pd.DataFrame]:
+    """Rows come part by part, each in ingest order, and get what can be known of them from their part and from what was
+    told of their reference; with `alone` there are no open rows elsewhere. What is held is one part's rows that aren't duplicates."""
+    part, near, refs = None, {}, {}
     for rows in batches:
-        out = []
-        for p, held, id_, created, amount, direction, ref, at, precise, deleted in zip(rows.part, rows.held, rows.id, rows.created_at, rows.amount_paise, rows.direction, rows.reference_number, rows.occurred_at, rows.occurred_at_precise, rows.deleted, strict=True):
+        statuses, twins = [], []
+        for p, held, id_, created, user, amount, direction, ref, at, precise, deleted, told, twin, doubt in zip(rows.part, rows.held, rows.id, rows.created_at, rows.user_id, rows.amount_paise, rows.direction, rows.reference_number, rows.occurred_at, rows.occurred_at_precise, rows.deleted, rows.told, rows.told_id, rows.doubt, strict=True):
             if p != part:
-                part, seen = p, Canonicals()
-            twin = None if held else seen.twin(amount, direction, ref, at, precise)
-            out.append(twin)
-            if twin is None and not deleted:
-                seen.add(amount, direction, ref, at, precise, (created, id_))
-        yield pd.DataFrame({"id": rows.id, "duplicate_of_id": pd.array(out, "Int64"), "held": rows.held})
+                part, near, refs = p, {}, {}
+            nth, name, pool = (not held, created, id_), (user, ref), (user, amount, direction)
+            status, twin = (CANONICAL, None) if held else (DUPLICATE, twin) if told else _status(refs.get(name) if isinstance(ref, str) else None, doubt and not alone, near.get(pool, ()), at, precise)
+            statuses.append(status)
+            twins.append(twin)
+            if not deleted and status in (CANONICAL, OPEN):
+                sure = status == CANONICAL
+                insort(near.setdefault(pool, []), (at, nth, bool(precise), sure))
+                if isinstance(ref, str):
+                    first, open_ = refs.get(name, (None, False))
+                    refs[name] = (nth if first is None and sure else first, open_ or not sure)
+        yield rows.assign(status=statuses, duplicate_of_id=pd.array(twins, "Int64" if pd.api.types.is_integer_dtype(rows.id.dtype) else object))
+
+
+def _status(reference: tuple | None, doubt: bool, pool, at: int, precise: bool) -> tuple:
+    """A row's status and twin: by its reference, else the earliest of its amount that is near in time."""
+    first, open_ = reference or (None, False)
+    if first:
+        return DUPLICATE, first[2]
+    doubt, best, unsure = doubt or open_, None, None
+    i = bisect_left(pool, (at - WIDE_MS,))
+    while i < len(pool) and pool[i][0] <= at + WIDE_MS:
+        other, nth, other_precise, sure = pool[i]
+        if not (precise and other_precise) or abs(other - at) <= TIGHT_MS:
+            if sure:
+                best = nth if best is None else min(best, nth)
+            else:
+                unsure = nth if unsure is None else min(unsure, nth)
+        i += 1
+    if best is None:
+        return (OPEN if doubt or unsure else CANONICAL), None
+    return (TWIN_OPEN, None) if doubt or unsure and unsure < best else (DUPLICATE, best[2])
 
 
-def _groups(rows: DataFrame) -> DataFrame:
-    """rows with `part`: rows of different parts never decide about each other.
+def _stretches(rows: DataFrame) -> DataFrame:
+    """rows with `part`, by amount, direction and stretches of time: rows of different parts are never near each other.
 
-    Amount, direction and stretches of time without a gap of 20 hours part the rows of a tenant; buckets of time
-    are summed up first, so that no key's rows come together for it. References held by several such stretches
-    join them, by repeated contraction of those links alone.
+    A precise row reaches 3 minutes, another one 20 hours both ways; a part ends where no row before reaches on. Rows are
+    summed up by 3 minutes first, so that of one amount a task sees as many rows as it has such times.
     """
     key = ["user_id", "amount_paise", "direction"]
-    rows = rows.withColumn("_bucket", F.floor(F.col("occurred_at") / WIDE_MS))
-    spans = rows.groupBy(*key, "_bucket").agg(F.min("occurred_at").alias("lo"), F.max("occurred_at").alias("hi"))
-    line = Window.partitionBy(*key).orderBy("_bucket")
-    gap = F.coalesce(F.col("lo") - F.lag("hi").over(line) > WIDE_MS, F.lit(True))
+    wide = F.when(F.col("occurred_at_precise"), 0).otherwise(WIDE_MS)
+    rows = rows.withColumn("_bucket", F.floor(F.col("occurred_at") / TIGHT_MS))
+    spans = rows.groupBy(*key, "_bucket").agg(F.min(F.col("occurred_at") - wide).alias("lo"), F.max(F.col("occurred_at") + F.greatest(wide, F.lit(TIGHT_MS))).alias("hi"))
+    line = Window.partitionBy(*key).orderBy("lo", "_bucket")
+    gap = F.coalesce(F.col("lo") > F.max("hi").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     spans = spans.withColumn("_gap", gap.cast("int")).withColumn("_run", F.sum("_gap").over(line))
-    spans = spans.select(*key, "_bucket", F.xxhash64(*key, "_run").alias("part"))
-    rows = written(rows.join(spans, [*key, "_bucket"]).drop("_bucket"))
-    held = rows.filter("reference_number IS NOT NULL").groupBy("user_id", "reference_number").agg(F.min("part").alias("a"), F.max("part").alias("z")).filter("a <> z")
-    links = rows.join(held, ["user_id", "reference_number"]).select("a", F.col("part").alias("b")).filter("a <> b").distinct()
-    roots = contracted(links)
-    return rows.join(roots, rows.part == roots.node, "left").withColumn("part", F.coalesce("root", "part")).drop("node", "root")
-
-
-def contracted(links: DataFrame) -> DataFrame:
-    """(node, root): the components of links (a, b). Every round each node moves to its least neighbour's choice."""
-    links, moved = written(links.select("a", "b")), None
-    while not links.isEmpty():
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = written(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("to")))
-        far = step.select(F.col("a").alias("to"), F.col("to").alias("far"))
-        step = written(step.join(far, "to", "left").select("a", F.coalesce("far", "to").alias("to")))
-        if moved is None:
-            moved = step.select(F.col("a").alias("node"), F.col("to").alias("root"))
-        else:
-            moved = written(moved.join(step.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
-        other = step.select(F.col("a").alias("b"), F.col("to").alias("to_b"))
-        links = written(links.join(step, "a").join(other, "b").select(F.col("to").alias("a"), F.col("to_b").alias("b")).filter("a <> b").distinct())
-    return moved if moved is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return rows.join(spans.select(*key, "_bucket", F.xxhash64(*key, "_run").alias("part")), [*key, "_bucket"]).drop("_bucket")
+
+
+#: What a row is told of its reference.
+_TOLD = ["told", "told_id", "doubt"]
+
+
+def _folded(rows: DataFrame, alone: bool = False) -> DataFrame:
+    """rows with status and duplicate_of_id, each part in one go."""
+    kind = dict(rows.dtypes)["id"]
+    order = ["part", F.col("held").desc(), "created_at", "id"]
+    plain = rows.drop(*_DECIDED)
+    schema = ", ".join(f"`{c}` {t}" for c, t in plain.dtypes) + f", status int, duplicate_of_id {kind}"
+    return plain.repartition("part").sortWithinPartitions(*order).mapInPandas(lambda b: _decide(b, alone), schema)
+
+
+def _rounds(rows: DataFrame, together: int) -> Iterator[DataFrame]:
+    """Decided rows of the parts whose references are also held elsewhere, round by round.
+
+    A round tells of each reference its first canonical row and its first open one, and folds the parts that still have
+    open rows. The earliest open row is always decided, so rounds end; what chains through many references is left to
+    one last part as soon as it has at most `together` rows.
+    """
+    nth, key = F.struct((~F.col("held")).alias("late"), "created_at", "id"), ["user_id", "reference_number"]
+    is_open = lambda df: df.filter(F.col("status").isin(TWIN_OPEN, OPEN)).select("part").distinct()
+    rows = rows.withColumns({"status": F.when(F.col("held"), CANONICAL).otherwise(OPEN), "duplicate_of_id": F.lit(None).cast(dict(rows.dtypes)["id"])})
+    known = []
+    while True:
+        telling = reduce(DataFrame.unionByName, [x.select(*key, "held", "created_at", "id", "status", "deleted", "tied") for x in [rows, *known]])
+        told = telling.filter("tied AND NOT deleted").groupBy(*key).agg(F.min(F.when(F.col("status") == CANONICAL, nth)).alias("_first"), F.min(F.when(F.col("status") == OPEN, nth)).alias("_open"))
+        # a row with no reference, or one that its part holds alone, finds nothing
+        asked = rows.drop(*_TOLD).withColumn("_ref", F.when(F.col("tied"), F.col("reference_number"))).join(told.withColumnsRenamed({"reference_number": "_ref"}), ["user_id", "_ref"], "left")
+        asked = asked.withColumns({"told": F.coalesce(F.col("_first") < nth, F.lit(False)), "told_id": F.col("_first.id"), "doubt": F.coalesce(F.col("_open") < nth, F.lit(False))}).drop("_ref", "_first", "_open")
+        last = rows.limit(together + 1).count() <= together
+        done = written(_folded(asked.withColumn("part", F.lit(0).cast("long")) if last else asked, last))
+        if last or is_open(done).isEmpty():
+            yield done
+            return
+        rows, closed = written(done.join(is_open(done), "part", "left_semi")), written(done.join(is_open(done), "part", "left_anti"))
+        yield closed
+        known.append(closed)
 
 
 def possible_twins(existing: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -112,21 +165,29 @@ def possible_twins(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     return near.unionByName(told).dropDuplicates(["id"])
 
 
-def flag_duplicates(txns: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+def flag_duplicates(txns: DataFrame, existing: DataFrame | None = None, together: int = TOGETHER) -> DataFrame:
     """(id, duplicate_of_id) of all txns, in ingest order (created_at, id).
 
     A row is a duplicate of a row before it that isn't one itself nor deleted: of the same reference at any
     distance, else of the same amount and direction within 3 minutes, or 20 hours if either time is a guess.
     With existing, txns are a batch that comes after those rows of the ledger; of these only possible twins are
     read again, and they keep the flags that they have.
+
+    Parts by amount and stretch of time are folded each by itself. Those that hold a reference which another part holds
+    too are folded in rounds, between which references tell what is decided; the last `together` rows are one part.
     """
     shape = ["id", "user_id", "created_at", "amount_paise", "direction", "reference_number", "occurred_at", "occurred_at_precise", F.col("deleted_at").isNotNull().alias("deleted")]
     rows = txns.select(*shape, F.lit(False).alias("held"))
     if existing is not None:
         rows = rows.unionByName(possible_twins(existing, txns).select(*shape, F.lit(True).alias("held")))
     kind = dict(txns.dtypes)["id"]
-    order = ["part", F.col("held").desc(), "created_at", "id"]
-    return _groups(rows).repartition("part").sortWithinPartitions(*order).mapInPandas(_fold, f"id {kind}, duplicate_of_id {kind}, held boolean").filter("NOT held").drop("held")
+    rows = written(_stretches(rows))
+    spread = rows.filter("reference_number IS NOT NULL").groupBy("user_id", "reference_number").agg(F.min("part").alias("a"), F.max("part").alias("z")).filter("a <> z")
+    spread = spread.select("user_id", "reference_number", F.lit(True).alias("tied"))
+    rows = written(rows.join(spread, ["user_id", "reference_number"], "left").withColumns({"tied": F.coalesce("tied", F.lit(False)), "told": F.lit(False), "told_id": F.lit(None).cast(kind), "doubt": F.lit(False)}))
+    parts = rows.filter("tied").select("part").distinct()
+    out = [_folded(rows.join(parts, "part", "left_anti")), *_rounds(rows.join(parts, "part", "left_semi"), together)]
+    return reduce(DataFrame.unionByName, [x.filter("NOT held").select("id", "duplicate_of_id") for x in out])
 
 
 def first_by_key(txns: DataFrame, keys: tuple[str, ...] = ("user_id", "gmail_message_id")) -> DataFrame:

@@ -33,10 +33,11 @@ def fold(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_duplicates_are_the_ordered_fold(spark, seed):
+@pytest.mark.parametrize(("seed", "together"), [(1, 0), (2, 0), (3, 0), (2, 100_000)])
+def test_duplicates_are_the_ordered_fold(spark, seed, together):
+    """With nothing taken together, recurring references are decided by rounds alone."""
     rows = some_txns(seed)
-    got = {r.id: r.duplicate_of_id for r in dedup.flag_duplicates(spark.createDataFrame(rows, TXN)).collect()}
+    got = {r.id: r.duplicate_of_id for r in dedup.flag_duplicates(spark.createDataFrame(rows, TXN), together=together).collect()}
     assert got == fold(rows)
     assert sum(v is not None for v in got.values()) > 20
     assert dedup.flag_duplicates(spark.createDataFrame([], TXN)).count() == 0
