@@ -200,42 +200,94 @@ def first_by_key(txns: DataFrame, keys: tuple[str, ...] = ("user_id", "gmail_mes
 # Statements
 
 
-def _nearest(free: list[tuple], rows: list[tuple]) -> Iterator[tuple]:
+class _Free:
+    """Transactions that aren't taken yet, by time; those of one time are taken in order. Emptied times are skipped for good."""
+
+    def __init__(self, txns: list[tuple]):
+        self.times, self.queues = [], []
+        for at, nth, id_ in sorted(txns):
+            if not self.times or self.times[-1] != at:
+                self.times.append(at)
+                self.queues.append([])
+            self.queues[-1].append((nth, id_))
+        n = len(self.times)
+        self.taken, self.left, self.right = [0] * n, list(range(n)), list(range(n + 1))
+
+    def _skip(self, to: list[int], i: int, step: int) -> int:
+        """The nearest time from i on that has any left; paths are shortened on the way."""
+        seen = []
+        while 0 <= i < len(self.times) and self.taken[i] == len(self.queues[i]):
+            seen.append(i)
+            i = to[i] if to[i] != i else i + step
+        for k in seen:
+            to[k] = i
+        return i
+
+    def _head(self, i: int, at: int) -> tuple | None:
+        if 0 <= i < len(self.times) and abs(self.times[i] - at) <= STATEMENT_MS:
+            return abs(self.times[i] - at), *self.queues[i][self.taken[i]], i
+        return None
+
+    def nearest(self, at: int) -> tuple | None:
+        """(distance, nth, id, place) of the nearest that is left within a day."""
+        i = bisect_left(self.times, at)
+        both = [self._head(self._skip(self.left, i - 1, -1), at), self._head(self._skip(self.right, i, 1), at)]
+        return min([x for x in both if x], default=None)
+
+    def take(self, at: int):
+        found = self.nearest(at)
+        if found:
+            self.taken[found[3]] += 1
+            return found[2]
+        return None
+
+
+def _nearest(txns: list[tuple], rows: list[tuple]) -> Iterator[tuple]:
     """Greedy and one-to-one: rows by their first best distance, each takes the nearest that is left."""
-    free = sorted(free)
-    times = [t for t, _, _ in free]
-
-    def near(at):
-        return free[bisect_left(times, at - STATEMENT_MS) : bisect_left(times, at + STATEMENT_MS + 1)]
-
-    used = set()
-    for _, i, at in sorted((min(abs(t - at) for t, _, _ in c), i, at) for i, at in rows if (c := near(at))):
-        left = [(abs(t - at), nth, id_) for t, nth, id_ in near(at) if id_ not in used]
-        if left:
-            used.add(min(left)[2])
-            yield i, min(left)[2]
+    free = _Free(txns)
+    for _, i, at in sorted((best[0], i, at) for i, at in rows if (best := free.nearest(at))):
+        if (id_ := free.take(at)) is not None:
+            yield i, id_
 
 
 def _pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Transactions and statement rows come amount by amount."""
-    key, free, rows = None, [], []
+    """Transactions and statement rows come part by part."""
+    part, user, txns, rows = None, None, [], []
     for batch in chain(batches, [None]):
         out = []
-        for new in [None] if batch is None else zip(batch.user_id, batch.amount_paise, batch.direction, batch.is_row, batch.id, batch.occurred_at, batch.nth, strict=True):
-            if new is None or new[:3] != key:
-                out += [(key[0], i, id_) for i, id_ in _nearest(free, rows)] if free and rows else []
-                key, free, rows = new and new[:3], [], []
+        for new in [None] if batch is None else zip(batch.part, batch.user_id, batch.is_row, batch.id, batch.occurred_at, batch.nth, strict=True):
+            if new is None or new[0] != part:
+                out += [(user, i, id_) for i, id_ in _nearest(txns, rows)] if txns and rows else []
+                part, txns, rows = new and new[0], [], []
             if new:
-                _, _, _, is_row, id_, at, nth = new
-                rows.append((id_, at)) if is_row else free.append((at, nth, id_))
+                _, user, is_row, id_, at, nth = new
+                rows.append((id_, at)) if is_row else txns.append((at, nth, id_))
         yield pd.DataFrame(out, columns=["user_id", "row_index", "existing_id"])
 
 
+def _days(items: DataFrame) -> DataFrame:
+    """items with `part`: those of one amount and direction up to a pause of a day in which no statement row reaches on.
+
+    Only rows reach, a day both ways; transactions that none reaches are left out. Items are summed up by hours first, so that of
+    one amount a task sees as many rows as it has hours.
+    """
+    key = ["user_id", "amount_paise", "direction"]
+    items = items.withColumn("_hour", F.floor(F.col("occurred_at") / 3_600_000))
+    reach = F.when(F.col("is_row"), STATEMENT_MS).otherwise(0)
+    spans = items.groupBy(*key, "_hour").agg(F.min(F.col("occurred_at") - reach).alias("lo"), F.max(F.col("occurred_at") + reach).alias("hi"), F.bool_or("is_row").alias("_told"))
+    line = Window.partitionBy(*key).orderBy("lo", "_hour")
+    gap = F.coalesce(F.col("lo") > F.max("hi").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    spans = spans.withColumn("_gap", gap.cast("int")).withColumn("_run", F.sum("_gap").over(line))
+    spans = spans.withColumn("_told", F.bool_or("_told").over(Window.partitionBy(*key, "_run"))).filter("_told")
+    return items.join(spans.select(*key, "_hour", F.xxhash64(*key, "_run").alias("part")), [*key, "_hour"]).drop("_hour")
+
+
 def statement_duplicates(rows: DataFrame, existing: DataFrame) -> DataFrame:
     """(user_id, row_index, existing_id): statement rows that the ledger has already, each of its rows at most once.
 
     First by reference, the n-th row of a reference with the n-th transaction that has it; then by amount and
-    direction within a day. existing needs nth, its order.
+    direction within a day: rows in order of their first best distance take the nearest that is left. existing needs nth,
+    its order. Parts end where no row reaches on (see _days); in a part a row finds its transaction in about constant time.
     """
     clean = normalized_reference(F.col("reference_number"))
     ref = lambda df: df.withColumn("_ref", F.when(F.length(clean) >= MIN_REFERENCE, clean))
@@ -248,5 +300,5 @@ def statement_duplicates(rows: DataFrame, existing: DataFrame) -> DataFrame:
     free = existing.join(first.select("user_id", F.col("existing_id").alias("id")), ["user_id", "id"], "left_anti").select(*key, F.lit(False).alias("is_row"), "id", "occurred_at", "nth")
     types = dict(first.dtypes)
     schema = f"user_id {types['user_id']}, row_index {types['row_index']}, existing_id {types['existing_id']}"
-    both = rest.unionByName(free).repartition(*key).sortWithinPartitions(*key)
+    both = _days(rest.unionByName(free)).repartition("part").sortWithinPartitions("part")
     return first.unionByName(both.mapInPandas(_pair, schema))

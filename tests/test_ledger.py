@@ -107,6 +107,39 @@ def test_statement_pairs(spark):
     assert got == want
 
 
+def test_pairs_take_the_nearest_left_whatever_the_ties():
+    """Against a plain search, with many rows and transactions at the same times."""
+    r = random.Random(9)
+    for step in (H, 12 * H, 24 * H):
+        txns = [(r.randrange(0, 200 * H, step), r.randrange(5), i) for i in range(300)]
+        rows = [(i, r.randrange(0, 200 * H, step)) for i in range(300)]
+        near = lambda at, used: [(abs(t - at), n, i) for t, n, i in txns if i not in used and abs(t - at) <= 24 * H]  # noqa: B023, E731
+        used, want = set(), []
+        for _, i, at in sorted((min(near(at, ()))[0], i, at) for i, at in rows if near(at, ())):
+            if left := near(at, used):
+                used.add(min(left)[2])
+                want.append((i, min(left)[2]))
+        assert list(dedup._nearest(txns, rows)) == want
+
+
+def test_one_amount_of_many_days_is_many_parts(spark):
+    """A day's pause without a row that reaches on ends a part; transactions that no row reaches are left out."""
+    at = lambda *x: [(1, 100, "debit", *y) for y in x]
+    items = at(*[(True, d, d * 60 * H, 0) for d in range(40)], *[(False, 100 + d, d * 60 * H + H, d) for d in range(40)], *[(False, 500 + d, 30 * H + d * 60 * H, d) for d in range(39)])
+    parts = dedup._days(spark.createDataFrame(items, "user_id long, amount_paise long, direction string, is_row boolean, id long, occurred_at long, nth int")).groupBy("part").count().collect()
+    assert len(parts) == 40 and {x["count"] for x in parts} == {2}
+
+
+def test_recurring_references_stay_many_parts(spark):
+    """Monthly references tie many amounts: no part grows beyond its own stretch, and two rounds decide all."""
+    rows = [(m * 100 + k, 1, 1000 + m, 100 * k + m, "debit", f"RENT{k}", m * 700 * H, True, None) for m in range(30) for k in range(20)]
+    txns = spark.createDataFrame(rows, TXN)
+    got = {r.id: r.duplicate_of_id for r in dedup.flag_duplicates(txns, together=0).collect()}
+    assert got == {r[0]: None if r[0] < 100 else r[0] % 100 for r in rows}
+    parts = dedup._stretches(txns).groupBy("part").count().collect()
+    assert len(parts) == 600
+
+
 EVENTS = "id long, user_id long, amount_paise long, direction string, category_id string, notes string, status string, matched_transaction_id long, occurred_at long, created_at long"
 T0 = 1000 * H
 
