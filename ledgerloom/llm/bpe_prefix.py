@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,10 @@ from . import common
 
 # Fixed value: the published pattern of byte-level BPE's words
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Octets of the longest word that is remembered, and of words, ids and their objects (ENTRY a word) that a worker holds.
-LONGEST, TABLE_BYTES, ENTRY = 64, 128 << 20, 180
+#: Characters of the longest word that is remembered, and octets of words, ids and their objects (ENTRY a word) that a worker holds.
+LONGEST, TABLE_BYTES, ENTRY = 64, 256 << 20, 180
+#: Characters whose new words are learnt in one go.
+RUN = 2 << 20
 #: Answers on pairs of tokens that a worker holds.
 PAIRS = 1 << 19
 _NEVER = 1 << 60
@@ -48,14 +51,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def unassigned() -> re.Pattern:
-    """Characters that this Python's Unicode hasn't assigned: tables of different versions may class them differently."""
-    points = [i for i in range(0x110000) if unicodedata.category(chr(i)) == "Cn"]
-    starts = [i for i, p in enumerate(points) if not i or points[i - 1] != p - 1]
-    spans = zip(starts, [*starts[1:], len(points)], strict=True)
-    return re.compile("[" + "".join(f"\\U{points[a]:08x}-\\U{points[z - 1]:08x}" for a, z in spans) + "]")
-
-
 class Suffixes:
     """The suffix automaton of many strings: a state is the set of pieces that occur at the same ends, a link the longest suffix that occurs elsewhere too."""
 
@@ -73,11 +68,6 @@ class Suffixes:
             for c in s:
                 at = self.step[at << 8 | c]
             self.ends[at] = i
-        #: the nearest state up the links that ends a string
-        self.up = [0] * len(self.link)
-        for at in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            link = self.link[at]
-            self.up[at] = link if self.ends[link] >= 0 else self.up[link]
 
     def _state(self, length: int, link: int, out: list[list[int]]) -> int:
         self.length.append(length)
@@ -111,6 +101,10 @@ class Suffixes:
         return new
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
 class Bpe:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -125,8 +119,8 @@ class Bpe:
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in told["added_tokens"]):
             raise ValueError(f"{path} has an added token that takes more than its own text")
         self.prefix = " " if cut["add_prefix_space"] else ""
-        #: only to split texts with unassigned characters, of which the tokenizer's own tables must tell what they are
-        self.splitter, self.unknown = Tokenizer.from_file(path).pre_tokenizer, unassigned()
+        #: only to split texts with characters that Python's tables haven't assigned, as other tables may class them differently
+        self.splitter, self.assigned = Tokenizer.from_file(path).pre_tokenizer, set()
         self.added = {t["content"]: t["id"] for t in told["added_tokens"] if t["content"]}
         self.marks = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         letters = byte_letters()
@@ -135,6 +129,8 @@ class Bpe:
         self._learn(vocab, [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], letters)
         self.table: dict[str, bytes] = {}
         self.held = 0
+        #: the word looked at last: of its prefixes the last token, and the automaton's state with the length matched
+        self.before, self.last, self.states = b"", [-1], [(0, 0)]
         self.pairs: dict[int, bool] = {}
 
     def _learn(self, vocab: dict[bytes, int], merges: list[tuple[str, str]], letters: dict[str, int]) -> None:
@@ -154,7 +150,13 @@ class Bpe:
                 self.rank[whole], self.halves[whole] = r, (left, right)
         strings = sorted((i for i in vocab.values() if i in self.rank), key=lambda i: len(self.octets[i]))
         self.automaton = Suffixes([self.octets[i] for i in strings])
-        self.token = [strings[k] if k >= 0 else -1 for k in self.automaton.ends]
+        #: of each state the tokens that its longest piece ends in, longest first, and those of its shorter ones
+        self.whole, self.shorter = [()] * len(self.automaton.link), [()] * len(self.automaton.link)
+        for at in sorted(range(1, len(self.whole)), key=self.automaton.length.__getitem__):
+            k = self.automaton.ends[at]
+            self.shorter[at] = self.whole[self.automaton.link[at]]
+            self.whole[at] = ((strings[k], self.automaton.length[at]), *self.shorter[at]) if k >= 0 else self.shorter[at]
+        self.size = {i: len(self.octets[i]) for i in strings}
 
     def apart(self, u: int, t: int, before: int = _NEVER) -> bool:
         """Whether no merge of a rank below `before` joins the end of u and the start of t before both are whole."""
@@ -173,69 +175,98 @@ class Bpe:
                 return True
 
     def word(self, octets: bytes) -> list[int]:
-        """Ids of a word: the last token of every prefix, then back from the end."""
-        auto = self.automaton
-        step, link, length, up, token, pairs = auto.step, auto.link, auto.length, auto.up, self.token, self.pairs
-        last, begin = [-1] * (len(octets) + 1), [0] * (len(octets) + 1)
-        state = matched = 0
-        for i, c in enumerate(octets, 1):
+        """Ids of a word: the last token of every prefix, then back from the end. What it shares with the word before is kept."""
+        step, link, length = self.automaton.step, self.automaton.link, self.automaton.length
+        whole, shorter, pairs, last, states = self.whole, self.shorter, self.pairs, self.last, self.states
+        shared, before = 0, self.before
+        for a, b in zip(before, octets, strict=False):
+            if a != b:
+                break
+            shared += 1
+        del last[shared + 1 :], states[shared + 1 :]
+        known, (state, matched) = pairs.get, states[shared]
+        for i in range(shared + 1, len(octets) + 1):
+            c = octets[i - 1]
             to = step.get(state << 8 | c)
             while to is None:
                 state = link[state]
                 matched = length[state]
                 to = step.get(state << 8 | c)
             state, matched = to, matched + 1
-            s = state if token[state] >= 0 and length[state] == matched else up[state]
-            while True:
-                t, j = token[s], i - length[s]
-                if not j:
+            for t, n in whole[state] if length[state] == matched else shorter[state]:
+                if n == i:
                     break
-                pair = last[j] << 32 | t
-                fits = pairs.get(pair)
+                u = last[i - n]
+                fits = known(u << 32 | t)
                 if fits is None:
                     if len(pairs) >= PAIRS:
                         pairs.clear()
-                    fits = pairs[pair] = self.apart(last[j], t)
+                    fits = pairs[u << 32 | t] = self.apart(u, t)
                 if fits:
                     break
-                s = up[s]
-            last[i], begin[i] = t, j
-        out, i = [], len(octets)
+            last.append(t)
+            states.append((state, matched))
+        self.before = octets
+        out, size, i = [], self.size, len(octets)
         while i:
             out.append(last[i])
-            i = begin[i]
+            i -= size[last[i]]
+        if len(octets) > LONGEST:
+            self.before, self.last, self.states = b"", [-1], [(0, 0)]
         return out[::-1]
 
-    def _remembered(self, word: str) -> bytes:
-        octets = word.encode()
-        ids = np.array(self.word(octets), "<u4").tobytes()
-        if len(octets) <= LONGEST:
-            self.held += ENTRY + 4 * len(word) + len(ids)
-            if self.held > TABLE_BYTES:
-                self.table.clear()
-                self.held = 0
-            self.table[word] = ids
-        return ids
+    def _learnt(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that the table lacks, in order, so that neighbours share prefixes. The table remembers the short ones."""
+        found = {}
+        for w in sorted(words):
+            found[w] = _packed(self.word(w.encode()))
+        short = {w: ids for w, ids in found.items() if len(w) <= LONGEST}
+        self.held += sum(ENTRY + 2 * len(w) + len(ids) for w, ids in short.items())
+        if self.held > TABLE_BYTES:
+            self.table, self.held = {}, 0
+        else:
+            self.table |= short
+        return found
 
     def _words(self, text: str) -> list[str]:
         text = text if text.startswith(" ") else self.prefix + text
-        if text.isascii() or not self.unknown.search(text):
-            return _WORDS.findall(text)
-        return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
-
-    def _unmarked(self, text: str) -> bytes:
-        if not text:
-            return b""
-        table, new = self.table, self._remembered
-        return b"".join([table.get(w) or new(w) for w in self._words(text)])
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        out, at = [], 0
+        if not text.isascii():
+            new = set(text) - self.assigned
+            if any(unicodedata.category(c) == "Cn" for c in new):
+                return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
+            self.assigned |= new
+        return _WORDS.findall(text)
+
+    def _parts(self, text: str) -> Iterator[tuple[str, bytes]]:
+        """Stretches of text, each followed by the ids of an added token."""
+        at = 0
         for m in self.marks.finditer(text):
-            out += [self._unmarked(text[at : m.start()]), np.array([self.added[m[0]]], "<u4").tobytes()]
+            yield text[at : m.start()], _packed([self.added[m[0]]])
             at = m.end()
-        return b"".join([*out, self._unmarked(text[at:])])
+        yield text[at:], b""
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; texts are split in runs of RUN characters or so, whose new words are learnt together."""
+        out, held = [], []
+
+        def flush() -> None:
+            table = self.table  # what it holds now stays in reach if it is emptied meanwhile
+            new = self._learnt({w for parts in held for words, _ in parts for w in words if w not in table})
+            out.extend(b"".join([b"".join([table.get(w) or new[w] for w in words]) + mark for words, mark in parts]) for parts in held)
+            held.clear()
+
+        octets = 0
+        for text in texts:
+            held.append([(self._words(t) if t else [], mark) for t, mark in self._parts(text)])
+            octets += len(text)
+            if octets > RUN:
+                flush()
+                octets = 0
+        flush()
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         get = self.octets.get
@@ -254,9 +285,9 @@ def loaded(path: str) -> Bpe:
 def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", out_col: str = "ids", packed: bool = False) -> DataFrame:
     """docs and their ids, as an array or packed as little-endian unsigned 32-bit integers; tokenizer is a path that every machine has."""
     if packed:
-        udf = F.pandas_udf(lambda texts: texts.map(lambda t: loaded(tokenizer).encode(t or "")), "binary")
+        udf = F.pandas_udf(lambda texts: pd.Series(loaded(tokenizer).encode_all([t or "" for t in texts]), dtype=object), "binary")
     else:
-        udf = F.pandas_udf(lambda texts: texts.map(lambda t: np.frombuffer(loaded(tokenizer).encode(t or ""), "<u4").astype(np.int32)), "array<int>")
+        udf = F.pandas_udf(lambda texts: pd.Series([np.frombuffer(x, "<u4").astype(np.int32) for x in loaded(tokenizer).encode_all([t or "" for t in texts])], dtype=object), "array<int>")
     return docs.withColumn(out_col, udf(F.col(text_col)))
 
 
