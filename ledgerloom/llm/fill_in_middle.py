@@ -35,6 +35,8 @@ RATE, SUFFIX_FIRST = 90, 20
 SEED = 1
 #: Documents that share a text and are one entry of the index, and most texts that are more than one.
 HOT, MOST = 1000, 100_000
+#: Octets of the dictionary that texts are compressed with, texts and characters of each it is learnt from, and zstd's level.
+DICTIONARY, SAMPLE, SAMPLE_CHARS, LEVEL = 64 << 10, 1000, 8000, 9
 #: Octets of outputs in a batch, about.
 BATCH_BYTES = 8 << 20
 
@@ -76,8 +78,17 @@ def boundaries(octets: bytes) -> np.ndarray:
     return np.append(starts, len(octets)).astype(np.int64)
 
 
-def _zipped(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: zstandard.compress(t.encode(), 3))
+def dictionary(docs: DataFrame) -> bytes:
+    """What compressed texts may refer to, learnt from the starts of SAMPLE texts at most; only sizes depend on it. Empty if these are too few."""
+    starts = [r.text.encode() for r in docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE).collect()]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, starts).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _loaded(shared: bytes) -> dict:
+    return {"dict_data": zstandard.ZstdCompressionDict(shared)} if shared else {}
 
 
 _INDEX = "key binary, rows long, verified boolean, n long, tagged boolean, z binary, bits int, low binary, high binary"
@@ -91,20 +102,28 @@ def by_content(text: Column) -> Column:
     return F.encode(text, "UTF-8")
 
 
-def index(docs: DataFrame, key: Callable[[Column], Column] = by_hash, tags: tuple[str, ...] = TAGS) -> DataFrame:
-    """An entry for each key of the texts of docs (id, text), staged; `verified` tells whether all its texts are the same."""
+def index(docs: DataFrame, shared: bytes = b"", key: Callable[[Column], Column] = by_hash, tags: tuple[str, ...] = TAGS) -> DataFrame:
+    """An entry for each key of the texts of docs (id, text), staged; `verified` tells whether all its texts are the same.
+
+    z is the text, compressed with the dictionary shared.
+    """
     marks = [t.encode() for t in tags]
 
+    def zipped(texts: pd.Series) -> pd.Series:
+        compress = zstandard.ZstdCompressor(level=LEVEL, **_loaded(shared)).compress
+        return texts.map(lambda t: compress(t.encode()))
+
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unzip = zstandard.ZstdDecompressor(**_loaded(shared)).decompress
         for batch in batches:
             out = []
             for k, rows, same, z in zip(batch.key, batch.rows, batch.verified, batch.z, strict=True):
-                octets = zstandard.decompress(z)
+                octets = unzip(z)
                 at = boundaries(octets)
                 out.append((k, rows, same, len(at) - 1, any(m in octets for m in marks), z, *EliasFano.packed(at)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _INDEX.split(", ")])
 
-    groups = docs.select(key(F.col("text")).alias("key"), F.pandas_udf(_zipped, "binary")("text").alias("z")).groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("z").alias("z"), (F.min("z") == F.max("z")).alias("verified"))
+    groups = docs.select(key(F.col("text")).alias("key"), F.pandas_udf(zipped, "binary")("text").alias("z")).groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("z").alias("z"), (F.min("z") == F.max("z")).alias("verified"))
     return common.staged(groups.mapInPandas(entries, _INDEX))
 
 
@@ -113,14 +132,15 @@ def seeded(seed: int, doc_id) -> tuple[int, int, int, int]:
     return tuple(np.frombuffer(hashlib.sha256(f"{seed}:{doc_id}".encode()).digest()[:16], ">u4").tolist())
 
 
-def _cut(batches: Iterator[pd.DataFrame], seed: int, tags: tuple[str, ...], rate: int, suffix_first: int) -> Iterator[pd.DataFrame]:
+def _cut(batches: Iterator[pd.DataFrame], shared: bytes, seed: int, tags: tuple[str, ...], rate: int, suffix_first: int) -> Iterator[pd.DataFrame]:
     p, s, m = (t.encode() for t in tags)
     names = ["id", "n", "form", "prefix_chars", "middle_chars", "output"]
     whole = {"prefix_chars": "Int64", "middle_chars": "Int64"}
+    unzip = zstandard.ZstdDecompressor(**_loaded(shared)).decompress
     out, held = [], 0
     for batch in batches:
         for n, tagged, z, bits, low, high, ids in zip(batch.n, batch.tagged, batch.z, batch.bits, batch.low, batch.high, batch.ids, strict=True):
-            octets = zstandard.decompress(z)
+            octets = unzip(z)
             h = [seeded(seed, x["id"]) for x in ids]
             cuts = np.sort(np.array([(a % (n + 1), b % (n + 1)) for a, b, _, _ in h], np.int64), axis=1)
             at = EliasFano(int(bits), low, high).select(cuts.ravel()).reshape(cuts.shape)
@@ -144,7 +164,8 @@ def _cut(batches: Iterator[pd.DataFrame], seed: int, tags: tuple[str, ...], rate
 def transformed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, tags: tuple[str, ...] = TAGS, rate: int = RATE, suffix_first: int = SUFFIX_FIRST, key: Callable[[Column], Column] = by_hash) -> DataFrame:
     """(id, n, form, prefix_chars, middle_chars, output): every document's text with its middle moved to the end, or plain."""
     docs = common.identified(docs, id_col).select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    entries = index(docs, key, tags)
+    shared = dictionary(docs)
+    entries = index(docs, shared, key, tags)
     counted = entries.agg(F.sum("rows").alias("rows"), F.bool_and("verified").alias("same")).first()
     limit = max(HOT, (counted.rows or 0) // MOST)
     # at most MOST rows, as each stands for more than a MOST-th of all
@@ -154,7 +175,7 @@ def transformed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = ids.groupBy("key", F.pmod(F.xxhash64("id"), parts).alias("part")).agg(F.collect_list(F.struct("id", "times")).alias("ids"))
     dealt = entries.filter("verified").join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
     schema = f"id {dict(docs.dtypes)['id']}, n long, form string, prefix_chars long, middle_chars long, output string"
-    out = dealt.join(ids, ["key", "part"]).select("n", "tagged", "z", "bits", "low", "high", "ids").mapInPandas(lambda b: _cut(b, seed, tags, rate, suffix_first), schema)
+    out = dealt.join(ids, ["key", "part"]).select("n", "tagged", "z", "bits", "low", "high", "ids").mapInPandas(lambda b: _cut(b, shared, seed, tags, rate, suffix_first), schema)
     if counted.same is not False:
         return out
     twofold = docs.withColumn("key", key(F.col("text"))).join(entries.filter("NOT verified").select("key"), "key", "left_semi").select("id", "text")
