@@ -20,34 +20,6 @@ TIGHT_MS, WIDE_MS, STATEMENT_MS = 3 * MINUTE_MS, 20 * 60 * MINUTE_MS, 86_400_000
 TOGETHER = 100_000
 
 
-class Canonicals:
-    """The rows so far that aren't duplicates: by reference, and by amount and direction in order of time.
-
-    Of several twins the earliest in ingest order, then the smallest id, is the answer.
-    """
-
-    def __init__(self) -> None:
-        self.by_reference: dict[str, tuple] = {}
-        self.by_amount: dict[tuple, list[tuple]] = {}
-
-    def twin(self, amount, direction, reference, at: int, precise: bool):
-        if reference and reference in self.by_reference:
-            return self.by_reference[reference][1]
-        rows, best = self.by_amount.get((amount, direction), ()), None
-        i = bisect_left(rows, (at - WIDE_MS,))
-        while i < len(rows) and rows[i][0] <= at + WIDE_MS:
-            other, nth, other_precise = rows[i]
-            if not (precise and other_precise) or abs(other - at) <= TIGHT_MS:
-                best = nth if best is None else min(best, nth)
-            i += 1
-        return best[1] if best else None
-
-    def add(self, amount, direction, reference, at: int, precise: bool, nth: tuple) -> None:
-        insort(self.by_amount.setdefault((amount, direction), []), (at, nth, precise))
-        if reference:
-            self.by_reference.setdefault(reference, nth)
-
-
 #: What is known of a row: it is canonical, a duplicate of a known row or of one that isn't known yet, or open.
 CANONICAL, DUPLICATE, TWIN_OPEN, OPEN = range(4)
 _DECIDED = ["status", "duplicate_of_id"]
@@ -63,7 +35,7 @@ def _decide(batches: Iterator[pd.DataFrame], alone: bool) -> Iterator[pd.DataFra
             if p != part:
                 part, near, refs = p, {}, {}
             nth, name, pool = (not held, created, id_), (user, ref), (user, amount, direction)
-            status, twin = (CANONICAL, None) if held else (DUPLICATE, twin) if told else _status(refs.get(name) if isinstance(ref, str) else None, doubt and not alone, near.get(pool, ()), at, precise)
+            status, twin = (CANONICAL, None) if held else (DUPLICATE, twin) if told else decided(refs.get(name) if isinstance(ref, str) else None, doubt and not alone, near.get(pool, ()), at, precise)
             statuses.append(status)
             twins.append(twin)
             if not deleted and status in (CANONICAL, OPEN):
@@ -75,7 +47,7 @@ def _decide(batches: Iterator[pd.DataFrame], alone: bool) -> Iterator[pd.DataFra
         yield rows.assign(status=statuses, duplicate_of_id=pd.array(twins, "Int64" if pd.api.types.is_integer_dtype(rows.id.dtype) else object))
 
 
-def _status(reference: tuple | None, doubt: bool, pool, at: int, precise: bool) -> tuple:
+def decided(reference: tuple | None, doubt: bool, pool, at: int, precise: bool) -> tuple:
     """A row's status and twin: by its reference, else the earliest of its amount that is near in time."""
     first, open_ = reference or (None, False)
     if first:

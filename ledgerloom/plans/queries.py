@@ -431,10 +431,10 @@ def agg14(spark: SparkSession, d: str) -> DataFrame:
 def _streamed(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFrame:
     folder = shared_folder(spark)
     state.write_once(stream, f"{folder}/out", f"{folder}/checkpoint", keys).awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    return state.written_once(spark, f"{folder}/out")
 
 
-query("str7_stream_duplicates", folds.recursive(B.LEDGER, folds.FLAGGED, "SELECT id, user_id, dup AS duplicate_of_id FROM fold WHERE id IS NOT NULL"))(lambda spark, d: _streamed(spark, state.flag_duplicates(B.ledger(spark, d, B.event_stream(spark, d))), ["id"]))
+query("str7_stream_duplicates", folds.recursive(B.LEDGER, folds.FLAGGED, "SELECT id, user_id, dup AS duplicate_of_id FROM fold WHERE id IS NOT NULL"))(lambda spark, d: _streamed(spark, state.flag_duplicates(B.ledger(spark, d, B.event_stream(state.stateful(spark), d))), ["id"]))
 
 
 @query("str8_stream_matches", folds.recursive(B.LEDGER + "," + B.SHORTCUTS, folds.STREAM_MATCHES, "SELECT user_id, CASE WHEN is_txn THEN id ELSE chosen.id END AS txn_id, CASE WHEN is_txn THEN chosen.id ELSE id END AS event_id FROM fold WHERE chosen IS NOT NULL"))
@@ -450,7 +450,7 @@ def str1(spark: SparkSession, d: str) -> DataFrame:
     folder = shared_folder(spark)
     for run in ("a", "b"):
         state.write_once(m, f"{folder}/out", f"{folder}/checkpoint-{run}", ["message_id"]).awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    return state.written_once(spark, f"{folder}/out")
 
 
 SQL["str1_str5_incremental"] = over(B.MESSAGES, SQL["str1_str5_incremental"])

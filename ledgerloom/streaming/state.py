@@ -1,100 +1,145 @@
-"""Payments as they come: duplicates as state for each tenant, matches with logged expenses as state for each of its amounts.
-
-The state is in Spark's store (RocksDB on executors, checkpointed to the shared folder), so a lost executor
-loses nothing. A tenant's references are kept without end, as a payment may be told again at any time; rows
-by amount and pending events are forgotten when the clock of creation has gone HORIZON past theirs in their key, so
-that no row with a time of payment far ahead drops others. Results are those of the batch operators for rows in the
-same order. (Maps of `transformWithStateInPandas` would read only what a batch touches, but each access is a round
-trip to the JVM: 1,000 rows were not done in 55 s here, start-up included. Where the time went wasn't profiled.)
+"""Payments as they come: duplicates as maps of state for each tenant, matches with logged expenses as state for each of its amounts.
+
+The state is in Spark's store (RocksDB on executors, checkpointed to the shared folder), so a lost executor loses nothing.
+Results are those of the batch operators for rows in the same order. Nothing is forgotten unless `keep_ms` says so, as a
+payment may be told again at any time.
 """
 
 from __future__ import annotations
 
 import json
+from bisect import insort
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerloom.operators import match
-from ledgerloom.operators.dedup import Canonicals
-
-#: Time of creation after which rows by amount and pending events are forgotten.
-HORIZON_MS = 30 * 86_400_000
+from ledgerloom.operators.dedup import CANONICAL, DUPLICATE, WIDE_MS, decided
+from ledgerloom.session import exists
 
 _FLAGS = "id long, user_id long, duplicate_of_id long"
-_STATE = "canonicals string"
-
-
-def _load(text: str) -> Canonicals:
-    seen = Canonicals()
-    held = json.loads(text)
-    seen.by_reference = {r: tuple(n) for r, n in held["refs"].items()}
-    seen.by_amount = {(a, d): [(at, tuple(n), p) for at, n, p in rows] for a, d, rows in held["amounts"]}
-    return seen
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _dump(seen: Canonicals, newest: int) -> str:
-    keep = {k: [x for x in rows if x[1][0] >= newest - HORIZON_MS] for k, rows in seen.by_amount.items()}
-    return json.dumps({"refs": seen.by_reference, "amounts": [(a, d, rows) for (a, d), rows in keep.items() if rows]})
+def stateful(spark: SparkSession) -> SparkSession:
+    """A session of the same cluster whose streams may hold maps of state; the caller's own settings stay."""
+    session = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
+        if (value := spark.conf.get(name, None)) is not None:
+            session.conf.set(name, value)
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    return session
 
 
-def _flag(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seen = _load(state.get[0]) if state.exists else Canonicals()
-    rows = pd.concat(list(batches)).sort_values(["created_at", "id"])
-    out, newest = [], 0
-    for r in rows.itertuples(index=False):
-        ref = r.reference_number if isinstance(r.reference_number, str) else None
-        twin = seen.twin(r.amount_paise, r.direction, ref, r.occurred_at, bool(r.occurred_at_precise))
-        if twin is None and not r.deleted:
-            seen.add(r.amount_paise, r.direction, ref, r.occurred_at, bool(r.occurred_at_precise), (int(r.created_at), int(r.id)))
-        newest = max(newest, int(r.created_at))
-        out.append((r.id, r.user_id, twin))
-    state.update((_dump(seen, newest),))
-    yield pd.DataFrame({"id": [x[0] for x in out], "user_id": [x[1] for x in out], "duplicate_of_id": pd.array([x[2] for x in out], "Int64")})
+class _Canonicals(StatefulProcessor):
+    """Of a tenant the canonical row of each reference, and those of each amount, direction and 20 hours.
 
+    A batch reads the entries that its rows name and their neighbours in time, each once, and writes back those it changed,
+    so what it costs doesn't grow with what is held.
+    """
 
-def flag_duplicates(stream: DataFrame) -> DataFrame:
-    """(id, user_id, duplicate_of_id) of a stream of transactions, as `dedup.flag_duplicates` has them for a table."""
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.references = handle.getMapState("references", "reference string", "created_at long, id long", self.keep_ms)
+        self.amounts = handle.getMapState("amounts", "amount long, direction string, bucket long", "canonicals string", self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["created_at", "id"])
+        refs: dict[str, tuple | None] = {}
+        pools: dict[tuple, list] = {}
+        new_refs, changed, out = set(), set(), []
+
+        def pool(amount, direction, bucket) -> list:
+            name = (int(amount), direction, int(bucket))
+            if name not in pools:
+                held = self.amounts.getValue(name)
+                pools[name] = [(at, tuple(nth), precise, True) for at, nth, precise in json.loads(held[0])] if held else []
+            return pools[name]
+
+        for r in batch.itertuples(index=False):
+            ref = r.reference_number if isinstance(r.reference_number, str) else None
+            if ref is not None and ref not in refs:
+                found = self.references.getValue((ref,))
+                refs[ref] = (False, *found) if found else None
+            at, precise, nth = int(r.occurred_at), bool(r.occurred_at_precise), (False, int(r.created_at), int(r.id))
+            bucket = at // WIDE_MS
+            known = refs.get(ref)
+            if known:
+                status, twin = DUPLICATE, known[2]
+            else:
+                near = [x for b in (bucket - 1, bucket, bucket + 1) for x in pool(r.amount_paise, r.direction, b)]
+                status, twin = decided(None, False, near, at, precise)
+            if status == CANONICAL and not r.deleted:
+                insort(pool(r.amount_paise, r.direction, bucket), (at, nth, precise, True))
+                changed.add((int(r.amount_paise), r.direction, bucket))
+                if ref is not None:
+                    refs[ref] = nth
+                    new_refs.add(ref)
+            out.append((int(r.id), int(r.user_id), twin))
+        for ref in new_refs:
+            self.references.updateValue((ref,), refs[ref][1:])
+        for name in changed:
+            self.amounts.updateValue(name, (json.dumps([x[:3] for x in pools[name]]),))
+        yield pd.DataFrame({"id": [x[0] for x in out], "user_id": [x[1] for x in out], "duplicate_of_id": pd.array([x[2] for x in out], "Int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def flag_duplicates(stream: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """(id, user_id, duplicate_of_id) of a stream of transactions, as `dedup.flag_duplicates` has them for a table.
+
+    The stream's session must hold maps of state (`stateful`). With keep_ms, what hasn't changed for so long is forgotten, by
+    the cluster's clock; a payment told again after that counts as new.
+    """
     rows = stream.select("id", "user_id", "created_at", "amount_paise", "direction", "reference_number", "occurred_at", "occurred_at_precise", F.col("deleted_at").isNotNull().alias("deleted"))
-    return rows.groupBy("user_id").applyInPandasWithState(_flag, _FLAGS, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("user_id").transformWithStateInPandas(_Canonicals(keep_ms), _FLAGS, "Append", "ProcessingTime" if keep_ms else "None")
 
 
 _MATCHES = "user_id long, txn_id long, event_id long"
 
 
-def _pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Both directions: an expense looks for transactions when it is logged, a transaction for pending expenses when it comes."""
-    txns, events = json.loads(state.get[0]) if state.exists else ([], [])
-    out, newest = [], 0
-    for r in pd.concat(list(batches)).sort_values(["created_at", "kind", "id"]).itertuples(index=False):
-        mine, others = (txns, events) if r.kind == "txn" else (events, txns)
-        near = [x for x in others if abs(x[1] - r.at) <= match.WINDOW_MS]
-        close = [x for x in near if abs(x[1] - r.at) <= match.AUTO_MS]
-        chosen = near[0] if len(near) == 1 else close[0] if len(close) == 1 else None
-        newest = max(newest, int(r.created_at))
-        row = [int(r.id), int(r.at), int(r.created_at)]
-        if r.kind == "txn":
-            mine.append(row)
-            if chosen:
-                others.remove(chosen)
-                out.append((key[0], row[0], chosen[0]))
-        elif chosen:
-            out.append((key[0], chosen[0], row[0]))
-        else:
-            mine.append(row)
-    state.update((json.dumps([[x for x in rows if x[2] >= newest - HORIZON_MS] for rows in (txns, events)]),))
-    yield pd.DataFrame(out, columns=["user_id", "txn_id", "event_id"])
-
-
-def match_events(both: DataFrame) -> DataFrame:
+def _matcher(keep_ms: int | None):
+    def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Both directions: an expense looks for transactions when it is logged, a transaction for pending expenses when it comes."""
+        txns, events = json.loads(state.get[0]) if state.exists else ([], [])
+        out, newest = [], 0
+        for r in pd.concat(list(batches)).sort_values(["created_at", "kind", "id"]).itertuples(index=False):
+            mine, others = (txns, events) if r.kind == "txn" else (events, txns)
+            near = [x for x in others if abs(x[1] - r.at) <= match.WINDOW_MS]
+            close = [x for x in near if abs(x[1] - r.at) <= match.AUTO_MS]
+            chosen = near[0] if len(near) == 1 else close[0] if len(close) == 1 else None
+            newest = max(newest, int(r.created_at))
+            row = [int(r.id), int(r.at), int(r.created_at)]
+            if r.kind == "txn":
+                mine.append(row)
+                if chosen:
+                    others.remove(chosen)
+                    out.append((key[0], row[0], chosen[0]))
+            elif chosen:
+                out.append((key[0], chosen[0], row[0]))
+            else:
+                mine.append(row)
+        kept = [[x for x in rows if keep_ms is None or x[2] >= newest - keep_ms] for rows in (txns, events)]
+        state.update((json.dumps(kept),))
+        yield pd.DataFrame(out, columns=["user_id", "txn_id", "event_id"])
+
+    return pair
+
+
+def match_events(both: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """(user_id, txn_id, event_id) as matches are made; both is the union of the streams (kind txn or event, id, user_id, amount_paise, direction, at, created_at).
 
-    Only rows of one amount and direction match, so these are keys with the tenant, and a large tenant is many keys.
+    Only rows of one amount and direction match, so these are keys with the tenant, and a large tenant is many keys. With
+    keep_ms, rows of a key are forgotten when its clock of creation has gone so far past theirs.
     """
-    return both.groupBy("user_id", "amount_paise", "direction").applyInPandasWithState(_pair, _MATCHES, "held string", "append", GroupStateTimeout.NoTimeout)
+    return both.groupBy("user_id", "amount_paise", "direction").applyInPandasWithState(_matcher(keep_ms), _MATCHES, "held string", "append", GroupStateTimeout.NoTimeout)
 
 
 def as_arrivals(txns: DataFrame, events: DataFrame) -> DataFrame:
@@ -104,20 +149,30 @@ def as_arrivals(txns: DataFrame, events: DataFrame) -> DataFrame:
     return left.unionByName(right)
 
 
-def write_once(stream: DataFrame, path: str, checkpoint: str, keys: list[str]):
+#: Parts of a table that is written once a key, by a hash of the key.
+BUCKETS = 256
+
+
+def append_once(batch: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> None:
+    """Append the rows of batch whose keys aren't in the table at path yet; only the parts that these keys belong to are read."""
+    spark = batch.sparkSession
+    fresh = batch.dropDuplicates(keys).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    if exists(spark, path):
+        touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]  # at most `buckets` numbers
+        held = spark.read.schema(fresh.schema).parquet(path).filter(F.col("_bucket").isin(touched)).select("_bucket", *keys)
+        fresh = fresh.join(held, ["_bucket", *keys], "left_anti")
+    fresh.repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(path)
+
+
+def written_once(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that `append_once` or `write_once` filled."""
+    return spark.read.parquet(path).drop("_bucket")
+
+
+def write_once(stream: DataFrame, path: str, checkpoint: str, keys: list[str], buckets: int = BUCKETS):
     """Start a query that reads what is there, appends rows whose keys aren't in the table at path yet, and stops.
 
     A replayed batch, or an overlap after a lost offset, so changes nothing.
     """
-
-    def each(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        try:
-            fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-        except Exception as e:  # the table isn't there before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(path)
-
+    each = lambda batch, _: append_once(batch, path, keys, buckets)
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

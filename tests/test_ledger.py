@@ -80,12 +80,28 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = sorted(some_txns(3, 200), key=lambda x: (x[2], x[0]))
     for part in range(4):
         spark.createDataFrame(rows[part * 50 : part * 50 + 50], TXN).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = spark.readStream.schema(TXN).parquet(f"{tmp_path}/in")
+        stream = state.stateful(spark).readStream.schema(TXN).parquet(f"{tmp_path}/in")
         state.write_once(state.flag_duplicates(stream), f"{tmp_path}/out", f"{tmp_path}/cp", ["id"]).awaitTermination()
     got = {r.id: r.duplicate_of_id for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == fold(rows)
 
 
+def test_a_sink_reads_only_the_parts_it_touches(spark, tmp_path):
+    frame = lambda ids: spark.createDataFrame([(i, f"v{i}") for i in ids], "id long, v string")
+    path = f"{tmp_path}/out"
+    state.append_once(frame(range(50)), path, ["id"], 8)
+    for bucket in tmp_path.glob("out/_bucket=*"):
+        if f"_bucket={spark.range(1).selectExpr('pmod(xxhash64(7L), 8)').first()[0]}" != bucket.name:
+            for file in bucket.glob("*.parquet"):
+                file.write_bytes(b"not parquet")
+            for crc in bucket.glob(".*.crc"):
+                crc.unlink()
+    state.append_once(frame([7, 7]), path, ["id"], 8)  # reads one part; another one would fail
+    state.append_once(frame([1000 + i for i in range(40)]), f"{tmp_path}/new", ["id"], 8)
+    state.append_once(frame([1000 + i for i in range(20, 60)]), f"{tmp_path}/new", ["id"], 8)
+    assert sorted(r.id for r in state.written_once(spark, f"{tmp_path}/new").collect()) == list(range(1000, 1060))
+
+
 def test_statement_pairs(spark):
     r = random.Random(5)
     rows = [(1, i, r.choice([100, 200]), "debit", r.choice([None, None, f"REF 00{r.randrange(9)}1"]), r.randrange(0, 90 * H, H)) for i in range(60)]
