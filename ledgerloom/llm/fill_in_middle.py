@@ -1,18 +1,19 @@
 """Fill-in-middle cuts from an index of the distinct texts.
 
-Identical texts are one entry of the index. Texts are compressed in tasks, grouped by their SHA-256, and a group counts as
-one text only if the smallest and the largest of its compressed texts are the same octets; texts of a group that fails are
-grouped by their whole content instead, so no cut rests on a hash. An entry has the places in UTF-8 at which its code points
-begin, as an Elias-Fano list: the low bits of each place packed, the high ones as a bitmap in which the k-th set bit gives
-the k-th place. It is made once for all documents with that text. Documents join it with their ids alone, so their texts
-move once; each picks its two cuts by selecting in the list, and the text is sliced there.
+Identical texts are one entry of the index. Texts are compressed in tasks and grouped by their SHA-256, and an entry counts as
+one text only if the smallest and the largest of its compressed texts are the same octets. Documents join the index by their
+ids alone, dealt as the entries are, so a text moves once, and copies in one task not at all. For an entry the places in
+UTF-8 at which its code points begin are made into an Elias-Fano list, once for all documents with that text: the low bits of
+each place packed, the high ones as a bitmap in which the k-th set bit gives the k-th place. Each document picks its two cuts
+by selecting in the list, and the text is sliced there.
 
 A text that many documents share is one entry for every `limit` of them (HOT, or a MOST-th of all rows if that is more), and
 its documents are dealt over these entries, so no task has more of one text; at most MOST texts are so, which bounds what is
 broadcast. Ids that repeat with one text are counted first.
 
 Cases: a null text counts as empty; an empty text, and one that spells out a tag, stays plain; rows without an id take no
-part; repeated rows come out as often as they stand there; other columns are ignored; an empty table gives an empty result.
+part; repeated rows come out as often as they stand there; other columns are ignored; an empty table gives an empty result. Two
+texts with one key raise ValueError (for SHA-256 none are known); `by_content` as key can't collide.
 """
 
 from __future__ import annotations
@@ -35,8 +36,6 @@ RATE, SUFFIX_FIRST = 90, 20
 SEED = 1
 #: Documents that share a text and are one entry of the index, and most texts that are more than one.
 HOT, MOST = 1000, 100_000
-#: Octets of the dictionary that texts are compressed with, texts and characters of each it is learnt from, and zstd's level.
-DICTIONARY, SAMPLE, SAMPLE_CHARS, LEVEL = 64 << 10, 1000, 8000, 9
 #: Octets of outputs in a batch, about.
 BATCH_BYTES = 8 << 20
 
@@ -78,22 +77,6 @@ def boundaries(octets: bytes) -> np.ndarray:
     return np.append(starts, len(octets)).astype(np.int64)
 
 
-def dictionary(docs: DataFrame) -> bytes:
-    """What compressed texts may refer to, learnt from the starts of SAMPLE texts at most; only sizes depend on it. Empty if these are too few."""
-    starts = [r.text.encode() for r in docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE).collect()]
-    try:
-        return zstandard.train_dictionary(DICTIONARY, starts).as_bytes()
-    except zstandard.ZstdError:
-        return b""
-
-
-def _loaded(shared: bytes) -> dict:
-    return {"dict_data": zstandard.ZstdCompressionDict(shared)} if shared else {}
-
-
-_INDEX = "key binary, rows long, verified boolean, n long, tagged boolean, z binary, bits int, low binary, high binary"
-
-
 def by_hash(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
@@ -102,29 +85,19 @@ def by_content(text: Column) -> Column:
     return F.encode(text, "UTF-8")
 
 
-def index(docs: DataFrame, shared: bytes = b"", key: Callable[[Column], Column] = by_hash, tags: tuple[str, ...] = TAGS) -> DataFrame:
-    """An entry for each key of the texts of docs (id, text), staged; `verified` tells whether all its texts are the same.
-
-    z is the text, compressed with the dictionary shared.
-    """
-    marks = [t.encode() for t in tags]
-
-    def zipped(texts: pd.Series) -> pd.Series:
-        compress = zstandard.ZstdCompressor(level=LEVEL, **_loaded(shared)).compress
-        return texts.map(lambda t: compress(t.encode()))
+def hot_keys(keyed: DataFrame) -> DataFrame:
+    """(key, parts) of texts that more than `limit` rows share: HOT, or a MOST-th of all rows if that is more. So they are MOST at most."""
+    counts = common.staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")))
+    limit = max(HOT, (counts.agg(F.sum("rows")).first()[0] or 0) // MOST)
+    return F.broadcast(counts.filter(F.col("rows") > limit).select("key", F.ceil(F.col("rows") / limit).alias("parts")))
 
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unzip = zstandard.ZstdDecompressor(**_loaded(shared)).decompress
-        for batch in batches:
-            out = []
-            for k, rows, same, z in zip(batch.key, batch.rows, batch.verified, batch.z, strict=True):
-                octets = unzip(z)
-                at = boundaries(octets)
-                out.append((k, rows, same, len(at) - 1, any(m in octets for m in marks), z, *EliasFano.packed(at)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _INDEX.split(", ")])
 
-    groups = docs.select(key(F.col("text")).alias("key"), F.pandas_udf(zipped, "binary")("text").alias("z")).groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("z").alias("z"), (F.min("z") == F.max("z")).alias("verified"))
-    return common.staged(groups.mapInPandas(entries, _INDEX))
+def index(keyed: DataFrame) -> DataFrame:
+    """(key, part, z, verified): an entry for each key and part of rows (key, part, text); z is the text, compressed, and
+    verified tells whether all texts of the entry are the same octets."""
+    zipped = F.pandas_udf(lambda texts: texts.map(lambda t: zstandard.compress(t.encode(), 3)), "binary")
+    groups = keyed.select("key", "part", zipped("text").alias("z")).groupBy("key", "part")
+    return groups.agg(F.min("z").alias("z"), (F.min("z") == F.max("z")).alias("verified"))
 
 
 def seeded(seed: int, doc_id) -> tuple[int, int, int, int]:
@@ -132,18 +105,22 @@ def seeded(seed: int, doc_id) -> tuple[int, int, int, int]:
     return tuple(np.frombuffer(hashlib.sha256(f"{seed}:{doc_id}".encode()).digest()[:16], ">u4").tolist())
 
 
-def _cut(batches: Iterator[pd.DataFrame], shared: bytes, seed: int, tags: tuple[str, ...], rate: int, suffix_first: int) -> Iterator[pd.DataFrame]:
-    p, s, m = (t.encode() for t in tags)
+def _cut(batches: Iterator[pd.DataFrame], seed: int, tags: tuple[str, ...], rate: int, suffix_first: int) -> Iterator[pd.DataFrame]:
+    """Entries with the ids of their documents: the list of an entry is made once, and each document selects in it."""
+    p, s, m = marks = [t.encode() for t in tags]
     names = ["id", "n", "form", "prefix_chars", "middle_chars", "output"]
     whole = {"prefix_chars": "Int64", "middle_chars": "Int64"}
-    unzip = zstandard.ZstdDecompressor(**_loaded(shared)).decompress
     out, held = [], 0
     for batch in batches:
-        for n, tagged, z, bits, low, high, ids in zip(batch.n, batch.tagged, batch.z, batch.bits, batch.low, batch.high, batch.ids, strict=True):
-            octets = unzip(z)
+        for z, verified, ids in zip(batch.z, batch.verified, batch.ids, strict=True):
+            if not verified:
+                raise ValueError("two texts share a key; group by their content (key=by_content)")
+            octets = zstandard.decompress(z)
+            starts = boundaries(octets)
+            n, places, tagged = len(starts) - 1, EliasFano(*EliasFano.packed(starts)), any(x in octets for x in marks)
             h = [seeded(seed, x["id"]) for x in ids]
             cuts = np.sort(np.array([(a % (n + 1), b % (n + 1)) for a, b, _, _ in h], np.int64), axis=1)
-            at = EliasFano(int(bits), low, high).select(cuts.ravel()).reshape(cuts.shape)
+            at = places.select(cuts.ravel()).reshape(cuts.shape)
             for x, (_, _, c, d), (i, j), (a, b) in zip(ids, h, cuts.tolist(), at.tolist(), strict=True):
                 if not n or tagged or c % 100 >= rate:
                     row = (x["id"], n, "plain", None, None, octets.decode())
@@ -164,22 +141,15 @@ def _cut(batches: Iterator[pd.DataFrame], shared: bytes, seed: int, tags: tuple[
 def transformed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, tags: tuple[str, ...] = TAGS, rate: int = RATE, suffix_first: int = SUFFIX_FIRST, key: Callable[[Column], Column] = by_hash) -> DataFrame:
     """(id, n, form, prefix_chars, middle_chars, output): every document's text with its middle moved to the end, or plain."""
     docs = common.identified(docs, id_col).select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    shared = dictionary(docs)
-    entries = index(docs, shared, key, tags)
-    counted = entries.agg(F.sum("rows").alias("rows"), F.bool_and("verified").alias("same")).first()
-    limit = max(HOT, (counted.rows or 0) // MOST)
-    # at most MOST rows, as each stands for more than a MOST-th of all
-    hot = F.broadcast(entries.filter(F.col("rows") > limit).select("key", F.ceil(F.col("rows") / limit).alias("parts")))
-    parts = F.coalesce("parts", F.lit(1))
-    ids = docs.select(key(F.col("text")).alias("key"), "id").groupBy("key", "id").agg(F.count(F.lit(1)).alias("times")).join(hot, "key", "left")
-    ids = ids.groupBy("key", F.pmod(F.xxhash64("id"), parts).alias("part")).agg(F.collect_list(F.struct("id", "times")).alias("ids"))
-    dealt = entries.filter("verified").join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    keyed = docs.withColumn("key", key(F.col("text")))
+    hot = hot_keys(keyed.select("key"))
+    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).alias("part")
+    ids = keyed.groupBy("key", "id").agg(F.count(F.lit(1)).alias("times")).join(hot, "key", "left")
+    ids = ids.groupBy("key", part).agg(F.collect_list(F.struct("id", "times")).alias("ids"))
+    # both sides are dealt by key and part when they are grouped, so the texts aren't moved again
+    entries = index(keyed.join(hot, "key", "left").select("key", part, "text")).join(ids, ["key", "part"])
     schema = f"id {dict(docs.dtypes)['id']}, n long, form string, prefix_chars long, middle_chars long, output string"
-    out = dealt.join(ids, ["key", "part"]).select("n", "tagged", "z", "bits", "low", "high", "ids").mapInPandas(lambda b: _cut(b, shared, seed, tags, rate, suffix_first), schema)
-    if counted.same is not False:
-        return out
-    twofold = docs.withColumn("key", key(F.col("text"))).join(entries.filter("NOT verified").select("key"), "key", "left_semi").select("id", "text")
-    return out.unionByName(transformed(twofold, "id", "text", seed, tags, rate, suffix_first, by_content))
+    return entries.select("z", "verified", "ids").mapInPandas(lambda b: _cut(b, seed, tags, rate, suffix_first), schema)
 
 
 def restored(output: Column, form: Column, tags: tuple[str, ...] = TAGS) -> Column:

@@ -135,18 +135,22 @@ def _cut(i, t, rate=90, first=20):
     return i, n, "psm", a, b - a, f"<P>{t[:a]}<S>{t[b:]}<M>{t[a:b]}"
 
 
-@pytest.mark.parametrize("key", ["hash", "length", "one"])
+@pytest.mark.parametrize("key", [fill_in_middle.by_hash, fill_in_middle.by_content])
 @pytest.mark.parametrize("hot", [1, 1000])
 def test_cuts_are_the_plain_ones(docs, monkeypatch, key, hot):
-    """Also where a text is many entries, and where keys collide so that texts are grouped by their content."""
+    """Also where a text is many entries, and where texts are grouped by their content."""
     monkeypatch.setattr(fill_in_middle, "HOT", hot)
-    keys = {"hash": fill_in_middle.by_hash, "length": lambda t: F.length(t).cast("string").cast("binary"), "one": lambda t: F.lit(b"x")}
-    out = fill_in_middle.transformed(docs, key=keys[key]).withColumn("back", fill_in_middle.restored(F.col("output"), F.col("form"))).collect()
+    out = fill_in_middle.transformed(docs, key=key).withColumn("back", fill_in_middle.restored(F.col("output"), F.col("form"))).collect()
     known = [(r[0], r[4] or "") for r in ROWS if r[0] is not None]
     assert Counter(tuple(r)[:6] for r in out) == Counter(_cut(*r) for r in known)
     assert Counter((r.id, r.back) for r in out) == Counter(known)
 
 
+def test_texts_that_share_a_key_are_told_apart(docs):
+    with pytest.raises(Exception, match="two texts share a key"):
+        fill_in_middle.transformed(docs, key=lambda t: F.length(t).cast("string").cast("binary")).collect()
+
+
 def test_cuts_of_none_and_of_texts_as_ids(docs):
     assert fill_in_middle.transformed(docs.filter("doc_id = -1")).count() == 0
     named = docs.filter("doc_id = 5 AND lang = 'en'").select(F.lit("doc-5").alias("name"), "text")
