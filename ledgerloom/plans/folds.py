@@ -57,6 +57,24 @@ fold AS (
     FROM fold f JOIN rows r ON r.user_id = f.user_id AND r.amount_paise = f.amount_paise AND r.direction = f.direction AND r.n = f.n + 1))
 )"""
 
+
+
+def admitted(limit: int, window_ms: int) -> str:
+    """Pushes of a user in order; of those let in the last `limit` are carried."""
+    return recursive(
+        B.LEDGER,
+        f"""
+rows AS (SELECT id, user_id, created_at AS ms, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS n FROM ledger),
+fold AS (
+  SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS id, NULL::BIGINT AS recent, []::BIGINT[] AS held FROM rows WHERE n = 1
+  UNION ALL
+  SELECT user_id, n, id, recent, CASE WHEN recent < {limit} THEN list_append(kept, ms) ELSE kept END
+  FROM (SELECT *, len(kept) AS recent FROM (SELECT r.*, list_filter(f.held, lambda x: x >= r.ms - {window_ms}) AS kept FROM fold f JOIN rows r ON r.user_id = f.user_id AND r.n = f.n + 1))
+)""",
+        f"SELECT id, user_id, recent, recent < {limit} AS admitted FROM fold WHERE id IS NOT NULL",
+    )
+
+
 #: Statement rows: the n-th of a reference with its n-th transaction; the rest of an amount by their best distance, each the nearest that is left.
 STATEMENT = """
 txns AS (SELECT id, user_id, amount_paise, direction, regexp_replace(lower(reference_number), '[^a-z0-9]', '', 'g') AS ref, occurred_at AS ms, row_number() OVER (PARTITION BY user_id ORDER BY occurred_at, id) AS nth FROM ledger),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
 from ledgerloom.functions import text as T
+from ledgerloom.operators import admission
 from ledgerloom.operators import analytics as A
 from ledgerloom.operators import categorize as CAT
 from ledgerloom.operators import classify as C
@@ -23,13 +25,15 @@ from ledgerloom.plans import tables as B
 from ledgerloom.rules import categories as RC
 from ledgerloom.rules import messages as RM
 from ledgerloom.session import shared_folder, written
-from ledgerloom.sources import files, messages
-from ledgerloom.streaming import state
+from ledgerloom.sources import files, mailbox, messages
+from ledgerloom.streaming import outcomes, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 DAY = 86_400_000
+#: Parts of the tables that streams write here; these are small.
+PARTS = 8
 #: 2024-01-10 to 2024-01-20 in UTC, and a year before the end.
 SLICE = A.Slice(1_704_844_800_000, 1_705_708_800_000, 1_705_708_800_000 - 366 * DAY)
 #: 1998 and 1999 of `orders`.
@@ -430,7 +434,7 @@ def agg14(spark: SparkSession, d: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFrame:
     folder = shared_folder(spark)
-    state.write_once(stream, f"{folder}/out", f"{folder}/checkpoint", keys).awaitTermination()
+    state.write_once(stream, f"{folder}/out", f"{folder}/checkpoint", keys, PARTS).awaitTermination()
     return state.written_once(spark, f"{folder}/out")
 
 
@@ -449,12 +453,101 @@ def str1(spark: SparkSession, d: str) -> DataFrame:
     m = B.messages(spark, d, B.event_stream(spark, d)).filter(C.looks_relevant(F.col("sender"))).select("message_id", "sender")
     folder = shared_folder(spark)
     for run in ("a", "b"):
-        state.write_once(m, f"{folder}/out", f"{folder}/checkpoint-{run}", ["message_id"]).awaitTermination()
+        state.write_once(m, f"{folder}/out", f"{folder}/checkpoint-{run}", ["message_id"], PARTS).awaitTermination()
     return state.written_once(spark, f"{folder}/out")
 
 
 SQL["str1_str5_incremental"] = over(B.MESSAGES, SQL["str1_str5_incremental"])
 
+
+def _mails(spark: SparkSession, d: str) -> DataFrame:
+    """The messages as mails, with a history that rises with their time."""
+    m = B.messages(spark, d)
+    return m.withColumns({"history_id": F.col("arrived_at") * 1_000_000 + F.col("message_id") % 1_000_000, "status": F.lit(200)})
+
+
+_RELEVANT = f"SELECT message_id, user_id, sender, body FROM messages WHERE {_PROVIDER(0, 'NULL')} IS NOT NULL"
+
+
+@query("src1_src2_mailbox", over(B.MESSAGES, f"{_RELEVANT} AND arrived_at BETWEEN {SLICE.start} AND {SLICE.end} AND sender IN ('alerts@hdfcbank.net', 'no-reply@phonepe.com')"))
+def src1(spark: SparkSession, d: str) -> DataFrame:
+    """A mailbox read with its filters pushed down: pages by time, headers by sender, bodies of what is left."""
+    folder = shared_folder(spark)
+    mailbox.store(_mails(spark, d), folder)
+    mail = mailbox.mail(mailbox.registered(spark), folder)
+    return mail.filter(F.col("arrived_at").between(SLICE.start, SLICE.end) & F.col("sender").isin("alerts@hdfcbank.net", "no-reply@phonepe.com")).select("message_id", "user_id", "sender", "body")
+
+
+@query("str1_str2_str3_replay", over(B.MESSAGES, _RELEVANT))
+def str3(spark: SparkSession, d: str) -> DataFrame:
+    """A stream from a mailbox that grows between runs and forgets its history: the second run goes back a day, and nothing comes twice."""
+    folder, mails = shared_folder(spark), _mails(spark, d)
+    session = mailbox.registered(spark)
+
+    def run() -> None:
+        m = mailbox.mail_stream(session, f"{folder}/mail").select("message_id", "user_id", "sender", "body")
+        state.write_once(m, f"{folder}/out", f"{folder}/checkpoint", ["message_id"], PARTS).awaitTermination()
+
+    mailbox.store(mails.filter(F.col("arrived_at") < SLICE.start), f"{folder}/mail")
+    run()
+    mailbox.store(mails.filter(F.col("arrived_at") >= SLICE.start), f"{folder}/mail")
+    mailbox.expire(f"{folder}/mail", mailbox.newest(f"{folder}/mail")["history"])
+    run()
+    return state.written_once(spark, f"{folder}/out")
+
+
+@query("str4_resumed_sync", over(B.MESSAGES, _RELEVANT))
+def str4(spark: SparkSession, d: str) -> DataFrame:
+    """A sync that runs out of time after some steps and goes on where it stopped."""
+    folder, mails = shared_folder(spark), _mails(spark, d)
+    mailbox.store(mails, f"{folder}/mail")
+    session, ends = mailbox.registered(spark), mails.agg(F.min("history_id").alias("a"), F.max("history_id").alias("z")).first()
+    ticks = itertools.count()
+    while not mailbox.sync(session, f"{folder}/mail", f"{folder}/out", f"{folder}/cursor", 2.5, (ends.z - ends.a) // 5 + 1, clock=lambda: next(ticks), buckets=PARTS):
+        pass
+    return state.written_once(spark, f"{folder}/out").select("message_id", "user_id", "sender", "body")
+
+
+@query(
+    "str10_fetch_outcomes",
+    "SELECT event_id AS message_id, CASE WHEN event_id % 23 = 0 THEN 'gone' WHEN event_id % 29 = 0 AND event_id % 7 >= 5 THEN 'dead' WHEN event_id % 29 = 0 AND event_id % 37 <> 0 THEN 'ok' WHEN event_id % 31 = 0 AND event_id % 29 <> 0 OR event_id % 37 = 0 THEN 'bad' ELSE 'ok' END AS outcome, CASE WHEN event_id % 23 <> 0 AND event_id % 29 = 0 THEN least(event_id % 7 + 1, 5) ELSE 1 END AS attempts FROM events",
+)
+def str10(spark: SparkSession, d: str) -> DataFrame:
+    """Mails that are gone, that answer after some tries or never, and that can't be read."""
+    i = F.col("message_id")
+    status = F.when(i % 23 == 0, 404).when(i % 29 == 0, F.when(F.col("attempts") < i % 7, 429).otherwise(200)).when(i % 31 == 0, 418).otherwise(200)
+    fetch = lambda due: due.withColumn("outcome", outcomes.of_status(status, i % 37 != 0))
+    return outcomes.settled(B.messages(spark, d).select("message_id"), fetch).select("message_id", "outcome", "attempts")
+
+
+@query(
+    "str11_rejects",
+    over(
+        B.MESSAGES,
+        "SELECT 'push' AS source, message_id::VARCHAR AS key, CASE WHEN message_id % 9 = 0 THEN 'json' WHEN message_id % 10 = 0 THEN 'body' END AS reason FROM messages WHERE message_id % 9 = 0 OR message_id % 10 = 0 UNION ALL SELECT 'statement', o_orderkey::VARCHAR, CASE o_orderkey % 4 WHEN 1 THEN 'bad-date' WHEN 2 THEN 'bad-amount' ELSE 'before-baseline' END FROM orders WHERE o_orderkey % 4 <> 0 UNION ALL SELECT 'vcard', c_custkey::VARCHAR, 'no-name' FROM customer WHERE c_custkey % 6 = 0",
+    ),
+)
+def str11(spark: SparkSession, d: str) -> DataFrame:
+    """Records of pushes, statements and vCards that are set aside with a reason; none stops the others."""
+    i = F.col("message_id")
+    told = F.to_json(F.struct(F.lit("sms").alias("type"), "sender", F.when(i % 10 != 0, F.col("body")).alias("body")))
+    pushes = B.messages(spark, d).select("user_id", F.col("message_id").alias("received_at"), F.when(i % 9 == 0, F.substring(told, 1, 20)).otherwise(told).alias("json"))
+    pushed = outcomes.pushed(pushes, messages.SMS_JSON, {"body": F.length("body") > 0})
+    k = F.col("o_orderkey")
+    cells = F.array(F.when(k % 4 == 1, "31-31-2026").when(k % 4 == 3, "05/07/2020").otherwise("05/07/2026"), F.lit("UPI"), F.when(k % 4 == 2, "n/a").otherwise("10.00"), F.lit(""))
+    rows = B.read(spark, d, "orders").select(k.alias("row_index"), cells.alias("cells"), F.struct(F.lit(0).alias("date"), F.lit(1).alias("narration"), F.lit(2).alias("debit"), F.lit(3).alias("credit"), F.lit(None).cast("int").alias("amount"), F.lit(None).cast("int").alias("crDr"), F.lit(None).cast("int").alias("ref")).alias("mapping"))
+    c = F.col("c_custkey")
+    card = F.concat(F.lit("BEGIN:VCARD\n"), F.when(c % 6 != 0, F.concat(F.lit("FN:"), "c_name", F.lit("\n"))).otherwise(""), F.lit("TEL:1\nEND:VCARD"))
+    cards = files.all_cards(B.read(spark, d, "customer").select(c.cast("string").alias("file"), card.alias("value")))
+    out = outcomes.rejects(pushed, "push", F.col("received_at"), F.col("reason"))
+    out = out.unionByName(outcomes.rejects(ST.normalize(rows), "statement", F.col("row_index"), F.col("reason")))
+    return out.unionByName(outcomes.rejects(cards, "vcard", F.col("file"), F.when(F.col("name").isNull(), "no-name")))
+
+
+_ADMITTED = folds.admitted(2, 6 * 3_600_000)
+query("prj4_win4_admission", _ADMITTED)(lambda spark, d: admission.admitted(B.ledger(spark, d).select("id", "user_id", "created_at"), 2, 6 * 3_600_000).select("id", "user_id", "recent", "admitted"))
+query("prj4_admission_stream", _ADMITTED)(lambda spark, d: _streamed(spark, admission.admitted_stream(B.ledger(spark, d, B.event_stream(spark, d)), 2, 6 * 3_600_000), ["id"]))
+
 # Scalars
 
 query("scl4_scl6_hashes", over(B.LEDGER, "SELECT id, 'x:' || sha256(coalesce(merchant, '') || '|' || amount_paise) AS hash, regexp_replace(lower(reference_number), '[^a-z0-9]', '', 'g') AS ref FROM ledger"))(lambda spark, d: B.ledger(spark, d).select("id", S.external_id("x", F.col("merchant"), F.col("amount_paise")).alias("hash"), S.normalized_reference(F.col("reference_number")).alias("ref")))

@@ -123,8 +123,8 @@ def _unescaped(v: Column) -> Column:
     return F.trim(v)
 
 
-def cards(texts: DataFrame) -> DataFrame:
-    """(file, nth, name, phones, emails) of every vCard in a table (file, value); cards without a name go.
+def all_cards(texts: DataFrame) -> DataFrame:
+    """(file, nth, name, phones, emails) of every vCard in a table (file, value); the name is null where a card has none.
 
     Folded lines are joined; the name is FN, or else given, middle and family name of N.
     """
@@ -139,8 +139,12 @@ def cards(texts: DataFrame) -> DataFrame:
     last = lambda key: F.try_element_at(values(key), F.lit(-1))
     parts = trimmed(F.split(last("N"), ";"))
     from_n = F.array_join(F.filter(F.array(*[F.get(parts, F.lit(i)) for i in (1, 2, 0)]), lambda p: p.isNotNull() & (p != "")), " ")
-    out = df.select("file", "nth", F.coalesce(last("FN"), nullif_empty(F.trim(from_n))).alias("name"), values("TEL").alias("phones"), values("EMAIL").alias("emails"))
-    return out.filter("name IS NOT NULL")
+    return df.select("file", "nth", F.coalesce(last("FN"), nullif_empty(F.trim(from_n))).alias("name"), values("TEL").alias("phones"), values("EMAIL").alias("emails"))
+
+
+def cards(texts: DataFrame) -> DataFrame:
+    """`all_cards` but for those without a name."""
+    return all_cards(texts).filter("name IS NOT NULL")
 
 
 def vcards(spark: SparkSession, path: str) -> DataFrame:
