@@ -143,7 +143,7 @@ def _fetched(path: str, page: Page) -> Iterator:
     with system.open_input_file(page.file) as f:
         file = pq.ParquetFile(f)
         heads = file.read_row_group(page.group, columns=_HEADERS)
-        kept = range(heads.num_rows)
+        kept = list(range(heads.num_rows))
         for name, test, value in page.terms:
             column = heads.column(name).to_pylist()
             holds = {x: x is not None and _TESTS[test](x, value) for x in {column[i] for i in kept}}
