@@ -21,6 +21,7 @@ from ledgerloom.operators import match as M
 from ledgerloom.operators import resolve as R
 from ledgerloom.operators import statement as ST
 from ledgerloom.plans import folds
+from ledgerloom.plans import parsing as P
 from ledgerloom.plans import tables as B
 from ledgerloom.rules import categories as RC
 from ledgerloom.rules import messages as RM
@@ -188,10 +189,12 @@ def snk7_seal(spark: SparkSession, d: str) -> DataFrame:
 # Messages
 
 
-def messages_query(name: str, sql: str | None, *columns: str) -> Callable:
+def messages_query(name: str, sql: str | None, whole: str | None = None) -> Callable:
+    """A query over messages; sql is put after what makes them, whole stands by itself."""
+
     def add(f):
         # A message is far cheaper to move than to parse, so messages of one file are spread over all cores first
-        query(name, over(B.MESSAGES, sql) if sql else None)(lambda spark, d: f(B.messages(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))))
+        query(name, whole or over(B.MESSAGES, sql))(lambda spark, d: f(B.messages(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))))
         return f
 
     return add
@@ -223,30 +226,37 @@ messages_query("ext7_channel", f"SELECT message_id, {_CHAN} AS channel FROM text
 _NARR = RM.NARRATION
 messages_query("ext10_narration", f"SELECT message_id, nullif(regexp_extract(text, {_quoted(_NARR)}, 1), '') AS ref, lower(nullif(regexp_extract(text, {_quoted(_NARR)}, 4), '')) AS upi_id FROM texts")(lambda m: _TEXT(m).select("message_id", X.narration(F.col("text")).alias("n")).select("message_id", "n.ref", "n.upi_id"))
 messages_query("ext18_collapse", "SELECT message_id, trim(regexp_replace(replace(body, ' ', '   '), '[ \\t]+', ' ', 'g')) AS text FROM messages")(lambda m: m.select("message_id", T.collapse_whitespace(F.replace("body", F.lit(" "), F.lit("   "))).alias("text")))
-messages_query("ext1_ext3_amounts", f"SELECT message_id, CAST(floor(CAST(regexp_extract(text, {_quoted(RM.AMOUNT_VALUE)}, 1, 'i') AS DOUBLE) * 100 + 0.5) AS BIGINT) AS first_paise FROM texts WHERE {_CLASS} = 'ok'")(lambda m: C.payments(C.classify(m)).select("message_id", F.get(X.amounts(F.col("text")), F.lit(0))["paise"].alias("first_paise")))
-messages_query("ext2_direction", f"SELECT message_id, CASE WHEN message_id % 5 IN (3, 4) THEN 'credit' ELSE 'debit' END AS direction FROM texts WHERE {_CLASS} = 'ok'")(lambda m: C.payments(C.classify(m)).select("message_id", X.direction(F.col("text"))["direction"].alias("direction")))
-_OK = f"FROM texts WHERE {_CLASS} = 'ok'"
-messages_query(
-    "ext16_occurred_at",
-    f"SELECT message_id, CASE WHEN message_id % 5 IN (3, 4) THEN arrived_at WHEN message_id % 5 = 1 THEN epoch_ms(TIMESTAMP '2024-01-05 09:02:00') ELSE epoch_ms(TIMESTAMP '2024-01-05') + (arrived_at + 19800000) % 86400000 // 1000 * 1000 - 19800000 END AS ms, message_id % 5 NOT IN (3, 4) AS parsed, message_id % 5 = 1 AS precise {_OK}",
-)(lambda m: C.payments(C.classify(m)).select("message_id", X.occurred_at(F.col("text"), F.col("arrived_at")).alias("w")).select("message_id", "w.*"))
-_K = "regexp_extract(subject, '[0-9]+')"
-messages_query(
-    "ext13_ext11_ext12_merchant",
-    f"SELECT message_id, CASE message_id % 5 WHEN 0 THEN 'SHOP ' || {_K} WHEN 1 THEN 'SWIGGY' || {_K} WHEN 3 THEN 'AMIT KUMAR' END AS name, CASE message_id % 5 WHEN 0 THEN 'vpa-name' WHEN 1 THEN 'pattern' WHEN 3 THEN 'narration' END AS source {_OK}",
-)(lambda m: C.payments(C.classify(m)).withColumn("n", X.narration(F.col("text"))).withColumn("v", F.coalesce(F.col("n.upi_id"), X.upi_id(F.col("text")))).select("message_id", X.merchant(F.col("text"), F.col("n.merchant"), F.col("v")).alias("m")).select("message_id", "m.name", "m.source"))
-_NAMED = f"CASE message_id % 5 WHEN 0 THEN 'SHOP ' || {_K} WHEN 1 THEN 'SWIGGY' || {_K} WHEN 3 THEN 'AMIT KUMAR' END"
+_OK = f"ok AS (SELECT * FROM texts WHERE {_CLASS} = 'ok')"
+
+
+def parsed_query(name: str, ctes: str, sql: str) -> Callable:
+    """A query over the messages that are payments; its SQL reads their texts."""
+    return messages_query(name, None, over(f"{B.MESSAGES}, {_OK}, {ctes}", sql))
+
+
+_paid = lambda m: C.payments(C.classify(m))
+parsed_query("ext1_ext3_amounts", P.MONEY, "SELECT message_id, hits[1].paise AS first_paise, len(hits)::INT AS n, amount_paise FROM money")(
+    lambda m: _paid(m).withColumns({"a": X.amounts(F.col("text")), "d": X.direction(F.col("text"))}).select("message_id", F.get("a", F.lit(0))["paise"].alias("first_paise"), F.size("a").alias("n"), X.amount(F.col("a"), F.col("d.place")).alias("amount_paise"))
+)
+parsed_query("ext2_direction", P.MONEY, "SELECT message_id, direction FROM money")(lambda m: _paid(m).select("message_id", X.direction(F.col("text"))["direction"].alias("direction")))
+parsed_query("ext16_occurred_at", P.TIMES, "SELECT message_id, occurred_at AS ms, parsed, precise FROM timed")(lambda m: _paid(m).select("message_id", X.occurred_at(F.col("text"), F.col("arrived_at")).alias("w")).select("message_id", "w.*"))
+parsed_query("ext13_ext11_ext12_merchant", P.merchants("ok", _VPA), "SELECT message_id, m.name AS name, m.source AS source FROM named")(
+    lambda m: _paid(m).withColumn("n", X.narration(F.col("text"))).withColumn("v", F.coalesce(F.col("n.upi_id"), X.upi_id(F.col("text")))).select("message_id", X.merchant(F.col("text"), F.col("n.merchant"), F.col("v")).alias("m")).select("message_id", "m.name", "m.source")
+)
+parsed_query("ext9_suffixes", P.merchants("ok", _VPA), f"SELECT message_id, {P.stripped('m.name')} AS name FROM named WHERE m.name IS NOT NULL")(
+    lambda m: _paid(m).withColumn("n", X.narration(F.col("text"))).withColumn("v", F.coalesce(F.col("n.upi_id"), X.upi_id(F.col("text")))).select("message_id", X.merchant(F.col("text"), F.col("n.merchant"), F.col("v"))["name"].alias("name")).filter("name IS NOT NULL").select("message_id", T.strip_suffixes(F.col("name")).alias("name"))
+)
+parsed_query("ext14_doubtful_remarks", P.merchants("ok", _VPA), f"SELECT message_id, m.name AS name, {P.DOUBTFUL} AS doubtful FROM named WHERE m.source = 'info-freetext'")(
+    lambda m: _paid(m).withColumn("n", X.narration(F.col("text"))).withColumn("v", F.coalesce(F.col("n.upi_id"), X.upi_id(F.col("text")))).select("message_id", "v", X.merchant(F.col("text"), F.col("n.merchant"), F.col("v")).alias("m")).filter("m.source = 'info-freetext'").select("message_id", "m.name", (F.col("v").isNotNull() & ~X.looks_like_a_name(F.col("m.name"))).alias("doubtful"))
+)
 _TOLD = lambda group: f"nullif(regexp_extract(text, {_quoted(_NARR)}, {group}), '')"
-_PARSED = f"""SELECT *, CASE merchant_source WHEN 'narration' THEN 0.9::DOUBLE WHEN 'vpa-name' THEN 0.85::DOUBLE WHEN 'pattern' THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS merchant_confidence,
-  least(40 + 25 * (provider <> 'generic')::INT + 12 * (merchant IS NOT NULL)::INT + 10 * (reference_number IS NOT NULL)::INT + 5 * (channel IS NOT NULL)::INT + 5 * (message_id % 5 NOT IN (3, 4))::INT, 97)::DOUBLE / 100 AS confidence
-FROM (SELECT message_id, user_id, {_PROVIDER(0, _quoted('generic'))} AS provider,
-  CAST(floor(CAST(regexp_extract(text, {_quoted(RM.AMOUNT_VALUE)}, 1, 'i') AS DOUBLE) * 100 + 0.5) AS BIGINT) AS amount_paise,
-  CASE WHEN message_id % 5 IN (3, 4) THEN 'credit' ELSE 'debit' END AS direction, {_NAMED} AS merchant,
-  CASE message_id % 5 WHEN 0 THEN 'vpa-name' WHEN 1 THEN 'pattern' WHEN 3 THEN 'narration' END AS merchant_source,
-  {_CHAN} AS channel, coalesce({_TOLD(1)}, {_REF}) AS reference_number, coalesce(lower({_TOLD(4)}), {_VPA}) AS upi_id, {_CARD} AS card_last4,
-  CASE WHEN message_id % 5 IN (3, 4) THEN arrived_at WHEN message_id % 5 = 1 THEN epoch_ms(TIMESTAMP '2024-01-05 09:02:00') ELSE epoch_ms(TIMESTAMP '2024-01-05') + (arrived_at + 19800000) % 86400000 // 1000 * 1000 - 19800000 END AS occurred_at,
-  message_id % 5 = 1 AS occurred_at_precise {_OK})"""
-messages_query("ext17_parse", _PARSED)(lambda m: X.parse(C.classify(m)).select("message_id", "user_id", "provider", "amount_paise", "direction", "merchant", "merchant_source", "merchant_confidence", "channel", "reference_number", "upi_id", "card_last4", "occurred_at", "occurred_at_precise", "confidence"))
+_STEPS = f"{B.MESSAGES}, {_OK}, {P.MONEY}, {P.TIMES.replace('FROM ok', 'FROM money')}, {P.merchants('timed', _VPA)}"
+_PARSED = f"""SELECT *, CASE merchant_source WHEN 'narration' THEN 0.9::DOUBLE WHEN 'vpa-name' THEN 0.85::DOUBLE WHEN 'pattern' THEN 0.7::DOUBLE WHEN 'upi-id' THEN 0.6::DOUBLE WHEN 'info-freetext' THEN 0.45::DOUBLE ELSE 0.0::DOUBLE END AS merchant_confidence,
+  least(40 + 25 * (provider <> 'generic')::INT + 12 * (merchant IS NOT NULL)::INT + 10 * (reference_number IS NOT NULL)::INT + 5 * (channel IS NOT NULL)::INT + 5 * parsed::INT, 97)::DOUBLE / 100 AS confidence
+FROM (SELECT message_id, user_id, {_PROVIDER(0, _quoted('generic'))} AS provider, amount_paise, direction,
+  coalesce(CASE WHEN NOT {P.DOUBTFUL} THEN m.name END, vpa) AS merchant, coalesce(CASE WHEN NOT {P.DOUBTFUL} THEN m.source END, CASE WHEN vpa IS NOT NULL THEN 'upi-id' END) AS merchant_source,
+  {_CHAN} AS channel, coalesce({_TOLD(1)}, {_REF}) AS reference_number, vpa AS upi_id, {_CARD} AS card_last4, occurred_at, precise AS occurred_at_precise, parsed FROM named WHERE direction IS NOT NULL AND amount_paise IS NOT NULL)"""
+messages_query("ext17_parse", None, over(_STEPS, f"SELECT * EXCLUDE (parsed) FROM ({_PARSED})"))(lambda m: X.parse(C.classify(m)).select("message_id", "user_id", "provider", "amount_paise", "direction", "merchant", "merchant_source", "merchant_confidence", "channel", "reference_number", "upi_id", "card_last4", "occurred_at", "occurred_at_precise", "confidence"))
 messages_query("src8_sms", "SELECT 'sms:' || sha256(sender || '|' || body || '|' || (arrived_at // 60000)) AS message_id, user_id, arrived_at, sender FROM messages")(lambda m: messages.sms(m.select("user_id", "sender", "body", F.lit(None).cast("string").alias("timestamp"), F.col("arrived_at").alias("received_at"))).select("message_id", "user_id", "arrived_at", "sender"))
 query("src9_wallet", "SELECT user_id, 'wallet:' || sha256('Shop ' || k || '|' || p || '|' || (t // 60000)) AS external_id, p AS amount_paise, 'debit' AS direction, 'Card' AS channel, t AS occurred_at FROM (SELECT user_id, (epoch_us(ts) // 1000) AS t, CAST(floor(value * 100 + 0.5) AS BIGINT) AS p, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE p > 0")(
     lambda spark, d: messages.wallet(B.read(spark, d, "events").select("user_id", F.concat(F.lit("Shop "), F.get_json_object("props", "$.k")).alias("merchant"), F.col("value").alias("amount"), F.lit(None).cast("string").alias("card"), F.lit(None).cast("string").alias("timestamp"), F.unix_millis(F.col("ts").cast("timestamp")).alias("received_at"))).select("user_id", "external_id", "amount_paise", "direction", "channel", "occurred_at")
@@ -288,13 +298,16 @@ def ent5(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CONTACT = "message_id % 23 = 0"
+_ALIAS = "CASE norm " + " ".join(f"WHEN {_quoted(k)} THEN {_quoted(v)}" for k, v in RC.KNOWN_MERCHANTS.items()) + " END"
 @query(
     "ent2_resolve_merchant",
     over(
-        B.MESSAGES,
-        f"""SELECT message_id, CASE WHEN {_CONTACT} THEN 'Asha Rao' ELSE merchant END AS merchant, {_normalized('l')} AS merchant_normalized,
-        CASE WHEN {_CONTACT} THEN 'contact' ELSE merchant_source END AS merchant_source, CASE WHEN {_CONTACT} THEN 1.0::DOUBLE ELSE merchant_confidence END AS merchant_confidence
-        FROM (SELECT *, lower(trim(CASE WHEN {_CONTACT} THEN 'Asha Rao' ELSE coalesce(merchant, upi_id) END)) AS l FROM ({_PARSED}))""",
+        _STEPS,
+        f"""SELECT message_id, CASE WHEN {_CONTACT} THEN 'Asha Rao' ELSE coalesce(alias, plain) END AS merchant, {_normalized('k')} AS merchant_normalized,
+        CASE WHEN {_CONTACT} THEN 'contact' ELSE merchant_source END AS merchant_source, CASE WHEN {_CONTACT} THEN 1.0::DOUBLE WHEN alias IS NOT NULL THEN greatest(merchant_confidence, 0.95::DOUBLE) ELSE merchant_confidence END AS merchant_confidence
+        FROM (SELECT *, lower(trim(CASE WHEN {_CONTACT} THEN 'Asha Rao' ELSE coalesce(alias, plain, upi_id) END)) AS k
+          FROM (SELECT *, {_ALIAS} AS alias FROM (SELECT *, {_normalized('l')} AS norm
+            FROM (SELECT *, lower(trim(coalesce(plain, upi_id))) AS l FROM (SELECT *, CASE WHEN merchant_source IN ('pattern', 'narration') THEN {P.stripped('merchant')} ELSE merchant END AS plain FROM ({_PARSED}))))))""",
     ),
 )
 def ent2(spark: SparkSession, d: str) -> DataFrame:

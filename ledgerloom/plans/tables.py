@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.wordings import WORDINGS, pieces
+
 #: (id, name, color); `signup` is left out so that a category may be unknown.
 CATEGORIES = [("click", "Food", "#ff9500"), ("error", "Bills", "#ff3b30"), ("purchase", "Shopping", "#af52de"), ("rent", "Rent", "#ff9f0a")]
 
@@ -132,24 +134,16 @@ logged AS (
 
 
 def messages(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
-    """Alerts written from `events`: most are payments in one of five wordings, some are codes, offers or announcements."""
+    """Alerts written from `events`, in each of the wordings in turn."""
     t = read(spark, sf_dir, "events") if events is None else events
     i, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("long")
     p = F.floor(F.col("value") * 100 + 0.5).cast("long")
     rs = F.concat(F.floor(p / 100).cast("long").cast("string"), F.lit("."), F.lpad((p % 100).cast("string"), 2, "0"))
-    last4 = F.lpad((i % 10_000).cast("string"), 4, "0")
-    ref = F.lpad((i * 7919 % 1_000_000_007).cast("string"), 12, "4")
+    values = {"rs": rs, "l": F.lpad((i % 10_000).cast("string"), 4, "0"), "k": k.cast("string"), "ref": F.lpad((i * 7919 % 1_000_000_007).cast("string"), 12, "4")}
     c = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
-    body = (
-        F.when(i % 7 == 0, c("Your OTP is ", last4, " for the transaction of Rs.", rs))
-        .when(i % 11 == 0, c("Get flat Rs. 200 cashback! Money received by thousands: INR ", rs, " shop now"))
-        .when(i % 13 == 0, c("Rs.", rs, " will be debited from account ", last4, " on 05-01-24"))
-        .when(i % 5 == 0, c("Rs.", rs, " has been debited from account **", last4, " to VPA shop", k, "@icici SHOP ", k, " on 05-01-24. Your UPI transaction reference number is ", ref))
-        .when(i % 5 == 1, c("Your HDFC Bank Credit Card XX", last4, " has been used for a purchase of INR ", rs, " at SWIGGY", k, " on 05-01-2024 at 14:32. Avl limit: INR 50,000.00"))
-        .when(i % 5 == 2, c("Sent Rs.", rs, " From HDFC Bank A/C x", last4, " To BIGBASKET On 05/01/24 Ref ", ref))
-        .when(i % 5 == 3, c("INR ", rs, " credited to your account XX", last4, " by UPI/CR/", ref, "/AMIT KUMAR/YESB/amit", k, "@ybl/Payment"))
-        .otherwise(c("Refund of Rs ", rs, " processed and credited to your card ending ", last4, " by Zepto"))
-    )
+    body = F.lit(None).cast("string")
+    for n, wording in enumerate(WORDINGS):
+        body = F.when(i % len(WORDINGS) == n, F.concat(*[values[x] if named else F.lit(x) for x, named in pieces(wording)])).otherwise(body)
     sender = F.when(i % 4 == 0, "alerts@hdfcbank.net").when(i % 4 == 1, "no-reply@phonepe.com").when(i % 4 == 2, "InstaAlerts@icicibank.com").otherwise("me@example.org")
     return t.select(i.alias("message_id"), "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("arrived_at"), sender.alias("sender"), c("Alert ", k).alias("subject"), body.alias("body"))
 
@@ -159,17 +153,12 @@ messages AS (
   SELECT event_id AS message_id, user_id, (epoch_us(ts) // 1000) AS arrived_at,
     CASE event_id % 4 WHEN 0 THEN 'alerts@hdfcbank.net' WHEN 1 THEN 'no-reply@phonepe.com' WHEN 2 THEN 'InstaAlerts@icicibank.com' ELSE 'me@example.org' END AS sender,
     'Alert ' || k AS subject,
-    CASE WHEN event_id % 7 = 0 THEN 'Your OTP is ' || l || ' for the transaction of Rs.' || rs
-      WHEN event_id % 11 = 0 THEN 'Get flat Rs. 200 cashback! Money received by thousands: INR ' || rs || ' shop now'
-      WHEN event_id % 13 = 0 THEN 'Rs.' || rs || ' will be debited from account ' || l || ' on 05-01-24'
-      WHEN event_id % 5 = 0 THEN 'Rs.' || rs || ' has been debited from account **' || l || ' to VPA shop' || k || '@icici SHOP ' || k || ' on 05-01-24. Your UPI transaction reference number is ' || ref
-      WHEN event_id % 5 = 1 THEN 'Your HDFC Bank Credit Card XX' || l || ' has been used for a purchase of INR ' || rs || ' at SWIGGY' || k || ' on 05-01-2024 at 14:32. Avl limit: INR 50,000.00'
-      WHEN event_id % 5 = 2 THEN 'Sent Rs.' || rs || ' From HDFC Bank A/C x' || l || ' To BIGBASKET On 05/01/24 Ref ' || ref
-      WHEN event_id % 5 = 3 THEN 'INR ' || rs || ' credited to your account XX' || l || ' by UPI/CR/' || ref || '/AMIT KUMAR/YESB/amit' || k || '@ybl/Payment'
-      ELSE 'Refund of Rs ' || rs || ' processed and credited to your card ending ' || l || ' by Zepto' END AS body
+    CASE event_id % COUNT WORDINGS END AS body
   FROM (SELECT *, CAST(p // 100 AS VARCHAR) || '.' || lpad(CAST(p % 100 AS VARCHAR), 2, '0') AS rs, lpad(CAST(event_id % 10000 AS VARCHAR), 4, '0') AS l,
           lpad(CAST(event_id * 7919 % 1000000007 AS VARCHAR), 12, '4') AS ref
         FROM (SELECT *, CAST(floor(value * 100 + 0.5) AS BIGINT) AS p, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))
 ),
 texts AS (SELECT *, substr(subject || chr(10) || body, 1, 6000) AS text FROM messages)
 """
+_SAID = lambda x, named: x if named else "'" + x.replace("'", "''") + "'"
+MESSAGES = MESSAGES.replace("COUNT", str(len(WORDINGS))).replace("WORDINGS", " ".join(f"WHEN {n} THEN " + " || ".join(_SAID(x, named) for x, named in pieces(w)) for n, w in enumerate(WORDINGS)))
