@@ -119,12 +119,12 @@ def by_month(txns: DataFrame, s: Slice) -> DataFrame:
 
 def dashboard(txns: DataFrame, s: Slice) -> DataFrame:
     """Totals by category, channel, merchant and day for every tenant in one pass (GROUPING SETS)."""
-    rows = base(txns, s).filter(s.in_range()).select("user_id", "amount_paise", "direction", F.coalesce("category_id", F.lit(NONE)).alias("category"), F.coalesce("channel", F.lit(OTHER)).alias("channel"), ist_day(F.col("occurred_at")).alias("day"))
-    keys = [F.col(c) for c in ("category", "channel", "day")]
+    rows = base(txns, s).filter(s.in_range()).select("user_id", "amount_paise", "direction", F.coalesce("category_id", F.lit(NONE)).alias("category"), F.coalesce("channel", F.lit(OTHER)).alias("channel"), F.coalesce("merchant_normalized", "merchant", F.lit("unknown")).alias("merchant"), ist_day(F.col("occurred_at")).alias("day"))
+    keys = [F.col(c) for c in ("category", "channel", "merchant", "day")]
     sets = [[F.col("user_id"), k] for k in keys] + [[F.col("user_id")]]
     out = rows.groupingSets(sets, F.col("user_id"), *keys).agg(F.grouping_id().alias("gid"), _sum(debit()).alias("debit"), _sum(~debit()).alias("credit"), F.count(F.lit(1)).alias("count"))
-    kind = F.when(F.col("category").isNotNull(), "category").when(F.col("channel").isNotNull(), "channel").when(F.col("day").isNotNull(), "day").otherwise("total")
-    return out.select("user_id", kind.alias("kind"), F.coalesce("category", "channel", "day", F.lit("")).alias("key"), "debit", "credit", "count")
+    kind = F.when(F.col("category").isNotNull(), "category").when(F.col("channel").isNotNull(), "channel").when(F.col("merchant").isNotNull(), "merchant").when(F.col("day").isNotNull(), "day").otherwise("total")
+    return out.select("user_id", kind.alias("kind"), F.coalesce("category", "channel", "merchant", "day", F.lit("")).alias("key"), "debit", "credit", "count")
 
 
 def category_counts(categories: DataFrame, txns: DataFrame) -> DataFrame:

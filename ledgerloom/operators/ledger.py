@@ -135,9 +135,10 @@ def unseen(messages: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def upsert_latest(existing: DataFrame, incoming: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """One row a key: the latest."""
-    latest = Window.partitionBy(*keys).orderBy(F.col(at).desc())
-    return existing.unionByName(incoming).withColumn("_rn", F.row_number().over(latest)).filter("_rn = 1").drop("_rn")
+    """One row a key: the latest; at one time an incoming row wins over one that is there."""
+    latest = Window.partitionBy(*keys).orderBy(F.col(at).desc(), F.col("_new").desc())
+    both = existing.withColumn("_new", F.lit(False)).unionByName(incoming.withColumn("_new", F.lit(True)))
+    return both.withColumn("_rn", F.row_number().over(latest)).filter("_rn = 1").drop("_rn", "_new")
 
 
 def add_counters(existing: DataFrame, delta: DataFrame, key: str) -> DataFrame:

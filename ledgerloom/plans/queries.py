@@ -137,7 +137,7 @@ query("agg6_by_month", over(B.ORDERS, f"SELECT strftime(make_timestamp_ms(occurr
 simple(
     "agg_dashboard_all_tenants",
     lambda t: A.dashboard(t, SLICE),
-    f"SELECT user_id, CASE WHEN c IS NOT NULL THEN 'category' WHEN h IS NOT NULL THEN 'channel' WHEN y IS NOT NULL THEN 'day' ELSE 'total' END AS kind, coalesce(c, h, y, '') AS key, {DEBIT} AS debit, {CREDIT} AS credit, count(*) AS count FROM (SELECT *, coalesce(category_id, '__none__') AS c, coalesce(channel, 'Other') AS h, strftime(make_timestamp_ms(occurred_at + 19800000), '%Y-%m-%d') AS y FROM ledger WHERE {RANGE}) GROUP BY GROUPING SETS ((user_id, c), (user_id, h), (user_id, y), (user_id))",
+    f"SELECT user_id, CASE WHEN c IS NOT NULL THEN 'category' WHEN h IS NOT NULL THEN 'channel' WHEN w IS NOT NULL THEN 'merchant' WHEN y IS NOT NULL THEN 'day' ELSE 'total' END AS kind, coalesce(c, h, w, y, '') AS key, {DEBIT} AS debit, {CREDIT} AS credit, count(*) AS count FROM (SELECT *, coalesce(category_id, '__none__') AS c, coalesce(channel, 'Other') AS h, coalesce(merchant_normalized, merchant, 'unknown') AS w, strftime(make_timestamp_ms(occurred_at + 19800000), '%Y-%m-%d') AS y FROM ledger WHERE {RANGE}) GROUP BY GROUPING SETS ((user_id, c), (user_id, h), (user_id, w), (user_id, y), (user_id))",
 )
 simple("agg10_filtered_count", lambda t: L.filtered(t, L.Filters(channel="UPI")).agg(F.count(F.lit(1)).alias("n")), f"SELECT count(*) AS n FROM ledger WHERE {ALIVE} AND channel = 'UPI'")
 query("agg11_unsealed", "SELECT (SELECT count(*) FROM events WHERE event_id % 3 = 0) + (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0) AS remaining")(
@@ -189,12 +189,16 @@ def snk7_seal(spark: SparkSession, d: str) -> DataFrame:
 # Messages
 
 
+def _spread(spark: SparkSession, m: DataFrame) -> DataFrame:
+    """A message is far cheaper to move than to parse, so those of few files are spread over all cores first."""
+    return m.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def messages_query(name: str, sql: str | None, whole: str | None = None) -> Callable:
     """A query over messages; sql is put after what makes them, whole stands by itself."""
 
     def add(f):
-        # A message is far cheaper to move than to parse, so messages of one file are spread over all cores first
-        query(name, whole or over(B.MESSAGES, sql))(lambda spark, d: f(B.messages(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))))
+        query(name, whole or over(B.MESSAGES, sql))(lambda spark, d: f(_spread(spark, B.messages(spark, d))))
         return f
 
     return add
@@ -257,6 +261,10 @@ FROM (SELECT message_id, user_id, {_PROVIDER(0, _quoted('generic'))} AS provider
   coalesce(CASE WHEN NOT {P.DOUBTFUL} THEN m.name END, vpa) AS merchant, coalesce(CASE WHEN NOT {P.DOUBTFUL} THEN m.source END, CASE WHEN vpa IS NOT NULL THEN 'upi-id' END) AS merchant_source,
   {_CHAN} AS channel, coalesce({_TOLD(1)}, {_REF}) AS reference_number, vpa AS upi_id, {_CARD} AS card_last4, occurred_at, precise AS occurred_at_precise, parsed FROM named WHERE direction IS NOT NULL AND amount_paise IS NOT NULL)"""
 messages_query("ext17_parse", None, over(_STEPS, f"SELECT * EXCLUDE (parsed) FROM ({_PARSED})"))(lambda m: X.parse(C.classify(m)).select("message_id", "user_id", "provider", "amount_paise", "direction", "merchant", "merchant_source", "merchant_confidence", "channel", "reference_number", "upi_id", "card_last4", "occurred_at", "occurred_at_precise", "confidence"))
+_PERCENT = lambda c: f"CAST(floor(count({c}) / count(*) * 100 + 0.5) AS BIGINT)"
+messages_query("agg7_parse_health", None, over(_STEPS, f"SELECT provider, count(*) AS total, {_PERCENT('merchant')} AS merchant_percent, {_PERCENT('upi_id')} AS upi_id_percent, {_PERCENT('reference_number')} AS reference_number_percent, {_PERCENT('card_last4')} AS category_id_percent FROM ({_PARSED}) GROUP BY 1"))(
+    lambda m: A.health_percent(A.parse_health(X.parse(C.classify(m)).withColumn("category_id", F.col("card_last4"))))
+)
 messages_query("src8_sms", "SELECT 'sms:' || sha256(sender || '|' || body || '|' || (arrived_at // 60000)) AS message_id, user_id, arrived_at, sender FROM messages")(lambda m: messages.sms(m.select("user_id", "sender", "body", F.lit(None).cast("string").alias("timestamp"), F.col("arrived_at").alias("received_at"))).select("message_id", "user_id", "arrived_at", "sender"))
 query("src9_wallet", "SELECT user_id, 'wallet:' || sha256('Shop ' || k || '|' || p || '|' || (t // 60000)) AS external_id, p AS amount_paise, 'debit' AS direction, 'Card' AS channel, t AS occurred_at FROM (SELECT user_id, (epoch_us(ts) // 1000) AS t, CAST(floor(value * 100 + 0.5) AS BIGINT) AS p, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE p > 0")(
     lambda spark, d: messages.wallet(B.read(spark, d, "events").select("user_id", F.concat(F.lit("Shop "), F.get_json_object("props", "$.k")).alias("merchant"), F.col("value").alias("amount"), F.lit(None).cast("string").alias("card"), F.lit(None).cast("string").alias("timestamp"), F.unix_millis(F.col("ts").cast("timestamp")).alias("received_at"))).select("user_id", "external_id", "amount_paise", "direction", "channel", "occurred_at")
@@ -311,7 +319,7 @@ _ALIAS = "CASE norm " + " ".join(f"WHEN {_quoted(k)} THEN {_quoted(v)}" for k, v
     ),
 )
 def ent2(spark: SparkSession, d: str) -> DataFrame:
-    p = X.parse(C.classify(B.messages(spark, d))).withColumn("contact_name", F.when(F.col("message_id") % 23 == 0, "Asha Rao"))
+    p = X.parse(C.classify(_spread(spark, B.messages(spark, d)))).withColumn("contact_name", F.when(F.col("message_id") % 23 == 0, "Asha Rao"))
     return R.resolve_merchant(p).select("message_id", "merchant", "merchant_normalized", "merchant_source", "merchant_confidence")
 
 
@@ -596,6 +604,12 @@ query("jn5_samples_with_users", over(B.MESSAGES, "SELECT message_id, user_id, c_
 )
 
 
-@query("scl3_range_presets", "SELECT * FROM (VALUES ('7d', 1705104000000, 1705708800000), ('30d', 1703116800000, 1705708800000), ('90d', 1697932800000, 1705708800000), ('month', 1704047400000, 1705708800000), ('year', 1704047400000, 1705708800000), ('all', 0, 1705708800000)) AS v(name, begins, ends)")
+PRESETS = ("7d", "30d", "90d", "month", "year", "all")
+
+
+@query("scl3_range_presets", over(B.LEDGER, f"SELECT name, begins, ends, (SELECT count(*) FROM ledger WHERE occurred_at BETWEEN begins AND ends) AS n FROM (VALUES ('7d', 1705104000000, 1705708800000), ('30d', 1703116800000, 1705708800000), ('90d', 1697932800000, 1705708800000), ('month', 1704047400000, 1705708800000), ('year', 1704047400000, 1705708800000), ('all', 0, 1705708800000)) AS v(name, begins, ends)"))
 def scl3(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(n, *S.range_preset(n, 1_705_708_800_000)) for n in ("7d", "30d", "90d", "month", "year", "all")], "name string, begins long, ends long")
+    """Transactions in each preset, in one pass."""
+    spans = {n: S.range_preset(n, 1_705_708_800_000) for n in PRESETS}
+    counts = B.ledger(spark, d).agg(*[F.count(F.when(F.col("occurred_at").between(*span), 1)).alias(n) for n, span in spans.items()])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).cast("long").alias("begins"), F.lit(z).cast("long").alias("ends"), F.col(f"`{n}`").alias("n")) for n, (a, z) in spans.items()])))
