@@ -293,3 +293,23 @@ def test_boundaries(spark):
     assert tuple(analytics.totals(t.filter("id < 0"), s).first()) == (0, 0, 0, 0)
     assert analytics.top_merchants(t, s).first().label == "unknown"
     assert ledger.Filters(q="  ").condition() is not None
+
+
+def test_incoming_rows_win_ties(spark):
+    frame = lambda *rows: spark.createDataFrame(rows, "k long, at long, v string")
+    got = ledger.upsert_latest(frame((1, 5, "old"), (2, 9, "old"), (3, 1, "old")), frame((1, 5, "new"), (2, 8, "new"), (4, 1, "new")), ["k"], "at")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 5, "new"), (2, 9, "old"), (3, 1, "old"), (4, 1, "new")]
+
+
+def test_a_stream_forgets_only_what_it_is_told_to(spark, tmp_path):
+    """Matches far apart in creation are made with nothing forgotten, and lost with a short memory."""
+    rows = [("txn", 1, 1, 100, "debit", 1000 * H, 0), ("event", 50, 1, 100, "debit", 1000 * H, 90 * 24 * H)]
+    schema = "kind string, id long, user_id long, amount_paise long, direction string, at long, created_at long"
+    for name, keep, want in (("all", None, [(1, 1, 50)]), ("short", 30 * 24 * H, [])):
+        for k, row in enumerate([*rows, ("txn", 9, 2, 1, "debit", 0, 0)]):
+            spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}-in")
+            stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}-in")
+            state.write_once(state.match_events(stream, keep), f"{tmp_path}/{name}", f"{tmp_path}/{name}-cp", ["event_id"], 2).awaitTermination()
+            if k == 0:  # the clock of this key goes on before the event comes
+                spark.createDataFrame([("txn", 2, 1, 100, "debit", 0, 80 * 24 * H)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}-in")
+        assert [tuple(r) for r in state.written_once(spark, f"{tmp_path}/{name}").select("user_id", "txn_id", "event_id").collect()] == want
