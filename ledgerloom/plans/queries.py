@@ -485,7 +485,7 @@ def agg14(spark: SparkSession, d: str) -> DataFrame:
 def _streamed(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFrame:
     folder = shared_folder(spark)
     state.write_once(stream, f"{folder}/out", f"{folder}/checkpoint", keys, PARTS).awaitTermination()
-    return state.written_once(spark, f"{folder}/out")
+    return state.written_once(spark, f"{folder}/out", stream.schema)
 
 
 query("str7_stream_duplicates", folds.recursive(B.LEDGER, folds.FLAGGED, "SELECT id, user_id, dup AS duplicate_of_id FROM fold WHERE id IS NOT NULL"))(lambda spark, d: _streamed(spark, state.flag_duplicates(B.ledger(spark, d, B.event_stream(state.stateful(spark), d))), ["id"]))
@@ -504,7 +504,7 @@ def str1(spark: SparkSession, d: str) -> DataFrame:
     folder = shared_folder(spark)
     for run in ("a", "b"):
         state.write_once(m, f"{folder}/out", f"{folder}/checkpoint-{run}", ["message_id"], PARTS).awaitTermination()
-    return state.written_once(spark, f"{folder}/out")
+    return state.written_once(spark, f"{folder}/out", m.schema)
 
 
 SQL["str1_str5_incremental"] = over(B.MESSAGES, SQL["str1_str5_incremental"])
@@ -543,7 +543,7 @@ def str3(spark: SparkSession, d: str) -> DataFrame:
     mailbox.store(mails.filter(F.col("arrived_at") >= SLICE.start), f"{folder}/mail")
     mailbox.expire(f"{folder}/mail", mailbox.newest(f"{folder}/mail")["history"])
     run()
-    return state.written_once(spark, f"{folder}/out")
+    return state.written_once(spark, f"{folder}/out", "message_id long, user_id long, sender string, body string")
 
 
 @query("str4_resumed_sync", over(B.MESSAGES, _RELEVANT))
@@ -555,7 +555,7 @@ def str4(spark: SparkSession, d: str) -> DataFrame:
     ticks = itertools.count()
     while not mailbox.sync(session, f"{folder}/mail", f"{folder}/out", f"{folder}/cursor", 2.5, (ends.z - ends.a) // 5 + 1, clock=lambda: next(ticks), buckets=PARTS):
         pass
-    return state.written_once(spark, f"{folder}/out").select("message_id", "user_id", "sender", "body")
+    return state.written_once(spark, f"{folder}/out", mailbox.MAIL).select("message_id", "user_id", "sender", "body")
 
 
 @query(

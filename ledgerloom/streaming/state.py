@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ledgerloom.operators import match
 from ledgerloom.operators.dedup import CANONICAL, DUPLICATE, WIDE_MS, decided
@@ -164,9 +165,10 @@ def append_once(batch: DataFrame, path: str, keys: list[str], buckets: int = BUC
     fresh.repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(path)
 
 
-def written_once(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of a table that `append_once` or `write_once` filled."""
-    return spark.read.parquet(path).drop("_bucket")
+def written_once(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The rows of a table that `append_once` or `write_once` filled, or may have left empty."""
+    known = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return spark.read.schema(StructType([*known.fields, StructField("_bucket", IntegerType())])).parquet(path).drop("_bucket")
 
 
 def write_once(stream: DataFrame, path: str, checkpoint: str, keys: list[str], buckets: int = BUCKETS):

@@ -40,7 +40,7 @@ def test_an_expired_offset_goes_back_a_day(spark, tmp_path):
 
     def run():
         state.write_once(mailbox.mail_stream(session, path), f"{tmp_path}/out", f"{tmp_path}/cp", ["message_id"]).awaitTermination()
-        return sorted(r.message_id for r in state.written_once(spark, f"{tmp_path}/out").collect())
+        return sorted(r.message_id for r in state.written_once(spark, f"{tmp_path}/out", mailbox.MAIL).collect())
 
     mailbox.store(mails(spark, range(60)), path)
     assert run() == list(range(1, 60, 2))
@@ -60,12 +60,12 @@ def test_a_sync_that_is_cut_goes_on(spark, tmp_path):
     ticks = itertools.count()
     runs = [mailbox.sync(session, path, f"{tmp_path}/out", f"{tmp_path}/cursor", 2.5, 100, clock=lambda: next(ticks)) for _ in range(2)]
     assert runs == [False, False]
-    some = state.written_once(spark, f"{tmp_path}/out").count()
+    some = state.written_once(spark, f"{tmp_path}/out", mailbox.MAIL).count()
     assert 0 < some < 25
     mailbox.store(mails(spark, range(50, 60)), path)
     while not mailbox.sync(session, path, f"{tmp_path}/out", f"{tmp_path}/cursor", 2.5, 100, clock=lambda: next(ticks)):
         pass
-    assert sorted(r.message_id for r in state.written_once(spark, f"{tmp_path}/out").collect()) == list(range(1, 60, 2))
+    assert sorted(r.message_id for r in state.written_once(spark, f"{tmp_path}/out", mailbox.MAIL).collect()) == list(range(1, 60, 2))
     assert mailbox.sync(session, path, f"{tmp_path}/out", f"{tmp_path}/cursor", 0, 100)
 
 
@@ -113,4 +113,4 @@ def test_admission_is_the_plain_fold(spark, tmp_path, seed):
         spark.createDataFrame(ordered[part * 310 : part * 310 + 310], frame.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in")
         state.write_once(admission.admitted_stream(stream, 20), f"{tmp_path}/out", f"{tmp_path}/cp", ["id"]).awaitTermination()
-    assert {x.id: (x.recent, x.admitted) for x in state.written_once(spark, f"{tmp_path}/out").collect()} == want
+    assert {x.id: (x.recent, x.admitted) for x in state.written_once(spark, f"{tmp_path}/out", "id long, user_id long, recent long, admitted boolean").collect()} == want
