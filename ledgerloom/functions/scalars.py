@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,22 +56,30 @@ def distance(a: Column, b: Column) -> Column:
     return F.abs(a - b)
 
 
-def _hmac(key: bytes, text: Column) -> Column:
-    """HMAC of SHA-256 by its definition, in lowercase hexadecimal digits."""
-    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
-    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+def xored(key: Column, pad: int) -> Column:
+    """A key of at most 64 octets, filled with zeros to 64, each octet xor pad."""
+    digits = F.rpad(F.hex(key), 128, "0")
+    octet = lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int").bitwiseXOR(F.lit(pad))
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(octet(i)), 2, "0")), ""))
+
+
+def keyed(text: Column, inner: Column, outer: Column) -> Column:
+    """HMAC of SHA-256 by its definition, in lowercase hexadecimal digits; inner and outer are the key `xored` with 0x36 and 0x5C.
+
+    They are columns, not literals, so that no key stands in a plan.
+    """
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(text, "UTF-8")), 256))), 256)
 
 
-def amount_index(key: bytes, user: Column, direction: Column, amount: Column) -> Column:
+def amount_index(user: Column, direction: Column, amount: Column, inner: Column, outer: Column) -> Column:
     """Blind index of an amount: a keyed digest that is equal for equal amounts of a user and direction."""
-    return _hmac(key, F.concat_ws(":", user.cast("string"), direction, amount.cast("string")))
+    return keyed(F.concat_ws(":", user.cast("string"), direction, amount.cast("string")), inner, outer)
 
 
-def reference_index(key: bytes, user: Column, ref: Column) -> Column:
+def reference_index(user: Column, ref: Column, inner: Column, outer: Column) -> Column:
     """Null for references too short to trust."""
     clean = normalized_reference(ref)
-    return _hmac(key, F.when(F.length(clean) >= MIN_REFERENCE, F.concat(user.cast("string"), F.lit(":ref:"), clean)))
+    return keyed(F.when(F.length(clean) >= MIN_REFERENCE, F.concat(user.cast("string"), F.lit(":ref:"), clean)), inner, outer)
 
 
 def grouped_indian(number: Column) -> Column:

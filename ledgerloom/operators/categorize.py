@@ -1,4 +1,4 @@
-"""Categories by rules: a tenant's own, then brands, then generic words. Rule tables are literals, tenants' rules are joined."""
+"""Categories by rules: a tenant's own, then brands, then generic words. Rule tables are literals, tenants' rules an index of letter groups."""
 
 from __future__ import annotations
 
@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.rules.categories import BRANDS, DEFAULT_CATEGORIES, GENERIC
 
+#: Letters of a group at which a tenant's rules and texts meet.
+GROUP = 3
+
 
 def haystack(*parts: Column) -> Column:
     """The parts that aren't empty, joined and in lower case."""
@@ -43,22 +46,54 @@ def rule_hits(txns: DataFrame) -> DataFrame:
     return df.withColumns({"_brand": _hits(F.col("_hay"), BRANDS, F.regexp_replace("_hay", r"\s+", "")), "_generic": _hits(F.col("_own"), GENERIC)})
 
 
+def _groups(text: Column, least: Column) -> Column:
+    """The distinct groups of least to GROUP letters that follow each other in a text; of none, the empty one."""
+    places = lambda n: F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    of = lambda n: F.transform(places(n), lambda at: F.substring(text, at, n))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(least, F.lit(GROUP)), of)))
+
+
+def rule_index(rules: DataFrame) -> DataFrame:
+    """rules (id, user_id, pattern, category_id, created_at) with _group: of a pattern's groups of letters the one that the fewest of the tenant's rules hold.
+
+    A pattern shorter than a group is its own group. Rules without a pattern match nothing and are left out.
+    """
+    low = rules.filter(F.col("pattern").isNotNull()).withColumn("pattern", F.lower("pattern"))
+    size = F.least(F.length("pattern"), F.lit(GROUP))
+    held = low.withColumn("_group", F.explode(_groups(F.col("pattern"), size))).filter(F.length("_group") == size)
+    counts = held.groupBy("user_id", "_group").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = F.min(F.struct("_n", "_group"))["_group"].alias("_group")
+    return held.join(counts, ["user_id", "_group"]).groupBy("user_id", "id", "pattern", "category_id", "created_at").agg(rarest)
+
+
+def own_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(user_id, _hay, _u): of each distinct text of a tenant the category of the first created of the tenant's rules that it holds.
+
+    Texts meet rules at the rules' rarest groups of letters and only those that meet are compared, so that the cost goes
+    by likely hits and not by the number of rules. Texts of tenants without rules take no part.
+    """
+    index = rule_index(rules)
+    asked = texts.filter("_hay <> ''").select("user_id", "_hay").distinct().join(rules.select("user_id").distinct(), "user_id", "left_semi")
+    met = asked.withColumn("_group", F.explode(_groups(F.col("_hay"), F.lit(0)))).join(index, ["user_id", "_group"])
+    first = F.min(F.struct("created_at", "id", "pattern", F.col("category_id").cast("string").alias("category_id")))["category_id"]
+    return met.filter(F.contains("_hay", "pattern")).groupBy("user_id", "_hay").agg(first.alias("_u"))
+
+
 def categorize(txns: DataFrame, categories: DataFrame, rules: DataFrame) -> DataFrame:
     """txns (id, user_id, merchant_normalized, merchant, upi_id, email_subject) with category_id and category_source.
 
     categories (id, user_id, name); rules (id, user_id, pattern, category_id, created_at): the first created that
     matches wins. Rules whose category is gone are passed over. A tenant's categories are gathered into one map a
-    tenant; its rules are matched by a join on the tenant, and only the best is kept for each transaction.
+    tenant; its rules meet distinct texts by an index (`own_rules`). txns is read twice: write it first where it is costly.
     """
     names = categories.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.lower("name").alias("k"), F.col("id").cast("string").alias("v"))))).alias("_ids"))
     alive = rules.join(categories.select(F.col("id").alias("category_id"), F.col("user_id")), ["user_id", "category_id"], "left_semi")
-    owned = alive.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("created_at", F.col("id").alias("rid"), F.lower("pattern").alias("pattern"), F.col("category_id").cast("string").alias("category_id")))).alias("_rules"))
-    df = rule_hits(txns).join(names, "user_id", "left").join(owned, "user_id", "left")
-    mine = F.get(F.filter("_rules", lambda r: F.contains(F.col("_hay"), r["pattern"])), F.lit(0))["category_id"]
+    df = rule_hits(txns)
+    df = df.join(names, "user_id", "left").join(own_rules(df, alive), ["user_id", "_hay"], "left")
     first = lambda hits: F.get(F.filter(F.transform(hits, lambda n: F.try_element_at("_ids", n)), lambda v: v.isNotNull()), F.lit(0))
-    df = df.withColumns({"_u": F.when(F.col("_hay") != "", mine), "_b": first("_brand"), "_g": first("_generic")})
+    df = df.withColumns({"_b": first("_brand"), "_g": first("_generic")})
     source = F.when(F.col("_u").isNotNull(), "user").when(F.col("_b").isNotNull(), "brand").when(F.col("_g").isNotNull(), "generic")
-    return df.withColumns({"category_id": F.coalesce("_u", "_b", "_g"), "category_source": source}).drop("_hay", "_own", "_brand", "_generic", "_ids", "_rules", "_u", "_b", "_g")
+    return df.withColumns({"category_id": F.coalesce("_u", "_b", "_g"), "category_source": source}).drop("_hay", "_own", "_brand", "_generic", "_ids", "_u", "_b", "_g")
 
 
 def apply_rule(txns: DataFrame, user_id, needle: str, category_id: str) -> DataFrame:

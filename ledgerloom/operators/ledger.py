@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import BASELINE_MS, IST_MS
+from ledgerloom.functions.scalars import BASELINE_MS, IST_MS, amount_index, reference_index, xored
 
 LOW_CONFIDENCE = 0.6
 SEARCHED = ("merchant", "merchant_normalized", "notes", "upi_id", "email_subject", "reference_number")
@@ -160,23 +160,53 @@ def delete_category(txns: DataFrame, category_id: str) -> DataFrame:
 
 
 def without_tenant(table: DataFrame, user_id) -> DataFrame:
-    return table.filter(F.col("user_id") != F.lit(user_id))
+    return table.filter(~F.col("user_id").eqNullSafe(F.lit(user_id)))
 
 
 SEALED = ("amount_paise", "merchant", "merchant_normalized", "notes", "upi_id", "reference_number", "email_subject", "bank", "card_last4", "channel", "raw")
 
 
-def seal(txns: DataFrame, key: bytes, codec) -> DataFrame:
-    """Rows not yet sealed get their payload sealed by codec (a function of the JSON column), blind indexes, and lose the plain columns."""
-    from ledgerloom.functions.scalars import amount_index, reference_index
+def keyring(keys: DataFrame) -> DataFrame:
+    """keys (user_id, key: 32 octets) with what sealing takes from each: a key for payloads and the two blocks of a keyed digest."""
+    own = lambda use: F.unhex(F.sha2(F.concat(F.col("key"), F.encode(F.lit(use), "UTF-8")), 256))
+    return keys.select("user_id", own("payload").alias("_key"), own("index").alias("_index")).select("user_id", "_key", xored(F.col("_index"), 0x36).alias("_inner"), xored(F.col("_index"), 0x5C).alias("_outer"))
 
-    todo = F.col("enc_payload").isNull()
+
+def gcm(text: Column, key: Column, bound: Column) -> Column:
+    """AES in Galois/counter mode under a fresh nonce, bound to a text that must be the same when it is opened."""
+    return F.concat(F.lit("v1."), F.base64(F.aes_encrypt(text, key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), bound)))
+
+
+def opened(sealed: Column, key: Column, bound: Column) -> Column:
+    return F.aes_decrypt(F.unbase64(F.substring(sealed, 4, 1 << 30)), key, F.lit("GCM"), F.lit("DEFAULT"), bound).cast("string")
+
+
+def _bound() -> Column:
+    return F.concat_ws(":", F.col("user_id").cast("string"), F.col("id").cast("string"))
+
+
+def seal(txns: DataFrame, keys: DataFrame, codec=gcm) -> DataFrame:
+    """Rows not yet sealed get their payload sealed under their tenant's key, blind indexes, and lose the plain columns.
+
+    keys (user_id, key) is a table, so that keys are data and never stand in a plan, an event log or a UI. codec takes
+    the JSON, the key and what the payload is bound to (tenant and id). Rows of tenants without a key stay as they are.
+    """
+    df = txns.join(keyring(keys), "user_id", "left")
+    todo = F.col("enc_payload").isNull() & F.col("_key").isNotNull()
     held = [c for c in SEALED if c in txns.columns]
-    payload = codec(F.to_json(F.struct(*held)))
-    new = {"enc_payload": payload, "amount_bidx": amount_index(key, F.col("user_id"), F.col("direction"), F.col("amount_paise")), "ref_bidx": reference_index(key, F.col("user_id"), F.col("reference_number"))}
-    df = txns.withColumns({f"_{c}": v for c, v in new.items()})
-    df = df.withColumns({c: F.when(todo, F.col(f"_{c}")).otherwise(F.col(c)) for c in new} | {c: F.when(~todo, F.col(c)) for c in held})
-    return df.drop(*[f"_{c}" for c in new])
+    digest = F.col("_inner"), F.col("_outer")
+    new = {
+        "enc_payload": codec(F.to_json(F.struct(*held)), F.col("_key"), _bound()),
+        "amount_bidx": amount_index(F.col("user_id"), F.col("direction"), F.col("amount_paise"), *digest),
+        "ref_bidx": reference_index(F.col("user_id"), F.col("reference_number"), *digest),
+    }
+    return df.withColumns({c: F.when(todo, v).otherwise(F.col(c)) for c, v in new.items()} | {c: F.when(~todo, F.col(c)) for c in held}).select(txns.columns)
+
+
+def unseal(txns: DataFrame, keys: DataFrame) -> DataFrame:
+    """txns with payload: the JSON of sealed rows; a wrong key, or a payload put under another row, is an error."""
+    df = txns.join(keyring(keys).select("user_id", "_key"), "user_id", "left")
+    return df.withColumn("payload", opened(F.col("enc_payload"), F.col("_key"), _bound())).drop("_key")
 
 
 def unsealed(*tables: DataFrame) -> DataFrame:

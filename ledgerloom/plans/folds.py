@@ -114,12 +114,12 @@ FROM (SELECT *, CAST(amount_paise // 100 AS VARCHAR) AS w FROM ledger)"""
 
 
 #: The key of the sealed rows, and HMAC by its definition.
-SEAL_KEY = b"0123456789abcdef0123456789abcdef"
+def _xored(pad: int) -> str:
+    return f"unhex(list_aggregate(list_transform(range(64), lambda i: printf('%02x', xor(CAST('0x' || substr(key || repeat('0', 64), 2 * i + 1, 2) AS INT), {pad}))), 'string_agg', ''))"
 
 
 def _hmac(text: str) -> str:
-    inner, outer = (bytes(b ^ pad for b in SEAL_KEY.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
-    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({text}))))"
+    return f"sha256(outer_block || unhex(sha256(inner_block || encode({text}))))"
 
 
 _FIELD = lambda c: f"""'"{c}":"' || {c} || '"'"""
@@ -127,4 +127,5 @@ _FIELD = lambda c: f"""'"{c}":"' || {c} || '"'"""
 #: Sealed rows: the payload as JSON without null fields, and keyed digests of amount and reference.
 SEALED = f"""SELECT id, NULL::BIGINT AS amount_paise, '{{' || concat_ws(',', '"amount_paise":' || amount_paise, {", ".join(map(_FIELD, ("merchant", "merchant_normalized", "notes", "upi_id", "reference_number", "email_subject", "channel")))}) || '}}' AS payload,
   {_hmac("user_id || ':' || direction || ':' || amount_paise")} AS amount_bidx, {_hmac("user_id || ':ref:' || ref")} AS ref_bidx
-FROM (SELECT *, regexp_replace(lower(reference_number), '[^a-z0-9]', '', 'g') AS ref FROM ledger)"""
+FROM (SELECT *, {_xored(0x36)} AS inner_block, {_xored(0x5C)} AS outer_block FROM (SELECT DISTINCT user_id, sha256(unhex(sha256('key of ' || user_id)) || encode('index')) AS key FROM ledger))
+JOIN (SELECT *, regexp_replace(lower(reference_number), '[^a-z0-9]', '', 'g') AS ref FROM ledger) USING (user_id)"""

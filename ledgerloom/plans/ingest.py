@@ -14,8 +14,9 @@ PARSER_VERSION = 1
 
 
 def enriched(payments: DataFrame, contacts: DataFrame, categories: DataFrame, rules: DataFrame) -> DataFrame:
-    """payments (the common shape, plus id) with final merchant and category."""
-    return categorize.categorize(resolve.resolve_merchant(resolve.with_contacts(payments, contacts)), categories, rules).drop("contact_name")
+    """payments (the common shape, plus id) with final merchant and category; written between, as categories read them twice."""
+    named = written(resolve.resolve_merchant(resolve.with_contacts(payments, contacts)))
+    return categorize.categorize(named, categories, rules).drop("contact_name")
 
 
 def ingest(existing: DataFrame, payments: DataFrame, contacts: DataFrame, categories: DataFrame, rules: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from ledgerloom.plans import tables as B
 from ledgerloom.rules import categories as RC
 from ledgerloom.rules import messages as RM
 from ledgerloom.session import shared_folder, written
-from ledgerloom.sources import files, mailbox, messages
+from ledgerloom.sources import files, mailbox, messages, parts
 from ledgerloom.streaming import outcomes, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,11 +179,26 @@ simple("snk8_without_tenant", lambda t: L.without_tenant(t, 4).select("id", "use
 
 @query("snk7_scl5_seal", over(B.LEDGER, folds.SEALED))
 def snk7_seal(spark: SparkSession, d: str) -> DataFrame:
-    """Sealed rows, with the payload opened again."""
+    """Sealed rows, with the payload opened again; a table of keys by tenant stands for the key store."""
     t = B.ledger(spark, d).withColumns({c: F.lit(None).cast("string") for c in ("enc_payload", "amount_bidx", "ref_bidx", "bank", "card_last4", "raw")})
-    codec = lambda text: F.concat(F.lit("v1."), F.base64(F.aes_encrypt(text, F.lit("0123456789abcdef"), F.lit("ECB"), F.lit("PKCS"))))  # noqa: E731  a stand-in for a tenant's own codec
-    opened = F.aes_decrypt(F.unbase64(F.substring("enc_payload", 4, 1 << 30)), F.lit("0123456789abcdef"), F.lit("ECB"), F.lit("PKCS")).cast("string")
-    return L.seal(t, folds.SEAL_KEY, codec).select("id", "amount_paise", opened.alias("payload"), "amount_bidx", "ref_bidx")
+    keys = t.select("user_id").distinct().withColumn("key", F.unhex(F.sha2(F.concat(F.lit("key of "), F.col("user_id").cast("string")), 256)))
+    return L.unseal(L.seal(t, keys), keys).select("id", "amount_paise", "payload", "amount_bidx", "ref_bidx")
+
+
+_CHANGED = """SELECT id, user_id, CASE WHEN user_id % 5 = 1 AND direction = 'credit' THEN 'n' || id ELSE notes END AS notes, CASE WHEN user_id % 5 = 1 AND direction = 'credit' THEN NULL ELSE duplicate_of_id END AS duplicate_of_id,
+  amount_paise + CASE WHEN user_id % 7 = 2 AND id % 3 = 0 THEN 1 ELSE 0 END AS amount_paise FROM ledger WHERE user_id <> 4"""
+
+
+@query("snk3_snk5_snk8_in_parts", over(B.LEDGER, _CHANGED))
+def snk_in_parts(spark: SparkSession, d: str) -> DataFrame:
+    """A stored ledger after a patch, an upsert and the removal of a tenant, each of which rewrites the parts it touches."""
+    t = B.ledger(spark, d)
+    table = parts.stored(t, shared_folder(spark), tenants=8, rows=2)
+    parts.patch(table, t.filter("user_id % 5 = 1 AND direction = 'credit'").select("user_id", "id", F.create_map(F.lit("duplicate_of_id"), F.lit(None).cast("string"), F.lit("notes"), F.concat(F.lit("n"), F.col("id").cast("string"))).alias("set")))
+    later = table.read(spark).filter("user_id % 7 = 2 AND id % 3 = 0").withColumns({"amount_paise": F.col("amount_paise") + 1, "created_at": F.col("created_at") + 1})
+    parts.upsert_latest(table, written(later), ["user_id", "id"], "created_at")
+    parts.remove_tenant(table, spark, 4)
+    return table.read(spark).select("id", "user_id", "notes", "duplicate_of_id", "amount_paise")
 
 
 # Messages
@@ -375,6 +390,51 @@ query(
         B.ledger(spark, d).select("user_id").distinct().select(F.col("user_id").alias("id"), "user_id", F.lit("SHOP1").alias("pattern"), F.lit("food").alias("category_id"), F.lit(1).cast("long").alias("created_at")),
     ).select("id", "category_id", "category_source")
 )
+_EVERY = [*RC.BRANDS, *RC.GENERIC]
+_EVERY_TEXT = "[" + ", ".join(_quoted(w) for w, _, _ in _EVERY) + f"][id % {len(_EVERY)} + 1]"
+
+
+@query(
+    "cat4_cat5_every_rule",
+    over(
+        B.LEDGER,
+        f"""SELECT id, coalesce(b, g) AS category_id, CASE WHEN b IS NOT NULL THEN 'brand' WHEN g IS NOT NULL THEN 'generic' END AS category_source FROM (
+        SELECT id, {_RULES_SQL('hay', RC.BRANDS)} AS b, {_RULES_SQL('hay', RC.GENERIC)} AS g FROM (
+          SELECT id, lower(CASE id // {len(_EVERY)} % 5 WHEN 0 THEN w WHEN 1 THEN upper(w) || ' store' WHEN 2 THEN 'x' || w WHEN 3 THEN 'the ' || w || 's' ELSE w || ' pay' END) AS hay FROM (SELECT id, {_EVERY_TEXT} AS w FROM ledger)))""",
+    ),
+)
+def cat4_cat5(spark: SparkSession, d: str) -> DataFrame:
+    """Every brand and generic word as a merchant: alone, in capitals with a word behind, run into letters before or behind, and before the word that may exclude it."""
+    t = B.ledger(spark, d)
+    w, form = F.get(F.split(F.lit("\x01".join(r[0] for r in _EVERY)), "\x01"), (F.col("id") % len(_EVERY)).cast("int")), F.floor(F.col("id") / len(_EVERY)) % 5
+    said = F.when(form == 0, w).when(form == 1, F.concat(F.upper(w), F.lit(" store"))).when(form == 2, F.concat(F.lit("x"), w)).when(form == 3, F.concat(F.lit("the "), w, F.lit("s"))).otherwise(F.concat(w, F.lit(" pay")))
+    none = F.lit(None).cast("string")
+    rows = t.select("id", "user_id", said.alias("merchant_normalized"), none.alias("merchant"), none.alias("upi_id"), none.alias("email_subject"))
+    named = t.select("user_id").distinct().withColumn("name", F.explode(F.array(*[F.lit(n) for n, _ in RC.DEFAULT_CATEGORIES]))).select(F.lower("name").alias("id"), "user_id", "name")
+    rules = spark.createDataFrame([], "id long, user_id long, pattern string, category_id string, created_at long")
+    return CAT.categorize(rows, named, rules).select("id", "category_id", "category_source")
+
+
+@query(
+    "jn12_own_rules",
+    """WITH rules AS (SELECT c_custkey AS id, c_nationkey AS user_id, lower(right(c_name, 1 + c_custkey % 4)) AS pattern, c_mktsegment AS category_id, c_custkey * 7919 % 1000 AS created_at FROM customer WHERE c_mktsegment <> 'MACHINERY' OR c_nationkey % 2 = 1),
+    texts AS (SELECT o_orderkey AS id, c_nationkey AS user_id, lower(c_name || ' | ' || o_orderpriority || ' ' || o_orderkey) AS hay FROM orders JOIN customer ON o_custkey = c_custkey),
+    hits AS (SELECT t.id, arg_min(r.category_id, (r.created_at, r.id)) AS category_id FROM texts t JOIN rules r ON r.user_id = t.user_id AND contains(t.hay, r.pattern) GROUP BY t.id)
+    SELECT texts.id, category_id, CASE WHEN category_id IS NOT NULL THEN 'user' END AS category_source FROM texts LEFT JOIN hits USING (id)""",
+)
+def jn12_own_rules(spark: SparkSession, d: str) -> DataFrame:
+    """A rule for every customer, a nation's customers being a tenant's rules; of each tenant's orders the first created rule that matches."""
+    c, o = B.read(spark, d, "customer"), B.read(spark, d, "orders")
+    users = c.select(F.col("c_custkey").alias("o_custkey"), "c_name", F.col("c_nationkey").cast("long").alias("user_id"))
+    none = F.lit(None).cast("string")
+    subject = F.concat("o_orderpriority", F.lit(" "), F.col("o_orderkey").cast("string"))
+    txns = o.join(users, "o_custkey").select(F.col("o_orderkey").alias("id"), "user_id", none.alias("merchant_normalized"), F.col("c_name").alias("merchant"), none.alias("upi_id"), subject.alias("email_subject"))
+    who = F.col("c_nationkey").cast("long").alias("user_id")
+    rules = c.select(F.col("c_custkey").alias("id"), who, F.right("c_name", (1 + F.col("c_custkey") % 4).cast("int")).alias("pattern"), F.col("c_mktsegment").alias("category_id"), (F.col("c_custkey") * 7919 % 1000).cast("long").alias("created_at"))
+    named = c.filter("c_mktsegment <> 'MACHINERY' OR c_nationkey % 2 = 1").select(who, F.col("c_mktsegment").alias("id"), F.col("c_mktsegment").alias("name")).distinct()
+    return CAT.categorize(txns, named, rules).select("id", "category_id", "category_source")
+
+
 simple("cat7_apply_rule", lambda t: CAT.apply_rule(t, 3, "Shop 4", "food").select("id", "category_id"), f"SELECT id, CASE WHEN user_id = 3 AND category_id IS NULL AND {ALIVE} AND contains(lower(concat_ws(' ', merchant, merchant_normalized, upi_id, email_subject)), 'shop 4') THEN 'food' ELSE category_id END AS category_id FROM ledger")
 query("cat8_default_categories", "SELECT c_custkey AS user_id, name, color FROM customer, (VALUES " + ", ".join(f"('{n}', '{c}')" for n, c in RC.DEFAULT_CATEGORIES) + ") v(name, color) WHERE c_nationkey <> 3")(lambda spark, d: (lambda u: CAT.default_categories(u.select("user_id"), u.filter("c_nationkey = 3")))(B.read(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_nationkey")))
 

@@ -1,5 +1,6 @@
 """Duplicates, matching, statements, files and streams against plain models."""
 
+import hmac
 import random
 
 import pytest
@@ -279,8 +280,10 @@ def test_scalars(spark):
     assert one(scalars.ist_day(F.lit(1_767_205_800_000))) == "2026-01-01" and one(scalars.ist_day(F.lit(1_767_205_799_999))) == "2025-12-31"
     assert one(scalars.paise(F.lit(1.005))) == 100 and one(scalars.half_up(F.lit(-2.5))) == -2
     assert one(scalars.percent_delta(F.lit(5), F.lit(0))) is None and one(scalars.percent_delta(F.lit(50), F.lit(100))) == -50
-    assert one(scalars.reference_index(b"k" * 32, F.lit("u"), F.lit("12-3"))) is None
-    assert one(scalars.reference_index(b"k" * 32, F.lit("u"), F.lit("1234 56"))) == one(scalars.reference_index(b"k" * 32, F.lit("u"), F.lit("123456")))
+    blocks = [scalars.xored(F.lit(b"k" * 32), pad) for pad in (0x36, 0x5C)]
+    assert one(scalars.reference_index(F.lit("u"), F.lit("12-3"), *blocks)) is None
+    told = one(scalars.reference_index(F.lit("u"), F.lit("1234 56"), *blocks))
+    assert told == one(scalars.reference_index(F.lit("u"), F.lit("123456"), *blocks)) == hmac.new(b"k" * 32, b"u:ref:123456", "sha256").hexdigest()
 
 
 def test_boundaries(spark):
