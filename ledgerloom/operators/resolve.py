@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.rules.categories import KNOWN_MERCHANTS
+from ledgerloom.session import written
 
 FUZZY, RELATED_LETTERS, EMBEDDED_LETTERS = 0.78, 6, 5
 #: The cascade, strongest first.
@@ -118,54 +119,69 @@ def parsed_contacts(contacts: DataFrame) -> DataFrame:
     return contacts.select("user_id", F.col("id").alias("contact_id"), F.col("name").alias("contact_name"), F.col("name_normalized").alias("c_name"), read("phones").alias("phones"), F.transform(read("emails"), local_part).alias("locals"), nth.alias("nth"))
 
 
+def _met(left: DataFrame, right: DataFrame, left_keys: Column, right_keys: Column) -> DataFrame:
+    """The distinct pairs of a party and a contact of its tenant that share a key."""
+    return left.withColumn("key", F.explode(left_keys)).join(right.withColumn("key", F.explode(right_keys)), ["user_id", "key"]).drop("key").dropDuplicates(["party", "contact_id"])
+
+
+def _best(pairs: DataFrame, better: Column) -> DataFrame:
+    """Of each party the contact of the lowest tier, then of the larger better, then the last or first as the tier has it."""
+    last = F.col("tier").isin(PHONE, EMAIL, EXACT)
+    best = Window.partitionBy("party").orderBy("tier", better.desc(), F.when(last, F.col("nth")).desc_nulls_last(), F.when(~last, F.col("nth")).asc_nulls_last())
+    return pairs.withColumn("_rn", F.row_number().over(best)).filter("_rn = 1").select("party", "user_id", "upi_id", "merchant", "contact_id", "contact_name", "tier")
+
+
 def match_contacts(parties: DataFrame, contacts: DataFrame) -> DataFrame:
     """(user_id, upi_id, merchant, contact_id, contact_name, tier) of the distinct parties that match a contact of their tenant.
 
     Candidates come from an equi-join on keys that any match must share: the phone, the local part or its first
-    six letters, five letters of an embedded name, a whole name, a word of it, or a rare pair of neighbouring
-    letters (`_rare_grams`). Parties are made distinct first. Where a key is
-    held by several contacts the last wins; longer shared parts and better scores win, then the first contact.
+    six letters, five letters of an embedded name or a whole name; and, only for parties that these leave, a word of
+    the name or a rare pair of neighbouring letters (`_rare_grams`). Parties are made distinct first and written, as
+    both passes read them. Where a key is held by several contacts the last wins; longer shared parts and better
+    scores win, then the first contact.
     """
     norm = T.normalize_merchant(F.col("merchant"))
     left = parties.select("user_id", "upi_id", "merchant").distinct()
     left = left.withColumns({"lp": T.nullif_empty(local_part(F.col("upi_id"))), "phone": phone_from_upi(F.col("upi_id")), "norm": norm, "party": F.xxhash64("user_id", "upi_id", "merchant")})
-    left = left.withColumn("letters", F.regexp_replace("lp", "[^a-z]", ""))
+    left = written(left.withColumn("letters", F.regexp_replace("lp", "[^a-z]", "")))
     right = parsed_contacts(contacts).withColumn("words", F.filter(F.split("c_name", r"\s+"), lambda w: w != ""))
-    l_grams, r_grams = _rare_grams(left.filter("norm IS NOT NULL").select("user_id", F.col("norm").alias("name")), right.filter("c_name IS NOT NULL").select("user_id", F.col("c_name").alias("name")))
-    left = left.join(l_grams.withColumnRenamed("name", "norm"), ["user_id", "norm"], "left")
-    right = right.join(r_grams.withColumnRenamed("name", "c_name"), ["user_id", "c_name"], "left")
-    no_grams = F.array().cast("array<string>")
-    left = left.withColumn(
-        "key",
-        F.explode(_keys(("p", _list(F.col("phone"))), ("e", _list(F.col("lp"))), ("x", _list(F.when(F.length("lp") >= RELATED_LETTERS, F.substring("lp", 1, RELATED_LETTERS)))), ("m", F.coalesce(_grams(F.col("letters"), EMBEDDED_LETTERS), F.array().cast("array<string>"))), ("n", _list(F.col("norm"))), ("w", F.coalesce(F.split("norm", " "), F.array().cast("array<string>"))), ("g", F.coalesce("grams", no_grams)))),
-    ).drop("grams")
-    long_words = F.forall("words", lambda w: F.length(w) >= EMBEDDED_LETTERS)
-    right = right.withColumn(
-        "key",
-        F.explode(_keys(("p", F.col("phones")), ("e", F.col("locals")), ("x", F.transform(F.filter("locals", lambda e: F.length(e) >= RELATED_LETTERS), lambda e: F.substring(e, 1, RELATED_LETTERS))), ("m", F.when(long_words & (F.size("words") > 0), F.array(F.substring(F.get("words", F.lit(0)), 1, EMBEDDED_LETTERS))).otherwise(F.array().cast("array<string>"))), ("n", F.array("c_name")), ("w", F.col("words")), ("g", F.coalesce("grams", no_grams)))),
-    ).drop("grams")
-    pairs = left.join(right, ["user_id", "key"]).drop("key").dropDuplicates(["party", "contact_id"])
+    none = F.array().cast("array<string>")
 
     lp, letters, name = F.col("lp"), F.col("letters"), F.col("c_name")
+    long_words = F.forall("words", lambda w: F.length(w) >= EMBEDDED_LETTERS) & (F.size("words") > 0)
+    six = lambda text: F.substring(text, 1, RELATED_LETTERS)
+    pairs = _met(
+        left,
+        right,
+        _keys(("p", _list(F.col("phone"))), ("e", _list(lp)), ("x", _list(F.when(F.length(lp) >= RELATED_LETTERS, six(lp)))), ("m", F.coalesce(_grams(letters, EMBEDDED_LETTERS), none)), ("n", _list(F.col("norm")))),
+        _keys(("p", F.col("phones")), ("e", F.col("locals")), ("x", F.transform(F.filter("locals", lambda e: F.length(e) >= RELATED_LETTERS), six)), ("m", F.when(long_words, F.array(F.substring(F.get("words", F.lit(0)), 1, EMBEDDED_LETTERS))).otherwise(none)), ("n", F.array(name))),
+    )
     shorter = lambda e: F.least(F.length(lp), F.length(e))
     related = F.filter("locals", lambda e: (e == lp) | ((shorter(e) >= RELATED_LETTERS) & (F.startswith(lp, e) | F.startswith(e, lp))))
     total = F.aggregate("words", F.lit(0), lambda s, w: s + F.length(w))
-    inside = long_words & (F.size("words") > 0) & F.forall("words", lambda w: F.contains(letters, w)) & ((F.size("words") > 1) | (F.length(letters) > total))
-    score = F.when(F.col("norm") == name, 1.0).when(token_subset(F.col("norm"), name), 0.95).otherwise(similarity(F.col("norm"), name))
-    pairs = pairs.withColumns({"_related": F.array_max(F.transform(related, shorter)), "_score": score})
+    inside = long_words & F.forall("words", lambda w: F.contains(letters, w)) & ((F.size("words") > 1) | (F.length(letters) > total))
+    pairs = pairs.withColumn("_related", F.array_max(F.transform(related, shorter)))
     tier = (
         F.when(F.array_contains("phones", F.col("phone")), PHONE)
         .when(F.array_contains("locals", lp), EMAIL)
         .when(F.col("_related").isNotNull(), RELATED)
         .when(inside, EMBEDDED)
         .when(F.col("norm") == name, EXACT)
-        .when(F.col("_score") >= FUZZY, NEAR)
     )
-    pairs = pairs.withColumn("tier", tier).filter("tier IS NOT NULL")
-    better = F.when(F.col("tier") == RELATED, F.col("_related")).when(F.col("tier") == EMBEDDED, total).when(F.col("tier") == NEAR, F.col("_score")).otherwise(0.0).cast("double")
-    last = F.col("tier").isin(PHONE, EMAIL, EXACT)
-    best = Window.partitionBy("party").orderBy("tier", better.desc(), F.when(last, F.col("nth")).desc_nulls_last(), F.when(~last, F.col("nth")).asc_nulls_last())
-    return pairs.withColumn("_rn", F.row_number().over(best)).filter("_rn = 1").select("user_id", "upi_id", "merchant", "contact_id", "contact_name", "tier")
+    better = F.when(F.col("tier") == RELATED, F.col("_related")).when(F.col("tier") == EMBEDDED, total).otherwise(0).cast("double")
+    sure = written(_best(pairs.withColumn("tier", tier).filter("tier IS NOT NULL"), better))
+
+    rest, named = left.filter("norm IS NOT NULL").join(sure.select("party"), "party", "left_anti"), right.filter("c_name IS NOT NULL")
+    l_grams, r_grams = _rare_grams(rest.select("user_id", F.col("norm").alias("name")), named.select("user_id", name.alias("name")))
+    pairs = _met(
+        rest.join(l_grams.withColumnRenamed("name", "norm"), ["user_id", "norm"], "left"),
+        named.join(r_grams.withColumnRenamed("name", "c_name"), ["user_id", "c_name"], "left").withColumnRenamed("grams", "c_grams"),
+        _keys(("w", F.split("norm", " ")), ("g", F.coalesce("grams", none))),
+        _keys(("w", F.col("words")), ("g", F.coalesce("c_grams", none))),
+    )
+    pairs = pairs.withColumn("_score", F.when(token_subset(F.col("norm"), name), 0.95).otherwise(similarity(F.col("norm"), name)))
+    near = _best(pairs.filter(F.col("_score") >= FUZZY).withColumn("tier", F.lit(NEAR)), F.col("_score"))
+    return sure.unionByName(near).drop("party")
 
 
 def with_contacts(txns: DataFrame, contacts: DataFrame) -> DataFrame:

@@ -16,24 +16,24 @@ from ledgerloom.functions.text import nullif_empty, trimmed
 
 def parse_csv(text: str) -> list[list[str]]:
     """Rows of cells. A quote opens or closes a quoted stretch wherever it stands; carriage returns outside go; blank lines go."""
-    rows, row, cell, quoted, i = [], [], [], False, 0
-    while i < len(text):
-        c = text[i]
-        if c == '"' and quoted and text[i + 1 : i + 2] == '"':
-            cell.append('"')
-            i += 1
-        elif c == '"':
-            quoted = not quoted
-        elif quoted or c not in ",\r\n":
-            cell.append(c)
-        elif c != "\r":
-            row.append("".join(cell))
-            cell = []
-            if c == "\n":
-                rows.append(row)
-                row = []
-        i += 1
-    if cell or row:
+    rows, row, cell = [], [], []
+    stretches = text.split('"')  # every other one is quoted
+    for k, part in enumerate(stretches):
+        if k % 2:
+            cell.append(part)
+        elif not part and 0 < k < len(stretches) - 1:
+            cell.append('"')  # two quotes in a row within a quoted stretch
+        else:
+            for n, line in enumerate(part.replace("\r", "").split("\n")):
+                if n:
+                    rows.append([*row, "".join(cell)])
+                    row, cell = [], []
+                first, *others = line.split(",")
+                cell.append(first)
+                for other in others:
+                    row.append("".join(cell))
+                    cell = [other]
+    if any(cell) or row:
         rows.append([*row, "".join(cell)])
     return [r for r in rows if len(r) > 1 or r[0].strip()]
 
