@@ -96,6 +96,16 @@ def categorize(txns: DataFrame, categories: DataFrame, rules: DataFrame) -> Data
     return df.withColumns({"category_id": F.coalesce("_u", "_b", "_g"), "category_source": source}).drop("_hay", "_own", "_brand", "_generic", "_ids", "_u", "_b", "_g")
 
 
+def rules_with_category(rules: DataFrame, categories: DataFrame) -> DataFrame:
+    """rules with their category's name; rules whose category is gone are left out."""
+    return rules.join(categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name")), "category_id")
+
+
+def work_queue(txns: DataFrame) -> DataFrame:
+    """Rows without a category, in the order in which they came."""
+    return txns.filter("category_id IS NULL").orderBy("created_at", "id")
+
+
 def apply_rule(txns: DataFrame, user_id, needle: str, category_id: str) -> DataFrame:
     """A new rule looks back: rows without category that hold the needle get it; their category_source stays."""
     fields = F.lower(F.concat_ws(" ", "merchant", "merchant_normalized", "upi_id", "email_subject"))

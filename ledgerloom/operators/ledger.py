@@ -25,6 +25,7 @@ class Filters:
     q: str | None = None
     like: bool = False
     category: str | None = None
+    categories: tuple[str, ...] = ()
     low_confidence: bool = False
     category_source: str | None = None
     channel: str | None = None
@@ -51,6 +52,8 @@ class Filters:
             out = out & F.col("category_id").isNull()
         elif self.category:
             out = out & (F.col("category_id") == self.category)
+        if self.categories:
+            out = out & F.col("category_id").isin(*self.categories)
         if self.low_confidence:
             out = out & (F.col("merchant_confidence") < LOW_CONFIDENCE)
         if self.category_source == "generic":
@@ -91,6 +94,27 @@ def with_category(txns: DataFrame, categories: DataFrame) -> DataFrame:
     return txns.join(named, F.col("category_id") == F.col("_cid"), "left").drop("_cid")
 
 
+def with_message_flag(txns: DataFrame) -> DataFrame:
+    """txns with has_message: whether a mail tells of the row."""
+    return txns.withColumn("has_message", F.col("gmail_message_id").isNotNull())
+
+
+def with_connection(users: DataFrame, connections: DataFrame) -> DataFrame:
+    """users with connected: whether there is a connection, however many; users without one stay."""
+    held = connections.select("user_id").distinct().withColumn("_held", F.lit(True))
+    return users.join(held, "user_id", "left").withColumn("connected", F.coalesce("_held", F.lit(False))).drop("_held")
+
+
+def with_rows(keyed: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Those of keyed that have rows, once each."""
+    return keyed.join(rows.select(key), key, "left_semi")
+
+
+def stalest_first(rows: DataFrame, at: str) -> DataFrame:
+    """Rows never handled come first, then those handled longest ago."""
+    return rows.orderBy(F.col(at).asc_nulls_first(), "id")
+
+
 def after_baseline(txns: DataFrame) -> DataFrame:
     return txns.filter(F.col("occurred_at") >= BASELINE_MS)
 

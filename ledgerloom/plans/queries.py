@@ -86,8 +86,8 @@ _CUT = A.Slice(SLICE.start, SLICE.end, SLICE.year_ago, category="__none__", chan
 simple("flt10_slice", lambda t: A.base(t, _CUT).select("id", "amount_paise", "occurred_at"), f"SELECT {IDS} FROM ledger WHERE {ALIVE} AND duplicate_of_id IS NULL AND occurred_at BETWEEN {SLICE.year_ago} AND {SLICE.end} AND coalesce(category_id, '__none__') = '__none__' AND coalesce(channel, 'Other') = 'Other'")
 simple("flt11_analytics_base", lambda t: A.base(t, SLICE), f"SELECT id, user_id, occurred_at, amount_paise, direction, category_id, channel, merchant_normalized, merchant FROM ledger WHERE {ALIVE} AND duplicate_of_id IS NULL AND occurred_at BETWEEN {SLICE.year_ago} AND {SLICE.end}")
 simple("flt12_baseline", lambda t: L.after_baseline(t.withColumn("occurred_at", F.col("occurred_at") + 725 * DAY)).select("id", "occurred_at"), f"SELECT id, occurred_at + {725 * DAY} AS occurred_at FROM ledger WHERE occurred_at + {725 * DAY} >= {S.BASELINE_MS}")
-simple("flt13_in_list", lambda t: t.filter(F.col("category_id").isin("click", "signup")).select("id"), "SELECT id FROM ledger WHERE category_id IN ('click', 'signup')")
-simple("prj3_derived_flag", lambda t: t.select("id", F.col("gmail_message_id").isNotNull().alias("has_message")), "SELECT id, gmail_message_id IS NOT NULL AS has_message FROM ledger")
+simple("flt13_in_list", lambda t: L.filtered(t, L.Filters(categories=("click", "signup"), include_deleted=True)).select("id"), "SELECT id FROM ledger WHERE category_id IN ('click', 'signup')")
+simple("prj3_derived_flag", lambda t: L.with_message_flag(t).select("id", "has_message"), "SELECT id, gmail_message_id IS NOT NULL AS has_message FROM ledger")
 simple("prj4_rate", lambda t: L.rate(t, window_ms=3_600_000).select("id", "recent"), "SELECT id, count(*) OVER (PARTITION BY user_id ORDER BY created_at RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW) AS recent FROM ledger")
 
 query("prj1_jn1_ledger_with_category", over(B.LEDGER, "SELECT l.id, l.user_id, l.amount_paise, l.direction, l.merchant, l.channel, c.name AS category_name, c.color AS category_color FROM ledger l LEFT JOIN categories c ON l.category_id = c.id"))(
@@ -95,18 +95,18 @@ query("prj1_jn1_ledger_with_category", over(B.LEDGER, "SELECT l.id, l.user_id, l
 )
 query("jn2_agg9_category_counts", over(B.LEDGER, "SELECT c.id, c.name, count(l.id) AS count FROM categories c LEFT JOIN ledger l ON l.category_id = c.id GROUP BY 1, 2"))(lambda spark, d: A.category_counts(B.categories(spark), B.ledger(spark, d)))
 query("jn3_rules_with_category", over(B.LEDGER, "SELECT p_partkey AS rule_id, p_name AS pattern, c.name FROM part JOIN categories c ON c.id = CASE p_partkey % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'error' WHEN 2 THEN 'rent' ELSE 'gone' END"))(
-    lambda spark, d: B.read(spark, d, "part")
-    .withColumn("cid", F.when(F.col("p_partkey") % 5 == 0, "click").when(F.col("p_partkey") % 5 == 1, "error").when(F.col("p_partkey") % 5 == 2, "rent").otherwise("gone"))
-    .join(B.categories(spark), F.col("cid") == F.col("id"))
-    .select(F.col("p_partkey").alias("rule_id"), F.col("p_name").alias("pattern"), "name")
+    lambda spark, d: CAT.rules_with_category(
+        B.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("pattern"), F.when(F.col("p_partkey") % 5 == 0, "click").when(F.col("p_partkey") % 5 == 1, "error").when(F.col("p_partkey") % 5 == 2, "rent").otherwise("gone").alias("category_id")),
+        B.categories(spark),
+    ).select(F.col("id").alias("rule_id"), "pattern", F.col("category_name").alias("name"))
 )
 query("jn4_users_with_connections", "SELECT c_custkey AS user_id, c_name AS name, s_suppkey IS NOT NULL AS connected FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")(
-    lambda spark, d: B.read(spark, d, "customer").join(B.read(spark, d, "supplier"), F.col("c_custkey") == F.col("s_suppkey"), "left").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), F.col("s_suppkey").isNotNull().alias("connected"))
+    lambda spark, d: L.with_connection(B.read(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name")), B.read(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id")))
 )
 query("jn7_src4_unseen", over(B.LEDGER, "SELECT e.event_id, e.user_id FROM events e ANTI JOIN ledger l ON l.user_id = e.user_id AND l.gmail_message_id = 'm' || e.event_id"))(
     lambda spark, d: L.unseen(B.read(spark, d, "events").select("user_id", "event_id", F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_id")), B.ledger(spark, d)).select("event_id", "user_id")
 )
-query("jn15_semi_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")(lambda spark, d: B.read(spark, d, "customer").join(B.read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name"))
+query("jn15_semi_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")(lambda spark, d: L.with_rows(B.read(spark, d, "customer"), B.read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey", "c_name"))
 
 # Aggregates
 
@@ -157,9 +157,9 @@ ordered("srt1_by_amount", "amount_paise", False, "amount_paise ASC NULLS LAST",
 ordered("srt1_by_merchant", "merchant", True, "merchant DESC NULLS FIRST")
 simple("srt2_nulls_last", lambda t: t.orderBy(*L.order("merchant", True, nulls_last=True)).select("id", "merchant"), "SELECT id, merchant FROM ledger ORDER BY merchant DESC NULLS LAST, created_at DESC, id")
 simple("srt4_row_cap", lambda t: L.filtered(t, L.Filters(user_id=8)).orderBy(*L.order()).limit(L.ROW_CAP).select("id"), f"SELECT id FROM ledger WHERE user_id = 8 AND {ALIVE} ORDER BY occurred_at DESC, created_at DESC, id LIMIT {L.ROW_CAP}")
-simple("srt6_oldest_first", lambda t: t.orderBy(F.col("deleted_at").asc_nulls_first(), "id").select("id", "deleted_at"), "SELECT id, deleted_at FROM ledger ORDER BY deleted_at ASC NULLS FIRST, id")
+simple("srt6_oldest_first", lambda t: L.stalest_first(t, "deleted_at").select("id", "deleted_at"), "SELECT id, deleted_at FROM ledger ORDER BY deleted_at ASC NULLS FIRST, id")
 simple("srt7_nearest", lambda t: t.orderBy(S.distance(F.col("occurred_at"), F.lit(SLICE.start)), "id").select("id", "occurred_at"), f"SELECT id, occurred_at FROM ledger ORDER BY abs(occurred_at - {SLICE.start}), id")
-simple("srt8_work_queue", lambda t: t.filter("category_id IS NULL").orderBy("created_at", "id").select("id", "created_at"), "SELECT id, created_at FROM ledger WHERE category_id IS NULL ORDER BY created_at, id")
+simple("srt8_work_queue", lambda t: CAT.work_queue(t).select("id", "created_at"), "SELECT id, created_at FROM ledger WHERE category_id IS NULL ORDER BY created_at, id")
 query("set_ops_domains", "SELECT DISTINCT o_orderpriority AS d FROM orders UNION SELECT DISTINCT event_type FROM events")(lambda spark, d: B.read(spark, d, "orders").select(F.col("o_orderpriority").alias("d")).distinct().union(B.read(spark, d, "events").select("event_type").distinct()).distinct())
 
 # Sinks and changes
@@ -531,6 +531,26 @@ def _statement_files(spark: SparkSession, d: str) -> DataFrame:
 query("stm1_detect_headers", f"SELECT DISTINCT CAST(o_orderkey // {FILE_KEYS} AS VARCHAR) AS file, 2 AS header_row, 0 AS date, 1 AS narration, 2 AS debit, 3 AS credit, 4 AS ref FROM orders")(lambda spark, d: ST.detect_headers(files.csv_rows(_statement_files(spark, d))).select("file", "header_row", *[F.col(f"mapping.{k}").alias(k) for k in ("date", "narration", "debit", "credit", "ref")]))
 
 
+_HEADS = ["Date", "Txn Date", "Value Date", "transaction date", "Updated", "Narration", "Description", "PARTICULARS", "Remarks", "Transaction Details", "Debit", "Withdrawal Amt.", "Debit Amount (INR)", "Credit", "Deposit Amt", "Amount", " amount ", "Transaction Amount", "Amount due", "Cr/Dr", "DR/CR", "Type", "Type of account", "Ref No.", "Reference Number", "Cheque No", "UTR", "Balance", "", "Branch: Somewhere", "5,000.00"]
+_HEAD_CELLS = ", ".join(f"heads[(o_orderkey * {k} + o_orderkey // {j + 2}) % {len(_HEADS)} + 1]" for j, k in enumerate((7, 11, 13, 17, 19, 23)))
+_PLACES = ", ".join(f"list_position(list_transform(cells, lambda c: regexp_matches(trim(c), {_quoted(p)})), true) - 1 AS {k}" for k, p in RM.HEADERS.items())
+
+
+@query(
+    "stm1_header_forms",
+    f"""WITH r AS (SELECT o_orderkey // 40 AS file, o_orderkey % 40 AS row_index, [{_HEAD_CELLS}] AS cells FROM (SELECT *, [{", ".join(map(_quoted, _HEADS))}] AS heads FROM orders)),
+    p AS (SELECT file, row_index, {_PLACES} FROM r WHERE row_index < 25)
+    SELECT file, row_index AS header_row, {", ".join(f"CASE WHEN {k} >= 0 THEN {k}::INT END AS {k}" for k in RM.HEADERS)} FROM p
+    WHERE date >= 0 AND narration >= 0 AND (debit >= 0 OR credit >= 0 OR amount >= 0) QUALIFY row_number() OVER (PARTITION BY file ORDER BY row_index) = 1""",
+)
+def stm1_header_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of six cells from forty to a file, each cell one of many wordings of headers or none: the first that is a header, if it is among the first 25, and its columns."""
+    heads, i = F.split(F.lit("\x01".join(_HEADS)), "\x01"), F.col("o_orderkey")
+    cells = F.array(*[F.get(heads, ((i * k + F.floor(i / (j + 2))) % len(_HEADS)).cast("int")) for j, k in enumerate((7, 11, 13, 17, 19, 23))])
+    rows = B.read(spark, d, "orders").select(F.floor(i / 40).alias("file"), (i % 40).alias("row_index"), cells.alias("cells"))
+    return ST.detect_headers(rows).select("file", "header_row", *[F.col(f"mapping.{k}").alias(k) for k in RM.HEADERS])
+
+
 @query("agg14_summary", f"SELECT CAST(o_orderkey // {FILE_KEYS} AS VARCHAR) AS file, count(*) FILTER (o_orderkey % 4 <> 0) AS new, count(*) FILTER (o_orderkey % 4 = 0) AS duplicates, 0 AS bad FROM orders GROUP BY 1")
 def agg14(spark: SparkSession, d: str) -> DataFrame:
     rows = files.csv_rows(_statement_files(spark, d))
@@ -663,7 +683,7 @@ query("prj4_admission_stream", _ADMITTED)(lambda spark, d: _streamed(spark, admi
 query("scl4_scl6_hashes", over(B.LEDGER, "SELECT id, 'x:' || sha256(coalesce(merchant, '') || '|' || amount_paise) AS hash, regexp_replace(lower(reference_number), '[^a-z0-9]', '', 'g') AS ref FROM ledger"))(lambda spark, d: B.ledger(spark, d).select("id", S.external_id("x", F.col("merchant"), F.col("amount_paise")).alias("hash"), S.normalized_reference(F.col("reference_number")).alias("ref")))
 query("scl10_paise", "SELECT event_id, CAST(floor(value * 100 + 0.5) AS BIGINT) AS paise FROM events")(lambda spark, d: B.read(spark, d, "events").select("event_id", S.paise(F.col("value")).alias("paise")))
 query("scl2_format_inr", over(B.ORDERS, folds.RUPEES))(lambda spark, d: B.orders(spark, d).select("id", S.format_inr(F.col("amount_paise")).alias("text")))
-query("win4_sliding_rate", over(B.LEDGER, "SELECT id, count(*) OVER (PARTITION BY user_id ORDER BY occurred_at RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW) AS recent FROM ledger"))(lambda spark, d: B.ledger(spark, d).withColumn("recent", F.count(F.lit(1)).over(Window.partitionBy("user_id").orderBy("occurred_at").rangeBetween(-60_000, 0))).select("id", "recent"))
+query("win4_sliding_rate", over(B.LEDGER, "SELECT id, count(*) OVER (PARTITION BY user_id ORDER BY occurred_at RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW) AS recent FROM ledger"))(lambda spark, d: L.rate(B.ledger(spark, d), at="occurred_at").select("id", "recent"))
 
 
 @query("stm7_confidence", "SELECT o_orderkey AS row_index, CASE o_orderkey % 3 WHEN 0 THEN 0.7::DOUBLE WHEN 1 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS merchant_confidence, CASE o_orderkey % 3 WHEN 0 THEN 'narration' WHEN 1 THEN 'upi-id' END AS merchant_source, CASE o_orderkey % 3 WHEN 0 THEN 'SHOP' || o_orderkey % 50 WHEN 1 THEN 'shop' || o_orderkey % 50 || '@icici' END AS merchant FROM orders")
