@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by robust-pruned directed graphs (Subramanya et al., "DiskANN", 2019).
 
-Rows are dealt into shards of about SHARD_ROWS by a hash of their id; where that would make more than two shards a shuffle
-partition, shards grow with the rows up to SHARD_MOST, since every query goes to every shard. In each shard a directed graph is grown:
+Rows are dealt into shards by a hash of their id: of about SHARD_ROWS, from SHARDS of them on growing with the rows up to
+SHARD_MOST, since every query goes to every shard; the rows alone say how many, no setting does. In each shard a directed graph is grown:
 from a random graph, greedy searches for each vector propose neighbours, and relaxed distance pruning keeps
 one only if no kept neighbour is RELAX times nearer to it than the vector itself, so that edges point in
 diverse directions; reverse edges are added and pruned alike. The index is a table of vectors and edges. A
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 K = 10
-SHARD_ROWS, SHARD_MOST = 5000, 100_000
+SHARD_ROWS, SHARD_MOST, SHARDS = 5000, 20_000, 1000
 #: Queries in a group, aimed at.
 CHUNK = 20_000
 #: Edges of a node, beam of the searches that build and that answer, and the two rounds' relaxations.
@@ -157,14 +157,18 @@ def _grow(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"dim": rows.dim, "shard": rows.shard, "place": np.arange(len(rows), dtype=np.int32), "vec_ids": rows.vec_ids, "embedding": rows.embedding, "neighbours": [e[e >= 0].astype(np.int32) for e in edges], "entry": np.arange(len(rows)) == entry})
 
 
+def shards_of(rows: int, shard_rows: int = SHARD_ROWS) -> int:
+    """How many shards so many distinct vectors are dealt into."""
+    return max(1, -(-rows // min(max(shard_rows, -(-rows // SHARDS)), max(shard_rows, SHARD_MOST))))
+
+
 def build_index(vectors: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The index, written once: a row for each distinct vector with the ids that have it, of each the k + 1 smallest."""
     rows = valid(vectors).distinct()
     nth = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     nodes = rows.withColumn("_nth", nth).filter(F.col("_nth") <= k + 1).groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("vec_ids"))
     nodes = common.staged(nodes.withColumns({"low": F.element_at("vec_ids", 1), "dim": F.size("embedding")}))
-    most = 2 * common.partitions(vectors.sparkSession)
-    shards = {r["dim"]: max(1, -(-r["n"] // max(shard_rows, SHARD_MOST)), min(-(-r["n"] // shard_rows), most)) for r in nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length of vector
+    shards = {r["dim"]: shards_of(r["n"], shard_rows) for r in nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length of vector
     count = F.create_map(*[F.lit(v) for x in (shards or {0: 1}).items() for v in x])
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("low"), F.element_at(count, F.col("dim"))).cast("int"))
     # a range a shard: hashes of a few shards would leave tasks idle

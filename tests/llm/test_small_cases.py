@@ -65,6 +65,50 @@ def test_lz_chain(docs, none):
     assert lz_fingerprint.with_fingerprints(docs).count() == len(ROWS)
 
 
+def plain_lz(text):
+    """Fingerprint by the definition in whole numbers: phrases by slices, polynomial hashes, the smallest of each slot."""
+    known, start, end = set(), 0, 1
+    while end <= len(text):
+        if text[start:end] in known:
+            end += 1
+        else:
+            known.add(text[start:end])
+            start, end = end, end + 1
+    whole = (1 << 64) - 1
+    slots = [None] * 64
+    for phrase in known:
+        h = (sum((ord(c) + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(phrase)) + len(phrase)) & whole
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> shift)) * factor & whole
+        h ^= h >> 31
+        slot, rest = h >> 58, h >> 42 & 0xFFFF
+        slots[slot] = rest if slots[slot] is None else min(slots[slot], rest)
+    if not known:
+        return "ffff" * 64
+    lent = []
+    for i in range(64):
+        far = next(d for d in range(64) if slots[(i + d) % 64] is not None)
+        lent.append((slots[(i + far) % 64] + far * 0x9E37) & 0xFFFF)
+    return "".join(f"{x:04x}" for x in lent)
+
+
+def test_lz_query_equals_plain_numbers(spark, tmp_path):
+    """The registered query over a small table, its fingerprints and likeness from a parse of its own."""
+    pick = np.random.default_rng(3)
+    texts = [None, "", "a", "aaaaaaa", "ab" * 200, "é𝕏" * 50] + ["".join(pick.choice(list("ab cé\n"), int(n))) for n in pick.integers(1, 900, 14)]
+    spark.createDataFrame([(i * 3, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in lz_fingerprint.op10_lz_fingerprint(spark, str(tmp_path)).collect()}
+    clean = [t or "" for t in texts]
+    share = lambda a, b: sum(a[k : k + 4] == b[k : k + 4] for k in range(0, 256, 4)) / 64
+    for i, t in enumerate(clean):
+        other, half = clean[i - 1], len(t) // 2
+        edited = t[: len(t) - half] + other[:half]
+        own, changed = plain_lz(t), plain_lz(edited)
+        want = (len(t), hashlib.sha256(edited.encode()).hexdigest(), own, changed, share(own, changed), share(own, plain_lz(other)))
+        assert tuple(got[i * 3])[1:] == want
+    assert len(got) == len(texts)
+
+
 def test_lz_likeness_follows_jaccard():
     rng = np.random.default_rng(1)
     words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
@@ -104,6 +148,13 @@ def test_flow_is_least_and_layout_even(docs, none, tmp_path, spark):
     assert flow_reshard.assign(none, flow_reshard.by_source())[0].count() == 0
 
 
+def test_shards_grow_with_rows_alone():
+    assert [pruned_graph_ann.shards_of(n) for n in (0, 1, 5000, 5001, 50_000, 5_000_000, 20_000_000, 10**9)] == [1, 1, 1, 2, 10, 1000, 1000, 50_000]
+    counts = [pruned_graph_ann.shards_of(n) for n in range(0, 40_000_000, 99_991)]
+    assert counts == sorted(counts)
+    assert pruned_graph_ann.shards_of(1400, 700) == 2
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/é\n", "<p>x</p>"), (2, None, None), (3, "http://b", "<p>x</p>"), (4, "", ""), (4, "", ""), (None, "u", "v"), (5, "http://c", "é" * 200_000)]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, digest string")
