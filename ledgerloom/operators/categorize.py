@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ledgerloom.rules.categories import BRANDS, DEFAULT_CATEGORIES, GENERIC
 
 #: Letters of a group at which a tenant's rules and texts meet.
 GROUP = 3
+#: Texts of a tenant that meet its rules in one go.
+PIECE = 50_000
 
 
 def haystack(*parts: Column) -> Column:
@@ -66,17 +70,66 @@ def rule_index(rules: DataFrame) -> DataFrame:
     return held.join(counts, ["user_id", "_group"]).groupBy("user_id", "id", "pattern", "category_id", "created_at").agg(rarest)
 
 
-def own_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
+class _Rules:
+    """A tenant's rules in order. A text finds the first that it holds where it holds a rule's rarest group of letters: there the rule's
+    place and length give the letters to look up, so that a look costs by likely hits and not by the number of rules."""
+
+    def __init__(self, ordered: list[tuple]):
+        self.first: dict[str, int] = {}
+        self.shapes: dict[str, set[tuple]] = {}
+        self.sizes: set[int] = set()
+        self.categories = [category for _, _, category in ordered]
+        for nth, (pattern, group, _) in enumerate(ordered):
+            if self.nth(pattern) is None:  # else an earlier rule is held by whatever holds this one
+                self.first[pattern] = nth
+                self.shapes.setdefault(group, set()).add((pattern.index(group), len(pattern)))
+                self.sizes.add(len(group))
+
+    def nth(self, text: str) -> int | None:
+        best = self.first.get("")
+        for size in self.sizes:
+            for at in range(len(text) - size + 1):
+                for before, length in self.shapes.get(text[at : at + size], ()):
+                    nth = self.first.get(text[at - before : at - before + length]) if at >= before else None
+                    if nth is not None and (best is None or nth < best):
+                        best = nth
+        return best
+
+
+def _first_rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pieces of tenants come one by one, a tenant's rules in order and then texts; what is held is one tenant's rules."""
+    piece, ordered, rules = None, [], None
+    for rows in batches:
+        out = []
+        for user, salt, is_text, said, group, category in zip(rows.user_id, rows.salt, rows.is_text, rows.said, rows["_group"], rows.category_id, strict=True):
+            if (user, salt) != piece:
+                piece, ordered, rules = (user, salt), [], None
+            if not is_text:
+                ordered.append((said, group, category if isinstance(category, str) else None))
+                continue
+            rules = rules or _Rules(ordered)
+            if (nth := rules.nth(said)) is not None:
+                out.append((user, said, rules.categories[nth]))
+        yield pd.DataFrame(out, columns=["user_id", "_hay", "_u"])
+
+
+def own_rules(texts: DataFrame, rules: DataFrame, piece: int = PIECE) -> DataFrame:
     """(user_id, _hay, _u): of each distinct text of a tenant the category of the first created of the tenant's rules that it holds.
 
-    Texts meet rules at the rules' rarest groups of letters and only those that meet are compared, so that the cost goes
-    by likely hits and not by the number of rules. Texts of tenants without rules take no part.
+    rules are (id, user_id, pattern, category_id, created_at); of equal patterns the first stays, and those without one match
+    nothing. A tenant's texts are dealt in pieces, each of which gets its rules: a text moves once, and as a piece has at least
+    four texts a rule, so do all rules together. Texts of tenants without rules take no part.
     """
-    index = rule_index(rules)
-    asked = texts.filter("_hay <> ''").select("user_id", "_hay").distinct().join(rules.select("user_id").distinct(), "user_id", "left_semi")
-    met = asked.withColumn("_group", F.explode(_groups(F.col("_hay"), F.lit(0)))).join(index, ["user_id", "_group"])
-    first = F.min(F.struct("created_at", "id", "pattern", F.col("category_id").cast("string").alias("category_id")))["category_id"]
-    return met.filter(F.contains("_hay", "pattern")).groupBy("user_id", "_hay").agg(first.alias("_u"))
+    first = F.min(F.struct("created_at", "id", F.col("category_id").cast("string").alias("category_id"))).alias("_r")
+    index = rule_index(rules.groupBy("user_id", F.lower("pattern").alias("pattern")).agg(first).select("user_id", "pattern", "_r.*")).withColumnRenamed("pattern", "said")
+    many = texts.groupBy("user_id").agg(F.count(F.lit(1)).alias("_texts"))
+    pieces = index.groupBy("user_id").agg(F.count(F.lit(1)).alias("_rules")).join(many, "user_id")
+    pieces = pieces.select("user_id", F.ceil(F.col("_texts") / F.greatest(F.lit(piece), F.col("_rules") * 4)).cast("int").alias("_pieces"))
+    asked = texts.filter("_hay <> ''").select("user_id", "_hay").distinct().join(pieces, "user_id")
+    asked = asked.select("user_id", F.pmod(F.xxhash64("_hay"), F.col("_pieces")).cast("int").alias("salt"), F.lit(True).alias("is_text"), F.col("_hay").alias("said"))
+    told = index.join(pieces, "user_id").select("user_id", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)).alias("salt"), F.lit(False).alias("is_text"), "said", "_group", "created_at", "id", "category_id")
+    both = told.unionByName(asked, allowMissingColumns=True).repartition("user_id", "salt").sortWithinPartitions("user_id", "salt", "is_text", "created_at", "id", "said")
+    return both.select("user_id", "salt", "is_text", "said", "_group", "category_id").mapInPandas(_first_rules, f"user_id {dict(texts.dtypes)['user_id']}, _hay string, _u string")
 
 
 def categorize(txns: DataFrame, categories: DataFrame, rules: DataFrame) -> DataFrame:
@@ -84,16 +137,18 @@ def categorize(txns: DataFrame, categories: DataFrame, rules: DataFrame) -> Data
 
     categories (id, user_id, name); rules (id, user_id, pattern, category_id, created_at): the first created that
     matches wins. Rules whose category is gone are passed over. A tenant's categories are gathered into one map a
-    tenant; its rules meet distinct texts by an index (`own_rules`). txns is read twice: write it first where it is costly.
+    tenant; its rules meet pieces of its distinct texts (`own_rules`). txns is read three times: write it first where it is costly.
     """
     names = categories.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.lower("name").alias("k"), F.col("id").cast("string").alias("v"))))).alias("_ids"))
     alive = rules.join(categories.select(F.col("id").alias("category_id"), F.col("user_id")), ["user_id", "category_id"], "left_semi")
     df = rule_hits(txns)
-    df = df.join(names, "user_id", "left").join(own_rules(df, alive), ["user_id", "_hay"], "left")
+    own = own_rules(df, alive)
     first = lambda hits: F.get(F.filter(F.transform(hits, lambda n: F.try_element_at("_ids", n)), lambda v: v.isNotNull()), F.lit(0))
-    df = df.withColumns({"_b": first("_brand"), "_g": first("_generic")})
+    # names are looked up before texts move, so that what moves is short
+    df = df.join(names, "user_id", "left").withColumns({"_b": first("_brand"), "_g": first("_generic")}).drop("_own", "_brand", "_generic", "_ids")
+    df = df.join(own, ["user_id", "_hay"], "left")
     source = F.when(F.col("_u").isNotNull(), "user").when(F.col("_b").isNotNull(), "brand").when(F.col("_g").isNotNull(), "generic")
-    return df.withColumns({"category_id": F.coalesce("_u", "_b", "_g"), "category_source": source}).drop("_hay", "_own", "_brand", "_generic", "_ids", "_u", "_b", "_g")
+    return df.withColumns({"category_id": F.coalesce("_u", "_b", "_g"), "category_source": source}).drop("_hay", "_u", "_b", "_g")
 
 
 def rules_with_category(rules: DataFrame, categories: DataFrame) -> DataFrame:

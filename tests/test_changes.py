@@ -123,3 +123,16 @@ def test_many_rules_cost_by_hits(spark):
     assert {(r.user_id, r._hay): r._u for r in categorize.own_rules(*frames).collect()} == brute(texts, rules)
     index = categorize.rule_index(frames[1])
     assert index.count() == 10_000 and index.groupBy("_group").count().agg(F.max("count")).first()[0] <= 40
+
+
+def test_texts_move_whole_in_pieces(spark):
+    """A text isn't copied once a group of its letters, whatever the pieces; of equal patterns the first counts."""
+    pick = random.Random(9)
+    word = lambda most: "".join(pick.choice("01") for _ in range(pick.randint(1, most)))
+    rules = [(i, i % 3, word(4), None if i % 7 == 0 else f"c{i % 9}", pick.randint(1, 20)) for i in range(200)]
+    texts = [(pick.randint(0, 3), f"x{word(9)}{i % 50}") for i in range(400)]
+    frames = spark.createDataFrame(texts, "user_id long, _hay string"), spark.createDataFrame(rules, "id long, user_id long, pattern string, category_id string, created_at long")
+    plan = categorize.own_rules(*frames)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Generate" in line and "_hay" in line]
+    for piece in (1, 7, 1000):
+        assert {(r.user_id, r._hay): r._u for r in categorize.own_rules(*frames, piece=piece).collect()} == brute(texts, rules)
