@@ -93,7 +93,9 @@ def _folded(rows: DataFrame, alone: bool = False) -> DataFrame:
     order = ["part", F.col("held").desc(), "created_at", "id"]
     plain = rows.drop(*_DECIDED)
     schema = ", ".join(f"`{c}` {t}" for c, t in plain.dtypes) + f", status int, duplicate_of_id {kind}"
-    return plain.repartition("part").sortWithinPartitions(*order).mapInPandas(lambda b: _decide(b, alone), schema)
+    # by a hash of its own: behind a join on `part` Spark would leave the same exchange out and then, where it turns that join
+    # into a broadcast at run time, read its shuffle by mapper, which scatters a part over tasks
+    return plain.repartition(F.xxhash64("part")).sortWithinPartitions(*order).mapInPandas(lambda b: _decide(b, alone), schema)
 
 
 def _rounds(rows: DataFrame, together: int) -> Iterator[DataFrame]:

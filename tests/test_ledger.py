@@ -44,6 +44,20 @@ def test_duplicates_are_the_ordered_fold(spark, seed, together):
     assert dedup.flag_duplicates(spark.createDataFrame([], TXN)).count() == 0
 
 
+def test_a_part_stays_in_one_task(spark):
+    """The parts with tied references are few, so that Spark turns the join that parts them from the rest into a broadcast at run time."""
+    rows = [(2 * i + j, 1, 1000 + i, i + 1, "debit", "R" if j == 0 and i < 2 else f"R{2 * i + j}", (i + j * 5) * H, False, None) for i in range(400) for j in (0, 1)]
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        got = {r.id: r.duplicate_of_id for r in dedup.flag_duplicates(spark.createDataFrame(rows, TXN)).collect()}
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert got == fold(rows)
+
+
 @pytest.mark.parametrize("seed", [4, 5])
 def test_a_batch_is_flagged_as_with_the_whole_ledger(spark, seed):
     rows = sorted(some_txns(seed), key=lambda x: (x[2], x[0]))
