@@ -44,14 +44,22 @@ def test_duplicates_are_the_ordered_fold(spark, seed, together):
     assert dedup.flag_duplicates(spark.createDataFrame([], TXN)).count() == 0
 
 
-def test_a_part_stays_in_one_task(spark):
+def parted(i, j):
+    """Two rows of an amount hours apart, and two amounts that share a reference."""
+    return 2 * i + j, 1, 1000 + i, i + 1, "debit", "R" if j == 0 and i < 2 else f"R{2 * i + j}", (i + j * 5) * H, False, None
+
+
+@pytest.mark.parametrize("batch", [False, True])
+def test_a_part_stays_in_one_task(spark, batch):
     """The parts with tied references are few, so that Spark turns the join that parts them from the rest into a broadcast at run time."""
-    rows = [(2 * i + j, 1, 1000 + i, i + 1, "debit", "R" if j == 0 and i < 2 else f"R{2 * i + j}", (i + j * 5) * H, False, None) for i in range(400) for j in (0, 1)]
+    rows = [parted(i, j) for i in range(400) for j in (0, 1)]
+    held = [(10_000 + i, 2, 1, 5, "debit", None, i * 100 * H, False, None) for i in range(20)]
+    existing = spark.createDataFrame([(*r, None) for r in held], TXN + ", duplicate_of_id long") if batch else None
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     try:
         for name, value in settings.items():
             spark.conf.set(name, value)
-        got = {r.id: r.duplicate_of_id for r in dedup.flag_duplicates(spark.createDataFrame(rows, TXN)).collect()}
+        got = {r.id: r.duplicate_of_id for r in dedup.flag_duplicates(spark.createDataFrame(rows, TXN), existing).collect()}
     finally:
         for name in settings:
             spark.conf.unset(name)
