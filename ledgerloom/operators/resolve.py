@@ -37,6 +37,16 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def similarities(rows: DataFrame, by: list[str], id_: str, name: str, span: int = 1_000_000) -> DataFrame:
+    """(a, b, similarity) of all ordered pairs of rows with equal `by`. Rows of one name within `span` ids are one list, so that names
+    are compared once a pair of lists; pairs of rows are only unfolded. Pairs are many more than rows: partitions aren't coalesced."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = rows.repartition(n, *by).groupBy(*by, name, F.floor(F.col(id_) / span).alias("_span")).agg(F.collect_list(id_).alias("_ids"))
+    left, right = (lists.select(*by, F.col(name).alias(x), F.col("_ids").alias(ids)) for x, ids in (("_x", "_as"), ("_y", "_bs")))
+    met = left.join(right, by).select("_as", "_bs", similarity(F.col("_x"), F.col("_y")).alias("similarity"))
+    return met.withColumn("a", F.explode("_as")).select("_bs", "similarity", "a").withColumn("b", F.explode("_bs")).select("a", "b", "similarity")
+
+
 def token_subset(a: Column, b: Column) -> Column:
     """Whether every word of the shorter name can be paired with one of the longer, none of them twice: with its equal if
     that is free, else with the first that is its initial or has it as one; at least one pair must be equal."""

@@ -308,7 +308,7 @@ query("ent1_normalize_merchant", f"SELECT id, {_normalized('l')} AS norm FROM (S
 )
 query("ent3_phones", "SELECT c_custkey AS id, CASE WHEN length(d) >= 10 THEN right(d, 10) END AS phone FROM (SELECT c_custkey, regexp_replace('+91 9' || (c_custkey * 7919) || '-' || c_custkey, '\\D', '', 'g') AS d FROM customer)")(lambda spark, d: B.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), R.normalize_phone(F.concat(F.lit("+91 9"), (F.col("c_custkey") * 7919).cast("string"), F.lit("-"), F.col("c_custkey").cast("string"))).alias("phone")))
 query("ent8_similarity", "SELECT a.p_partkey AS a, b.p_partkey AS b, 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) AS similarity FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size")(
-    lambda spark, d: (lambda p: p.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x"), "p_brand", "p_size").join(p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("y"), "p_brand", "p_size"), ["p_brand", "p_size"]).select("a", "b", R.similarity(F.col("x"), F.col("y")).alias("similarity")))(B.read(spark, d, "part"))
+    lambda spark, d: R.similarities(B.read(spark, d, "part"), ["p_brand", "p_size"], "p_partkey", "p_name")
 )
 
 

@@ -242,3 +242,17 @@ def test_places_in_a_list_are_not_cut_off(spark):
     assert (got.name, got.phones) == ("Asha 11", ["+91 99900 02222"])
     told = spark.createDataFrame([("UPI-1SHOP-2shop2@okicici2-x",)], "n string").select(ST.vpa_segment(F.col("n"))).first()[0]
     assert told == "2shop2@okicici2"
+
+
+def test_names_are_compared_once_a_list(spark):
+    """Rows of equal names are lists; every ordered pair comes, whatever ids a list spans."""
+    rows = [(i, i % 2, ["ring", "rings", "bolt", ""][i // 2 % 4]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, brand long, name string")
+    near = df.alias("l").join(df.alias("r"), "brand").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), resolve.similarity(F.col("l.name"), F.col("r.name")).alias("similarity"))
+    want = sorted(near.collect())
+    for span in (3, 1_000_000):
+        got = resolve.similarities(df, ["brand"], "id", "name", span)
+        plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        depth = lambda word: next(i for i, line in enumerate(plan) if word in line)
+        assert depth("levenshtein") > depth("Generate")  # below what unfolds the lists
+        assert sorted(got.collect()) == want
