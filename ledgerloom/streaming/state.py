@@ -111,14 +111,15 @@ def _matcher(keep_ms: int | None):
         """Both directions: an expense looks for transactions when it is logged, a transaction for pending expenses when it comes."""
         txns, events = json.loads(state.get[0]) if state.exists else ([], [])
         out, newest = [], 0
-        for r in pd.concat(list(batches)).sort_values(["created_at", "kind", "id"]).itertuples(index=False):
-            mine, others = (txns, events) if r.kind == "txn" else (events, txns)
-            near = [x for x in others if abs(x[1] - r.at) <= match.WINDOW_MS]
-            close = [x for x in near if abs(x[1] - r.at) <= match.AUTO_MS]
+        # plain lists: most keys have a few rows, for which a frame's own sort would cost more than all the rest
+        for created, kind, id_, at in sorted(row for rows in batches for row in zip(*(rows[c].tolist() for c in ("created_at", "kind", "id", "at")), strict=True)):
+            mine, others = (txns, events) if kind == "txn" else (events, txns)
+            near = [x for x in others if abs(x[1] - at) <= match.WINDOW_MS]
+            close = [x for x in near if abs(x[1] - at) <= match.AUTO_MS]
             chosen = near[0] if len(near) == 1 else close[0] if len(close) == 1 else None
-            newest = max(newest, int(r.created_at))
-            row = [int(r.id), int(r.at), int(r.created_at)]
-            if r.kind == "txn":
+            newest = max(newest, created)
+            row = [id_, at, created]
+            if kind == "txn":
                 mine.append(row)
                 if chosen:
                     others.remove(chosen)
@@ -129,7 +130,8 @@ def _matcher(keep_ms: int | None):
                 mine.append(row)
         kept = [[x for x in rows if keep_ms is None or x[2] >= newest - keep_ms] for rows in (txns, events)]
         state.update((json.dumps(kept),))
-        yield pd.DataFrame(out, columns=["user_id", "txn_id", "event_id"])
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "txn_id", "event_id"])
 
     return pair
 
