@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,13 +57,29 @@ def extract(text: Column, pattern: str | Column, group: int = 1) -> Column:
     return nullif_empty(F.call_function("regexp_extract", text, pattern, F.lit(group)))
 
 
-def either(patterns: list[str]) -> str:
-    """One pattern for all, without case: it matches first where the earliest of them does."""
-    return "(?i)(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
+def may_match(low: Column, pattern: str) -> Column:
+    """Whether a text, of which low is the lower case, holds a word that the pattern needs (`NEEDS`)."""
+    words = messages.NEEDS.get(pattern)
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in words]) if words else F.lit(True)
 
 
-def any_match(text: Column, patterns: list[str]) -> Column:
-    return text.rlike(either(patterns))
+def matches(text: Column, low: Column, pattern: str) -> Column:
+    """Whether the pattern matches, without case."""
+    return may_match(low, pattern) & text.rlike(f"(?i){pattern}")
+
+
+def any_match(text: Column, low: Column, patterns: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [matches(text, low, p) for p in patterns])
+
+
+def first_place(text: Column, low: Column, patterns: list[str]) -> Column:
+    """Where the earliest match begins, from 0, without case; -1 if there is none."""
+    return F.coalesce(F.least(*[F.when(may_match(low, p), F.nullif(F.regexp_instr(text, F.lit(f"(?i){p}")), F.lit(0))) for p in patterns]) - 1, F.lit(-1))
+
+
+def found(text: Column, low: Column, pattern: str, group: int = 1, flags: str = "") -> Column:
+    """The group's text, empty if the pattern doesn't match."""
+    return F.when(~may_match(low, pattern), "").otherwise(F.regexp_extract(text, f"{flags}{pattern}", group))
 
 
 def normalize_merchant(raw: Column) -> Column:

@@ -17,13 +17,17 @@ def scanned(subject: Column, body: Column) -> Column:
 
 def reason(text: Column) -> Column:
     """`ok`, or why not. Hard negatives come before the amount, soft ones last."""
+    return T.let(F.lower(text), lambda low: _reason(text, low))
+
+
+def _reason(text: Column, low: Column) -> Column:
     first, *rest = R.HARD_NEGATIVE
-    out = F.when(text.rlike(f"(?i){first[0]}"), first[1])
+    out = F.when(T.matches(text, low, first[0]), first[1])
     for pattern, name in rest:
-        out = out.when(text.rlike(f"(?i){pattern}"), name)
+        out = out.when(T.matches(text, low, pattern), name)
     out = out.when(~text.rlike(f"(?i){R.AMOUNT}"), "no-amount")
-    out = out.when(~T.any_match(text, R.STRONG_POSITIVE), "no-transaction-phrase")
-    out = out.when(T.any_match(text, R.SOFT_NEGATIVE) & ~text.rlike(f"(?i){R.DEFINITIVE}"), "promo")
+    out = out.when(~T.any_match(text, low, R.STRONG_POSITIVE), "no-transaction-phrase")
+    out = out.when(T.any_match(text, low, R.SOFT_NEGATIVE) & ~T.matches(text, low, R.DEFINITIVE), "promo")
     return out.otherwise("ok")
 
 
@@ -67,8 +71,13 @@ def classify(messages: DataFrame) -> DataFrame:
     return out.withColumns({"reason": reason(F.col("text")), "provider": provider(F.col("sender")), "bank": bank(F.col("sender")), "channel_hint": channel_hint(F.col("sender"))}).withColumn("is_txn", F.col("reason") == "ok")
 
 
+def kept(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows where condition holds. By a generator: a filter would be pushed below what it reads, also below an exchange
+    that spreads the rows, and compute all that once more for each place where it is named."""
+    one = F.when(condition, F.array(F.struct(F.lit(True).alias("_kept"))))
+    return df.select(*df.columns, F.inline(one)).drop("_kept")
+
+
 def payments(classified: DataFrame) -> DataFrame:
-    """The rows that are completed payments. By a generator: a filter would be pushed below the text and its reason, and
-    compute the text once for each pattern."""
-    one = F.when(F.col("is_txn"), F.array(F.struct(F.lit(True).alias("_kept"))))
-    return classified.select(*classified.columns, F.inline(one)).drop("_kept")
+    """The rows that are completed payments."""
+    return kept(classified, F.col("is_txn"))

@@ -44,13 +44,8 @@ def amounts(text: Column) -> Column:
     return T.let(_hits(text), lambda h: _amounts(text, h))
 
 
-def first_place(text: Column, patterns: list[str]) -> Column:
-    """Where the earliest match begins, from 0; -1 if there is none."""
-    return F.regexp_instr(text, F.lit(T.either(patterns))) - 1
-
-
 def _phrases(text: Column) -> Column:
-    return F.struct(first_place(text, R.DEBIT).alias("debit"), first_place(text, R.CREDIT).alias("credit"), text.rlike(f"(?i){R.REFUND}").alias("refund"))
+    return T.let(F.lower(text), lambda low: F.struct(T.first_place(text, low, R.DEBIT).alias("debit"), T.first_place(text, low, R.CREDIT).alias("credit"), T.matches(text, low, R.REFUND).alias("refund")))
 
 
 def _direction(p: Column) -> Column:
@@ -82,18 +77,22 @@ def _first_kept(values: list[Column], keep) -> Column:
 
 
 def reference(text: Column) -> Column:
-    return _first_kept([F.regexp_extract(text, f"(?i){p}", 1) for p in R.REFERENCE], lambda x: ~x.rlike(r"\A\d{1,2}[-/]\d{1,2}"))
+    return T.let(F.lower(text), lambda low: _first_kept([T.found(text, low, p, flags="(?i)") for p in R.REFERENCE], lambda x: ~x.rlike(r"\A\d{1,2}[-/]\d{1,2}")))
 
 
 def card_last4(text: Column) -> Column:
-    return _first_kept([F.regexp_extract(text, p, 1) for p in R.CARD], lambda x: F.lit(True))
+    return T.let(F.lower(text), lambda low: _first_kept([T.found(text, low, p) for p in R.CARD], lambda x: F.lit(True)))
 
 
 def channel(text: Column, vpa: Column, card: Column, hint: Column) -> Column:
     """A VPA in the text is better evidence of UPI than the bare word, which boilerplate has too."""
-    out = F.when(vpa.isNotNull() | text.rlike(r"(?i)\bvpa\b"), "UPI").when(card.isNotNull() & text.rlike(r"(?i)\bcard\b"), "Card")
+    return T.let(F.lower(text), lambda low: _channel(text, low, vpa, card, hint))
+
+
+def _channel(text: Column, low: Column, vpa: Column, card: Column, hint: Column) -> Column:
+    out = F.when(vpa.isNotNull() | low.contains("vpa") & text.rlike(r"(?i)\bvpa\b"), "UPI").when(card.isNotNull() & text.rlike(r"(?i)\bcard\b"), "Card")
     for pattern, name in R.CHANNEL_WORDS:
-        out = out.when(text.rlike(f"(?i){pattern}"), name)
+        out = out.when(T.matches(text, low, pattern), name)
     return out.otherwise(hint)
 
 
@@ -108,11 +107,13 @@ def _narration(whole: Column) -> Column:
 
 
 def _vpa_names(text: Column, vpa: Column) -> list[Column]:
+    """What a pattern of this very VPA finds; such a pattern is only made where one of any VPA has a match."""
     quoted = F.concat(F.lit(r"\Q"), vpa, F.lit(r"\E"))
     after_in = F.concat(F.lit("(?i)"), quoted, F.lit(r"\s*\(([^)]{2,50})\)"))
     after = F.concat(quoted, F.lit(r"\s+([A-Z][\w\s.&-]{2,40}?)(?=\s+on\b|[.,;\n]|\z)"))
     before = F.concat(F.lit(r"(?i)([A-Z][\w .&'-]{2,40}?)\s*\(\s*VPA[:\s]*"), quoted, F.lit(r"\s*\)"))
-    return [F.call_function("regexp_extract", text, p, F.lit(1)) for p in (after_in, after, before)]
+    found = lambda any_, this: F.when(vpa.isNotNull() & text.rlike(any_), F.call_function("regexp_extract", text, this, F.lit(1)))
+    return [found(r"@[^\s(]+\s*\(", after_in), found(r"@\S+\s+[A-Z]", after), found(r"(?i)\(\s*VPA", before)]
 
 
 def vpa_beneficiary(text: Column, vpa: Column) -> Column:
@@ -122,11 +123,23 @@ def vpa_beneficiary(text: Column, vpa: Column) -> Column:
 
 def merchant(text: Column, told: Column, vpa: Column) -> Column:
     """struct(name, source): narration, then the VPA's beneficiary, then the patterns in order."""
+    return T.let(F.lower(text), lambda low: _merchant(text, low, told, vpa))
+
+
+def _merchant(text: Column, low: Column, told: Column, vpa: Column) -> Column:
     found = lambda name, source: F.struct(name.alias("raw"), F.lit(source).alias("source"))
-    raw = [found(told, "narration"), *[found(x, "vpa-name") for x in _vpa_names(text, vpa)], *[found(F.regexp_extract(text, p, 1), s) for p, s in R.MERCHANT]]
+    raw = [found(told, "narration"), *[found(x, "vpa-name") for x in _vpa_names(text, vpa)], *[found(T.found(text, low, p), s) for p, s in R.MERCHANT]]
     short = lambda x: F.when(x["source"].isin("narration", "vpa-name"), x["raw"]).otherwise(T.until_stop_word(T.clean_merchant(x["raw"])))
-    named = F.transform(F.filter(F.array(*raw), lambda x: x["raw"] != ""), lambda x: F.struct(T.clean_merchant(short(x)).alias("name"), x["source"].alias("source")))
-    return F.get(F.filter(named, lambda x: x["name"].isNotNull()), F.lit(0))
+    cleaned = lambda x: T.let(T.clean_merchant(short(x)), lambda name: F.when(name.isNotNull(), F.struct(name.alias("name"), x["source"].alias("source"))))
+    none = F.lit(None).cast("struct<name: string, source: string>")
+    return F.aggregate(F.filter(F.array(*raw), lambda x: x["raw"] != ""), none, lambda first, x: F.coalesce(first, cleaned(x)))
+
+
+def named(paid: DataFrame) -> DataFrame:
+    """Payments (with text) with `vpa` and `m`, their merchant as struct(name, source), null where none is told. Each a step of its own, as in `parse`."""
+    df = paid.withColumns({"_told": F.regexp_extract("text", R.NARRATION, 0), "_upi": upi_id(F.col("text"))}).withColumn("_told", _narration(F.col("_told")))
+    df = df.withColumns({"vpa": F.coalesce("_told.upi_id", "_upi"), "_told": F.col("_told.merchant")})
+    return df.withColumn("m", merchant(F.col("text"), F.col("_told"), F.col("vpa"))).drop("_told", "_upi")
 
 
 def looks_like_a_name(s: Column) -> Column:
@@ -159,8 +172,9 @@ def _told_times(text: Column) -> Column:
 
 
 def _time_parts(told: Column) -> Column:
-    """The same as arrays of the patterns' groups."""
-    groups = lambda n, p, k: F.array(*[F.regexp_extract(told[n], p, i) for i in range(1, k + 1)]).alias(n)
+    """The same as arrays of the patterns' groups, which one pass over such a stretch puts side by side."""
+    all_ = lambda k: "|".join(f"${i}" for i in range(1, k + 1))
+    groups = lambda n, p, k: F.when(told[n] == "", F.array(*[F.lit("")] * k)).otherwise(F.split(F.regexp_replace(told[n], p, all_(k)), r"\|", -1)).alias(n)
     return F.struct(groups("iso", R.ISO_DATE, 6), groups("date", R.DATE, 7), groups("time", R.TIME, 4))
 
 

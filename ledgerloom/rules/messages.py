@@ -174,3 +174,42 @@ VPA_SEGMENT = r"(?i)^[a-z0-9][a-z0-9._]{1,60}@[a-z][a-z0-9]{1,20}\z"
 
 #: Characters of a message that are looked at.
 SCAN = 6000
+
+#: Words (lower case) of which a text must hold one for the pattern to match, whatever the case: looking for words costs far less
+#: than a pattern, and most patterns' words aren't there. A pattern that isn't named is always tried.
+NEEDS = dict(
+    zip(
+        [p for p, _ in HARD_NEGATIVE],
+        [
+            ("otp", "time", "verification code", "security code"),
+            ("statement",),
+            ("due", "bill"),
+            ("reminder", "overdue", "last"),
+            ("will", "due", "upcoming", "scheduled"),
+            ("reward",),
+            ("limit",),
+            ("request",),
+            ("failed", "declined", "unsuccessful", "could"),
+            ("failed", "declined", "unsuccessful"),
+            ("mandate", "autopay"),
+            ("newsletter", "webinar", "invit"),
+            ("convert",),
+        ],
+        strict=True,
+    )
+)
+NEEDS |= dict(
+    zip(
+        STRONG_POSITIVE,
+        [("debited", "credited"), ("debited", "credited"), ("paid", "sent", "received"), ("sent", "received", "transferred"), ("payment",), ("successful",), ("withdrawn",), ("purchase", "spen"), ("refund", "reversal"), ("transaction",), ("txn",), ("deposited",), ("sent", "spent", "paid", "received"), ("otp",), ("txn",)],
+        strict=True,
+    )
+)
+NEEDS |= dict(zip(SOFT_NEGATIVE, [("off", "cashback", "discount", "reward", "bonus"), ("off", "cashback", "discount"), ("offer",), ("now", "click"), ("earn", "friends")], strict=True))
+NEEDS |= {DEFINITIVE: ("debited", "credited", "purchase", "spen"), REFUND: ("refund", "revers")}
+NEEDS |= dict(zip(DEBIT, [("debited",), ("debited",), ("paid", "sent"), ("sent",), ("payment",), ("purchase", "spen"), ("withdrawn",), ("successful",), ("used",), ("debit",), ("sent", "spent", "paid"), ("otp",), ("txn",)], strict=True))
+NEEDS |= dict(zip(CREDIT, [("credited",), ("credited",), ("received",), ("received",), ("refund", "reversal"), ("deposited",), ("credit",), ("received",)], strict=True))
+NEEDS |= dict(zip(REFERENCE, [("upi",), ("ref",), ("transaction", "txn"), ("imps", "neft", "rtgs")], strict=True))
+NEEDS |= dict(zip(CARD, [("card",), ("card",), ("xx",)], strict=True))
+NEEDS |= dict(zip([p for p, _ in MERCHANT], [("info", "remark", "narration", "description"), (), ("txn", "dt", "via"), ("paid", "sent", "payment"), ("transfer", "remitted"), ("received", "credited"), ("account",), ("towards",), ("bill",)], strict=True))
+NEEDS |= dict(zip([p for p, _ in CHANNEL_WORDS], [("upi",), ("imps",), ("neft",), ("rtgs",), ("atm", "cash"), ("wallet",), ("banking",)], strict=True))

@@ -10,6 +10,9 @@ from ledgerloom.functions import text as T
 from ledgerloom.operators import categorize, classify, extract, resolve
 from ledgerloom.operators import statement as ST
 from ledgerloom.plans import ingest
+from ledgerloom.plans.queries import QUERIES
+from ledgerloom.plans.wordings import WORDINGS
+from ledgerloom.rules import messages as R
 from ledgerloom.rules.categories import DEFAULT_CATEGORIES
 from ledgerloom.sources import files
 
@@ -256,3 +259,27 @@ def test_names_are_compared_once_a_list(spark):
         depth = lambda word: next(i for i, line in enumerate(plan) if word in line)
         assert depth("levenshtein") > depth("Generate")  # below what unfolds the lists
         assert sorted(got.collect()) == want
+
+
+def test_a_pattern_needs_its_words():
+    """No pattern matches a text without one of the words that are looked for first."""
+    import re
+
+    words = [*{w for p in R.NEEDS for w in re.findall(r"[A-Za-z]{2,}", re.sub(r"\\[a-zA-Z]", " ", p))}, *"s ed of to in Rs 1 123456789012 12 - : ( ) / @ & XX XX1234 rs.5 upi/ ly".split()]
+    draw = random.Random(1)
+    texts = [*WORDINGS, *(draw.choice(["", " "]).join(draw.choice([str.upper, str.lower])(w) for w in draw.choices(words, k=draw.randrange(2, 9))) for _ in range(3000))]
+    hits = 0
+    for pattern, needs in R.NEEDS.items():
+        for text in texts:
+            if needs and re.search(pattern.removeprefix("(?i)").replace(r"\z", r"\Z"), text, re.I):
+                assert any(w in text.lower() for w in needs), (pattern, text)
+                hits += 1
+    assert hits > 1000
+
+
+@pytest.mark.parametrize("name", ["ext9_suffixes"])
+def test_messages_are_spread_before_they_are_read(spark, sf, name):
+    """Nothing that looks for a name is pushed below the exchange that spreads messages, where one file is one task."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Repartition") :]
+    assert "regexp" not in below and "RLIKE" not in below
