@@ -266,7 +266,7 @@ parsed_query("ext9_suffixes", P.merchants("ok", _VPA), f"SELECT message_id, {P.s
     lambda m: C.kept(X.named(_paid(m)).select("message_id", "m.name"), F.col("name").isNotNull()).select("message_id", T.strip_suffixes(F.col("name")).alias("name"))
 )
 parsed_query("ext14_doubtful_remarks", P.merchants("ok", _VPA), f"SELECT message_id, m.name AS name, {P.DOUBTFUL} AS doubtful FROM named WHERE m.source = 'info-freetext'")(
-    lambda m: _paid(m).withColumn("n", X.narration(F.col("text"))).withColumn("v", F.coalesce(F.col("n.upi_id"), X.upi_id(F.col("text")))).select("message_id", "v", X.merchant(F.col("text"), F.col("n.merchant"), F.col("v")).alias("m")).filter("m.source = 'info-freetext'").select("message_id", "m.name", (F.col("v").isNotNull() & ~X.looks_like_a_name(F.col("m.name"))).alias("doubtful"))
+    lambda m: C.kept(X.named(_paid(m)).select("message_id", "vpa", "m"), F.col("m.source") == "info-freetext").select("message_id", "m.name", (F.col("vpa").isNotNull() & ~X.looks_like_a_name(F.col("m.name"))).alias("doubtful"))
 )
 _TOLD = lambda group: f"nullif(regexp_extract(text, {_quoted(_NARR)}, {group}), '')"
 _STEPS = f"{B.MESSAGES}, {_OK}, {P.MONEY}, {P.TIMES.replace('FROM ok', 'FROM money')}, {P.merchants('timed', _VPA)}"

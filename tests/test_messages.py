@@ -277,7 +277,7 @@ def test_a_pattern_needs_its_words():
     assert hits > 1000
 
 
-@pytest.mark.parametrize("name", ["ext9_suffixes"])
+@pytest.mark.parametrize("name", ["ext9_suffixes", "ext14_doubtful_remarks"])
 def test_messages_are_spread_before_they_are_read(spark, sf, name):
     """Nothing that looks for a name is pushed below the exchange that spreads messages, where one file is one task."""
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
