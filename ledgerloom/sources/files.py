@@ -5,13 +5,14 @@ from __future__ import annotations
 import io
 import zipfile
 import zlib
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import nullif_empty, trimmed
+from ledgerloom.functions.text import let, nullif_empty, trimmed
 
 
 def parse_csv(text: str) -> list[list[str]]:
@@ -78,16 +79,32 @@ def _exploded(files: DataFrame, cells: Column) -> DataFrame:
     return files.select("file", F.posexplode(cells).alias("row_index", "cells"))
 
 
+#: Stands before a digit that tells what a quoted stretch has there, so that the stretch may be split like the rest.
+_MARK = "\x01"
+_QUOTED = {_MARK: "0", ",": "1", "\n": "2", "\r": "3"}
+
+
+def _csv_cells(value: Column) -> Column:
+    """`parse_csv` as an expression, so that no file leaves Spark's own memory: outside quotes lines and commas split; what a quoted
+    stretch has of them is marked before, and put back cell by cell."""
+    marked = lambda t, chars: reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(_MARK + _QUOTED[c])), chars, t)
+    bare = lambda t: F.replace(marked(t, [_MARK]), F.lit("\r"), F.lit(""))
+    stretches = F.split(value, '"', -1)
+    joined = let(stretches, lambda all_: F.array_join(F.transform(all_, lambda t, k: F.when(k % 2 == 1, marked(t, _QUOTED)).when((t == "") & (k > 0) & (k < F.size(all_) - 1), '"').otherwise(bare(t))), ""))
+    text = F.when(value.contains('"'), joined).otherwise(bare(value))
+    lines = F.filter(F.split(text, "\n", -1), lambda line: line.contains(",") | ~line.rlike(r"(?U)\A(?:[\s\x1c-\x1f]|\x01[23])*+\z"))
+    back = lambda t: reduce(lambda t, c: F.replace(t, F.lit(_MARK + _QUOTED[c]), F.lit(c)), reversed(_QUOTED), t)
+    return F.transform(lines, lambda line: F.transform(F.split(line, ",", -1), lambda c: F.when(c.contains(_MARK), back(c)).otherwise(c)))
+
+
 def statement_csv(spark: SparkSession, path: str) -> DataFrame:
     """(file, row_index, cells) of the CSV files at path; rows may differ in length."""
-    rows = F.pandas_udf(lambda texts: texts.map(parse_csv), "array<array<string>>")
-    return _exploded(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"), rows("value"))
+    return csv_rows(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
 
 
 def csv_rows(texts: DataFrame) -> DataFrame:
     """The same for a table (file, value) of whole texts."""
-    rows = F.pandas_udf(lambda column: column.map(parse_csv), "array<array<string>>")
-    return _exploded(texts, rows("value"))
+    return _exploded(texts, _csv_cells(F.col("value")))
 
 
 def workbooks(spark: SparkSession, path: str) -> DataFrame:

@@ -296,6 +296,19 @@ def test_csv_cells():
     assert files.parse_csv("") == [] and files.parse_csv("a,\n") == [["a", ""]]
 
 
+def test_csv_stays_in_spark(spark):
+    """Files are split by expressions as `parse_csv` has it, without a worker of Python that would hold them."""
+    draw = random.Random(3)
+    texts = ["".join(draw.choices(['"', ",", "\n", "\r", "a", " ", "\x01", "1", "\u2003", "\x1c", "é"], k=draw.randrange(30))) for _ in range(400)]
+    rows = files.csv_rows(spark.createDataFrame(list(enumerate(texts)), "file long, value string"))
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in sorted(rows.collect()):
+        got.setdefault(r.file, []).append(r.cells)
+    for i, text in enumerate(texts):
+        assert got.get(i, []) == files.parse_csv(text), text
+
+
 def test_scalars(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(scalars.format_inr(F.lit(12345678))) == "₹1,23,456.78" and one(scalars.format_inr(F.lit(-50000))) == "-₹500"
