@@ -32,13 +32,15 @@ MAIL = "user_id long, history_id long, message_id long, arrived_at long, status
 _HEADERS, _BODIES = ["user_id", "history_id", "message_id", "arrived_at", "status", "sender"], ["subject", "body"]
 #: How far a stream goes back from an offset that can't be replayed.
 OVERLAP_MS = 24 * 3_600_000
+#: Octets of a page in memory when it is written, and mails of one that are held at once when it is read.
+PAGE_BYTES, HELD = 16 << 20, 5_000
 #: Senders of all known providers.
 KNOWN = "|".join(f"(?:{p[3]})" for p in R.PROVIDERS)
 
 
 def store(mails: DataFrame, path: str, mode: str = "append") -> None:
     """Put mails (MAIL) into a mailbox, in order of their history."""
-    mails.select(*[c.split()[0] for c in MAIL.split(", ")]).repartitionByRange("history_id").sortWithinPartitions("history_id").write.mode(mode).parquet(path)
+    mails.select(*[c.split()[0] for c in MAIL.split(", ")]).repartitionByRange("history_id").sortWithinPartitions("history_id").write.mode(mode).option("parquet.block.size", PAGE_BYTES).parquet(path)
 
 
 def _system(path: str):
@@ -134,24 +136,34 @@ def newest(path: str) -> dict:
     return best
 
 
+def _held(heads, terms: list[Term]):
+    """Which of the mails all terms hold for, as a mask."""
+    import numpy as np
+
+    kept = np.ones(heads.num_rows, bool)
+    for name, test, value in terms:
+        column = heads.column(name).to_pylist()
+        holds = {x: x is not None and _TESTS[test](x, value) for x in {column[i] for i in np.flatnonzero(kept)}}
+        kept &= [holds.get(x, False) for x in column]
+    return kept
+
+
 def _fetched(path: str, page: Page) -> Iterator:
-    """A page's mails: headers first, bodies only if any of its mails counts."""
+    """A page's mails: headers first, bodies only if any of its mails counts. Of either some are held at a time, however large the page."""
+    import numpy as np
     import pyarrow as pa
     import pyarrow.parquet as pq
 
-    system, _ = _files(path)
+    system, _ = _system(path)
     with system.open_input_file(page.file) as f:
-        file = pq.ParquetFile(f)
-        heads = file.read_row_group(page.group, columns=_HEADERS)
-        kept = list(range(heads.num_rows))
-        for name, test, value in page.terms:
-            column = heads.column(name).to_pylist()
-            holds = {x: x is not None and _TESTS[test](x, value) for x in {column[i] for i in kept}}
-            kept = [i for i in kept if holds[column[i]]]
-        if kept:
-            bodies = file.read_row_group(page.group, columns=_BODIES)
-            both = pa.table({c: (heads if c in _HEADERS else bodies).column(c) for c in [*_HEADERS, *_BODIES]})
-            yield from both.take(kept).combine_chunks().to_batches(max_chunksize=1000)
+        file = pq.ParquetFile(f, pre_buffer=False, buffer_size=1 << 20)
+        some = lambda columns: file.iter_batches(batch_size=HELD, row_groups=[page.group], columns=columns)
+        kept = np.concatenate([np.zeros(0, bool), *[_held(heads, page.terms) for heads in some(_HEADERS)]])
+        at = 0
+        for mails in some([*_HEADERS, *_BODIES]) if kept.any() else ():
+            wanted, at = kept[at : at + mails.num_rows], at + mails.num_rows
+            if wanted.any():
+                yield from pa.Table.from_batches([mails]).select([*_HEADERS, *_BODIES]).filter(pa.array(wanted)).combine_chunks().to_batches(max_chunksize=1000)
 
 
 class MailReader(DataSourceReader):

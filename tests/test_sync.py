@@ -69,6 +69,21 @@ def test_a_sync_that_is_cut_goes_on(spark, tmp_path):
     assert mailbox.sync(session, path, f"{tmp_path}/out", f"{tmp_path}/cursor", 0, 100)
 
 
+def test_a_large_page_is_read_in_stretches(spark, tmp_path, monkeypatch):
+    """A page of many mails is never held whole, and none of its mails is lost at the ends of stretches."""
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "mail")
+    mailbox.store(mails(spark, range(100)).coalesce(1), path)
+    monkeypatch.setattr(mailbox, "HELD", 7)
+    monkeypatch.setattr(pq.ParquetFile, "read_row_group", None)
+    found = mailbox.pages(path, [("sender", "like", mailbox.KNOWN), ("history_id", ">", 3)])
+    got = [b for page in found for b in mailbox._fetched(path, page)]
+    assert max(b.num_rows for b in got) <= 7
+    want = {r.message_id for r in mails(spark, range(100)).collect() if r.history_id > 3 and mailbox.re.search(mailbox.KNOWN, r.sender, 2)}
+    assert sorted(i for b in got for i in b.column("message_id").to_pylist()) == sorted(want)
+
+
 def test_records_are_tried_again_with_growing_pauses(spark):
     records = spark.createDataFrame([(i,) for i in range(8)], "id long")
     fetch = lambda due: due.withColumn("outcome", outcomes.of_status(F.when(F.col("id") == 7, 404).when(F.col("attempts") < F.col("id"), 503).otherwise(200), F.col("id") != 1))
