@@ -55,18 +55,20 @@ class _Canonicals(StatefulProcessor):
         refs: dict[str, tuple | None] = {}
         pools: dict[tuple, list] = {}
         new_refs, changed, out = set(), set(), []
+        # each entry asked for is a call of the store, which a tenant that has none yet need not make
+        any_refs, any_amounts = self.references.exists(), self.amounts.exists()
 
         def pool(amount, direction, bucket) -> list:
             name = (int(amount), direction, int(bucket))
             if name not in pools:
-                held = self.amounts.getValue(name)
+                held = self.amounts.getValue(name) if any_amounts else None
                 pools[name] = [(at, tuple(nth), precise, True) for at, nth, precise in json.loads(held[0])] if held else []
             return pools[name]
 
         for r in batch.itertuples(index=False):
             ref = r.reference_number if isinstance(r.reference_number, str) else None
             if ref is not None and ref not in refs:
-                found = self.references.getValue((ref,))
+                found = self.references.getValue((ref,)) if any_refs else None
                 refs[ref] = (False, *found) if found else None
             at, precise, nth = int(r.occurred_at), bool(r.occurred_at_precise), (False, int(r.created_at), int(r.id))
             bucket = at // WIDE_MS

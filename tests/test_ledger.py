@@ -109,6 +109,33 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == fold(rows)
 
 
+def test_a_new_tenant_asks_the_store_for_no_entry():
+    """Rows of a tenant without state are flagged without a call of the store for each; with state they find it."""
+    import pandas as pd
+
+    class Held(dict):
+        asked = 0
+
+        def exists(self):
+            return bool(self)
+
+        def getValue(self, key):  # noqa: N802
+            self.asked += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):  # noqa: N802
+            self[key] = value
+
+    fold_ = state._Canonicals(None)
+    fold_.references, fold_.amounts = Held(), Held()
+    rows = pd.DataFrame([(i, 1, i, 100 + i // 2, "debit", "R" if i in (0, 9) else None, i * 1000, True, False) for i in range(10)], columns=["id", "user_id", "created_at", "amount_paise", "direction", "reference_number", "occurred_at", "occurred_at_precise", "deleted"])
+    flags = [list(df.duplicate_of_id.fillna(-1)) for part in (rows[:6], rows[6:]) for df in [pd.concat(fold_.handleInputRows((1,), iter([part]), None))] if part is not None]
+    assert flags == [[-1, 0, -1, 2, -1, 4], [-1, 6, -1, 0]]
+    fold_.references, fold_.amounts = Held(), Held()
+    list(fold_.handleInputRows((1,), iter([rows]), None))
+    assert fold_.references.asked == fold_.amounts.asked == 0
+
+
 def test_a_sink_reads_only_the_parts_it_touches(spark, tmp_path):
     frame = lambda ids: spark.createDataFrame([(i, f"v{i}") for i in ids], "id long, v string")
     path = f"{tmp_path}/out"
