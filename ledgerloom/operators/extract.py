@@ -161,9 +161,14 @@ def utc_ms(year: Column, month: Column, day: Column, hour: Column | int = 0, min
     return (days.cast("long") * 86_400 + lit(hour) * 3600 + lit(minute) * 60 + lit(second)) * 1000
 
 
+def whole_number(text: Column) -> Column:
+    """Null where text is no number. Without a digit it isn't cast: Spark raises and catches an error for each such text, which costs more than all else here."""
+    return F.when(text.rlike("[0-9]"), text.try_cast("int"))
+
+
 def month_number(name: Column) -> Column:
     known = F.create_map(*[F.lit(x) for i, m in enumerate(R.MONTHS) for x in (m, i + 1)])
-    return F.coalesce(name.try_cast("int"), F.element_at(known, F.lower(F.substring(name, 1, 3))), F.lit(0))
+    return F.coalesce(whole_number(name), F.element_at(known, F.lower(F.substring(name, 1, 3))), F.lit(0))
 
 
 def _told_times(text: Column) -> Column:
@@ -180,7 +185,7 @@ def _time_parts(told: Column) -> Column:
 
 def _times(g: Column, arrived: Column) -> Column:
     """struct(iso, ms, precise) in milliseconds, each null where it isn't told or is no time."""
-    number = lambda x: F.coalesce(x.try_cast("int"), F.lit(0))
+    number = lambda x: F.coalesce(whole_number(x), F.lit(0))
     valid = lambda month, day: month.between(1, 12) & day.between(1, 31)
 
     def clock(g: Column, at: int) -> Column:
@@ -222,7 +227,9 @@ def parse(classified: DataFrame) -> DataFrame:
     df = df.select(*classified.columns, F.inline(money))
     df = df.withColumns({"_told": F.regexp_extract(text, R.NARRATION, 0), "_upi": upi_id(text), "card_last4": card_last4(text), "_ref": reference(text), "_when": _told_times(text)})
     df = df.withColumns({"_told": _narration(c("_told")), "_when": _time_parts(c("_when")), "channel": channel(text, c("_upi"), c("card_last4"), c("channel_hint"))})
-    df = df.withColumns({"_when": _times(c("_when"), c("arrived_at")), "_vpa": F.coalesce("_told.upi_id", "_upi"), "reference_number": F.coalesce("_told.ref", "_ref")})
+    # bound, as the code that Spark writes for this step by itself is one method too large for the JVM to compile
+    when = T.let(c("_when"), lambda g: F.when((g["iso"][0] != "") | (g["date"][0] != ""), _times(g, c("arrived_at"))))
+    df = df.withColumns({"_when": when, "_vpa": F.coalesce("_told.upi_id", "_upi"), "reference_number": F.coalesce("_told.ref", "_ref")})
     df = df.withColumns({"_when": _believed(c("_when"), c("arrived_at")), "_m": merchant(text, c("_told.merchant"), c("_vpa"))})
     doubtful = F.coalesce((c("_m.source") == "info-freetext") & c("_vpa").isNotNull() & ~looks_like_a_name(c("_m.name")), F.lit(False))
     df = df.withColumn("_doubtful", doubtful)

@@ -14,8 +14,9 @@ PARSER_VERSION = 1
 
 
 def enriched(payments: DataFrame, contacts: DataFrame, categories: DataFrame, rules: DataFrame) -> DataFrame:
-    """payments (the common shape, plus id) with final merchant and category; written between, as categories read them twice."""
-    named = written(resolve.resolve_merchant(resolve.with_contacts(payments, contacts)))
+    """payments (the common shape, plus id) with final merchant and category. They are written before, as contacts read them twice and
+    most of the work is to parse them, and between, as categories read them three times."""
+    named = written(resolve.resolve_merchant(resolve.with_contacts(written(payments), contacts)))
     return categorize.categorize(named, categories, rules).drop("contact_name")
 
 
@@ -38,13 +39,14 @@ def reprocess(txns: DataFrame, contacts: DataFrame, categories: DataFrame, rules
     Amount, direction and currency stay. Merchant fields, time and confidence are replaced; VPA, channel,
     reference, card and bank only if found; the category only if there is none.
     """
+    always = ["merchant", "merchant_normalized", "merchant_source", "merchant_confidence", "occurred_at", "confidence"]
+    if_found = ["upi_id", "channel", "reference_number", "card_last4", "bank"]
     schema = "`from` string, subject string, body string, internalDate long"
     due = txns.filter("source = 'gmail' AND raw IS NOT NULL AND deleted_at IS NULL")
-    read = due.select("id", "user_id", F.from_json("raw", schema).alias("r")).filter("r IS NOT NULL").select("id", "user_id", F.col("r.from").alias("sender"), F.col("r.subject").alias("subject"), F.col("r.body").alias("body"), F.col("r.internalDate").alias("arrived_at"))
-    parsed = X.parse(C.classify(read)).withColumn("email_subject", F.col("subject"))
+    # by a generator, as a filter would be pushed below the columns that it reads and read the JSON once more
+    read = due.select("id", "user_id", F.inline(F.array_compact(F.array(F.from_json("raw", schema))))).withColumnsRenamed({"from": "sender", "internalDate": "arrived_at"})
+    parsed = X.parse(C.classify(read)).select("id", "user_id", F.col("subject").alias("email_subject"), *[c for c in [*always, *if_found] if c != "merchant_normalized"])
     new = enriched(parsed, contacts, categories, rules)
-    always = ["merchant", "merchant_normalized", "merchant_source", "merchant_confidence", "occurred_at", "confidence"]
-    if_found = ["upi_id", "channel", "reference_number", "card_last4", "bank"]
     held = new.select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in [*always, *if_found, "category_id", "category_source"]])
     df = txns.join(held, "id", "left")
     blank = F.col("category_id").isNull() & F.col("_category_id").isNotNull()

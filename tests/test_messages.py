@@ -238,6 +238,20 @@ def test_reprocess(spark):
     assert sorted(map(tuple, ingest.reprocess(once, contacts, cats, none).collect())) == sorted(map(tuple, once.collect()))
 
 
+def test_payments_are_parsed_once(spark, monkeypatch):
+    """Contacts read the payments twice, so what they get is read from files, not parsed."""
+    plans, with_contacts = [], resolve.with_contacts
+    monkeypatch.setattr(resolve, "with_contacts", lambda payments, contacts: plans.append(payments._jdf.queryExecution().optimizedPlan().toString()) or with_contacts(payments, contacts))
+    test_reprocess(spark)
+    assert len(plans) == 2 and not any(word in plan for plan in plans for word in ("Generate", "from_json"))
+
+
+def test_texts_without_a_digit_are_no_numbers(spark):
+    texts = ["12", " 7", "-3", "", "nov", "x1", "1e3", "99999999999"]
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select(extract.whole_number(F.col("t")), F.col("t").try_cast("int")).collect()
+    assert [r[0] for r in got] == [r[1] for r in got] == [12, 7, -3, None, None, None, None, None]
+
+
 def test_places_in_a_list_are_not_cut_off(spark):
     """Trimming takes blanks alone, not digits that happen to equal a text's place."""
     card = "BEGIN:VCARD\nFN:Asha 11\nTEL:+91 99900 02222\nEND:VCARD"
