@@ -83,7 +83,7 @@ def _stretches(rows: DataFrame) -> DataFrame:
     return rows.join(spans.select(*key, "_bucket", F.xxhash64(*key, "_run").alias("part")), [*key, "_bucket"]).drop("_bucket")
 
 
-#: What a row is told of its reference.
+#: What a row is told of its reference. Without that told_id is the row's own: beside nulls pandas would make ids floats.
 _TOLD = ["told", "told_id", "doubt"]
 
 
@@ -114,7 +114,7 @@ def _rounds(rows: DataFrame, together: int) -> Iterator[DataFrame]:
         told = telling.filter("tied AND NOT deleted").groupBy(*key).agg(F.min(F.when(F.col("status") == CANONICAL, nth)).alias("_first"), F.min(F.when(F.col("status") == OPEN, nth)).alias("_open"))
         # a row with no reference, or one that its part holds alone, finds nothing
         asked = rows.drop(*_TOLD).withColumn("_ref", F.when(F.col("tied"), F.col("reference_number"))).join(told.withColumnsRenamed({"reference_number": "_ref"}), ["user_id", "_ref"], "left")
-        asked = asked.withColumns({"told": F.coalesce(F.col("_first") < nth, F.lit(False)), "told_id": F.col("_first.id"), "doubt": F.coalesce(F.col("_open") < nth, F.lit(False))}).drop("_ref", "_first", "_open")
+        asked = asked.withColumns({"told": F.coalesce(F.col("_first") < nth, F.lit(False)), "told_id": F.coalesce("_first.id", "id"), "doubt": F.coalesce(F.col("_open") < nth, F.lit(False))}).drop("_ref", "_first", "_open")
         last = rows.limit(together + 1).count() <= together
         done = written(_folded(asked.withColumn("part", F.lit(0).cast("long")) if last else asked, last))
         if last or is_open(done).isEmpty():
@@ -154,11 +154,10 @@ def flag_duplicates(txns: DataFrame, existing: DataFrame | None = None, together
     rows = txns.select(*shape, F.lit(False).alias("held"))
     if existing is not None:
         rows = rows.unionByName(possible_twins(existing, txns).select(*shape, F.lit(True).alias("held")))
-    kind = dict(txns.dtypes)["id"]
     rows = written(_stretches(rows))
     spread = rows.filter("reference_number IS NOT NULL").groupBy("user_id", "reference_number").agg(F.min("part").alias("a"), F.max("part").alias("z")).filter("a <> z")
     spread = spread.select("user_id", "reference_number", F.lit(True).alias("tied"))
-    rows = written(rows.join(spread, ["user_id", "reference_number"], "left").withColumns({"tied": F.coalesce("tied", F.lit(False)), "told": F.lit(False), "told_id": F.lit(None).cast(kind), "doubt": F.lit(False)}))
+    rows = written(rows.join(spread, ["user_id", "reference_number"], "left").withColumns({"tied": F.coalesce("tied", F.lit(False)), "told": F.lit(False), "told_id": F.col("id"), "doubt": F.lit(False)}))
     parts = rows.filter("tied").select("part").distinct()
     out = [_folded(rows.join(parts, "part", "left_anti")), *_rounds(rows.join(parts, "part", "left_semi"), together)]
     return reduce(DataFrame.unionByName, [x.filter("NOT held").select("id", "duplicate_of_id") for x in out])

@@ -77,6 +77,16 @@ def test_a_batch_is_flagged_as_with_the_whole_ledger(spark, seed):
     assert dedup.flag_duplicates(batch.filter("id < 0"), ledger).count() == 0
 
 
+@pytest.mark.parametrize("batch", [False, True])
+def test_large_ids_stay_exact(spark, batch):
+    """What a reference tells goes through pandas, where whole numbers beside nulls would be floats and lose their last digits."""
+    rows = sorted(((2**60 + x[0], *x[1:]) for x in some_txns(6, 200)), key=lambda x: (x[2], x[0]))
+    old, new, want = rows[:100] if batch else [], rows[100:] if batch else rows, fold(rows)
+    existing = spark.createDataFrame([(*r, want[r[0]]) for r in old], TXN + ", duplicate_of_id long") if batch else None
+    got = {r.id: r.duplicate_of_id for r in dedup.flag_duplicates(spark.createDataFrame(new, TXN), existing, together=0).collect()}
+    assert got == {r[0]: want[r[0]] for r in new}
+
+
 def test_ingest_adds_flagged_rows(spark, sf):
     from ledgerloom.plans import ingest, tables
 
