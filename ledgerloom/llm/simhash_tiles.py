@@ -9,11 +9,8 @@ links is shuffled. Each tile pair returns only the links that join what wasn't j
 large group of near copies gives a link for each member and tile, not all its pairs. Components are found by repeated contraction
 of the links, written to the shared folder each round.
 
-A fingerprint of 64 or 128 bits tells likeness only roughly. Where a likeness is asked for, it is that of shingle
-sets, so repeats don't count, and the radius only finds candidates: a pair is linked if the exact Jaccard likeness of
-the two sets is that or more. Sets are written once to the shared folder, as sorted hashes, and read back by place for
-the candidates that are left. Before that go pairs whose sizes rule the likeness out, and those whose minimum-hash
-sketches of SLOTS octets put it MARGIN standard deviations too low. A node is then a fingerprint with a digest of the set.
+A fingerprint tells likeness only roughly. `keep_one`, which asks for a likeness of shingle sets, so links by these sets themselves
+(`alike_sets`); its links have components of the same kind.
 
 Cases: null text counts as empty; texts without words have fingerprint zero and are linked like any other;
 texts with fewer words than a shingle have one shingle; repeated rows and exact copies share a fingerprint and
@@ -31,22 +28,15 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import xxhash
-from pyarrow import NativeFile
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import alike_sets, common
 
 #: Fingerprints aimed at for a tile, and those of a strip of a tile.
 TILE, STRIP = 8192, 256
 RADIUS = 4
-#: For five-word shingles that are alike to 0.8. The bits in which two sets differ follow a binomial law. At 0.8 exactly,
-#: the radius misses 2e-7 of pairs of large sets and 5e-5 of the worst, four shingles of five; it lets 6e-5 of unlike pairs by.
-WORDS_NEAR, BITS_NEAR, RADIUS_NEAR, ALIKE = 5, 128, 42, 0.8
-SLOTS, MARGIN = 256, 4
-#: Octets of shingle sets that a task holds while it compares.
-HELD = 128 << 20
 
 
 def shingle_hashes(text: str | None, words: int, bits: int) -> np.ndarray:
@@ -76,76 +66,10 @@ def simhash(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * ones > n).tobytes()
 
 
-def sketch(h: np.ndarray) -> bytes:
-    """From sorted hashes one octet for each slot: of the least hash that fell into it, or into the next slot that got any."""
-    if not len(h):
-        return b"\xff" * SLOTS
-    edges = np.searchsorted(h, np.arange(SLOTS, dtype=np.uint64) << np.uint64(56))
-    have = np.flatnonzero(np.append(edges[1:], len(h)) > edges)
-    source = have[np.searchsorted(have, np.arange(SLOTS)) % len(have)]
-    return ((h[edges[source]] >> np.uint64(16)) & np.uint64(255)).astype(np.uint8).tobytes()
-
-
 def fingerprints(words: int, bits: int, text_col: str = "text") -> Column:
     return F.pandas_udf(lambda texts: pd.Series([simhash(shingle_hashes(t, words, bits)) for t in texts], dtype=object), "binary")(F.col(text_col))
 
 
-_SET = "n int, file string, at long"
-
-
-def _with_sets(folder: str, words: int, bits: int):
-    """Of each text the fingerprint of its distinct shingles with a digest of the set, its sketch, and where the set lies."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, at = uuid.uuid4().hex, 0
-        system, path = pafs.FileSystem.from_uri(folder)
-        system.create_dir(path, recursive=True)
-        with system.open_output_stream(f"{path}/{name}") as out:
-            for batch in batches:
-                rows = []
-                for text in batch.text:
-                    hashes = shingle_hashes(text, words, bits)
-                    found, first = np.unique(hashes[:, -1], return_index=True)
-                    octets = found.astype("<u8").tobytes()
-                    out.write(octets)
-                    rows.append((simhash(hashes[first]) + xxhash.xxh3_64_digest(octets), sketch(found), len(found), name, at))
-                    at += len(octets)
-                yield pd.concat([batch[["doc_id", "text_hash"]].reset_index(drop=True), pd.DataFrame(rows, columns=["fp", "sk", "n", "file", "at"])], axis=1)
-
-    return each
-
-
-class Sets:
-    """Shingle sets by place, the last HELD octets of them kept."""
-
-    def __init__(self, folder: str) -> None:
-        self.system, self.path = pafs.FileSystem.from_uri(folder)
-        self.files: dict[bytes, NativeFile] = {}
-        self.kept: dict[tuple[bytes, int], np.ndarray] = {}
-        self.size = 0
-
-    def get(self, place: np.void) -> np.ndarray:
-        name, at, n = place["file"], int(place["at"]), int(place["n"])
-        found = self.kept.pop((name, at), None)
-        if found is None:
-            if name not in self.files:
-                if len(self.files) == 64:
-                    self.files.pop(next(iter(self.files))).close()
-                self.files[name] = self.system.open_input_file(f"{self.path}/{name.decode()}")
-            found = np.frombuffer(self.files[name].read_at(8 * n, at), "<u8")
-            self.size += found.nbytes
-            while self.size > HELD and self.kept:
-                self.size -= self.kept.pop(next(iter(self.kept))).nbytes
-        self.kept[name, at] = found
-        return found
-
-    def jaccard(self, a: np.void, b: np.void) -> float:
-        x, y = self.get(a), self.get(b)
-        both = np.sort(np.concatenate([x, y]), kind="stable")  # two sorted runs: merged
-        shared = int((both[1:] == both[:-1]).sum())
-        return shared / (len(both) - shared) if len(both) else 1.0
-
-
 # Tiles
 
 
@@ -181,47 +105,11 @@ def strips(prints: np.ndarray) -> list[tuple[slice, np.ndarray, np.ndarray]]:
 class Tile(NamedTuple):
     prints: np.ndarray
     label: np.ndarray
-    key: np.ndarray  # the nodes' names: fingerprints, with the sets' digests where a likeness is asked for
-    sketch: np.ndarray  # of no columns where none is asked for
-    place: np.ndarray  # of the sets
-
-
-PLACE = np.dtype([("n", "<i8"), ("file", "S32"), ("at", "<i8")])
-
-
-def may_be_alike(a: Tile, x: np.ndarray, b: Tile, y: np.ndarray, alike: float) -> np.ndarray:
-    """False for pairs that sizes rule out, or sketches by MARGIN standard deviations. A small set fills few slots and the
-    others copy them, so the variance goes by the slots filled, and twice, as the runs of copies differ in length."""
-    n, m = a.place["n"][x], b.place["n"][y]
-    less, more = np.minimum(n, m), np.maximum(n, m)
-    left = np.flatnonzero(less >= alike * more * (1 - 1e-9))
-    x, y, less = x[left], y[left], less[left]
-    out = np.zeros(len(n), bool)
-    for i in range(0, len(left), 65536):
-        part = slice(i, i + 65536)
-        equal = (a.sketch[x[part]] == b.sketch[y[part]]).mean(axis=1)
-        filled = less[part] / (1 + less[part] / SLOTS)
-        out[left[part]] = (equal - 1 / 256) / (1 - 1 / 256) >= alike - MARGIN * np.sqrt(2 * alike * (1 - alike) / np.maximum(filled, 1))
-    return out
-
-
-def join_alike(label: np.ndarray, x: np.ndarray, y: np.ndarray, place: np.ndarray, alike: float, sets: Sets) -> np.ndarray:
-    """Joins the components of pairs whose sets are alike. In a round each component is held against one other, so that
-    a large group of near copies takes a comparison for each member, not for each pair."""
-    while len(x):
-        _, first = np.unique(np.maximum(label[x], label[y]), return_index=True)
-        near = [i for i in first.tolist() if sets.jaccard(place[x[i]], place[y[i]]) >= alike]
-        label = join_up(label, x[near], y[near])
-        left = label[x] != label[y]
-        left[first] = False
-        x, y = x[left], y[left]
-    return label
 
 
-def link(a: Tile, b: Tile, label: np.ndarray, radius: int, alike: float | None, same: bool, sets: Sets | None = None) -> np.ndarray:
-    """Labels over the places of a and then b, after linking those at most radius bits apart and, if asked, alike."""
+def link(a: Tile, b: Tile, label: np.ndarray, radius: int, same: bool) -> np.ndarray:
+    """Labels over the places of a and then b, after linking those at most radius bits apart."""
     a_prints, b_prints = a.prints, b.prints
-    place = a.place if same else np.concatenate([a.place, b.place])
     right = strips(b_prints)
     for i, (rows, low, high) in enumerate(strips(a_prints)):
         for j, (cols, other_low, other_high) in enumerate(right):
@@ -231,15 +119,10 @@ def link(a: Tile, b: Tile, label: np.ndarray, radius: int, alike: float | None,
             for w in range(1, a_prints.shape[1]):
                 differ = differ + np.bitwise_count(a_prints[rows, None, w] ^ b_prints[None, cols, w])
             x, y = np.nonzero(differ <= radius)
-            x, y = x + rows.start, y + cols.start
-            to = y + (0 if same else len(a_prints))
+            x, to = x + rows.start, y + cols.start + (0 if same else len(a_prints))
             apart_yet = label[x] != label[to]
-            x, y, to = x[apart_yet], y[apart_yet], to[apart_yet]
-            if len(x) and alike is not None:
-                near = may_be_alike(a, x, b, y, alike)
-                label = join_alike(label, x[near], to[near], place, alike, sets)
-            elif len(x):
-                label = join_up(label, x, to)
+            if apart_yet.any():
+                label = join_up(label, x[apart_yet], to[apart_yet])
     return label
 
 
@@ -262,26 +145,20 @@ def _load(uri: str) -> Tile:
 _HEADS = "tile string, least int, most int, low array<int>, high array<int>"
 
 
-def _tiles(folder: str, width: int, radius: int, alike: float | None, sets_folder: str):
+def _tiles(folder: str, radius: int):
     """A file, named uniquely so that repeated tasks don't meet, and a row for each partition of sorted fingerprints."""
 
     def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [batch for batch in batches if len(batch)]
         if held:
-            rows, sets = pd.concat(held), None
-            key = np.frombuffer(b"".join(rows.fp), ">u8").astype(np.uint64).reshape(len(rows), -1)
-            sketches, place = np.empty((len(rows), 0), np.uint8), np.zeros(len(rows), PLACE)
-            if alike is not None:
-                sketches, sets = np.frombuffer(b"".join(rows.sk), np.uint8).reshape(len(rows), -1), Sets(sets_folder)
-                place["n"], place["file"], place["at"] = rows.n, rows.file.to_numpy().astype("S32"), rows["at"]
-            order = np.lexsort(block_counts(key[:, :width]).T[::-1])
-            key, sketches, place = key[order], sketches[order], place[order]
-            for i in range(0, len(key), 2 * TILE):  # ranges are cut from a sample, so one may be long
-                part = slice(i, i + 2 * TILE)
-                p = np.ascontiguousarray(key[part, :width])
+            rows = pd.concat(held)
+            prints = np.frombuffer(b"".join(rows.fp), ">u8").astype(np.uint64).reshape(len(rows), -1)
+            prints = prints[np.lexsort(block_counts(prints).T[::-1])]
+            for i in range(0, len(prints), 2 * TILE):  # ranges are cut from a sample, so one may be long
+                p = np.ascontiguousarray(prints[i : i + 2 * TILE])
                 c = block_counts(p)
-                tile = Tile(p, np.arange(len(p)), key[part], sketches[part], place[part])
-                label = link(tile, tile, tile.label, radius, alike, True, sets)
+                tile = Tile(p, np.arange(len(p)))
+                label = link(tile, tile, tile.label, radius, True)
                 total, name = c.sum(axis=1), f"{folder}/tile-{uuid.uuid4().hex}.npz"
                 _save(name, tile._replace(label=label.astype(np.uint32)))
                 yield pd.DataFrame({"tile": [name], "least": [int(total.min())], "most": [int(total.max())], "low": [c.min(axis=0).tolist()], "high": [c.max(axis=0).tolist()]})
@@ -289,9 +166,9 @@ def _tiles(folder: str, width: int, radius: int, alike: float | None, sets_folde
     return tiles
 
 
-def _edges(key: np.ndarray, places: np.ndarray, targets: np.ndarray) -> pd.DataFrame:
-    octets = key.astype(">u8").tobytes()
-    size = 8 * key.shape[1]
+def _edges(prints: np.ndarray, places: np.ndarray, targets: np.ndarray) -> pd.DataFrame:
+    octets = prints.astype(">u8").tobytes()
+    size = 8 * prints.shape[1]
     at = lambda i: octets[i * size : (i + 1) * size]
     return pd.DataFrame({"a": [at(i) for i in places.tolist()], "b": [at(i) for i in targets.tolist()]}, dtype=object)
 
@@ -301,37 +178,35 @@ def _within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for name in batch.tile:
             tile = _load(name)
             moved = np.flatnonzero(tile.label != np.arange(len(tile.label)))
-            yield _edges(tile.key, moved, tile.label[moved])
+            yield _edges(tile.prints, moved, tile.label[moved])
 
 
-def _between(radius: int, alike: float | None, sets_folder: str):
+def _between(radius: int):
     def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, Tile] = {}
-        sets = Sets(sets_folder) if alike is not None else None
         for batch in batches:
             for name, other in zip(batch.tile, batch.tile2, strict=True):
                 held = {k: held[k] if k in held else _load(k) for k in (name, other)}
                 a, b = held[name], held[other]
-                start = np.concatenate([a.label, b.label + len(a.key)])
-                label = link(a, b, start.copy(), radius, alike, False, sets)
+                start = np.concatenate([a.label, b.label + len(a.prints)])
+                label = link(a, b, start.copy(), radius, False)
                 roots = np.flatnonzero(start == np.arange(len(start)))
                 moved = roots[label[roots] != roots]
-                yield _edges(np.concatenate([a.key, b.key]), moved, label[moved])
+                yield _edges(np.concatenate([a.prints, b.prints]), moved, label[moved])
 
     return between
 
 
-def links(prints: DataFrame, bits: int, radius: int, folder: str, alike: float | None = None) -> DataFrame:
-    """From distinct fingerprints (fp and, where a likeness is asked for, sk, n, file, at, of sets in folder) the links (a, b)
-    that span every component. They are read from tiles in folder."""
-    spark, width, sets_folder = prints.sparkSession, bits // 64, f"{folder}/sets"
+def links(prints: DataFrame, bits: int, radius: int, folder: str) -> DataFrame:
+    """From distinct fingerprints (fp) the links (a, b) that span every component. They are read from tiles in folder."""
+    spark, width = prints.sparkSession, bits // 64
     n = prints.count()
     tiles = max(-(-n // TILE), min(-(-n // (TILE // 4)), common.partitions(spark)), 1)
     # Sorted by bit counts of the whole, then of the first blocks
     count = lambda a, b: F.length(F.regexp_replace(F.conv(F.hex(F.substring("fp", a, b)), 16, 2), "0", ""))
     whole = sum((count(i, 4) for i in range(5, 8 * width, 4)), count(1, 4))
     ranged = prints.withColumns({"_n": whole, "_c1": count(1, 2), "_c2": count(3, 2)}).repartitionByRange(tiles, "_n", "_c1", "_c2", "fp")
-    heads = common.staged(ranged.select(*prints.columns).mapInPandas(_tiles(f"{folder}/tiles", width, radius, alike, sets_folder), _HEADS), f"{folder}/heads")
+    heads = common.staged(ranged.select(*prints.columns).mapInPandas(_tiles(f"{folder}/tiles", radius), _HEADS), f"{folder}/heads")
     # Tiles meet at a bit count: those of a tile, and from radius below to radius above
     own = heads.withColumn("at", F.explode(F.sequence("least", "most")))
     near = heads.withColumn("at", F.explode(F.sequence(F.col("least") - radius, F.col("most") + radius)))
@@ -339,7 +214,7 @@ def links(prints: DataFrame, bits: int, radius: int, folder: str, alike: float |
     gap = F.aggregate(F.zip_with(F.zip_with("low", "high2", lambda x, y: x - y), F.zip_with("low2", "high", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0))), F.lit(0), lambda s, x: s + x)
     met = own.join(near, "at").filter(F.col("tile") < F.col("tile2")).filter(gap <= radius)
     pairs = met.select("tile", "tile2").distinct().repartition(max(common.partitions(spark), tiles))
-    across = pairs.sortWithinPartitions("tile").mapInPandas(_between(radius, alike, sets_folder), "a binary, b binary")
+    across = pairs.sortWithinPartitions("tile").mapInPandas(_between(radius), "a binary, b binary")
     return heads.select("tile").mapInPandas(_within, "a binary, b binary").unionByName(across)
 
 
@@ -367,30 +242,39 @@ def components(edges: DataFrame) -> DataFrame:
     return moved
 
 
-def members(docs: DataFrame, words: int, bits: int, radius: int, alike: float | None) -> DataFrame:
-    """(doc_id, text_hash, fp, root, component_id): root names the component, component_id is its smallest doc_id."""
+def _hashed(docs: DataFrame) -> DataFrame:
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = common.identified(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), "text")
-    folder = common.shared_dir(docs.sparkSession)
-    if alike is None:
-        rows = common.staged(rows.select("doc_id", "text_hash", fingerprints(words, bits).alias("fp")))
-        prints = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    else:
-        rows = common.staged(rows.mapInPandas(_with_sets(f"{folder}/sets", words, bits), f"doc_id long, text_hash long, fp binary, sk binary, {_SET}"))
-        prints = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("sk").alias("sk"), F.min(F.struct("n", "file", "at")).alias("_s")).select("fp", "first", "sk", "_s.*")
-    prints = common.staged(prints)
-    roots = components(links(prints.drop("first"), bits, radius, folder, alike))
-    common.remove(docs.sparkSession, folder)  # the links are written; sets and tiles are as large as the texts
-    named = prints.select("fp", "first").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return common.identified(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), "text")
+
+
+def _owned(prints: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """(fp, root, component_id): root names the component, component_id is its smallest doc_id."""
+    named = prints.select(*dict.fromkeys(["fp", node]), "first").join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    owned = common.staged(named.select("fp", "root").join(least, "root").select("fp", "root", "component_id"))
-    return rows.select("doc_id", "text_hash", "fp").join(owned, "fp")
+    return common.staged(named.select("fp", "root").join(least, "root").select("fp", "root", "component_id"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 64, radius: int = RADIUS, alike: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 64, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id): component_id is the smallest doc_id reachable by links."""
-    found = members(docs, words, bits, radius, alike)
-    return found.select("doc_id", F.lower(F.hex(F.substring("fp", 1, bits // 8))).alias("fingerprint"), "component_id")
+    folder = common.shared_dir(docs.sparkSession)
+    rows = common.staged(_hashed(docs).select("doc_id", fingerprints(words, bits).alias("fp")))
+    prints = common.staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(links(prints.drop("first"), bits, radius, folder))
+    common.remove(docs.sparkSession, folder)  # the links are written
+    found = rows.join(_owned(prints, roots, "fp"), "fp")
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def alike_members(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, root, component_id) by links of texts whose sets of shingles are alike."""
+    folder = common.shared_dir(docs.sparkSession)
+    sets = f"{folder}/sets"
+    rows = common.staged(_hashed(docs).mapInPandas(alike_sets.with_sets(sets), f"doc_id long, text_hash long, fp binary, {alike_sets.PLACE}"))
+    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("n", "file", "at")).alias("_s")).select("fp", "first", "_s.*")
+    prints = common.staged(prints.sortWithinPartitions("file", "at").withColumn("id", F.monotonically_increasing_id()))
+    roots = components(alike_sets.links(prints, folder, sets, components))
+    common.remove(docs.sparkSession, folder)  # the links are written; sets are as large as the texts
+    return rows.select("doc_id", "text_hash", "fp").join(_owned(prints, roots, "id"), "fp").drop("fp")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -398,7 +282,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     columns: that with the smallest id and, where texts of one group share that id, the text of the smallest hash.
     Rows equal in id and text are copies; rows of one id whose texts aren't near each other stay each; rows without an id go."""
     own_hash, kept_id, kept_hash = common.unused(docs, "text_hash", "kept_id", "kept_hash")
-    first = members(docs, WORDS_NEAR, BITS_NEAR, RADIUS_NEAR, ALIKE).filter("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"))
+    first = alike_members(docs).filter("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"))
     kept = first.select(F.col("x.doc_id").alias(kept_id), F.col("x.text_hash").alias(kept_hash))
     own = docs.withColumn(own_hash, F.xxhash64(F.coalesce("text", F.lit(""))))
     same = (F.col("doc_id").cast("long") == F.col(kept_id)) & (F.col(own_hash) == F.col(kept_hash))

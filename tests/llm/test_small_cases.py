@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import flow_reshard, fst_sentencepiece, hilbert_pack, kneser_ney, lz_fingerprint, pruned_graph_ann, simhash_tiles, skip_chain_pii, tag_path_html, warc_zip
+from ledgerloom.llm import alike_sets, flow_reshard, fst_sentencepiece, hilbert_pack, kneser_ney, lz_fingerprint, pruned_graph_ann, simhash_tiles, skip_chain_pii, tag_path_html, warc_zip
 
 BPE, SP = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: Columns whose names operators use inside.
@@ -267,6 +267,49 @@ def test_keep_one_is_exact(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(0, 480, 2)) | {2 * i + 1 for i, x in enumerate(likeness) if x < 0.8}
 
 
+def test_keep_one_misses_no_pair(spark):
+    """Four shingles of five, whose fingerprints of 128 bits differ in 43 to 46."""
+    text = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [(10 * i + n, text(i, n)) for i in (6332, 30278, 67602, 97903, 140651) for n in (8, 9)]
+    kept = simhash_tiles.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [x[0] for x in rows[::2]]
+
+
+def test_alike_sets_compare_few(spark, tmp_path):
+    """Two large groups of near copies and unlike texts with a passage in common: the links join what all pairs would, by few candidates."""
+    rng = np.random.default_rng(11)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passage, texts = fresh(30), []
+    for base in (fresh(80), fresh(80)):
+        for _ in range(150):
+            near = list(base)
+            near[rng.integers(80)] = fresh(1)[0]
+            texts.append(near)
+    texts += [fresh(40) + passage for _ in range(300)]
+    sets = [alike_sets.shingles(" ".join(t)) for t in texts]
+    assert all(len(x) == len({tuple(t[k : k + 5]) for k in range(len(t) - 4)}) for x, t in zip(sets, texts, strict=True))
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string").coalesce(1)
+    found = rows.mapInPandas(alike_sets.with_sets(f"file://{tmp_path}/sets"), f"id long, fp binary, {alike_sets.PLACE}")
+    found.write.parquet(f"{tmp_path}/prints")
+    links = alike_sets.links(spark.read.parquet(f"{tmp_path}/prints"), f"file://{tmp_path}", f"file://{tmp_path}/sets", simhash_tiles.components)
+    roots = {r.node: r.root for r in simhash_tiles.components(links).collect()}
+
+    def joined(label):
+        groups = {}
+        for i in range(len(texts)):
+            groups.setdefault(label(i), set()).add(i)
+        return sorted(map(sorted, groups.values()))
+
+    own = list(range(len(texts)))
+    for i in range(300):
+        for j in range(i):
+            if own[i] != own[j] and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])):
+                own = [own[j] if x == own[i] else x for x in own]
+    assert len(set(own)) == 302 and joined(lambda i: roots.get(i, i)) == joined(lambda i: own[i])
+    candidates = spark.read.parquet(f"{tmp_path}/lists").filter("list = -1").select("a", "b").distinct().count()
+    assert candidates < 20 * len(texts)
+
+
 def test_html_blocks():
     main = tag_path_html.main_text
     assert main(None) == main("") == main("  \n") == main("<p></p><script>x</script>") == ""
