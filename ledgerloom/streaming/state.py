@@ -106,45 +106,62 @@ def flag_duplicates(stream: DataFrame, keep_ms: int | None = None) -> DataFrame:
 
 
 _MATCHES = "user_id long, txn_id long, event_id long"
+#: Slices of keys (tenant, amount and direction) that matches are dealt to by a hash; a checkpoint holds for the number it began with.
+SLICES = 4096
 
 
 def _matcher(keep_ms: int | None):
-    def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def pair(txns: list, events: list, rows: list) -> Iterator[tuple[int, int]]:
         """Both directions: an expense looks for transactions when it is logged, a transaction for pending expenses when it comes."""
-        txns, events = json.loads(state.get[0]) if state.exists else ([], [])
-        out, newest = [], 0
-        # plain lists: most keys have a few rows, for which a frame's own sort would cost more than all the rest
-        for created, kind, id_, at in sorted(row for rows in batches for row in zip(*(rows[c].tolist() for c in ("created_at", "kind", "id", "at")), strict=True)):
+        newest = 0
+        for created, kind, id_, at in rows:
             mine, others = (txns, events) if kind == "txn" else (events, txns)
             near = [x for x in others if abs(x[1] - at) <= match.WINDOW_MS]
             close = [x for x in near if abs(x[1] - at) <= match.AUTO_MS]
             chosen = near[0] if len(near) == 1 else close[0] if len(close) == 1 else None
             newest = max(newest, created)
-            row = [id_, at, created]
             if kind == "txn":
-                mine.append(row)
+                mine.append([id_, at, created])
                 if chosen:
                     others.remove(chosen)
-                    out.append((key[0], row[0], chosen[0]))
+                    yield id_, chosen[0]
             elif chosen:
-                out.append((key[0], chosen[0], row[0]))
+                yield chosen[0], id_
             else:
-                mine.append(row)
-        kept = [[x for x in rows if keep_ms is None or x[2] >= newest - keep_ms] for rows in (txns, events)]
-        state.update((json.dumps(kept),))
+                mine.append([id_, at, created])
+        if keep_ms is not None:
+            for held in (txns, events):
+                held[:] = [x for x in held if x[2] >= newest - keep_ms]
+
+    def slice_(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Many keys are one group: calls of Python, and entries of the store, are one a slice; only keys that rows came for are folded."""
+        held = {tuple(key): kept for key, *kept in json.loads(state.get[0])} if state.exists else {}
+        came: dict[tuple, list] = {}
+        for rows in batches:
+            for user, amount, direction, *row in zip(*(rows[c].tolist() for c in ("user_id", "amount_paise", "direction", "created_at", "kind", "id", "at")), strict=True):
+                came.setdefault((user, amount, direction), []).append(row)
+        out = []
+        for key, rows in came.items():
+            txns, events = held.setdefault(key, [[], []])
+            out += [(key[0], *ids) for ids in pair(txns, events, sorted(rows))]
+            if not txns and not events:
+                del held[key]
+        state.update((json.dumps([[key, *kept] for key, kept in held.items()]),))
         if out:
             yield pd.DataFrame(out, columns=["user_id", "txn_id", "event_id"])
 
-    return pair
+    return slice_
 
 
-def match_events(both: DataFrame, keep_ms: int | None = None) -> DataFrame:
+def match_events(both: DataFrame, keep_ms: int | None = None, slices: int = SLICES) -> DataFrame:
     """(user_id, txn_id, event_id) as matches are made; both is the union of the streams (kind txn or event, id, user_id, amount_paise, direction, at, created_at).
 
-    Only rows of one amount and direction match, so these are keys with the tenant, and a large tenant is many keys. With
+    Only rows of one amount and direction match, so these are keys with the tenant, and a large tenant is many keys; keys are dealt to
+    slices. A batch reads and writes what is held by the slices that its rows name, so slices are to grow with what is held. With
     keep_ms, rows of a key are forgotten when its clock of creation has gone so far past theirs.
     """
-    return both.groupBy("user_id", "amount_paise", "direction").applyInPandasWithState(_matcher(keep_ms), _MATCHES, "held string", "append", GroupStateTimeout.NoTimeout)
+    named = both.withColumn("slice", F.pmod(F.xxhash64("user_id", "amount_paise", "direction"), F.lit(slices)))
+    return named.groupBy("slice").applyInPandasWithState(_matcher(keep_ms), _MATCHES, "held string", "append", GroupStateTimeout.NoTimeout)
 
 
 def as_arrivals(txns: DataFrame, events: DataFrame) -> DataFrame:
