@@ -310,6 +310,13 @@ def test_alike_sets_compare_few(spark, tmp_path):
     assert candidates < 20 * len(texts)
 
 
+def test_alike_sets_long_list_of_any_part():
+    """A long list in a part of a high number, as of large tables, is held against texts of its own."""
+    rows = alike_sets.pd.DataFrame({"part": [9_999_999], "base": [0], "shingle": [np.full(100, 2**32 - 1, "<u4").tobytes()], "text": [alike_sets._planes(np.diff(np.arange(100), prepend=0))], "n": [alike_sets._planes(np.full(100, 50))], "place": [alike_sets._planes(np.zeros(100))]})
+    found = alike_sets._lists(rows)
+    assert (found.list == (9_999_999 << 32) + 2**32 - 1).sum() == 100 and (found.list == -1).sum() == 99 + 98 + 97 + 96
+
+
 def test_html_blocks():
     main = tag_path_html.main_text
     assert main(None) == main("") == main("  \n") == main("<p></p><script>x</script>") == ""
